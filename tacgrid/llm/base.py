@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: Rows handed to a Python worker at once; texts can be long, so batches are kept short.
 ROWS_PER_BATCH = 256
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Most rows of a side that is broadcast after it has been counted.
 BROADCAST_ROWS = 200_000
 
@@ -30,18 +31,23 @@ def shared_dir(spark: SparkSession) -> str:
     return told.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialise(df: DataFrame, name: str, rows_per_batch: int = ROWS_PER_BATCH) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors.
+
+    rows_per_batch holds while it is written; more than the default suits narrow rows.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    spark.conf.set(BATCH, str(rows_per_batch))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH, str(ROWS_PER_BATCH))
     return spark.read.schema(df.schema).parquet(path)
 
 
 def map_arrow(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != ROWS_PER_BATCH:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    df.sparkSession.conf.set(BATCH, str(ROWS_PER_BATCH))
     return df.mapInArrow(kernel, schema)
 
 
