@@ -58,9 +58,11 @@ def train(rows: list[np.ndarray], labels: list[int], alpha: float = 2.0, beta: f
     The rarer class counts more, by the root of the odds."""
     if not rows or not any(labels):
         return Weights(-35.0, np.zeros(0, np.int64), np.zeros(0))
-    seen, count = np.unique(np.concatenate(rows), return_counts=True)
-    seen = seen[count >= min_rows]
-    place = np.zeros(1 << BITS, np.int64)
+    count = np.zeros(1 << BITS, np.int32)
+    for r in rows:
+        count[r] += 1
+    seen = np.flatnonzero(count >= min_rows)
+    place = np.zeros(1 << BITS, np.int32)
     place[seen] = np.arange(len(seen)) + 1
     dense = [(p := place[r])[p > 0] for r in rows]
     heavy = np.sqrt((len(labels) - sum(labels)) / sum(labels)).clip(1, 5)
@@ -111,10 +113,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, fold
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), blobs(found)], ["doc_id", "label", "features"])
 
     sample = sample_labels(labels, "toxic", folds, held, max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
-    got = map_arrow(rows, kernel, "doc_id long, label int, features binary").dropDuplicates(["doc_id"]).collect()
-    got.sort(key=lambda r: r["doc_id"])
-    return train([np.frombuffer(r["features"], np.int32).astype(np.int64) for r in got], [r["label"] for r in got])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
+    got = map_arrow(rows, kernel, "doc_id long, label int, features binary").dropDuplicates(["doc_id"]).toArrow()
+    order = np.argsort(np.asarray(got.column("doc_id")), kind="stable").tolist()
+    labels_of = got.column("label").to_pylist()
+    return train([np.frombuffer(got.column("features")[i].as_buffer(), np.int32) for i in order], [labels_of[i] for i in order])
 
 
 def score(docs: DataFrame, weights: Weights) -> DataFrame:
