@@ -101,10 +101,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, fold
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), blobs(found), blobs(counts)], ["doc_id", "label", "features", "counts"])
 
     sample = sample_labels(labels, "quality", folds, held, max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
-    got = map_arrow(rows, kernel, "doc_id long, label int, features binary, counts binary").dropDuplicates(["doc_id"]).collect()
-    got.sort(key=lambda r: r["doc_id"])
-    return train([(np.frombuffer(r["features"], np.int32), np.frombuffer(r["counts"], np.int32)) for r in got], [r["label"] for r in got])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
+    got = map_arrow(rows, kernel, "doc_id long, label int, features binary, counts binary").dropDuplicates(["doc_id"]).toArrow()
+    order = np.argsort(np.asarray(got.column("doc_id")), kind="stable").tolist()
+    labels_of = got.column("label").to_pylist()
+    found, counts = got.column("features"), got.column("counts")
+    return train([(np.frombuffer(found[i].as_buffer(), np.int32), np.frombuffer(counts[i].as_buffer(), np.int32)) for i in order], [labels_of[i] for i in order])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
