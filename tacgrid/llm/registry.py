@@ -7,6 +7,7 @@ from tacgrid.llm.media import op2_media
 from tacgrid.llm.pii import op3_pii
 from tacgrid.llm.quality import op4_quality
 from tacgrid.llm.simhash import op9_simhash
+from tacgrid.llm.suffixdedup import op10_repeats
 from tacgrid.llm.toxicity import op8_toxicity
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_line_dedup": op6_line_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
+    "op10_repeats": op10_repeats,
 }
 
 SQL = {
