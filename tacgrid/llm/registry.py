@@ -4,6 +4,7 @@ from tacgrid.llm.chat import OP5_SQL, op5_chat
 from tacgrid.llm.decontaminate import OP1_SQL, op1_decontaminate
 from tacgrid.llm.linededup import OP6_SQL, op6_line_dedup
 from tacgrid.llm.media import op2_media
+from tacgrid.llm.mixing import op7_mixing
 from tacgrid.llm.pii import op3_pii
 from tacgrid.llm.quality import op4_quality
 from tacgrid.llm.simhash import op9_simhash
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_chat": op5_chat,
     "op6_line_dedup": op6_line_dedup,
+    "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
     "op10_repeats": op10_repeats,

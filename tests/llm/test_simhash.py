@@ -35,9 +35,9 @@ def plain_components(rows):
     return sorted(((doc, f"{fp:016x}", least.get(find(i))) for i, (doc, fp) in enumerate(fps)), key=str)
 
 
-def result(spark, rows):
-    df = spark.createDataFrame(rows, "doc_id long, text string, fp string, component_id int")
-    got = S.near_duplicates(df).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("f"), "component_id").collect()
+def result(spark, rows, config=S.Config()):
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp0 string, component_id int")
+    got = S.near_duplicates(df, config).select("doc_id", F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("f"), "component_id").collect()
     return sorted(map(tuple, got), key=str)
 
 
@@ -60,34 +60,48 @@ def test_same_as_brute_force(spark):
 
 @pytest.mark.parametrize("small", [4])
 def test_divided_buckets_and_blocks(spark, monkeypatch, small):
-    monkeypatch.setattr(S, "REFINE", small)
     monkeypatch.setattr(S, "BLOCK", small)
     rows = sample_rows(60) + [(1000 + i, "the same long line of words again and again " * 3 + "x" * (i % 5)) for i in range(40)]
-    assert result(spark, [(*r, "x", 1) for r in rows]) == plain_components(rows)
+    assert result(spark, [(*r, "x", 1) for r in rows], S.Config(refine=small)) == plain_components(rows)
 
 
 def test_empty(spark):
     assert result(spark, []) == []
 
 
-def test_links_lose_nothing():
-    """Every pair within four bits shares a key, whatever the distribution."""
+@pytest.mark.parametrize("config", [S.Config(), S.Config(refine=3), S.FIVE_WORDS])
+def test_links_lose_nothing(config):
+    """Every pair within the threshold shares a key, whatever the distribution."""
     rng = np.random.default_rng(1)
-    base = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    base = rng.integers(0, 2**63, (40, config.words), dtype=np.uint64)
     base[20:] &= np.uint64(0xFFFF)
-    flips = [(i, sum(1 << int(b) for b in rng.choice(64, int(rng.integers(1, 5)), replace=False))) for i in range(40)]
-    fps = np.unique(np.concatenate([base, [base[i] ^ np.uint64(f) for i, f in flips]]))
-    bits = np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(float)
-    for m in S.PARTITIONS:
+    flipped = base.copy()
+    for row in flipped:
+        for b in rng.choice(config.bits, int(rng.integers(1, config.threshold + 1)), replace=False).tolist():
+            row[b >> 6] ^= np.uint64(1 << (b & 63))
+    fps = np.unique(np.concatenate([base, flipped]), axis=0)
+    bits = S.unpacked(fps).astype(float)
+    apart = [[int(np.bitwise_count(x ^ y).sum()) for y in fps] for x in fps]
+    for m in config.partitions:
         layout = S.group_bits(bits.T @ bits, len(fps), m)
-        assert sorted(b for own in layout for b in own) == list(range(64))
+        assert sorted(b for own in layout for b in own) == list(range(config.bits))
         hists = [np.bincount(S.values(fps, own), minlength=1 << len(own)) for own in layout]
-        plan = S.allocate(layout, hists)
-        assert sum(plan.thresholds) == 4 - m + 1
-        keys, who = plan.keys(fps)
+        plan = S.allocate(layout, hists, config)
+        assert sum(plan.thresholds) == config.threshold - m + 1
         by = {}
-        for k, f in zip(keys.tolist(), who.tolist()):
-            by.setdefault(k, set()).add(f)
+        for k, r in zip(*(x.tolist() for x in plan.keys(fps)), strict=True):
+            by.setdefault(k, set()).add(r)
         sharing = {(x, y) for own in by.values() for x in own for y in own}
-        near = [(x, y) for x in fps.tolist() for y in fps.tolist() if x < y and (x ^ y).bit_count() <= 4]
-        assert near and all(p in sharing for p in near)
+        near = [(x, y) for x in range(len(fps)) for y in range(x) if apart[x][y] <= config.threshold]
+        assert len(near) >= 40 and all(p in sharing for p in near)
+
+
+def test_keep_one(spark):
+    rows = sample_rows(60)
+    words = [f"v{i}" for i in range(400)]
+    rows += [(2000, " ".join(words)), (2001, " ".join([*words[:200], "new", *words[201:]])), (2002, " ".join(words).upper()), (1999, " ".join(reversed(words)))]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, root int")
+    kept = S.keep_one(df)
+    assert kept.columns == df.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert {1999, 2000} <= set(ids) and not {2001, 2002} & set(ids) and ids.count(None) == 2
