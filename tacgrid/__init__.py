@@ -1,0 +1 @@
+"""A PySpark engine for spatial scenario retrieval over team-match telemetry."""
