@@ -37,7 +37,7 @@ def features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     docs, codes = [w.doc, w.doc[again]], [h >> U(64 - BITS), np.full(len(again), REPEAT, np.uint64)]
     for n in GRAMS:
         code, at = char_grams(w, n)
-        docs.append(np.searchsorted(w.first, at, "right") - 1)
+        docs.append(np.searchsorted(w.first, at + 1, "right") - 1)  # the space before a text's first word is the text's
         codes.append(code >> U(64 - BITS))
     doc = np.concatenate(docs)
     return np.clip(doc, 0, max(0, w.n - 1)), np.concatenate(codes).astype(np.int64)
