@@ -45,6 +45,8 @@ def train(docs: DataFrame, labelled: DataFrame, max_rows: int = MAX_TRAIN_ROWS)
     counts = materialise(counts, "domain-words")
     sums = {r["domain"]: r["n"] for r in counts.groupBy("domain").agg(F.sum("n").alias("n")).collect()}
     domains = sorted(sums)
+    if not domains:
+        return [], counts
     seen = counts.groupBy("bucket").agg(*(F.sum(F.when(F.col("domain") == d, F.col("n")).otherwise(0)).alias(f"n{i}") for i, d in enumerate(domains)))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
     logs = [F.log((F.coalesce(f"n{i}", F.lit(0)) + 0.5) / (sums[d] + 0.5 * BUCKETS)).alias(f"w{i}") for i, d in enumerate(domains)]
