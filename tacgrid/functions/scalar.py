@@ -93,7 +93,7 @@ def has_bomb(items: Column) -> Column:
 
 def first_teams(names: Column) -> list[Column]:
     """The first two of the distinct trimmed names that aren't blank."""
-    clean = F.array_sort(F.array_distinct(F.filter(F.transform(names, F.trim), lambda n: n != "")))
+    clean = F.array_sort(F.array_distinct(F.filter(F.transform(names, lambda n: F.trim(n)), lambda n: n != "")))
     return [F.get(clean, 0), F.get(clean, 1)]
 
 

@@ -48,7 +48,7 @@ class Geodesics:
 
 def chamfer(geo: Geodesics, markers: list[Marker], tokens: list[Column]) -> Column:
     """Mean over the markers of the distance to the nearest token; pads cost the map's largest distance."""
-    each = [F.coalesce(F.least(*(geo.to(m, t) for t in tokens)), F.lit(geo.pad)) for m in markers]
+    each = [F.least(F.lit(geo.pad), F.lit(geo.pad), *(geo.to(m, t) for t in tokens)) for m in markers]
     return reduce(lambda a, b: a + b, each) / len(each)
 
 

@@ -59,4 +59,5 @@ def apply_metadata(recordings: DataFrame, overlay: DataFrame) -> DataFrame:
     """overlay (file_name, event, match_ref) for recordings with either missing; both are then taken from it."""
     joined = recordings.join(overlay.select("file_name", F.col("event").alias("_event"), F.col("match_ref").alias("_ref"), F.lit(True).alias("_there")), "file_name", "left")
     take = F.col("_there").isNotNull() & (F.col("event").isNull() | F.col("match_ref").isNull())
-    return joined.withColumn("event", F.when(take, F.col("_event")).otherwise(F.col("event"))).withColumn("match_ref", F.when(take, F.col("_ref")).otherwise(F.col("match_ref"))).select(*recordings.columns)
+    new = {"event": F.when(take, F.col("_event")).otherwise(F.col("event")), "match_ref": F.when(take, F.col("_ref")).otherwise(F.col("match_ref"))}
+    return joined.withColumns(new).select(*recordings.columns)
