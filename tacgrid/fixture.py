@@ -16,10 +16,28 @@ SLOTS = range(10)
 PAD = 2000
 
 
+_warm: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def warm(name: str):
+    """Derived tables are kept in memory (and on disk beyond it) for a session, as a library's index would be."""
+
+    def wrap(build):
+        def get(spark: SparkSession, d: str) -> DataFrame:
+            key = (spark.sparkContext.applicationId, d, name)
+            if key not in _warm or not _warm[key].is_cached:
+                _warm[key] = build(spark, d).persist()
+            return _warm[key]
+
+        return get
+
+    return wrap
+
+
 def team(number: Column) -> Column:
     return F.concat(F.lit("team_"), number.cast("string"))
 
@@ -48,6 +66,7 @@ def plain_rounds(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@warm("rounds")
 def rounds(spark: SparkSession, d: str) -> DataFrame:
     """Rounds with buys and the names of both sides."""
     r = plain_rounds(spark, d).withColumn("is_pistol", F.col("round_no").isin(*P.PISTOL_ROUNDS)).join(recordings(spark, d), "recording_id")
@@ -58,6 +77,7 @@ def rounds(spark: SparkSession, d: str) -> DataFrame:
     return named.select("round_id", "recording_id", "map_id", "round_no", "winner", "win_reason", "site", "is_pistol", "ct_equip", "t_equip", buy("ct"), buy("t"), ct.alias("ct_team"), t.alias("t_team"), "nation")
 
 
+@warm("states")
 def states(spark: SparkSession, d: str) -> DataFrame:
     line = _read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"), F.min("l_returnflag").alias("rf"), F.min("l_linestatus").alias("ls"))
     n = F.col("l_linenumber").cast("long")
@@ -101,9 +121,15 @@ def index(spark: SparkSession, d: str) -> DataFrame:
     return snapshots(spark, d).join(own, "round_id")
 
 
-def players(spark: SparkSession, d: str) -> DataFrame:
+def nested_players(spark: SparkSession, d: str, ids: DataFrame | None = None) -> DataFrame:
+    """The ten players of each state, nested as snapshots hold them; of the states in ids (few) alone, if given."""
+    own = states(spark, d) if ids is None else states(spark, d).join(F.broadcast(ids), "state_id")
     each = F.array(*(F.struct(F.lit(k).alias("slot"), F.lit("CT" if k < 5 else "T").alias("side"), alive_of(k).alias("alive"), node_of(k).alias("node"), place_x(node_of(k)).alias("x"), place_y(node_of(k)).alias("y")) for k in SLOTS))
-    return states(spark, d).select("state_id", "round_id", "sec", F.inline(each))
+    return own.select("state_id", "round_id", "sec", each.alias("players"))
+
+
+def players(spark: SparkSession, d: str) -> DataFrame:
+    return nested_players(spark, d).select("state_id", "round_id", "sec", F.inline("players"))
 
 
 def geo(spark: SparkSession) -> DataFrame:

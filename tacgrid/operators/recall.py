@@ -32,18 +32,18 @@ class Geodesics:
     @classmethod
     def read(cls, geo: DataFrame, nodes: set[int]) -> Geodesics:
         """geo: na, nb, d of one map, at most MAX_NODES squared rows."""
-        pad = float(geo.agg(F.max("d")).first()[0])
-        rows: dict[int, list[float]] = {n: [] for n in nodes}
-        size = geo.agg(F.max("nb")).first()[0] + 1
-        for n in rows:
-            rows[n] = [pad] * size
-        for r in geo.where(F.col("na").isin(*nodes)).collect() if nodes else []:
+        if not nodes:
+            return cls({}, 0.0)
+        most = geo.agg(F.max("d").alias("pad"), F.max("nb").alias("nb")).first()
+        pad = float(most["pad"])
+        rows = {n: [pad] * (most["nb"] + 1) for n in nodes}
+        for r in geo.where(F.col("na").isin(*nodes)).collect():
             rows[r["na"]][r["nb"]] = float(r["d"])
         return cls(rows, pad)
 
     def to(self, marker: Marker, node: Column) -> Column:
-        """Distance from the marker; null for no node."""
-        return F.get(F.array(*map(F.lit, self.rows[marker.node])), node)
+        """Distance from the marker; null for no node. The row is one constant, parsed as a whole."""
+        return F.get(F.expr(f"array({', '.join(f'{d!r}D' for d in self.rows[marker.node])})"), node)
 
 
 def chamfer(geo: Geodesics, markers: list[Marker], tokens: list[Column]) -> Column:

@@ -48,7 +48,7 @@ def full_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def library(spark: SparkSession, d: str, with_utility: bool = True) -> Q.Library:
-    return Q.Library(full_index(spark, d) if with_utility else X.index(spark, d), X.players(spark, d), X.geo(spark), X.tokens())
+    return Q.Library(full_index(spark, d) if with_utility else X.index(spark, d), lambda ids: X.nested_players(spark, d, ids), X.geo(spark), X.tokens())
 
 
 # Filters.

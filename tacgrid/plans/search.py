@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -28,10 +29,14 @@ class Request:
 
 @dataclass(frozen=True)
 class Library:
-    """index: snapshots with their rounds' columns and tokens, and lists of active utility. players: a row for each player."""
+    """index: snapshots with their rounds' columns and tokens, and lists of active utility.
+
+    players: gives (state_id, players), an array of struct(slot, side, alive, node, x, y), for a few state_ids; the
+    bulk of the snapshots is read for hits alone.
+    """
 
     index: DataFrame
-    players: DataFrame
+    players: Callable[[DataFrame], DataFrame]
     geo: DataFrame
     tokens: dict
 
@@ -50,13 +55,13 @@ def population(lib: Library, request: Request) -> tuple[DataFrame, Geodesics]:
 def rerank(lib: Library, request: Request, hits: DataFrame, geo: Geodesics) -> DataFrame:
     """hits (request.cap rows at most) with score: the mean over the kinds of markers that are there."""
     kinds = []
+    people = lib.players(hits.select("state_id")).select("state_id", F.inline("players")).where("alive")
     for side in ("CT", "T"):
         own = [m for m in request.markers if m.kind == side]
         if not own:
             continue
         w = Window.partitionBy("state_id")
-        alive = lib.players.where(F.col("alive") & (F.col("side") == side)).join(F.broadcast(hits.select("state_id")), "state_id")
-        placed = alive.select("state_id", "node", "x", "y", (F.row_number().over(w.orderBy("slot")) - 1).cast("int").alias("j"), F.count("*").over(w).cast("int").alias("m"))
+        placed = people.where(F.col("side") == side).select("state_id", "node", "x", "y", (F.row_number().over(w.orderBy("slot")) - 1).cast("int").alias("j"), F.count("*").over(w).cast("int").alias("m"))
         cost = assignment_cost(placed, own, geo).withColumnRenamed("cost", f"_{side}")
         hits = hits.join(cost, "state_id", "left").withColumn(f"_{side}", F.coalesce(f"_{side}", F.lit(geo.pad)))
         kinds.append(f"_{side}")
@@ -76,13 +81,15 @@ def search(lib: Library, request: Request) -> DataFrame:
         hits = found.withColumn("score", F.lit(0.0))
     else:
         narrow = ["state_id", "round_id", "sec", "cost", "node_cost", *(LISTS[k] for k in LISTS if any(m.kind == k for m in request.markers))]
-        hits = rerank(lib, request, cheapest(found.select(*narrow), request.cap), geo)
+        hits = cheapest(found.select(*narrow), request.cap).persist()  # request.cap rows, looked at once for each kind
+        hits = rerank(lib, request, hits, geo)
     return ranked(moments(hits.select("round_id", "sec", "state_id", "score", F.col("node_cost").alias("cost"))), request.limit)
 
 
 def hydrate(found: DataFrame, lib: Library) -> DataFrame:
     """Moments with the round's columns and the players of their best state, coordinates to one decimal."""
     own = F.broadcast(found)
-    each = lib.players.join(F.broadcast(found.select("state_id")), "state_id").groupBy("state_id").agg(F.sort_array(F.collect_list(F.struct("slot", "side", "alive", "node", F.bround("x", 1).alias("x"), F.bround("y", 1).alias("y")))).alias("players"))
+    rounded = lambda p: F.struct(p["slot"].alias("slot"), p["side"].alias("side"), p["alive"].alias("alive"), p["node"].alias("node"), F.bround(p["x"], 1).alias("x"), F.bround(p["y"], 1).alias("y"))
+    each = lib.players(found.select("state_id")).select("state_id", F.sort_array(F.transform("players", rounded)).alias("players"))
     about = lib.index.select("state_id", "recording_id", "map_id", "winner", "ct_team", "t_team", "planted").join(own, "state_id")
     return about.join(each, "state_id", "left").withColumn("score", F.bround("score", 1))

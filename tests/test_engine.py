@@ -312,13 +312,18 @@ def test_search_finds_itself(spark):
     players = spark.createDataFrame(nodes, "state_id long, slot int, side string, node int, x double, y double").withColumn("alive", F.lit(True))
     index = players.groupBy("state_id").agg(*(F.max(F.when(F.col("slot") == k, F.col("node"))).alias(f"n{k}") for k in range(4))).select("*", F.col("state_id").alias("round_id"), F.lit(5).alias("sec"))
     geo = spark.createDataFrame([(a, b, GEO.rows[a][b]) for a in range(3) for b in range(3)], "na int, nb int, d double")
-    lib = Q.Library(index, players, geo, {"CT": [F.col("n0"), F.col("n1")], "T": [F.col("n2"), F.col("n3")]})
+    nested = players.groupBy("state_id").agg(F.collect_list(F.struct("slot", "side", "alive", "node", "x", "y")).alias("players"))
+    people = lambda ids: nested.join(F.broadcast(ids), "state_id")
+    lib = Q.Library(index, people, geo, {"CT": [F.col("n0"), F.col("n1")], "T": [F.col("n2"), F.col("n3")]})
     own = [r for r in nodes if r[0] == 17]
     marks = tuple(recall.Marker(side, node, x, y) for _, _, side, node, x, y in own)
     best = Q.search(lib, Q.Request(marks)).first()
     assert best["state_id"] == 17 and best["score"] == 0 and best["exact"]
     moved = tuple(recall.Marker(m.kind, m.node, m.x + 4, m.y - 4) for m in marks)
     assert 17 in [r["state_id"] for r in Q.search(lib, Q.Request(moved, limit=3)).collect()]
+    about = lib.index.select("*", *(F.lit(1).alias(c) for c in ("recording_id", "map_id", "winner", "ct_team", "t_team", "planted")))
+    full = Q.hydrate(Q.search(lib, Q.Request(marks)).limit(1), Q.Library(about, people, geo, lib.tokens)).first()
+    assert full["state_id"] == 17 and [p["slot"] for p in full["players"]] == [0, 1, 2, 3]
     assert Q.search(lib, Q.Request()).count() == 39 or Q.search(lib, Q.Request(limit=100)).count() == 39
     assert Q.search(lib, Q.Request((recall.Marker("CT", 0, 0.0, 0.0),), tolerance=-1.0)).count() == 0
 
