@@ -16,7 +16,6 @@ import hashlib
 import struct
 import zlib
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +35,19 @@ class MediaError(ValueError):
     """The bytes aren't a baseline JPEG stream that can be read to its end."""
 
 
-@lru_cache(maxsize=256)
+_tables: dict[bytes, np.ndarray] = {}
+
+
 def decoding_table(spec: bytes) -> np.ndarray:
     """For each 16 bits, length << 8 | symbol of the code that they begin with; 0 if there is none. spec: 16 counts, symbols."""
+    if spec not in _tables:
+        if len(_tables) >= 256:
+            _tables.clear()
+        _tables[spec] = _build_table(spec)
+    return _tables[spec]
+
+
+def _build_table(spec: bytes) -> np.ndarray:
     out = np.zeros(1 << 16, np.int32)
     code, at = 0, 16
     for length in range(1, 17):
@@ -292,15 +301,20 @@ _DC = bytes([0] * 6 + [1] * 9 + [0]) + bytes(range(8, -1, -1))
 _AC = bytes([1] + [0] * 15) + b"\0"
 
 
-@lru_cache(maxsize=1)
+_code_cache: list[np.ndarray] = []
+
+
 def _codes() -> np.ndarray:
     """The 16 bits of a block, big-endian, by difference + 255."""
+    if _code_cache:
+        return _code_cache[0]
     lut, out = decoding_table(_DC), np.zeros(511, ">u2")
     first = {int(lut[k]) & 0xFF: k for k in np.flatnonzero(np.diff(lut, prepend=-1)).tolist()[::-1] if lut[k]}
     for diff in range(-255, 256):
         size = abs(diff).bit_length()
         extra = diff if diff >= 0 else diff + (1 << size) - 1
         out[diff + 255] = first[size] | extra << 1
+    _code_cache.append(out)
     return out
 
 
