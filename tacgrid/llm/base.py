@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows handed to a Python worker at once; texts can be long, so batches are kept short.
 ROWS_PER_BATCH = 256
@@ -46,11 +47,35 @@ def materialise(df: DataFrame, name: str, rows_per_batch: int = ROWS_PER_BATCH)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     df.sparkSession.conf.set(BATCH, str(ROWS_PER_BATCH))
     return df.mapInArrow(kernel, schema)
 
 
+def every(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, with underscores put before it until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def plainly(df: DataFrame) -> DataFrame:
+    """df with column names that Arrow functions can take: no dots or backticks, none twice."""
+    names: list[str] = []
+    for c in df.columns:
+        c = c.replace(".", "_").replace("`", "_")
+        while c.lower() in (n.lower() for n in names) or (c not in df.columns and c.lower() in (n.lower() for n in df.columns)):
+            c = "_" + c
+        names.append(c)
+    return df.toDF(*names)
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 

@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from tacgrid.llm.base import as_bytes, chunked, map_arrow, materialise, table
+from tacgrid.llm.base import as_bytes, chunked, map_arrow, materialise, plainly, table, unused
 from tacgrid.llm.textkernels import ALNUM, A, U, mix
 
 WINDOW = 10
@@ -217,9 +218,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     without words have no windows; a window of an item without an id hits words but adds no id. Repeated items count
     once; repeated rows get equal results. Columns of docs with the added names are replaced.
     """
-    docs = docs.drop(*ADDED)
+    given = docs.drop(*ADDED)
+    docs = plainly(given)
     names = docs.columns
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "n_words long", "hit_spans array<long>", "hit_items array<string>"])
+    kinds = (LongType(), ArrayType(LongType()), ArrayType(StringType()))
+    schema = StructType([*docs.schema, *(StructField(n, t) for n, t in zip(ADDED, kinds, strict=True))])
     out = None
     for block in blocks(benchmark):
         count_rarity(docs, block)
@@ -251,7 +254,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         source = docs if out is None else materialise(out, "contamination")
         out = map_arrow(source, kernel, schema)
-    return out
+    return out.toDF(*given.columns, *ADDED)
 
 
 def hit_words() -> F.Column:
@@ -262,7 +265,9 @@ def hit_words() -> F.Column:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that hold a window of the benchmark; all columns stay."""
-    return contamination(docs, benchmark).where(F.size("hit_spans") == 0).select(*docs.columns)
+    aside = docs.withColumnsRenamed({c: unused(docs, f"_{c}") for c in ADDED})  # columns of the input with these names stay
+    found = contamination(aside, benchmark).where(F.size("hit_spans") == 0).drop(*ADDED)
+    return found.toDF(*docs.columns)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

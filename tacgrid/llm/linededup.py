@@ -15,8 +15,9 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tacgrid.llm.base import as_bytes, map_arrow, materialise, skew_join, table
+from tacgrid.llm.base import as_bytes, map_arrow, materialise, plainly, skew_join, table, unused
 
 STRIP = b" \t\n\x0b\x0c\r"
 MIN_CHARS = 10
@@ -62,21 +63,23 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = 2)
     A null or empty text is one empty line; a null text stays null. Rows that share a doc_id count as one document. A row
     without a doc_id keeps all lines and counts for no key. Columns n_lines and n_dropped of the input are replaced.
     """
-    docs = docs.drop("n_lines", "n_dropped")
+    given = docs.drop("n_lines", "n_dropped")
+    docs = plainly(given)
+    doc, gone_keys = unused(docs, "_doc"), unused(docs, "_drops")
     keys = materialise(line_keys(docs, min_chars), "line-keys")
     drops = (
         skew_join(keys, repeated_keys(keys, min_docs), ["h1", "h2"], "inner")
         .where("doc_id <> first")
-        .groupBy(F.col("doc_id").alias("_doc"))
-        .agg(F.collect_set(F.struct("h1", "h2")).alias("_drops"))
+        .groupBy(F.col("doc_id").alias(doc))
+        .agg(F.collect_set(F.struct("h1", "h2")).alias(gone_keys))
     )
-    joined = docs.join(drops, F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
+    joined = docs.join(drops, F.col("doc_id").cast("long") == F.col(doc), "left").drop(doc)
     names = docs.columns
 
     def kernel(batches):
         for b in batches:
             texts, lines_in, lines_out = [], [], []
-            drops = b.column("_drops")
+            drops = b.column(gone_keys)
             flat = drops.flatten()
             halves = np.stack([np.asarray(flat.field(0)), np.asarray(flat.field(1))], 1).astype(np.int64) if len(flat) else np.zeros((0, 2), np.int64)
             sizes = np.cumsum([0, *pc.list_value_length(drops).fill_null(0).to_pylist()])
@@ -91,8 +94,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = 2)
             out = [pa.array(texts, pa.binary()).cast(pa.string()) if n == "text" else b.column(n) for n in names]
             yield pa.RecordBatch.from_arrays([*out, pa.array(lines_in, pa.int64()), pa.array(lines_out, pa.int64())], [*names, "n_lines", "n_dropped"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "n_lines long", "n_dropped long"])
-    return map_arrow(joined, kernel, schema)
+    schema = StructType([*docs.schema, StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
+    return map_arrow(joined, kernel, schema).toDF(*given.columns, "n_lines", "n_dropped")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

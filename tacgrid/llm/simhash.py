@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tacgrid.llm.base import BROADCAST_ROWS, as_bytes, map_arrow, materialise, skew_join, table
+from tacgrid.llm.base import BROADCAST_ROWS, as_bytes, every, map_arrow, materialise, skew_join, table
 from tacgrid.llm.graph import components, local_roots
 from tacgrid.llm.textkernels import A, U, mix
 
@@ -332,7 +332,7 @@ def keep_one(docs: DataFrame, config: Config = FIVE_WORDS) -> DataFrame:
     Rows without a doc_id stay. Rows that share a doc_id are one document and stay or go together.
     """
     gone = near_duplicates(docs, config).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*every(docs))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

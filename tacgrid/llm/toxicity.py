@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tacgrid.llm.base import as_bytes, blobs, bucket_of, chunked, map_arrow, table
+from tacgrid.llm.base import as_bytes, blobs, bucket_of, chunked, map_arrow, plainly, table
 from tacgrid.llm.textkernels import ALNUM, A, B, U, Words, mix, pairs_at
 
 BITS = 20
@@ -138,7 +138,6 @@ def score(docs: DataFrame, weights: Weights) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """docs without the rows whose score reaches threshold; all columns stay. Null texts stay."""
     weights = fit(docs, labels)
-    names = docs.columns
 
     def kernel(batches):
         for b in batches:
@@ -147,7 +146,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
             keep = np.concatenate(parts) < threshold if parts else np.zeros(0, bool)
             yield b.filter(pa.array(keep))
 
-    return map_arrow(docs.select(*names), kernel, docs.schema)
+    plain = plainly(docs)
+    return map_arrow(plain, kernel, plain.schema).toDF(*docs.columns)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

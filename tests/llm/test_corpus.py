@@ -278,3 +278,17 @@ def test_pipeline_stages(spark, tmp_path):
     assert seen[2] - seen[3] == {600}
     assert seen[4] == seen[3] <= every
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, folder).collect()} == seen[4]
+
+
+def test_clashing_columns_stay(spark, tables):
+    """Operators that return their input's columns keep ones with the names they use inside."""
+    _, labels, _, _ = tables
+    names = ["doc_id", "text", "_doc", "_drops", "a.b", "hit_spans", "n_words", "h1", "first", "score", "label", "node", "root", "component_id", "fp0", "`x`"]
+    rows = [(i, prose(random.Random(i), 40) + "\na line that all of them share", *([i] * (len(names) - 2))) for i in range(6)]
+    df = spark.createDataFrame(rows, names)
+    benchmark = spark.createDataFrame([(1, "no such words here at all")], "item_id long, text string")
+    from tacgrid.llm import simhash
+
+    for out in (T.drop_toxic(df, labels), L.dedup_lines(df).drop("n_lines", "n_dropped"), D.drop_contaminated(df, benchmark), simhash.keep_one(df)):
+        assert out.columns == names
+        assert sorted(r[2] for r in out.collect()) == list(range(6))
