@@ -105,3 +105,41 @@ def test_keep_one(spark):
     assert kept.columns == df.columns
     ids = [r["doc_id"] for r in kept.collect()]
     assert {1999, 2000} <= set(ids) and not {2001, 2002} & set(ids) and ids.count(None) == 2
+
+
+@pytest.mark.parametrize(("words", "threshold"), [(1, 4), (2, 24)])
+def test_links_as_brute_force(words, threshold):
+    """Runs of one key, small and large, give the components that all pairs give."""
+    rng = np.random.default_rng(7)
+    sizes = [1, 2, 3, 40, 47, 48, 49, 130, 1100]
+    keys = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
+    fps = rng.integers(0, 2**63, (len(keys), words), dtype=np.uint64)
+    for i in range(1, len(keys)):
+        if rng.random() < 0.6:  # near a fingerprint before it, so that chains arise
+            fps[i] = fps[max(0, i - int(rng.integers(1, 20)))]
+            for b in rng.choice(64 * words, int(rng.integers(0, threshold + 4)), replace=False).tolist():
+                fps[i, b >> 6] ^= np.uint64(1 << (b & 63))
+    a, b = S.links(keys, fps, threshold)
+    root = {}
+
+    def find(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    for i, k in zip(a.tolist(), b.tolist(), strict=True):
+        root[max(find(i), find(k))] = min(find(i), find(k))
+    got = [find(i) for i in range(len(keys))]
+    root = {}
+    for i in range(len(keys)):
+        for k in range(i):
+            if keys[i] == keys[k] and int(np.bitwise_count(fps[i] ^ fps[k]).sum()) <= threshold:
+                root[max(find(i), find(k))] = min(find(i), find(k))
+    assert got == [find(i) for i in range(len(keys))]
+
+
+def test_ties_take_the_least_hash():
+    text = b"a b c d e f"  # two shingles of five words
+    h = [xxhash.xxh64_intdigest(x, 42) for x in (b"a b c d e", b"b c d e f")]
+    assert S.fingerprint(text, 5, 42, True) & (2**64 - 1) == min(h)
+    assert S.fingerprint(text, 5) & (2**64 - 1) == h[0] & h[1]
