@@ -179,6 +179,19 @@ def dilate(raster: DataFrame, rounds: int = P.DILATION_ROUNDS) -> DataFrame:
     return raster.groupBy("map_name").applyInPandas(solve, "map_name string, ix int, iy int, layer int, node int, z double")
 
 
+def resolve(points: DataFrame, raster: DataFrame, lower_max: float | None = None, cell: int = P.RASTER_CELL) -> DataFrame:
+    """points (map_name, x, y, level) of a sketch and node: the lowest layer of the cell, of the wanted level if there is one.
+
+    A layer is the lower one below lower_max (None: the map has one level); level is lower, upper or null.
+    """
+    keyed = points.withColumn("_id", F.monotonically_increasing_id()).withColumn("ix", (F.col("x") / cell).cast("int")).withColumn("iy", (F.col("y") / cell).cast("int"))
+    layers = raster.select("map_name", "ix", "iy", "layer", "node", F.col("z").alias("_z"))
+    other = F.lit(0) if lower_max is None else F.when(F.col("level").isNull() | ((F.col("_z") < lower_max) == (F.col("level") == "lower")), 0).otherwise(1)
+    near = keyed.join(layers, ["map_name", "ix", "iy"], "left").withColumn("_other", other)
+    best = near.groupBy("_id", *points.columns).agg(F.min(F.struct("_other", "layer", "node")).alias("b"))
+    return best.select(*points.columns, F.col("b.node").alias("node"))
+
+
 def locate(points: DataFrame, raster: DataFrame, cell: int = P.RASTER_CELL) -> DataFrame:
     """points (map_name, x, y, z, ...) and node: of the cell's layers the one nearest in height, ties the lowest; null off the raster.
 

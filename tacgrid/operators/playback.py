@@ -33,13 +33,8 @@ def tallies(kills: DataFrame) -> DataFrame:
 
     A kill of one's own side takes one away; a suicide is no kill.
     """
-    def row(who, k, d, a):
-        return F.struct(F.col(who).alias("player"), k.cast("long").alias("k"), d.cast("long").alias("d"), a.cast("long").alias("a"))
-
-    zero, one = F.lit(0), F.lit(1)
-    points = F.when(F.col("attacker") == F.col("victim"), 0).when(F.col("attacker_side") == F.col("victim_side"), -1).otherwise(1)
-    each = kills.select("round_id", F.explode(F.array(row("victim", zero, one, zero), row("attacker", points, zero, zero), row("assister", zero, zero, one))).alias("r")).where("r.player IS NOT NULL")
-    return each.groupBy("round_id", F.col("r.player").alias("player")).agg(F.sum("r.k").alias("kills"), F.sum("r.d").alias("deaths"), F.sum("r.a").alias("assists"))
+    each = _credits(kills.withColumn("round_sec", F.lit(0)))
+    return each.groupBy("round_id", "player").agg(F.sum("k").alias("kills"), F.sum("d").alias("deaths"), F.sum("a").alias("assists"))
 
 
 def tallies_before(each: DataFrame, rounds: DataFrame) -> DataFrame:
@@ -49,15 +44,38 @@ def tallies_before(each: DataFrame, rounds: DataFrame) -> DataFrame:
     return rows.select("round_id", "player", *(F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"{c}_before") for c in ("kills", "deaths", "assists")))
 
 
+def _credits(kills: DataFrame) -> DataFrame:
+    """A row for each death, kill and assist: round_id, round_sec, player, k, d, a."""
+    zero, one = F.lit(0), F.lit(1)
+    points = F.when(F.col("attacker") == F.col("victim"), 0).when(F.col("attacker_side") == F.col("victim_side"), -1).otherwise(1)
+    row = lambda who, k, d, a: F.struct(F.col(who).alias("player"), k.cast("long").alias("k"), d.cast("long").alias("d"), a.cast("long").alias("a"))
+    each = F.array(row("victim", zero, one, zero), row("attacker", points, zero, zero), row("assister", zero, zero, one))
+    return kills.select("round_id", "round_sec", F.explode(each).alias("r")).where("r.player IS NOT NULL").select("round_id", "round_sec", "r.*")
+
+
+def live_tallies(kills: DataFrame, at: DataFrame) -> DataFrame:
+    """Kills, deaths and assists in the round up to each moment. at: round_id, t; pairs are those of one round."""
+    upto = at.join(_credits(kills), "round_id").where("round_sec <= t")
+    return upto.groupBy("round_id", "t", "player").agg(F.sum("k").alias("kills"), F.sum("d").alias("deaths"), F.sum("a").alias("assists"))
+
+
+def dead_at(kills: DataFrame, at: DataFrame) -> DataFrame:
+    """(round_id, t, dead): who has died up to each moment, in order of name."""
+    return at.join(kills, "round_id").where("round_sec <= t").groupBy("round_id", "t").agg(F.sort_array(F.collect_set("victim")).alias("dead"))
+
+
 def repair_sides(kills: DataFrame, frames: DataFrame) -> DataFrame:
-    """kills with missing sides taken from the player's usual side in frames (round_id, player, side)."""
+    """kills with sides as each player's usual one in frames (round_id, player, side); who isn't seen there keeps the event's.
+
+    Events at a round's very end can already carry the sides of the next.
+    """
     from tacgrid.operators.roster import player_sides
 
     usual = player_sides(frames)
     out = kills
     for who in ("attacker", "victim"):
         own = usual.select("round_id", F.col("player").alias(who), F.col("side").alias("_side"))
-        out = out.join(own, ["round_id", who], "left").withColumn(f"{who}_side", F.coalesce(f"{who}_side", "_side")).drop("_side")
+        out = out.join(own, ["round_id", who], "left").withColumn(f"{who}_side", F.coalesce("_side", f"{who}_side")).drop("_side")
     return out.select(*kills.columns)
 
 

@@ -379,8 +379,7 @@ def running_score(spark, d):
 
 
 def round_tallies(spark, d):
-    side = lambda c: F.when(F.col(c) < 5, "CT").when(F.col(c) >= 5, "T")
-    return playback.tallies(X.kills(spark, d).select("round_id", F.col("attacker_slot").alias("attacker"), side("attacker_slot").alias("attacker_side"), F.col("victim_slot").alias("victim"), side("victim_slot").alias("victim_side"), F.col("assist_slot").alias("assister")))
+    return playback.tallies(slot_kills(spark, d))
 
 
 _TALLY = """SELECT round_id, player, CAST(sum(k) AS BIGINT) AS kills, CAST(sum(d) AS BIGINT) AS deaths, CAST(sum(a) AS BIGINT) AS assists FROM (
@@ -400,6 +399,27 @@ def kda_before_round(spark, d):
     return playback.tallies_before(round_tallies(spark, d), match_rounds(spark, d).select("round_id", "match_id", "match_round"))
 
 
+_CREDITS = """SELECT round_id, round_sec, victim_slot AS player, 0 AS k, 1 AS d, 0 AS a FROM kills
+  UNION ALL SELECT round_id, round_sec, attacker_slot, CASE WHEN attacker_slot = victim_slot THEN 0 WHEN (attacker_slot < 5) = (victim_slot < 5) THEN -1 ELSE 1 END, 0, 0 FROM kills
+  UNION ALL SELECT round_id, round_sec, assist_slot, 0, 0, 1 FROM kills WHERE assist_slot IS NOT NULL"""
+
+
+def slot_kills(spark, d):
+    side = lambda c: F.when(F.col(c) < 5, "CT").when(F.col(c) >= 5, "T")
+    return X.kills(spark, d).select("round_id", "round_sec", F.col("attacker_slot").alias("attacker"), side("attacker_slot").alias("attacker_side"), F.col("victim_slot").alias("victim"), side("victim_slot").alias("victim_side"), F.col("assist_slot").alias("assister"))
+
+
+@query(O.with_tables("SELECT s.round_id, s.sec AS t, c.player, CAST(sum(k) AS BIGINT) AS kills, CAST(sum(d) AS BIGINT) AS deaths, CAST(sum(a) AS BIGINT) AS assists FROM states s JOIN c ON c.round_id = s.round_id AND c.round_sec <= s.sec GROUP BY ALL", c=_CREDITS))
+def live_kda(spark, d):
+    return playback.live_tallies(slot_kills(spark, d), X.states(spark, d).select("round_id", F.col("sec").alias("t")))
+
+
+@query(O.with_tables("SELECT s.round_id, s.sec AS t, string_agg(DISTINCT CAST(k.victim_slot AS VARCHAR), ',' ORDER BY CAST(k.victim_slot AS VARCHAR)) AS dead FROM states s JOIN kills k ON k.round_id = s.round_id AND k.round_sec <= s.sec GROUP BY ALL"))
+def dead_players(spark, d):
+    kills = slot_kills(spark, d).withColumn("victim", F.col("victim").cast("string"))
+    return playback.dead_at(kills, X.states(spark, d).select("round_id", F.col("sec").alias("t"))).select("round_id", "t", F.array_join("dead", ",").alias("dead"))
+
+
 @query(O.with_tables("SELECT round_id, t, kill_id, CAST(place AS INT) AS place FROM (SELECT s.round_id, s.sec AS t, k.kill_id, row_number() OVER (PARTITION BY s.round_id, s.sec ORDER BY k.round_sec DESC, k.kill_id DESC) AS place FROM states s JOIN kills k ON k.round_id = s.round_id AND k.round_sec <= s.sec AND k.round_sec > s.sec - 8) WHERE place <= 6"))
 def kill_feed(spark, d):
     return playback.kill_feed(X.kills(spark, d), X.states(spark, d).select("round_id", F.col("sec").alias("t"))).select("round_id", "t", "kill_id", "place")

@@ -386,3 +386,56 @@ def test_streaming(spark, tmp_path):
     ingest.moment_sessions(stream).writeStream.format("memory").queryName("found").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp2")).start().awaitTermination()
     got = sorted((r["round_id"], r["n_states"], r["score"]) for r in spark.table("found").collect())
     assert got == [(1, 1, 1.0), (1, 3, 3.0), (2, 1, 2.0)]
+
+
+def test_blobs(spark):
+    from tacgrid.sources import blobs as B
+
+    player = dict(slot=3, side="CT", alive=True, x=2.5, y=-40000.0, z=7.4, health=88, place=None, node=12, yaw=-90.0, armor=300, money=70000, flash_s=1.26, primary=4, secondary=None, util=0x84)
+    packed = B.pack_snapshot([player])
+    got = dict(zip(B.FIELDS, B.unpack_snapshot(packed)[0], strict=True))
+    assert len(packed) == 181 and (got["x"], got["y"], got["z"], got["armor"], got["money"], got["flash_s"]) == (2.0, -32768.0, 7.0, 255, 65535, 1.2)
+    assert got["yaw"] == pytest.approx(270, abs=1) and got["place"] is None and got["node"] == 12 and got["secondary"] is None and got["alive"]
+    import numpy as np
+
+    for kind, yaw in ((B.V2, 127 / 255 * 360), (B.V1, None)):
+        rows = np.zeros(10, kind)
+        rows[9] = (1.5, 2.5, -3.5, 4 | 1, 50, 255, 7, 127, 0)[: len(kind.names)]
+        old = B.unpack_snapshot(rows.tobytes())
+        assert [(r[0], r[1], r[2], r[3], r[8], r[10]) for r in old] == [(9, "T", True, 1.5, 7, None)] and old[0][9] == (None if yaw is None else pytest.approx(yaw))
+    path = B.pack_path([dict(t=1.234, x=1.5, y=2.5, z=-7.0), dict(t=999.0, x=0, y=0, z=0)])
+    assert B.unpack_path(path) == [(1.23, 2.0, 2.0, -7.0), (655.35, 0.0, 0.0, 0.0)]
+    assert B.unpack_path(np.array([1.26, 2, 3, 4], "<f4").tobytes()) == [(1.3, 2.0, 3.0, 4.0)] and B.unpack_path(b"") is None and B.unpack_path(b"xyz") is None
+    token = bytes([1, 2, 255, 255, 255, 9, 10, 11, 12, 254])
+    df = spark.createDataFrame([(bytearray(packed), bytearray(path), bytearray(token)), (None, None, None), (bytearray(b"odd"), bytearray(b"odd"), bytearray(token))], "s binary, p binary, t binary")
+    rows = df.select(B.players_of(F.col("s")).alias("s"), B.path_of(F.col("p")).alias("p"), F.array(*B.token_of(F.col("t"))).alias("t")).collect()
+    assert rows[0]["s"][0]["node"] == 12 and rows[0]["p"][0]["t"] == 1.23 and rows[0]["t"] == [1, 2, None, None, None, 9, 10, 11, 12, 254]
+    assert rows[1]["s"] is None and rows[2]["s"] is None and rows[2]["p"] is None
+
+
+def test_round_document(spark):
+    from tacgrid.plans import document as D
+
+    rounds_ = spark.createDataFrame([(1, 7, "CT")], "round_id long, recording_id long, winner string")
+    snaps = spark.createDataFrame([(1, 64 * s, s, False, [(0, "CT", True, 1.26, 2.0), (5, "T", True, 0.0, 0.0)], 3.14, None) for s in (2, 1)], "round_id long, tick long, sec int, planted boolean, players array<struct<slot:int,side:string,alive:boolean,x:double,y:double>>, bomb_x double, bomb_y double")
+    kills = spark.createDataFrame([(1, 1, 70, "ann", "T", "bob", None)], "round_id long, kill_id long, tick long, attacker string, attacker_side string, victim string, victim_side string")
+    pieces = spark.createDataFrame([(1, 4, "smoke", 3, None)], "round_id long, util_id long, kind string, t_start int, t_end int")
+    shots_ = spark.createDataFrame([(1, [(64, 3), (32, 1)])], "round_id long, shots array<struct<rel:int,slot:int>>")
+    roster_ = spark.createDataFrame([(7, 0, "ann"), (7, 5, "bob")], "recording_id long, slot int, name string")
+    doc = D.round_document(1, rounds_, snaps, kills, pieces, shots_, roster_, lambda r: r.select(F.lit(3).alias("ct_score")))
+    assert [f["t"] for f in doc["frames"]] == [1, 2] and doc["frames"][0]["players"][1]["name"] == "bob" and doc["frames"][0]["bomb_x"] == 3.1
+    assert doc["kills"][0]["attacker_side"] == "CT" and doc["kills"][0]["victim_side"] == "T" and doc["shots"] == [[0.5, 1], [1.0, 3]] and doc["round"]["ct_score"] == 3
+    with pytest.raises(KeyError):
+        D.round_document(2, rounds_, snaps, kills, pieces, shots_, roster_)
+    rows = [("a", "b", None, None), ("CT", "b", "core", None), ("ct", "", None, None), ("a", None, None, None), (None, "T", None, "k")]
+    keys = spark.createDataFrame(rows, "ct string, t string, cl string, tl string").select(*(c.alias(n) for c, n in zip(D.score_keys(F.col("ct"), F.col("t"), F.col("cl"), F.col("tl")), "ab", strict=True))).collect()
+    plain = [tuple(tuple(k) if k else None for k in r) for r in keys]
+    assert plain == [(("team", "a"), ("team", "b")), (("team", "core"), ("team", "b")), (None, None), (("team", "a"), ("opponent", "a")), (("opponent", "k"), ("team", "k"))]
+
+
+def test_resolve_levels(spark):
+    raster = spark.createDataFrame([("m", 0, 0, 0, 5, 100.0), ("m", 0, 0, 1, 6, -300.0)], "map_name string, ix int, iy int, layer int, node int, z double")
+    points = spark.createDataFrame([("m", 1.0, 1.0, v) for v in ("lower", "upper", None)] + [("m", 99.0, 1.0, None)], "map_name string, x double, y double, level string")
+    got = {(r["x"], r["level"]): r["node"] for r in navmesh.resolve(points, raster, -50.0).collect()}
+    assert got == {(1.0, "lower"): 6, (1.0, "upper"): 5, (1.0, None): 5, (99.0, None): None}
+    assert {r["node"] for r in navmesh.resolve(points.where("x < 2"), raster).collect()} == {5}
