@@ -115,6 +115,7 @@ def tokens() -> dict[str, list[Column]]:
     return {side: [F.col(c) for c in own] for side, own in TOKENS.items()}
 
 
+@warm("index")
 def index(spark: SparkSession, d: str) -> DataFrame:
     """Snapshots with what filters need of their rounds."""
     own = rounds(spark, d).select("round_id", "recording_id", "map_id", "winner", "win_reason", "site", "ct_buy", "t_buy", "ct_team", "t_team")

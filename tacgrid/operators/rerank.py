@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import permutations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tacgrid import params as P
@@ -22,26 +22,35 @@ def choices(k: int, most: int = 5) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def assignment_cost(players: DataFrame, markers: list[Marker], geo: Geodesics, strict_optimal: bool = False) -> DataFrame:
-    """players (state_id, j, m, node, x, y; j-th of the m alive of the side) -> (state_id, cost).
+def _constant(values) -> str:
+    """Nested lists of numbers as SQL."""
+    return f"array({', '.join(map(_constant, values))})" if isinstance(values, (list, tuple)) else repr(values)
 
-    Mean over the k markers of the cost of the best assignment of players. With fewer players than markers, the first m
-    markers are matched and the others charged the map's largest distance; with strict_optimal any m markers are matched.
-    Snapshots without a player on the side have no row here: their cost is geo.pad. More than five players: the first five.
+
+def assignment_cost(players: Column, markers: list[Marker], geo: Geodesics, strict_optimal: bool = False) -> Column:
+    """players: array of struct(node, x, y) of the living of one side, in order of slot. Mean over the markers of the best assignment.
+
+    With fewer players than markers, the first as many markers are matched and the others charged the map's largest
+    distance; with strict_optimal any of them are matched. Without players the cost is that distance. More than five
+    players: the first five. All choices for k markers and m players are constants, so a state is settled in its row.
     """
     k = len(markers)
-    spark = players.sparkSession
-    players = players.where("j < 5").withColumn("m", F.least("m", F.lit(5)))
-    costs = F.array(*(pair_cost(F.coalesce(geo.to(mk, F.col("node")), F.lit(geo.pad)), F.col("x") - mk.x, F.col("y") - mk.y) for mk in markers))
-    each = players.select("state_id", "m", "j", F.posexplode(costs).alias("i", "pair"))
-    if strict_optimal:
-        rows = [(m, c * 10_000 + s, i, j) for m in range(1, 6) for s, some in enumerate(permutations(range(k), min(k, m))) for c, own in enumerate(permutations(range(m), min(k, m))) for i, j in zip(some, own, strict=True)]
-    else:
-        rows = choices(k)
-    table = spark.createDataFrame(rows, "m int, choice int, i int, j int")
-    sums = each.join(F.broadcast(table), ["m", "i", "j"]).groupBy("state_id", "m", "choice").agg(F.sum("pair").alias("total"))
-    rest = F.lit(geo.pad) * F.greatest(F.lit(k) - F.col("m"), F.lit(0))
-    return sums.groupBy("state_id", "m").agg(F.min("total").alias("total")).select("state_id", ((F.col("total") + rest) / k).alias("cost"))
+    ways: list[list[list[int]]] = []  # by m - 1: for each choice the player of each marker, -1 for none
+    for m in range(1, 6):
+        n = min(k, m)
+        some = permutations(range(k), n) if strict_optimal and m < k else [tuple(range(n))]
+        ways.append([[dict(zip(chosen, own, strict=True)).get(i, -1) for i in range(k)] for chosen in some for own in permutations(range(m), n)])
+    five = F.slice(players, 1, 5)
+
+    def best(alive: Column) -> Column:
+        pad = F.lit(geo.pad)
+        cost = lambda mk: F.transform(alive, lambda p: pair_cost(F.coalesce(geo.to(mk, p["node"]), pad), p["x"] - mk.x, p["y"] - mk.y))
+        total = lambda c, way: reduce(lambda a, b: a + b, [F.when(F.get(way, F.lit(i)) < 0, pad).otherwise(F.get(F.get(c, F.lit(i)), F.get(way, F.lit(i)))) for i in range(k)])
+        choices_of = F.get(F.expr(_constant(ways)), F.size(alive) - 1)
+        found = F.transform(F.array(F.array(*map(cost, markers))), lambda c: F.array_min(F.transform(choices_of, lambda way: total(c, way))))
+        return F.when(F.size(alive) == 0, pad).otherwise(F.get(found, F.lit(0)) / k)
+
+    return F.get(F.transform(F.array(five), best), F.lit(0))
 
 
 def utility_cost(markers: list[Marker], geo: Geodesics, active: Column, radius: float = P.UTILITY_RADIUS) -> Column:

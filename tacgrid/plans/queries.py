@@ -41,6 +41,7 @@ def six(c: str | Column) -> Column:
     return F.round(c, 6)
 
 
+@X.warm("full_index")
 def full_index(spark: SparkSession, d: str) -> DataFrame:
     lists = utility.active_lists(X.states(spark, d), X.utility(spark, d))
     size = lambda c: F.coalesce(F.size(c), F.lit(0))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tacgrid import params as P
@@ -52,18 +52,19 @@ def population(lib: Library, request: Request) -> tuple[DataFrame, Geodesics]:
     return found.withColumn("node_cost", F.greatest("cost", "util_cost") if away is not None else F.col("cost")), geo
 
 
+def _living(side: str):
+    return F.filter("_people", lambda p: p["alive"] & (p["side"] == side))
+
+
 def rerank(lib: Library, request: Request, hits: DataFrame, geo: Geodesics) -> DataFrame:
     """hits (request.cap rows at most) with score: the mean over the kinds of markers that are there."""
     kinds = []
-    people = lib.players(hits.select("state_id")).select("state_id", F.inline("players")).where("alive")
-    for side in ("CT", "T"):
-        own = [m for m in request.markers if m.kind == side]
-        if not own:
-            continue
-        w = Window.partitionBy("state_id")
-        placed = people.where(F.col("side") == side).select("state_id", "node", "x", "y", (F.row_number().over(w.orderBy("slot")) - 1).cast("int").alias("j"), F.count("*").over(w).cast("int").alias("m"))
-        cost = assignment_cost(placed, own, geo).withColumnRenamed("cost", f"_{side}")
-        hits = hits.join(cost, "state_id", "left").withColumn(f"_{side}", F.coalesce(f"_{side}", F.lit(geo.pad)))
+    sides = {side: own for side in ("CT", "T") if (own := [m for m in request.markers if m.kind == side])}
+    if sides:
+        people = lib.players(hits.select("state_id")).select("state_id", F.array_sort("players").alias("_people"))
+        hits = hits.join(people, "state_id", "left")
+    for side, own in sides.items():
+        hits = hits.withColumn(f"_{side}", F.coalesce(assignment_cost(_living(side), own, geo), F.lit(geo.pad)))
         kinds.append(f"_{side}")
     for kind, column in LISTS.items():
         own = [m for m in request.markers if m.kind == kind]
@@ -71,7 +72,7 @@ def rerank(lib: Library, request: Request, hits: DataFrame, geo: Geodesics) -> D
             hits = hits.withColumn(f"_{kind}", utility_cost(own, geo, F.col(column))).where(F.col(f"_{kind}").isNotNull())
             kinds.append(f"_{kind}")
     score = reduce(lambda a, b: a + b, (F.col(k) for k in kinds)) / len(kinds) if kinds else F.lit(0.0)
-    return hits.withColumn("score", score).drop(*kinds)
+    return hits.withColumn("score", score).drop(*kinds, "_people")
 
 
 def search(lib: Library, request: Request) -> DataFrame:

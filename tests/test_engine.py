@@ -120,10 +120,11 @@ def plain_assignment(players, markers):
 def test_assignment_as_brute_force(spark, k):
     marks = [recall.Marker("CT", n, 10.0 * n, 5.0) for n in (2, 0, 1)][:k]
     people = {s: [((s * 7 + j * 5) % 3, 40.0 * ((s + j) % 4), 30.0 * (j % 3)) for j in range(s % 6)] for s in range(1, 13)}
-    rows = [(s, j, len(own), *p) for s, own in people.items() for j, p in enumerate(own)]
-    got = rerank.assignment_cost(spark.createDataFrame(rows, "state_id long, j int, m int, node int, x double, y double"), marks, GEO)
-    found = {r[0]: r[1] for r in got.collect()}
-    assert found == {s: pytest.approx(plain_assignment(own, marks)) for s, own in people.items() if own}
+    df = spark.createDataFrame(list(people.items()), "state_id long, p array<struct<node:int,x:double,y:double>>")
+    found = {r[0]: r[1] for r in df.select("state_id", rerank.assignment_cost(F.col("p"), marks, GEO)).collect()}
+    assert found == {s: pytest.approx(plain_assignment(own, marks)) for s, own in people.items()}
+    strict = {r[0]: r[1] for r in df.select("state_id", rerank.assignment_cost(F.col("p"), marks, GEO, strict_optimal=True)).collect()}
+    assert strict == {s: pytest.approx(min(plain_assignment(own, list(x)) for x in permutations(marks))) for s, own in people.items()}
 
 
 def test_utility_radius(spark):
