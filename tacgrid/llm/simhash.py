@@ -146,9 +146,9 @@ class Plan:
     counts: list[list[np.ndarray]]  # by partition and mask
     cost: float
 
-    def keys(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(key, row of fps): all pairs within the threshold share a key."""
-        out_k, out_r, row, pieces = [], [], np.arange(len(fps)), self.config.threshold + 1
+    def keys(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key, row of fps, slot): all pairs within the threshold share a key. slot: partition * 1000 + mask."""
+        out_k, out_r, out_s, row, pieces = [], [], [], np.arange(len(fps)), self.config.threshold + 1
         for i, (bits, t) in enumerate(zip(self.bits, self.thresholds, strict=True)):
             v = values(fps, bits) if t >= 0 else None
             rest = [b for j, other in enumerate(self.bits) if j != i for b in other]
@@ -157,12 +157,32 @@ class Plan:
                 large = self.counts[i][j][v] > self.config.refine
                 out_k.append(key[~large])
                 out_r.append(row[~large])
+                out_s.append(np.full(len(out_r[-1]), i * 1000 + j, np.int32))
                 if large.any():
                     for p in range(pieces):  # one of these pieces is equal in each pair
                         piece = values(fps[large], rest[p::pieces]).astype(np.uint64)
                         out_k.append(mix(key[large] + piece * A + U(p + 1)))
                         out_r.append(row[large])
-        return np.concatenate(out_k), np.concatenate(out_r)
+                        out_s.append(np.full(len(out_r[-1]), i * 1000 + j, np.int32))
+        return np.concatenate(out_k), np.concatenate(out_r), np.concatenate(out_s)
+
+    def first_key(self, slots: np.ndarray, apart: np.ndarray) -> np.ndarray:
+        """Whether the key of that slot is the first that a pair shares. apart: the xor of its fingerprints, a row for each pair.
+
+        A pair is linked at its first key alone: members of a large group share a hundred keys, and would be linked at each.
+        """
+        part, alive = slots // 1000, np.ones(len(slots), bool)
+        for i, (bits, t) in enumerate(zip(self.bits, self.thresholds, strict=True)):
+            at = np.flatnonzero(alive & (part >= i)) if t >= 0 else ()
+            if not len(at):
+                continue
+            word = np.zeros(self.config.words, np.uint64)
+            for b in bits:
+                word[b >> 6] |= U(1 << (b & 63))
+            d = np.bitwise_count(apart[at] & word).sum(1)
+            own = part[at] == i
+            alive[at] = np.where(own, (d > 0) | (slots[at] % 1000 == 0), d > t)
+        return alive
 
 
 def allocate(bits: list[list[int]], hists: list[np.ndarray], config: Config) -> Plan:
@@ -263,8 +283,11 @@ def near_pairs(columns: list[np.ndarray], threshold: int):
 SMALL_RUN = 48
 
 
-def links(keys: np.ndarray, fps: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest, as row numbers, of the links between fingerprints that share a key. keys are sorted; rows may repeat."""
+def links(keys: np.ndarray, fps: np.ndarray, threshold: int, slots: np.ndarray | None = None, plan: Plan | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, as row numbers, of the links between fingerprints that share a key. keys are sorted; rows may repeat.
+
+    With slots and plan, of the links of which it is the first key.
+    """
     n = len(fps)
     labels, pend_a, pend_b, size = np.arange(n), [], [], 0
     columns = [np.ascontiguousarray(fps[:, k]) for k in range(fps.shape[1])]
@@ -273,6 +296,9 @@ def links(keys: np.ndarray, fps: np.ndarray, threshold: int) -> tuple[np.ndarray
 
     def add(i, k):
         nonlocal labels, pend_a, pend_b, size
+        if plan is not None:
+            first = plan.first_key(slots[i], fps[i] ^ fps[k])
+            i, k = i[first], k[first]
         pend_a.append(i)
         pend_b.append(k)
         size += len(i)
@@ -310,12 +336,12 @@ def near_edges(unique: DataFrame, plan: Plan) -> DataFrame:
 
     def keyed(batches):
         for b in batches:
-            k, row = plan.keys(_fps(b, columns))
+            k, row, slot = plan.keys(_fps(b, columns))
             kept = b.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), *kept.columns], ["key", *kept.schema.names])
+            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(slot), *kept.columns], ["key", "slot", *kept.schema.names])
 
     fields = ["node", *columns]
-    rows = map_arrow(unique.select(*fields), keyed, ", ".join(f"{c} long" for c in ["key", *fields]))
+    rows = map_arrow(unique.select(*fields), keyed, "key long, slot int, " + ", ".join(f"{c} long" for c in fields))
     if max(int(c.max()) for own in plan.counts for c in own) > min(BLOCK, config.refine):
         # What is still large after the division is dealt out as pairs of blocks, so that no task holds all of it.
         hot = materialise(rows.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "hot")
@@ -324,24 +350,24 @@ def near_edges(unique: DataFrame, plan: Plan) -> DataFrame:
             rows = rows.join(F.broadcast(hot) if n <= BROADCAST_ROWS else hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
             rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             key = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
-            rows = rows.select(key.alias("key"), *fields)
+            rows = rows.select(key.alias("key"), "slot", *fields)
 
-    def solve(keys, nodes, fps):
-        a, b = links(keys, fps, config.threshold)
+    def solve(keys, slots, nodes, fps):
+        a, b = links(keys, fps, config.threshold, slots, plan)
         a, b = nodes[a], nodes[b]
         return pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], ["a", "b"])
 
     def kernel(batches):
         held, size = [], 0
         for b in batches:
-            held.append((np.asarray(b.column("key")), np.asarray(b.column("node")), _fps(b, columns)))
+            held.append((np.asarray(b.column("key")), np.asarray(b.column("slot")), np.asarray(b.column("node")), _fps(b, columns)))
             size += b.num_rows
             if size > 1 << 17:
-                k, node, f = (np.concatenate(c) for c in zip(*held, strict=True))
-                cut = int(np.searchsorted(k, k[-1]))  # the last key may go on
+                cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+                cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last key may go on
                 if cut:
-                    yield solve(k[:cut], node[:cut], f[:cut])
-                held, size = [(k[cut:], node[cut:], f[cut:])], len(k) - cut
+                    yield solve(*(c[:cut] for c in cols))
+                held, size = [tuple(c[cut:] for c in cols)], len(cols[0]) - cut
         if size:
             yield solve(*(np.concatenate(c) for c in zip(*held, strict=True)))
 

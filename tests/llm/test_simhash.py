@@ -89,11 +89,21 @@ def test_links_lose_nothing(config):
         plan = S.allocate(layout, hists, config)
         assert sum(plan.thresholds) == config.threshold - m + 1
         by = {}
-        for k, r in zip(*(x.tolist() for x in plan.keys(fps)), strict=True):
+        keys, rows, slots = (x.tolist() for x in plan.keys(fps))
+        for k, r in zip(keys, rows, strict=True):
             by.setdefault(k, set()).add(r)
         sharing = {(x, y) for own in by.values() for x in own for y in own}
         near = [(x, y) for x in range(len(fps)) for y in range(x) if apart[x][y] <= config.threshold]
         assert len(near) >= 40 and all(p in sharing for p in near)
+        first = {}  # a pair is linked at one slot, or at each piece of a divided one
+        members = {}
+        for k, r, t in zip(keys, rows, slots, strict=True):
+            members.setdefault((k, t), set()).add(r)
+        for (_, t), own in members.items():
+            for x, y in near:
+                if x in own and y in own and plan.first_key(np.array([t]), (fps[x] ^ fps[y])[None])[0]:
+                    first.setdefault((x, y), set()).add(t)
+        assert {p: len(first[p]) for p in near} == dict.fromkeys(near, 1)
 
 
 def test_keep_one(spark):
