@@ -25,8 +25,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: shingles of five words, a similarity of fingerprints of 0.8 or more."""
-    return simhash.keep_one(docs, simhash.FIVE_WORDS)
+    """One document of each group of near-duplicates stays: shingles of five words, a Jaccard similarity of 0.8 or more."""
+    return simhash.keep_one(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tacgrid.llm.base import BROADCAST_ROWS, as_bytes, every, map_arrow, materialise, skew_join, table
 from tacgrid.llm.graph import components, local_roots
+from tacgrid.llm.shingles import near_components
 from tacgrid.llm.textkernels import A, U, mix
 
 @dataclass(frozen=True)
@@ -398,16 +399,16 @@ def near_duplicates(docs: DataFrame, config: Config = Config()) -> DataFrame:
     return skew_join(fps, classes, ["node"], "inner").select(*out)
 
 
-#: For pipelines: shingles of five words, and fingerprints of 128 bits of which a share of 0.81 or more agrees.
+#: Shingles of five words, and fingerprints of 128 bits of which a share of 0.81 or more agrees.
 FIVE_WORDS = Config(size=5, words=2, threshold=24, partitions=(11, 12, 13, 14), refine=1 << 62, ties=True)
 
 
-def keep_one(docs: DataFrame, config: Config = FIVE_WORDS) -> DataFrame:
-    """docs without the rows that aren't the first of their component; all columns stay.
+def keep_one(docs: DataFrame, size: int = 5) -> DataFrame:
+    """docs without the rows that aren't the first of their component by exact similarity of shingles; all columns stay.
 
     Rows without a doc_id stay. Rows that share a doc_id are one document and stay or go together.
     """
-    gone = near_duplicates(docs, config).where("component_id <> doc_id").select("doc_id").distinct()
+    gone = near_components(docs, size).where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*every(docs))
 
 
