@@ -223,6 +223,14 @@ def assignment_rerank(spark, d):
     return Q.rerank(lib, Q.Request(tuple(ON_CT)), hits, geo).select("state_id", six("score").alias("cost"))
 
 
+@query()
+def assignment_rerank_all(spark, d):
+    """Every state is re-ranked; nothing is broadcast."""
+    lib = Q.Library(X.index(spark, d), lambda ids: X.nested_players(spark, d), X.geo(spark), X.tokens())
+    geo = recall.Geodesics.read(lib.geo, {m.node for m in ON_CT})
+    return Q.rerank(lib, Q.Request(tuple(ON_CT)), X.states(spark, d).select("state_id"), geo).select("state_id", six("score").alias("cost"))
+
+
 _UTIL = f"""SELECT a.state_id, min(g.d) AS node_d, min(greatest(g.d, sqrt((a.x - {SMOKE.x}) * (a.x - {SMOKE.x}) + (a.y - {SMOKE.y}) * (a.y - {SMOKE.y})))) AS cost
   FROM active a JOIN geo g ON g.na = {SMOKE.node} AND g.nb = a.node WHERE a.kind = 'smoke' GROUP BY a.state_id"""
 
