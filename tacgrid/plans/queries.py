@@ -449,6 +449,13 @@ def frames_tween(spark, d):
     return playback.tween(frames).select("round_id", "player", six("sec").alias("sec"), six("x").alias("x"), six("yaw").alias("yaw"))
 
 
+@query()
+def frames_tween_all(spark, d):
+    """All players of all rounds."""
+    frames = X.players(spark, d).select("round_id", F.col("slot").alias("player"), F.col("sec").cast("double").alias("sec"), "x", "y", (F.col("node") * 3).cast("double").alias("yaw"))
+    return playback.tween(frames).select("round_id", "player", six("sec").alias("sec"), six("x").alias("x"), six("yaw").alias("yaw"))
+
+
 # Files, tracks, maps, catalog.
 @query("SELECT path, content_key FROM (SELECT p_name || '-' || p_partkey AS path, CAST(p_size AS VARCHAR) || ':' || CAST(p_partkey % 40 AS VARCHAR) AS content_key, row_number() OVER (PARTITION BY p_size, p_partkey % 40 ORDER BY p_name || '-' || p_partkey) AS k FROM part) WHERE k = 1 AND content_key NOT IN (SELECT CAST(p_size AS VARCHAR) || ':' || CAST(p_partkey % 40 AS VARCHAR) FROM part WHERE p_partkey % 3 = 0)")
 def dedupe_new_files(spark, d):

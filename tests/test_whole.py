@@ -28,3 +28,20 @@ def test_every_state_is_reranked(spark):
     got = {r["state_id"]: r["cost"] for r in entry.queries()["assignment_rerank_all"](spark, FOLDER).collect()}
     assert got == {k: pytest.approx(v, abs=1e-5) for k, v in want.items()}
     assert len(got) == X.states(spark, FOLDER).count()
+
+
+def test_every_player_is_tweened(spark):
+    by = {}
+    for r in X.players(spark, FOLDER).select("round_id", "slot", "sec", "x", "node").collect():
+        by.setdefault((r[0], r[1]), []).append((float(r[2]), r[3], r[4] * 3.0))
+    want = []
+    for (game, slot), own in by.items():
+        own.sort()
+        for a, b in zip(own, [*own[1:], None]):
+            for k in range(4 if b else 1):
+                turn = ((b[2] - a[2] + 540.0) % 360.0 - 180.0) * k / 4 if b else 0.0
+                yaw = (a[2] + turn) % 360.0 if b else a[2]
+                want.append((game, slot, round(a[0] + ((b[0] - a[0]) * k / 4 if b else 0.0), 6), round(a[1] + ((b[1] - a[1]) * k / 4 if b else 0.0), 6), round(yaw, 6)))
+    got = [(r["round_id"], r["player"], r["sec"], r["x"], r["yaw"]) for r in entry.queries()["frames_tween_all"](spark, FOLDER).collect()]
+    assert sorted(got) == sorted(want)
+    assert {r[1] for r in got} == set(range(10))
