@@ -45,3 +45,15 @@ def test_every_player_is_tweened(spark):
     got = [(r["round_id"], r["player"], r["sec"], r["x"], r["yaw"]) for r in entry.queries()["frames_tween_all"](spark, FOLDER).collect()]
     assert sorted(got) == sorted(want)
     assert {r[1] for r in got} == set(range(10))
+
+
+def test_scalars_of_every_order(spark):
+    got = {r["o_orderkey"]: r for r in entry.queries()["scalar_functions_all"](spark, FOLDER).collect()}
+    orders = spark.read.parquet(f"{FOLDER}/orders.parquet").select("o_orderkey", "o_totalprice").collect()
+    assert len(got) == len(orders)
+    for o, price in orders:
+        t, r, price = o % 150, got[o], float(price)
+        assert (r["clock"], r["clock_left"]) == (f"{t // 60}:{t % 60:02d}", max(0, 115 - t))
+        assert (r["side"], r["second"], r["q16"]) == ({3: "CT", 2: "T"}.get(o % 5), round(price / 64), max(-32768, min(32767, round(price - 100000))))
+        assert r["yaw"] == round(price % 360 / 360.0 * 255.0)
+    assert {"0:00", "1:00", "2:00"} & {r["clock"] for r in got.values()} and any(o % 150 > 115 for o in got)
