@@ -27,12 +27,20 @@ def _constant(values) -> str:
     return f"array({', '.join(map(_constant, values))})" if isinstance(values, (list, tuple)) else repr(values)
 
 
-def assignment_cost(players: Column, markers: list[Marker], geo: Geodesics, strict_optimal: bool = False) -> Column:
+def same_level(marker: Marker, at: Column, lower_max: float | None) -> Column | None:
+    """Whether something lies on the marker's own floor; None: always, as the marker has no level or the map has one floor."""
+    if marker.level is None or lower_max is None:
+        return None
+    return F.coalesce((at["z"] < lower_max) == F.lit(marker.level == "lower"), F.lit(False))
+
+
+def assignment_cost(players: Column, markers: list[Marker], geo: Geodesics, strict_optimal: bool = False, lower_max: float | None = None) -> Column:
     """players: array of struct(node, x, y) of the living of one side, in order of slot. Mean over the markers of the best assignment.
 
     With fewer players than markers, the first as many markers are matched and the others charged the map's largest
     distance; with strict_optimal any of them are matched. Without players the cost is that distance. More than five
     players: the first five. All choices for k markers and m players are constants, so a state is settled in its row.
+    lower_max: where the map's lower floor ends, None if it has one floor; else players need z too.
     """
     k = len(markers)
     ways: list[list[list[int]]] = []  # by m - 1: for each choice the player of each marker, -1 for none
@@ -40,22 +48,25 @@ def assignment_cost(players: Column, markers: list[Marker], geo: Geodesics, stri
         n = min(k, m)
         some = permutations(range(k), n) if strict_optimal and m < k else [tuple(range(n))]
         ways.append([[dict(zip(chosen, own, strict=True)).get(i, -1) for i in range(k)] for chosen in some for own in permutations(range(m), n)])
-    five = F.slice(players, 1, 5)
+    pad = F.lit(geo.pad)
+    exact = lambda mk, p: pair_cost(F.coalesce(geo.to(mk, p["node"]), pad), p["x"] - mk.x, p["y"] - mk.y, same_level(mk, p, lower_max))
 
     def best(alive: Column) -> Column:
-        pad = F.lit(geo.pad)
-        cost = lambda mk: F.transform(alive, lambda p: pair_cost(F.coalesce(geo.to(mk, p["node"]), pad), p["x"] - mk.x, p["y"] - mk.y))
+        cost = lambda mk: F.transform(alive, lambda p: exact(mk, p))
         total = lambda c, way: reduce(lambda a, b: a + b, [F.when(F.get(way, F.lit(i)) < 0, pad).otherwise(F.get(F.get(c, F.lit(i)), F.get(way, F.lit(i)))) for i in range(k)])
         choices_of = F.get(F.expr(_constant(ways)), F.size(alive) - 1)
         found = F.transform(F.array(F.array(*map(cost, markers))), lambda c: F.array_min(F.transform(choices_of, lambda way: total(c, way))))
         return F.when(F.size(alive) == 0, pad).otherwise(F.get(found, F.lit(0)) / k)
 
-    return F.get(F.transform(F.array(five), best), F.lit(0))
+    return F.get(F.transform(F.array(F.slice(players, 1, 5)), best), F.lit(0))
 
 
-def utility_cost(markers: list[Marker], geo: Geodesics, active: Column, radius: float = P.UTILITY_RADIUS) -> Column:
-    """Mean over the markers of the exact distance to the nearest active piece; null where one is farther than radius."""
-    exact = lambda m, u: pair_cost(F.coalesce(geo.to(m, u["node"]), F.lit(geo.pad)), u["x"] - m.x, u["y"] - m.y)
+def utility_cost(markers: list[Marker], geo: Geodesics, active: Column, radius: float = P.UTILITY_RADIUS, lower_max: float | None = None) -> Column:
+    """Mean over the markers of the exact distance to the nearest active piece; null where one is farther than radius.
+
+    lower_max: as for assignment_cost; pieces need z then.
+    """
+    exact = lambda m, u: pair_cost(F.coalesce(geo.to(m, u["node"]), F.lit(geo.pad)), u["x"] - m.x, u["y"] - m.y, same_level(m, u, lower_max))
     nearest = lambda m: F.array_min(F.transform(active, lambda u: exact(m, u)))
     each = [nearest(m) for m in markers]
     near = reduce(lambda a, b: a & b, [F.coalesce(c <= radius, F.lit(False)) for c in each])

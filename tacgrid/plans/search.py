@@ -32,13 +32,15 @@ class Library:
     """index: snapshots with their rounds' columns and tokens, and lists of active utility.
 
     players: gives (state_id, players), an array of struct(slot, side, alive, node, x, y), for a few state_ids; the
-    bulk of the snapshots is read for hits alone.
+    bulk of the snapshots is read for hits alone. lower_max: where the map's lower floor ends; players and active
+    utility have z then.
     """
 
     index: DataFrame
     players: Callable[[DataFrame], DataFrame]
     geo: DataFrame
     tokens: dict
+    lower_max: float | None = None
 
 
 def population(lib: Library, request: Request) -> tuple[DataFrame, Geodesics]:
@@ -64,12 +66,12 @@ def rerank(lib: Library, request: Request, hits: DataFrame, geo: Geodesics) -> D
         people = lib.players(hits.select("state_id")).select("state_id", F.array_sort("players").alias("_people"))
         hits = hits.join(people, "state_id", "left")
     for side, own in sides.items():
-        hits = hits.withColumn(f"_{side}", F.coalesce(assignment_cost(_living(side), own, geo), F.lit(geo.pad)))
+        hits = hits.withColumn(f"_{side}", F.coalesce(assignment_cost(_living(side), own, geo, lower_max=lib.lower_max), F.lit(geo.pad)))
         kinds.append(f"_{side}")
     for kind, column in LISTS.items():
         own = [m for m in request.markers if m.kind == kind]
         if own:
-            hits = hits.withColumn(f"_{kind}", utility_cost(own, geo, F.col(column))).where(F.col(f"_{kind}").isNotNull())
+            hits = hits.withColumn(f"_{kind}", utility_cost(own, geo, F.col(column), lower_max=lib.lower_max)).where(F.col(f"_{kind}").isNotNull())
             kinds.append(f"_{kind}")
     score = reduce(lambda a, b: a + b, (F.col(k) for k in kinds)) / len(kinds) if kinds else F.lit(0.0)
     return hits.withColumn("score", score).drop(*kinds, "_people")

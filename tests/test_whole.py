@@ -6,8 +6,12 @@ from itertools import permutations
 import pytest
 
 import __spark_entry__ as entry
+from pyspark.sql import functions as F
+
 from tacgrid import fixture as X
+from tacgrid.operators import recall, rerank
 from tacgrid.plans import queries as N
+from tacgrid.plans import search as Q
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -57,3 +61,24 @@ def test_scalars_of_every_order(spark):
         assert (r["side"], r["second"], r["q16"]) == ({3: "CT", 2: "T"}.get(o % 5), round(price / 64), max(-32768, min(32767, round(price - 100000))))
         assert r["yaw"] == round(price % 360 / 360.0 * 255.0)
     assert {"0:00", "1:00", "2:00"} & {r["clock"] for r in got.values()} and any(o % 150 > 115 for o in got)
+
+
+GEO = recall.Geodesics({0: [0.0, 100.0, 400.0], 1: [100.0, 0.0, 300.0], 2: [400.0, 300.0, 0.0]}, 1000.0)
+
+
+def test_rerank_on_two_floors(spark):
+    """Straight-line distance counts on the marker's own floor alone; on the other one the geodesic does."""
+    people = "array<struct<slot:int,side:string,alive:boolean,node:int,x:double,y:double,z:double>>"
+    df = spark.createDataFrame([(1, -50.0), (2, 50.0)], "state_id long, z double")
+    df = df.select("state_id", F.array(F.struct(F.lit(0).alias("node"), F.lit(300.0).alias("x"), F.lit(0.0).alias("y"), "z")).alias("smokes"), F.array(F.struct(F.lit(0).alias("slot"), F.lit("CT").alias("side"), F.lit(True).alias("alive"), F.lit(1).alias("node"), F.lit(300.0).alias("x"), F.lit(0.0).alias("y"), "z")).cast(people).alias("players"))
+
+    def scores(level, lower_max, kinds):
+        lib = Q.Library(df, lambda ids: df.select("state_id", "players"), None, {}, lower_max)
+        request = Q.Request(tuple(recall.Marker(k, 0, 0.0, 0.0, level) for k in kinds))
+        return {r["state_id"]: r["score"] for r in Q.rerank(lib, request, df.drop("players"), GEO).collect()}
+
+    assert scores("lower", 0.0, ["CT"]) == {1: 300.0, 2: 100.0}
+    assert scores("upper", 0.0, ["CT"]) == {1: 100.0, 2: 300.0}
+    assert scores(None, 0.0, ["CT"]) == scores("lower", None, ["CT"]) == {1: 300.0, 2: 300.0}
+    assert scores("lower", 0.0, ["smoke"]) == {2: 0.0}
+    assert scores(None, 0.0, ["smoke"]) == {}
