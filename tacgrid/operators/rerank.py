@@ -34,12 +34,30 @@ def same_level(marker: Marker, at: Column, lower_max: float | None) -> Column |
     return F.coalesce((at["z"] < lower_max) == F.lit(marker.level == "lower"), F.lit(False))
 
 
+def any_size_cost(players: Column, markers: list[Marker], cost, pad: Column, strict_optimal: bool) -> Column:
+    """assignment_cost of any number of players, by the least total for each set of markers, a player at a time."""
+    k = len(markers)
+    far = float("inf")
+    own = F.transform(players, lambda p: F.array(*(cost(m, p) for m in markers)))
+    start = F.array(*(F.lit(0.0 if s == 0 else far) for s in range(1 << k)))
+
+    def add(least: Column, c: Column) -> Column:
+        given = lambda s: [F.get(least, F.lit(s ^ 1 << i)) + F.get(c, F.lit(i)) for i in range(k) if s >> i & 1]
+        return F.array(F.lit(0.0), *(F.least(F.get(least, F.lit(s)), *given(s)) for s in range(1, 1 << k)))
+
+    m = F.least(F.size(players), F.lit(k))
+    sets = lambda n: [s for s in range(1 << k) if s.bit_count() == n] if strict_optimal else [(1 << n) - 1]
+    best = lambda least: F.get(F.array(*(F.array_min(F.array(*(F.get(least, F.lit(s)) for s in sets(n)))) for n in range(k + 1))), m)
+    total = F.get(F.transform(F.array(F.aggregate(own, start, add)), best), F.lit(0))
+    return (total + (F.lit(k) - m) * pad) / k
+
+
 def assignment_cost(players: Column, markers: list[Marker], geo: Geodesics, strict_optimal: bool = False, lower_max: float | None = None) -> Column:
     """players: array of struct(node, x, y) of the living of one side, in order of slot. Mean over the markers of the best assignment.
 
     With fewer players than markers, the first as many markers are matched and the others charged the map's largest
-    distance; with strict_optimal any of them are matched. Without players the cost is that distance. More than five
-    players: the first five. All choices for k markers and m players are constants, so a state is settled in its row.
+    distance; with strict_optimal any of them are matched. Without players the cost is that distance. All choices for k
+    markers and up to five players are constants, so a state is settled in its row; more players go one by one.
     lower_max: where the map's lower floor ends, None if it has one floor; else players need z too.
     """
     k = len(markers)
@@ -58,7 +76,10 @@ def assignment_cost(players: Column, markers: list[Marker], geo: Geodesics, stri
         found = F.transform(F.array(F.array(*map(cost, markers))), lambda c: F.array_min(F.transform(choices_of, lambda way: total(c, way))))
         return F.when(F.size(alive) == 0, pad).otherwise(F.get(found, F.lit(0)) / k)
 
-    return F.get(F.transform(F.array(F.slice(players, 1, 5)), best), F.lit(0))
+    def of(alive: Column) -> Column:
+        return F.when(F.size(alive) > 5, any_size_cost(alive, markers, exact, pad, strict_optimal)).otherwise(best(alive))
+
+    return F.get(F.transform(F.array(players), of), F.lit(0))
 
 
 def utility_cost(markers: list[Marker], geo: Geodesics, active: Column, radius: float = P.UTILITY_RADIUS, lower_max: float | None = None) -> Column:

@@ -82,3 +82,19 @@ def test_rerank_on_two_floors(spark):
     assert scores(None, 0.0, ["CT"]) == scores("lower", None, ["CT"]) == {1: 300.0, 2: 300.0}
     assert scores("lower", 0.0, ["smoke"]) == {2: 0.0}
     assert scores(None, 0.0, ["smoke"]) == {}
+
+
+@pytest.mark.parametrize("k", [1, 3, 7])
+def test_more_than_five_players(spark, k):
+    marks = [recall.Marker("CT", i % 3, 60.0 * i, 5.0) for i in range(k)]
+    people = {s: [((s * 7 + j * 5) % 3, 40.0 * ((s * j + s) % 9), 30.0 * (j % 4)) for j in range(m)] for s, m in enumerate((6, 7, 8, 6))}
+    df = spark.createDataFrame(list(people.items()), "state_id long, p array<struct<node:int,x:double,y:double>>")
+
+    def plain(players, own):
+        n = min(len(own), len(players))
+        cost = [[max(GEO.rows[q.node][p[0]], math.hypot(p[1] - q.x, p[2] - q.y)) for p in players] for q in own]
+        return (min(sum(cost[i][j] for i, j in enumerate(w)) for w in permutations(range(len(players)), n)) + GEO.pad * (len(own) - n)) / len(own)
+
+    got = {r[0]: r[1] for r in df.select("state_id", rerank.assignment_cost(F.col("p"), marks, GEO)).collect()}
+    assert got == {s: pytest.approx(plain(own, marks)) for s, own in people.items()}
+    assert len({tuple(own[:5]) for own in people.values()}) == len(people)
