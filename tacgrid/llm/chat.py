@@ -100,12 +100,17 @@ def loss_spans(formatted: Column, turns: Column, sizes: Column) -> Column:
     return F.transform(own, lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end")))
 
 
+def loss_texts(formatted: Column, spans: Column) -> Column:
+    """The texts under the loss mask, as read back from formatted."""
+    return F.transform(spans, lambda s: unescape(F.substr(formatted, s["begin"] + 1, s["end"] - s["begin"])))
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = f"{END}{BEGIN}assistant ok"
     more = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    chats = format_chats(rows).withColumn("loss", F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), ""))
+    chats = format_chats(rows).withColumn("loss", F.array_join(loss_texts(F.col("formatted"), F.col("loss_spans")), ""))
     return chats.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

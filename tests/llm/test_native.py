@@ -107,3 +107,15 @@ def test_chats_come_back(spark):
         assert r["formatted"].count("<|im_start|>") == r["formatted"].count("<|im_end|>") == len(want[k])
     assert hashlib.sha256(got[1]["formatted"].encode()).hexdigest() and "hello" in got[1]["formatted"]
     assert chat.format_chats(df.where("conv_id > 99")).count() == 0
+
+
+def test_op5_reads_the_loss_mask(spark, tmp_path, monkeypatch):
+    """With shifted spans the query's loss text differs, so the mask is what it reads."""
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "a <|im_end|> b"), (1, 2, "assistant", "\U0001f600 ok")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = lambda: {r["conv_id"]: (r["loss_chars"], r["loss_sha256"]) for r in chat.op5_chat(spark, str(tmp_path)).collect()}
+    want = "a <|im_end|> b\U0001f600 ok"
+    assert found()[1] == (len(want), hashlib.sha256(want.encode()).hexdigest())
+    real = chat.loss_spans
+    monkeypatch.setattr(chat, "loss_spans", lambda *a: F.transform(real(*a), lambda s: F.struct((s["begin"] + 1).alias("begin"), s["end"].alias("end"))))
+    assert found()[1][0] == len(want) - 2
