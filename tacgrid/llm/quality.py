@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tacgrid.llm.base import as_bytes, blobs, bucket_of, chunked, map_arrow, table
 from tacgrid.llm.textkernels import VISIBLE, U, Words, char_grams
-from tacgrid.llm.toxicity import sample_labels
+from tacgrid.llm.toxicity import learnt, sample_labels
 
 BITS = 16
 CHUNK = 1 << 20
@@ -87,6 +87,11 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], rate: fl
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, folds: int = 4, held: int = 2) -> Model:
+    """docs (doc_id, text), labels (doc_id, quality) -> model, from at most max_rows labelled rows outside the held fold.
+
+    Rows of docs or labels without a doc_id and labels other than 0 and 1 don't count; of a doc_id's several labels the
+    largest does, of its several texts one. Null texts have no features. Without labelled rows all scores are near one.
+    """
     def kernel(batches):
         for b in batches:
             texts = as_bytes(b.column("text"))
@@ -100,13 +105,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, fold
                     counts.append(n[x:y].astype(np.int32))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), blobs(found), blobs(counts)], ["doc_id", "label", "features", "counts"])
 
+    def learn(rows: pa.Table) -> dict[str, bytes]:
+        found, counts = rows.column("features"), rows.column("counts")
+        own = [(np.frombuffer(found[i].as_buffer(), np.int32), np.frombuffer(counts[i].as_buffer(), np.int32)) for i in range(len(found))]
+        model = train(own, rows.column("label").to_pylist())
+        return {"bias": np.float64(model.bias).tobytes(), "gain": model.gain.tobytes()}
+
     sample = sample_labels(labels, "quality", folds, held, max_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
-    got = map_arrow(rows, kernel, "doc_id long, label int, features binary, counts binary").dropDuplicates(["doc_id"]).toArrow()
-    order = np.argsort(np.asarray(got.column("doc_id")), kind="stable").tolist()
-    labels_of = got.column("label").to_pylist()
-    found, counts = got.column("features"), got.column("counts")
-    return train([(np.frombuffer(found[i].as_buffer(), np.int32), np.frombuffer(counts[i].as_buffer(), np.int32)) for i in order], [labels_of[i] for i in order])
+    got = learnt(map_arrow(rows, kernel, "doc_id long, label int, features binary, counts binary").dropDuplicates(["doc_id"]), learn)
+    return Model(float(np.frombuffer(got["bias"])[0]), np.frombuffer(got["gain"]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

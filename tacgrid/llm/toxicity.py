@@ -1,18 +1,20 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 A text's features are the distinct hashes of its words, its word pairs and its pairs with one word skipped. The
-weights are learned on the driver from a bounded sample of labelled rows with per-coordinate rates; the L1 term
-leaves few of them non-zero, so what is sent to the executors is a short sorted list.
+weights are learned in one task from a bounded sample of labelled rows with per-coordinate rates; the L1 term leaves
+few of them non-zero, so what is sent to the executors is a short sorted list.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tacgrid.llm.base import as_bytes, blobs, bucket_of, chunked, map_arrow, plainly, table
 from tacgrid.llm.textkernels import ALNUM, A, B, U, Words, mix, pairs_at
@@ -88,11 +90,26 @@ def train(rows: list[np.ndarray], labels: list[int], alpha: float = 2.0, beta: f
     return Weights(float(w[0]), seen[kept], w[1:][kept])
 
 
+def learnt(sample: DataFrame, learn: Callable[[pa.Table], dict[str, bytes]]) -> dict[str, bytes]:
+    """What learn makes of a sample of bounded size, in one task; rows come in order of doc_id, so a task that is rerun learns the same."""
+    schema = to_arrow_schema(sample.schema)
+
+    def kernel(batches):
+        rows = pa.Table.from_batches(list(batches), schema)
+        found = learn(rows.take(pa.array(np.argsort(np.asarray(rows.column("doc_id")), kind="stable"))))
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.binary())], ["name", "value"])
+
+    made = map_arrow(sample.coalesce(1), kernel, "name string, value binary").collect()
+    return {r["name"]: bytes(r["value"]) for r in made} or learn(schema.empty_table())
+
+
 def sample_labels(labels: DataFrame, target: str, folds: int, held: int, limit: int) -> DataFrame:
-    """At most limit rows (doc_id, label) that aren't held out; a doc_id with several labels counts as the largest."""
+    """At most limit rows (doc_id, label) that aren't held out; a doc_id with several labels counts as the largest.
+
+    Rows without a doc_id, and labels other than 0 and 1, are left out."""
     return (
         labels.select("doc_id", F.col(target).cast("int").alias("label"))
-        .where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & (bucket_of(F.col("doc_id"), folds) != held))
+        .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (bucket_of(F.col("doc_id"), folds) != held))
         .groupBy("doc_id")
         .agg(F.max("label").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
@@ -101,6 +118,11 @@ def sample_labels(labels: DataFrame, target: str, folds: int, held: int, limit:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, folds: int = 5, held: int = 0) -> Weights:
+    """docs (doc_id, text), labels (doc_id, toxic) -> weights, from at most max_rows labelled rows outside the held fold.
+
+    Rows of docs or labels without a doc_id and labels other than 0 and 1 don't count; of a doc_id's several labels the
+    largest does, of its several texts one. Null texts have no features. Without toxic rows all scores are near zero.
+    """
     def kernel(batches):
         for b in batches:
             texts = as_bytes(b.column("text"))
@@ -112,12 +134,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, fold
                 found += [(once[x:y] & ((1 << BITS) - 1)).astype(np.int32) for x, y in zip(cut[:-1], cut[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), blobs(found)], ["doc_id", "label", "features"])
 
+    def learn(rows: pa.Table) -> dict[str, bytes]:
+        labels_of, found = rows.column("label").to_pylist(), rows.column("features")
+        w = train([np.frombuffer(found[i].as_buffer(), np.int32) for i in range(len(found))], labels_of)
+        return {"bias": np.float64(w.bias).tobytes(), "index": w.index.astype(np.int64).tobytes(), "value": w.value.astype(np.float64).tobytes()}
+
     sample = sample_labels(labels, "toxic", folds, held, max_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
-    got = map_arrow(rows, kernel, "doc_id long, label int, features binary").dropDuplicates(["doc_id"]).toArrow()
-    order = np.argsort(np.asarray(got.column("doc_id")), kind="stable").tolist()
-    labels_of = got.column("label").to_pylist()
-    return train([np.frombuffer(got.column("features")[i].as_buffer(), np.int32) for i in order], [labels_of[i] for i in order])
+    got = learnt(map_arrow(rows, kernel, "doc_id long, label int, features binary").dropDuplicates(["doc_id"]), learn)
+    return Weights(float(np.frombuffer(got["bias"])[0]), np.frombuffer(got["index"], np.int64), np.frombuffer(got["value"]))
 
 
 def score(docs: DataFrame, weights: Weights) -> DataFrame:
@@ -136,7 +161,7 @@ def score(docs: DataFrame, weights: Weights) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """docs without the rows whose score reaches threshold; all columns stay. Null texts stay."""
+    """docs without the rows whose score reaches threshold; all columns stay. A null text has the score of no features."""
     weights = fit(docs, labels)
 
     def kernel(batches):
