@@ -6,7 +6,10 @@ once needs no look. The windows of one anchor stand side by side, in a context.
 counted and not sorted. The others meet by anchor, a bounded block at a time: in a block, positions of a difference
 cover (of a period V) get ranks by prefix doubling; the suffixes of a bucket (same anchor string, same distance from
 it) are sorted by the bytes before the next cover position and, as ties are long, by that position's rank; windows that
-equal a neighbour in that order are repeated. An anchor with very many contexts is settled by digests of its windows.
+equal a neighbour in that order are repeated. Where an anchor has more contexts than a block takes, as at the edge of a
+common passage, its contexts are divided by the distance of their windows from the anchor, and the parts meet by all
+bytes that the windows of a part share: parts that are alone or equal as a whole need no sorting, and what is left of a
+group is divided again until it fits.
 """
 
 from __future__ import annotations
@@ -26,8 +29,8 @@ K = 96
 V, COVER = 31, np.array([0, 1, 3, 8, 12, 18])
 #: Bytes of contexts that are sorted together.
 BLOCK = 4 << 20
-#: Contexts of one anchor that still go to one task.
-MOST_CONTEXTS = 4096
+#: Contexts that are sorted as one group; larger groups are divided, into so many parts at a time.
+TOGETHER, PARTS = 256, 4
 #: Bytes of texts looked at together; places within a piece take PLACE_BITS bits.
 PIECE, PLACE_BITS = 1 << 19, 20
 
@@ -174,12 +177,13 @@ def repeated_windows(contexts: list[bytes], anchor: np.ndarray, group: np.ndarra
     return np.split(flags, np.cumsum(counts)[:-1])
 
 
-KEY = ["_d", "_t"]
+KEY = ["_d", "_t", "_u"]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """Rows are known by doc_id and a hash of the text; rows alike in both have equal results."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_d"), F.hash("text").alias("_t"), "doc_id", "text")
+    """Rows are known by doc_id and 128 bits of the text; rows alike in both have equal results."""
+    text = (F.xxhash64("text").alias("_t"), F.xxhash64(F.lit(1), "text").alias("_u"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_d"), *text, "doc_id", "text")
 
 
 def find_anchors(docs: DataFrame) -> DataFrame:
@@ -189,15 +193,15 @@ def find_anchors(docs: DataFrame) -> DataFrame:
             for i, k in chunked([len(t) for t in texts], 4 * PIECE):
                 text, start, n, place, h, digest = anchors(texts[i:k])
                 at = pa.array(text + i)
-                cols = [b.column("_d").take(at), b.column("_t").take(at), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(h.view(np.int64)), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy())], ["_d", "_t", "start", "n", "place", "h", "c1", "c2"])
+                cols = [*(b.column(k).take(at) for k in KEY), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(h.view(np.int64)), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy())], [*KEY, "start", "n", "place", "h", "c1", "c2"])
 
-    return map_arrow(docs.select("_d", "_t", "text"), kernel, "_d long, _t int, start int, n int, place int, h long, c1 long, c2 long")
+    return map_arrow(docs.select(*KEY, "text"), kernel, "_d long, _t long, _u long, start int, n int, place int, h long, c1 long, c2 long")
 
 
 def cut_contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The bytes of the wanted contexts. wanted: h, c1, c2, many, _d, _t, start, n, place."""
-    fields = ["h", "c1", "c2", "many", "start", "n", "place"]
+    """The bytes of the wanted contexts, as parts of all their windows. wanted: h, c1, c2, size, KEY, start, n, place."""
+    fields = ["h", "c1", "c2", "size", "start", "n", "place"]
     lists = wanted.groupBy(*KEY).agg(F.collect_list(F.struct(*fields)).alias("w"))
     joined = docs.join(lists, KEY, "inner").select("w", "text")
 
@@ -211,69 +215,93 @@ def cut_contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 for x, y in chunked((cols["n"][lo:hi] + LENGTH - 1).tolist(), BLOCK):
                     own = slice(lo + x, lo + y)
                     cut = [text[s : s + n + LENGTH - 1] for s, n in zip(cols["start"][own].tolist(), cols["n"][own].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([*(pa.array(cols[f][own]) for f in ("h", "c1", "c2", "many", "place")), pa.array(cut, pa.binary())], ["h", "c1", "c2", "many", "place", "context"])
+                    none = pa.array(np.zeros(y - x, np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(cols["h"][own]), *(pa.array(cols[f][own]) for f in fields[:4]), none, pa.array(cols["place"][own]), pa.array(cut, pa.binary())], ["g", *fields[:4], "w0", "place", "context"])
 
-    return map_arrow(joined, kernel, "h long, c1 long, c2 long, many boolean, place int, context binary")
+    return map_arrow(joined, kernel, "g long, h long, c1 long, c2 long, size long, w0 int, place int, context binary")
 
 
-def sort_contexts(contexts: DataFrame) -> DataFrame:
-    """(h, c1, c2, flags): bits of the repeated windows, for contexts that have any."""
+def sort_parts(parts: DataFrame) -> DataFrame:
+    """parts (g, h, c1, c2, w0, place, context), groups of bounded size by g -> (h, c1, c2, w0, n, flags).
 
-    def solve(h, c1, c2, place, data):
-        group = np.cumsum(np.concatenate([[0], h[1:] != h[:-1]]))
+    w0: the part's first window in its context, n: its windows, flags: bits of the repeated ones, for parts that have any.
+    """
+
+    def solve(g, h, c1, c2, w0, place, data):
+        group = np.cumsum(np.concatenate([[0], g[1:] != g[:-1]]))
         found = repeated_windows(data, place.astype(np.int64), group)
         some = [i for i, f in enumerate(found) if f.any()]
+        sizes = pa.array(np.array([len(found[i]) for i in some], np.int32))
         flags = pa.array([np.packbits(found[i]).tobytes() for i in some], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(h[some]), pa.array(c1[some]), pa.array(c2[some]), flags], ["h", "c1", "c2", "flags"])
+        return pa.RecordBatch.from_arrays([*(pa.array(c[some]) for c in (h, c1, c2, w0)), sizes, flags], ["h", "c1", "c2", "w0", "n", "flags"])
 
     def kernel(batches):
-        held, size = [[], [], [], [], []], 0
+        names = ("g", "h", "c1", "c2", "w0", "place")
+        held, data, size = [[] for _ in names], [], 0
         for b in batches:
-            for k, name in enumerate(("h", "c1", "c2", "place")):
+            for k, name in enumerate(names):
                 held[k].append(np.asarray(b.column(name)))
-            held[4] += b.column("context").to_pylist()
+            data += b.column("context").to_pylist()
             size += b.column("context").nbytes
             if size > BLOCK:
-                cols = [np.concatenate(c) for c in held[:4]]
-                cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last anchor may go on
+                cols = [np.concatenate(c) for c in held]
+                cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last group may go on
                 if cut:
-                    yield solve(*(c[:cut] for c in cols), held[4][:cut])
-                held, size = [*([c[cut:]] for c in cols), held[4][cut:]], sum(map(len, held[4][cut:]))
-        if held[4]:
-            yield solve(*(np.concatenate(c) for c in held[:4]), held[4])
+                    yield solve(*(c[:cut] for c in cols), data[:cut])
+                held, data = [[c[cut:]] for c in cols], data[cut:]
+                size = sum(map(len, data))
+        if data:
+            yield solve(*(np.concatenate(c) for c in held), data)
 
-    n = max(8, int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return map_arrow(contexts.repartition(n, "h").sortWithinPartitions("h"), kernel, "h long, c1 long, c2 long, flags binary")
+    n = max(8, int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return map_arrow(parts.repartition(n, "g").sortWithinPartitions("g"), kernel, PIECES)
 
 
-def digest_contexts(contexts: DataFrame) -> DataFrame:
-    """As sort_contexts, by digests of all windows: for anchors with too many contexts for a task."""
+PIECES = "h long, c1 long, c2 long, w0 int, n int, flags binary"
 
-    def kernel(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                data, place = b.column("context")[i].as_py(), b.column("place")[i].as_py()
-                n = len(data) - LENGTH + 1
-                digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[j : j + LENGTH]) for j in range(n)), np.int64).reshape(-1, 2)
-                cols = [pa.array([b.column(k)[i].as_py()] * n, pa.int64()) for k in ("h", "c1", "c2")]
-                window = pa.array(range(n), pa.int32())
-                yield pa.RecordBatch.from_arrays([*cols, window, pa.array(np.full(n, place) - np.arange(n), pa.int64()), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy())], ["h", "c1", "c2", "window", "o", "w1", "w2"])
 
-    rows = map_arrow(contexts, kernel, "h long, c1 long, c2 long, window int, o long, w1 long, w2 long")
-    shared = rows.groupBy("h", "o", "w1", "w2").count().where("count > 1").drop("count")
-    found = skew_join(rows, shared, ["h", "o", "w1", "w2"], "inner")
-    lists = found.groupBy("h", "c1", "c2").agg(F.sort_array(F.collect_set("window")).alias("windows"))
+def divide(parts: DataFrame, width: int) -> DataFrame:
+    """Parts whose windows lie within width distances from the anchor, and their digests.
 
-    def pack(batches):
-        for b in batches:
-            flags = []
-            for w in b.column("windows").to_pylist():
-                bits = np.zeros(max(w) + 1, bool)
-                bits[w] = True
-                flags.append(np.packbits(bits).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("c1"), b.column("c2"), pa.array(flags, pa.binary())], ["h", "c1", "c2", "flags"])
+    g: of the bytes that all windows of those distances have in common; o1, o2: of all bytes of the part.
+    """
 
-    return map_arrow(lists, pack, "h long, c1 long, c2 long, flags binary")
+    def kernel(batches):
+        for b in batches:
+            out = {k: [] for k in ("g", "o1", "o2", "h", "c1", "c2", "w0", "place", "context")}
+            for h, c1, c2, w0, place, data in zip(*(b.column(c).to_pylist() for c in ("h", "c1", "c2", "w0", "place", "context")), strict=True):
+                n = len(data) - LENGTH + 1
+                for low in range((place - n + 1) // width * width, place + 1, width):
+                    first, last = max(0, place - low - width + 1), min(n - 1, place - low)  # windows at distances from low on
+                    own = data[first : last + LENGTH]
+                    shared = data[place - low : place - low - width + 1 + LENGTH]
+                    out["g"].append(int(np.uint64(xxhash.xxh3_64_intdigest(shared, low) ^ (h & (1 << 64) - 1)).view(np.int64)))
+                    o1, o2 = np.frombuffer(xxhash.xxh3_128_digest(own, place - first), np.int64).tolist()
+                    for k, v in zip(("o1", "o2", "h", "c1", "c2", "w0", "place", "context"), (o1, o2, h, c1, c2, w0 + first, place - first, own), strict=True):
+                        out[k].append(v)
+            kinds = {"w0": pa.int32(), "place": pa.int32(), "context": pa.binary()}
+            yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()], list(out))
+
+    return map_arrow(parts, kernel, "g long, o1 long, o2 long, h long, c1 long, c2 long, w0 int, place int, context binary")
+
+
+def settle(parts: DataFrame) -> DataFrame:
+    """The repeated windows of the contexts of cut_contexts: (h, c1, c2, w0, n, flags); flags null: all n windows."""
+    found = sort_parts(parts.where(F.col("size") <= TOGETHER))
+    large = parts.where(F.col("size") > TOGETHER)
+    width = LENGTH - K + 1
+    while large.limit(1).count():
+        width = -(-width // PARTS)
+        pieces = materialise(divide(large, width), "pieces")
+        kinds = pieces.groupBy("g", "o1", "o2").agg(F.count("*").alias("times"), F.min(F.struct("h", "c1", "c2")).alias("one"))
+        groups = kinds.groupBy("g").agg(F.count("*").alias("size"))
+        known = materialise(skew_join(kinds, groups, ["g"], "inner").where("size > 1 OR times > 1"), "kinds")
+        joined = materialise(skew_join(pieces, known, ["g", "o1", "o2"], "inner"), "divided")
+        equal = joined.where("times > 1").select("h", "c1", "c2", "w0", (F.octet_length("context") - (LENGTH - 1)).alias("n"), F.lit(None).cast("binary").alias("flags"))
+        rest = joined.where((F.col("size") > 1) & (F.struct("h", "c1", "c2") == F.col("one"))).select("g", "h", "c1", "c2", "size", "w0", "place", "context")
+        found = found.union(equal).union(sort_parts(rest.where(F.col("size") <= TOGETHER)))
+        large = rest.where(F.col("size") > TOGETHER)
+    return found
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
@@ -287,16 +315,13 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     found = materialise(find_anchors(docs), "anchors")
     contexts = found.groupBy("h", "c1", "c2").agg(F.count("*").alias("times"), *(F.first(c).alias(c) for c in (*KEY, "start", "n", "place")))
     contexts = materialise(contexts, "contexts")
-    several = contexts.groupBy("h").agg(F.count("*").alias("contexts")).where("contexts > 1").withColumn("many", F.col("contexts") > MOST_CONTEXTS).select("h", "many")
+    several = contexts.groupBy("h").agg(F.count("*").alias("contexts")).where("contexts > 1").select("h", F.col("contexts").alias("size"))
     wanted = skew_join(contexts, several, ["h"], "inner")
     cut = materialise(cut_contexts(docs, wanted), "cut")
-    flagged = sort_contexts(cut.where("not many").drop("many"))
-    if cut.where("many").limit(1).count():
-        flagged = flagged.union(digest_contexts(cut.where("many").drop("many")))
-    whole = contexts.where("times > 1").select("h", "c1", "c2")
-    result = materialise(flagged.join(whole, ["h", "c1", "c2"], "left_anti").union(whole.withColumn("flags", F.lit(None).cast("binary"))), "flags")
-    hits = skew_join(found, result, ["h", "c1", "c2"], "inner")
-    lists = hits.groupBy(*KEY).agg(F.collect_set(F.struct("start", "n", "flags")).alias("hits"))
+    whole = contexts.where("times > 1").select("h", "c1", "c2", F.lit(0).alias("w0"), "n", F.lit(None).cast("binary").alias("flags"))
+    result = materialise(settle(cut).union(whole), "flags")
+    hits = skew_join(found.drop("n"), result, ["h", "c1", "c2"], "inner")
+    lists = hits.groupBy(*KEY).agg(F.collect_set(F.struct((F.col("start") + F.col("w0")).alias("start"), "n", "flags")).alias("hits"))
     joined = docs.join(lists, KEY, "left").select("doc_id", "text", "hits")
 
     def kernel(batches):

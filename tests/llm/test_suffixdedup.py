@@ -30,9 +30,9 @@ def corpus():
     return docs
 
 
-@pytest.mark.parametrize("most", [4096, 2])
-def test_same_as_brute_force(spark, monkeypatch, most):
-    monkeypatch.setattr(S, "MOST_CONTEXTS", most)
+@pytest.mark.parametrize("together", [256, 2, 1])
+def test_same_as_brute_force(spark, monkeypatch, together):
+    monkeypatch.setattr(S, "TOGETHER", together)
     monkeypatch.setattr(S, "PIECE", 1000)
     monkeypatch.setattr(S, "BLOCK", 5000)
     docs = corpus()
