@@ -1,33 +1,42 @@
-"""Near-duplicates by the exact Jaccard similarity of shingles, with prefix filtering.
+"""Near-duplicates by the Jaccard similarity of shingles: SimHash links first, then a prefix join for the links they miss.
 
-Two sets of shingles with a similarity of 0.8 or more share one of the first n // 5 + 1 members of each, in any order
-that holds for all sets; shingles that are common in a sample come last, so that few texts meet by chance. Texts that
-share such a member form coarse components; the sets of each are compared exactly in one task, and only pairs that
-reach the similarity link. The order has no influence on the result.
+The fingerprints of a text's set of shingles are searched by the generalised pigeonhole principle, as in simhash.py. At a
+similarity of 0.8 fingerprints differ in a sixth of their bits, more than any such search can cover below the cost of all
+pairs; what it finds is therefore completed: two sets with a similarity of 0.8 or more share SHARED of the first
+n // 5 + SHARED members of each, in any order that holds for all sets. Shingles that are common in a sample come last in
+that order; it has no influence on the result. Every candidate is settled by the sets themselves.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tacgrid.llm.base import BROADCAST_ROWS, as_bytes, map_arrow, materialise, skew_join
-from tacgrid.llm.graph import components, local_roots
+from tacgrid.llm.base import as_bytes, every, map_arrow, materialise, skew_join
+from tacgrid.llm.graph import components
+from tacgrid.llm.simhash import FIVE_WORDS, make_plan, near_edges
+from tacgrid.llm.textkernels import mix
 
 SEED = 42
 #: Texts that are looked at for common shingles, about; the most shingles that are taken from them.
 SAMPLE, COMMON = 8192, 1 << 17
-#: Components up to this size keep note of the pairs that were compared.
-NOTED = 4096
+#: Members that the prefixes of similar sets have in common at least. Sets of fewer than four are similar to none but themselves.
+SHARED = 3
+#: Bits of 128 in which the fingerprints of similar sets differ at most: 19 on average at a similarity of 0.8, and over this
+#: once in 10^9. Sets under MANY members aren't judged by it.
+APART, MANY = 44, 16
+#: Sets that share a prefix member are paired with each other up to this number; beyond it, with one of them first.
+TOGETHER = 64
 
 
 def shingles(text: bytes | None, size: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of the runs of size words; of all words where there are fewer; empty without words."""
+    """Sorted distinct 64-bit hashes of the runs of size words; of all words where there are fewer; empty without words."""
     words = (text or b"").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
@@ -40,14 +49,28 @@ def shingles(text: bytes | None, size: int = 5) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, cut, repeat(SEED)), np.uint64, n))
 
 
+def short(own: np.ndarray) -> np.ndarray:
+    """The set as it travels: the upper halves of the hashes, sorted and distinct."""
+    return np.unique((own >> np.uint64(32)).astype(np.uint32))
+
+
 def node_of(own: np.ndarray) -> int:
     """Signed 64 bits for a set of shingles."""
     return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view(np.int64))
 
 
+def majority(own: np.ndarray) -> int:
+    """The set's fingerprint, as signed 64 bits; zero for an empty set."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(own), 1 << 16):
+        part = np.ascontiguousarray(own[i : i + (1 << 16)])
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(own), bitorder="little").view(np.int64)[0])
+
+
 def prefix(own: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The members by which a set is found: rarest first, then by value. common is sorted."""
-    n = len(own) // 5 + 1
+    n = len(own) // 5 + SHARED if len(own) > SHARED else 0
     if len(common):
         at = np.minimum(np.searchsorted(common, own), len(common) - 1)
         often = np.where(common[at] == own, counts[at], 0)
@@ -56,50 +79,6 @@ def prefix(own: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarra
     return own[:n]
 
 
-def exact_roots(sets: list[np.ndarray]) -> np.ndarray:
-    """For sorted sets the smallest index in each one's component, over links of a Jaccard similarity of 0.8 or more."""
-    m, sizes = len(sets), np.array([len(s) for s in sets])
-    labels = np.arange(m)
-    if m == 2:
-        if 9 * len(np.intersect1d(*sets, assume_unique=True)) >= 4 * sizes.sum():
-            labels[1] = 0
-        return labels
-    _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.empty(len(count), np.int64)
-    rank[np.lexsort((np.arange(len(count)), count))] = np.arange(len(count))
-    rows = np.repeat(np.arange(m), sizes)
-    members, begin = rank[at], np.cumsum(sizes) - sizes
-    members = members[np.lexsort((members, rows))]
-    count = np.sort(count)  # by rank
-    found = (np.arange(len(rows)) - begin[rows] < sizes[rows] // 5 + 1) & (count[members] > 1)
-    keys, rows = members[found], rows[found]
-    order = np.lexsort((rows, sizes[rows], keys))
-    keys, rows = keys[order], rows[order]
-    cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
-    marks, tried = np.zeros(len(count), bool), np.zeros((m, m), bool) if m <= NOTED else None
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        run = rows[a:b]
-        for k in range(len(run) - 1):
-            if (labels[run[k:]] == labels[run[k]]).all():
-                break
-            i, others = run[k], run[k + 1 :]
-            others = others[(labels[others] != labels[i]) & (4 * sizes[others] <= 5 * sizes[i])]
-            if tried is not None:
-                others = others[~tried[i, others]]
-                tried[i, others] = True
-            if not len(others):
-                continue
-            own = members[begin[i] : begin[i] + sizes[i]]
-            marks[own] = True
-            some = np.concatenate([members[begin[j] : begin[j] + sizes[j]] for j in others.tolist()])
-            both = np.add.reduceat(marks[some].astype(np.int64), np.cumsum(sizes[others]) - sizes[others])
-            marks[own] = False
-            near = others[9 * both >= 4 * (sizes[others] + sizes[i])]
-            if len(near):
-                labels = local_roots(m, np.full(len(near), i), near, labels)
-    return labels
-
-
 def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(sorted hashes, counts) of shingles that several texts of a sample hold."""
 
@@ -116,64 +95,123 @@ def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]
     return keys[order], counts[order]
 
 
-def near_components(docs: DataFrame, size: int = 5) -> DataFrame:
-    """docs (doc_id, text; further columns are ignored) -> (doc_id, component_id), one row for each row.
-
-    component_id is the smallest doc_id that can be reached over pairs of texts whose shingles have a Jaccard similarity
-    of 0.8 or more. Texts without words are alike. Rows without a doc_id get a component like others but are never its
-    smallest; a component of only such rows has none. The sets of a coarse component are held by one task.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def marked(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, node, n, fp0, fp1, keys): a number for the set of shingles, its size, fingerprints and prefix; a row for each row."""
     common, counts = common_shingles(docs, size)
 
-    def marked(batches):
+    def kernel(batches):
         for b in batches:
             own = [shingles(t, size) for t in as_bytes(b.column("text"))]
             keys = [prefix(s, common, counts).view(np.int64) for s in own]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(map(node_of, own), pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "keys"])
+            cols = [pa.array(map(node_of, own), pa.int64()), pa.array(map(len, own), pa.int32()), pa.array(map(majority, own), pa.int64()), pa.array((majority(mix(s)) for s in own), pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols, pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "n", "fp0", "fp1", "keys"])
+
+    return map_arrow(docs, kernel, "doc_id long, node long, n int, fp0 long, fp1 long, keys array<long>")
+
+
+def may_be_alike(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+    """Whether sets of n members, with fingerprints fp0 and fp1, can have a similarity of 0.8 if the member at place pos of each is one of the first SHARED in common.
+
+    At most SHARED - 1 common members come before that one, so what follows has to hold the others.
+    """
+    enough = 9 * (SHARED - 1 + F.least(a("n") - a("pos"), b("n") - b("pos"))) >= 4 * (a("n") + b("n"))
+    apart = sum((F.bit_count(a(c).bitwiseXOR(b(c))) for c in ("fp0", "fp1")), F.lit(0))
+    return enough & (4 * a("n") <= 5 * b("n")) & (4 * b("n") <= 5 * a("n")) & ((F.least(a("n"), b("n")) < MANY) | (apart <= APART))
+
 
-    def whole(batches):
+def sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(node, own): the sets of the nodes (node, first), each from the row with the smallest doc_id that has it."""
+
+    def kernel(batches):
         for b in batches:
             own = [shingles(t, size) for t in as_bytes(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(map(node_of, own), pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], ["doc_id", "node", "own"])
-
-    def solve(nodes, firsts, owns):
-        _, one = np.unique(nodes, return_index=True)  # rows that share a doc_id and a text
-        firsts, nodes = [firsts[i] for i in one], [nodes[i] for i in one]
-        labels = exact_roots([np.frombuffer(owns[i], np.uint64) for i in one]) if len(one) > 1 else np.zeros(1, np.int64)
-        least: dict[int, int] = {}
-        for r, f in zip(labels.tolist(), firsts, strict=True):
-            if f is not None:
-                least[r] = min(least.get(r, f), f)
-        return nodes, [least.get(r) for r in labels.tolist()]
-
-    def settled(batches):
-        root, held = None, ([], [], [])
-        for b in batches:
-            out = ([], [])
-            for r, *row in zip(*(b.column(c).to_pylist() for c in ("root", "node", "first", "own")), strict=True):
-                if r != root and held[0]:
-                    for c, more in zip(out, solve(*held), strict=True):
-                        c.extend(more)
-                    held = ([], [], [])
-                root = r
-                for c, v in zip(held, row, strict=True):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["node", "least"])
-        if held[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in solve(*held)], ["node", "least"])
-
-    fps = materialise(map_arrow(docs, marked, "doc_id long, node long, keys array<long>"), "shingles")
-    unique = materialise(fps.groupBy("node").agg(F.min("doc_id").alias("first")), "unique")
-    rows = fps.select("node", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("top")).where("lead <> top").select("key", "lead")
-    edges = skew_join(rows, shared, ["key"], "inner").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
-    want = materialise(components(edges).join(unique, "node").select("node", "root", "first"), "coarse", 1 << 14)
-    n = want.count()
-    sets = map_arrow(docs, whole, "doc_id long, node long, own binary").alias("s")
-    sets = sets.join((F.broadcast(want) if n <= BROADCAST_ROWS else want).alias("w"), (F.col("s.node") == F.col("w.node")) & F.col("s.doc_id").eqNullSafe(F.col("w.first")))
-    sets = sets.select("w.root", "w.node", "w.first", "s.own")
-    parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = materialise(map_arrow(sets.repartition(parts, "root").sortWithinPartitions("root"), settled, "node long, least long"), "settled")
-    classes = unique.join(found, "node", "left").select("node", F.coalesce("least", "first").alias("component_id"))
-    return skew_join(fps.select("doc_id", "node"), classes, ["node"], "inner").select("doc_id", "component_id")
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(map(node_of, own), pa.int64()), pa.array([short(s).tobytes() for s in own], pa.binary())], ["doc_id", "node", "own"])
+
+    rows = map_arrow(docs, kernel, "doc_id long, node long, own binary").alias("s")
+    wanted = nodes.alias("w")
+    found = rows.join(wanted, (F.col("s.node") == F.col("w.node")) & F.col("s.doc_id").eqNullSafe(F.col("w.first")))
+    return found.groupBy("s.node").agg(F.first("s.own").alias("own"))
+
+
+def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) those whose sets have a similarity of 0.8 or more."""
+    one = skew_join(pairs, sets.select(F.col("node").alias("a"), F.col("own").alias("x")), ["a"], "inner")
+    both = skew_join(one, sets.select(F.col("node").alias("b"), F.col("own").alias("y")), ["b"], "inner")
+
+    def kernel(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                p, q = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                both = np.sort(np.concatenate([p, q]), kind="stable")
+                keep.append(9 * int((both[1:] == both[:-1]).sum()) >= 4 * len(both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return map_arrow(both.select("a", "b", "x", "y"), kernel, "a long, b long")
+
+
+def fingerprint_links(unique: DataFrame) -> DataFrame:
+    """(a, b): nodes whose fingerprints are within a few bits, enough pairs to connect all such."""
+    plan = make_plan(unique, FIVE_WORDS)
+    if plan is None:
+        return unique.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    return materialise(near_edges(unique, plan), "near", 1 << 14)
+
+
+def near_components(docs: DataFrame, size: int = 5) -> DataFrame:
+    """docs (doc_id, text; further columns are ignored) -> (doc_id, component_id), one row for each row.
+
+    component_id is the smallest doc_id that can be reached over pairs of texts whose shingles have a Jaccard similarity
+    of 0.8 or more. Texts without words are alike. Rows without a doc_id get a component like others but are never its
+    smallest; a component of only such rows has none. Sets that share a prefix member with few others are paired up; of more
+    than TOGETHER sets each is compared with the first one, and then, pair by pair, those that are still in different
+    components: only a group whose members are mostly just below the similarity takes time by its square.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    about = ("n", "fp0", "fp1")
+    left, right, lead = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}")), (lambda c: F.col(f"lead.{c}"))
+    rows = materialise(marked(docs, size), "shingles")  # read below as nodes, keys and documents
+    unique = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in (*about, "keys"))), "unique")
+    keys = unique.select("node", *about, F.posexplode("keys").alias("pos", "key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("times"), F.min(F.struct("node", *about, "pos")).alias("lead")).where("times > 1")
+    shared = materialise(skew_join(keys, shared, ["key"], "inner"), "shared", 1 << 14)
+    candidates = shared.select("node").distinct()
+
+    few = shared.where(F.col("times") <= TOGETHER)
+    a, b = few.alias("a"), few.alias("b")
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & may_be_alike(left, right))
+    pairs = pairs.groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b")).count().where(F.col("count") >= SHARED).drop("count")
+    first = shared.where((F.col("times") > TOGETHER) & (F.col("node") > F.col("lead.node")) & may_be_alike(F.col, lead))
+    near = fingerprint_links(unique.join(candidates, "node", "left_semi").select("node", "fp0"))
+    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = pairs.union(first.select(F.col("lead.node").alias("a"), F.col("node").alias("b"))).union(near)
+    pairs = materialise(pairs.distinct(), "pairs", 1 << 14)
+
+    many = shared.where(F.col("times") > TOGETHER).select("key", "node", *about, "pos")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(many.select("node")).distinct()
+    sets = materialise(sets_of(docs, unique.join(wanted, "node", "left_semi").select("node", "first"), size), "sets")
+    links = materialise(alike(pairs, sets), "links", 1 << 14)
+    roots = components(links)
+
+    apart = skew_join(many, roots, ["node"], "left").select("key", "node", *about, "pos", F.coalesce("root", "node").alias("root"))
+    open_keys = apart.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    apart = materialise(skew_join(apart, open_keys, ["key"], "inner"), "apart", 1 << 14)
+    a, b = apart.alias("a"), apart.alias("b")
+    rest = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & may_be_alike(left, right))
+    rest = materialise(rest.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "rest", 1 << 14)
+    more = materialise(alike(rest, sets), "more", 1 << 14)
+    roots = components(links.union(more)) if more.limit(1).count() else roots
+
+    rooted = unique.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    classes = skew_join(rooted, least, ["root"], "inner").select("node", "component_id")
+    return skew_join(rows.select("doc_id", "node"), classes, ["node"], "inner").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, size: int = 5) -> DataFrame:
+    """docs without the rows that aren't the first of their component by similarity of shingles; all columns stay.
+
+    Rows without a doc_id stay. Rows that share a doc_id are one document and stay or go together.
+    """
+    gone = near_components(docs, size).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti").select(*every(docs))

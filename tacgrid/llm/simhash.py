@@ -18,24 +18,21 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tacgrid.llm.base import BROADCAST_ROWS, as_bytes, every, map_arrow, materialise, skew_join, table
+from tacgrid.llm.base import BROADCAST_ROWS, as_bytes, map_arrow, materialise, skew_join, table
 from tacgrid.llm.graph import components, local_roots
-from tacgrid.llm.shingles import near_components
 from tacgrid.llm.textkernels import A, U, mix
 
 @dataclass(frozen=True)
 class Config:
     """size: words in a shingle. words: 64-bit words of the fingerprint. threshold: bits that linked fingerprints may
     differ in. partitions: numbers of partitions that are compared; a partition has at most 16 bits, so its histogram
-    at most 65,536 values. refine: a bucket with more fingerprints is divided by further exact pieces of the other bits.
-    ties: a bit that half the shingles set is taken from the least hash; else it is 0, and short texts come closer."""
+    at most 65,536 values. refine: a bucket with more fingerprints is divided by further exact pieces of the other bits."""
 
     size: int = 4
     words: int = 1
     threshold: int = 4
     partitions: tuple[int, ...] = (4, 5)
     refine: int = 2048
-    ties: bool = False
 
     @property
     def bits(self) -> int:
@@ -53,7 +50,7 @@ BLOCK = 16384
 ROW_COST, PAIR_COST = 1000.0, 3.0
 
 
-def fingerprint(text: bytes | None, size: int = 4, seed: int = SEED, ties: bool = False) -> int:
+def fingerprint(text: bytes | None, size: int = 4, seed: int = SEED) -> int:
     """Signed 64 bits; zero for a text without words."""
     words = (text or b"").lower().split()
     if not words:
@@ -70,8 +67,6 @@ def fingerprint(text: bytes | None, size: int = 4, seed: int = SEED, ties: bool
         part = np.ascontiguousarray(h[i : i + (1 << 16)])
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     over = counts * 2 > n
-    if ties and n % 2 == 0:
-        over |= (counts * 2 == n) & unpacked(h.min(keepdims=True))[0].astype(bool)
     return int(np.packbits(over, bitorder="little").view(np.int64)[0])
 
 
@@ -81,7 +76,7 @@ def fingerprints(docs: DataFrame, config: Config) -> DataFrame:
     def kernel(batches):
         for b in batches:
             texts = as_bytes(b.column("text"))
-            fps = [pa.array([fingerprint(t, config.size, SEED + k, config.ties) for t in texts], pa.int64()) for k in range(config.words)]
+            fps = [pa.array([fingerprint(t, config.size, SEED + k) for t in texts], pa.int64()) for k in range(config.words)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *fps], ["doc_id", *config.columns])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), kernel, ", ".join(["doc_id long", *(f"{c} long" for c in config.columns)]))
@@ -144,7 +139,8 @@ class Plan:
     config: Config
     bits: list[list[int]]
     thresholds: list[int]
-    counts: list[list[np.ndarray]]  # by partition and mask
+    crowded: list[list[np.ndarray]]  # by partition and mask: which values more than config.refine fingerprints have
+    most: int  # fingerprints of one value
     cost: float
 
     def keys(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,7 +151,7 @@ class Plan:
             rest = [b for j, other in enumerate(self.bits) if j != i for b in other]
             for j, mask in enumerate(masks(len(bits), t)):
                 key = mix((v & ~mask).astype(np.uint64) * A + U(i * 1000 + j))
-                large = self.counts[i][j][v] > self.config.refine
+                large = self.crowded[i][j][v]
                 out_k.append(key[~large])
                 out_r.append(row[~large])
                 out_s.append(np.full(len(out_r[-1]), i * 1000 + j, np.int32))
@@ -205,7 +201,8 @@ def allocate(bits: list[list[int]], hists: list[np.ndarray], config: Config) ->
                     now[total + t] = (cost + c, [*chosen, t])
         best = now
     cost, chosen = best[config.threshold - m + 1]
-    return Plan(config, bits, chosen, [[masked_counts(h, k) for k in masks(len(own), t)] for own, h, t in zip(bits, hists, chosen, strict=True)], cost)
+    counts = [[masked_counts(h, k) for k in masks(len(own), t)] for own, h, t in zip(bits, hists, chosen, strict=True)]
+    return Plan(config, bits, chosen, [[c > config.refine for c in own] for own in counts], max(int(c.max()) for own in counts for c in own), cost)
 
 
 def make_plan(unique: DataFrame, config: Config) -> Plan | None:
@@ -343,7 +340,7 @@ def near_edges(unique: DataFrame, plan: Plan) -> DataFrame:
 
     fields = ["node", *columns]
     rows = map_arrow(unique.select(*fields), keyed, "key long, slot int, " + ", ".join(f"{c} long" for c in fields))
-    if max(int(c.max()) for own in plan.counts for c in own) > min(BLOCK, config.refine):
+    if plan.most > min(BLOCK, config.refine):
         # What is still large after the division is dealt out as pairs of blocks, so that no task holds all of it.
         hot = materialise(rows.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "hot")
         n = hot.count()
@@ -399,17 +396,8 @@ def near_duplicates(docs: DataFrame, config: Config = Config()) -> DataFrame:
     return skew_join(fps, classes, ["node"], "inner").select(*out)
 
 
-#: Shingles of five words, and fingerprints of 128 bits of which a share of 0.81 or more agrees.
-FIVE_WORDS = Config(size=5, words=2, threshold=24, partitions=(11, 12, 13, 14), refine=1 << 62, ties=True)
-
-
-def keep_one(docs: DataFrame, size: int = 5) -> DataFrame:
-    """docs without the rows that aren't the first of their component by exact similarity of shingles; all columns stay.
-
-    Rows without a doc_id stay. Rows that share a doc_id are one document and stay or go together.
-    """
-    gone = near_components(docs, size).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*every(docs))
+#: Fingerprints of sets of five-word shingles: what differs in so few bits is linked first (see shingles.py).
+FIVE_WORDS = Config(size=5, threshold=6, partitions=(4, 5, 6))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

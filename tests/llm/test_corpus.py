@@ -287,8 +287,8 @@ def test_clashing_columns_stay(spark, tables):
     rows = [(i, prose(random.Random(i), 40) + "\na line that all of them share", *([i] * (len(names) - 2))) for i in range(6)]
     df = spark.createDataFrame(rows, names)
     benchmark = spark.createDataFrame([(1, "no such words here at all")], "item_id long, text string")
-    from tacgrid.llm import simhash
+    from tacgrid.llm import shingles
 
-    for out in (T.drop_toxic(df, labels), L.dedup_lines(df).drop("n_lines", "n_dropped"), D.drop_contaminated(df, benchmark), simhash.keep_one(df)):
+    for out in (T.drop_toxic(df, labels), L.dedup_lines(df).drop("n_lines", "n_dropped"), D.drop_contaminated(df, benchmark), shingles.keep_one(df)):
         assert out.columns == names
         assert sorted(r[2] for r in out.collect()) == list(range(6))

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from tacgrid.llm import shingles, simhash
+from tacgrid.llm import shingles
 
 
 def plain_kept(rows):
@@ -31,7 +31,7 @@ def plain_kept(rows):
 
 
 def kept(spark, rows):
-    return sorted((r[0] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    return sorted((r[0] for r in shingles.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
 
 
 def edited(rng, words, n):
@@ -58,9 +58,9 @@ def mixed_rows():
     return [*rows, (5000, None), (5001, ""), (5002, " \n"), (None, rows[0][1]), (None, "alone here"), (3, rows[3][1]), (6000, rows[7][1].upper())]
 
 
-@pytest.mark.parametrize(("noted", "common"), [(4096, 1 << 17), (0, 1), (4096, 0)])
-def test_kept_as_brute_force(spark, monkeypatch, noted, common):
-    monkeypatch.setattr(shingles, "NOTED", noted)
+@pytest.mark.parametrize(("together", "common"), [(64, 1 << 17), (1, 1), (2, 0)])
+def test_kept_as_brute_force(spark, monkeypatch, together, common):
+    monkeypatch.setattr(shingles, "TOGETHER", together)
     monkeypatch.setattr(shingles, "COMMON", common)
     rows = mixed_rows()
     assert kept(spark, rows) == plain_kept(rows)
@@ -77,24 +77,3 @@ def test_at_the_threshold(spark):
         words = [f"w{x}" for x in rng.integers(0, 1 << 30, 8)]
         rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:-1], "other"]))]
     assert kept(spark, rows) == sorted([*range(0, 400, 2), *range(400, 800)], key=str)
-
-
-def test_exact_roots_of_a_large_group():
-    """One component held together by few links, and many that no link joins."""
-    rng = np.random.default_rng(2)
-    base = np.unique(rng.integers(0, 1 << 62, 120).astype(np.uint64))
-    sets = [base]
-    for _ in range(150):  # a chain: neighbours are alike, its ends aren't
-        kept_ones = rng.permutation(sets[-1])[:-8]
-        sets.append(np.unique(np.concatenate([kept_ones, rng.integers(0, 1 << 62, 8).astype(np.uint64)])))
-    sets += [np.unique(np.concatenate([base[:40], rng.integers(0, 1 << 62, 80).astype(np.uint64)])) for _ in range(100)]
-    order = rng.permutation(len(sets))
-    sets = [sets[i] for i in order]
-    labels = list(range(len(sets)))
-    for i in range(len(sets)):
-        for k in range(i):
-            both = len(np.intersect1d(sets[i], sets[k]))
-            if 9 * both >= 4 * (len(sets[i]) + len(sets[k])) and labels[i] != labels[k]:
-                low, high = sorted((labels[i], labels[k]))
-                labels = [low if x == high else x for x in labels]
-    assert shingles.exact_roots(sets).tolist() == labels

@@ -3,6 +3,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from tacgrid.llm import shingles
 from tacgrid.llm import simhash as S
 
 
@@ -111,7 +112,7 @@ def test_keep_one(spark):
     words = [f"v{i}" for i in range(400)]
     rows += [(2000, " ".join(words)), (2001, " ".join([*words[:200], "new", *words[201:]])), (2002, " ".join(words).upper()), (1999, " ".join(reversed(words)))]
     df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, root int")
-    kept = S.keep_one(df)
+    kept = shingles.keep_one(df)
     assert kept.columns == df.columns
     ids = [r["doc_id"] for r in kept.collect()]
     assert {1999, 2000} <= set(ids) and not {2001, 2002} & set(ids) and ids.count(None) == 2
@@ -146,10 +147,3 @@ def test_links_as_brute_force(words, threshold):
             if keys[i] == keys[k] and int(np.bitwise_count(fps[i] ^ fps[k]).sum()) <= threshold:
                 root[max(find(i), find(k))] = min(find(i), find(k))
     assert got == [find(i) for i in range(len(keys))]
-
-
-def test_ties_take_the_least_hash():
-    text = b"a b c d e f"  # two shingles of five words
-    h = [xxhash.xxh64_intdigest(x, 42) for x in (b"a b c d e", b"b c d e f")]
-    assert S.fingerprint(text, 5, 42, True) & (2**64 - 1) == min(h)
-    assert S.fingerprint(text, 5) & (2**64 - 1) == h[0] & h[1]
