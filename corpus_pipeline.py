@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tacgrid.llm import decontaminate, linededup, mixing, simhash, toxicity
+from tacgrid.llm import decontaminate, linededup, mixing, shingles, toxicity
 from tacgrid.llm.base import every, materialise, table
 
 
@@ -25,8 +25,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: shingles of five words, a Jaccard similarity of 0.8 or more."""
-    return simhash.keep_one(docs)
+    """One document of each group of near-duplicates stays: shingles of five words, a Jaccard similarity of 0.8 or more.
+
+    SimHash finds most links, a prefix join the others; all are settled by the shingles.
+    """
+    return shingles.keep_one(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
