@@ -123,8 +123,8 @@ def index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nested_players(spark: SparkSession, d: str, ids: DataFrame | None = None) -> DataFrame:
-    """The ten players of each state, nested as snapshots hold them; of the states in ids (few) alone, if given."""
-    own = states(spark, d) if ids is None else states(spark, d).join(F.broadcast(ids), "state_id")
+    """The ten players of each state, nested as snapshots hold them; of the states in ids alone, if given."""
+    own = states(spark, d) if ids is None else states(spark, d).join(ids, "state_id")
     each = F.array(*(F.struct(F.lit(k).alias("slot"), F.lit("CT" if k < 5 else "T").alias("side"), alive_of(k).alias("alive"), node_of(k).alias("node"), place_x(node_of(k)).alias("x"), place_y(node_of(k)).alias("y")) for k in SLOTS))
     return own.select("state_id", "round_id", "sec", each.alias("players"))
 
@@ -208,6 +208,11 @@ def ends(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).where("kind = 3").select("recording_id", "tick", F.when(e % 3 == 0, "CT").when(e % 3 == 1, "T").alias("winner"), F.lit(None).cast("string").alias("reason"))
 
 
+def starts(spark: SparkSession, d: str) -> DataFrame:
+    """Matches of every fourth recording start again."""
+    return events(spark, d).where("kind = 6 AND event_id % 5 = 0 AND recording_id % 4 = 0").select("recording_id", "tick")
+
+
 def timed_rounds(spark: SparkSession, d: str) -> DataFrame:
     """Rounds with first and last tick on the clock of the snapshots."""
     return states(spark, d).groupBy("round_id").agg(F.max("sec").alias("m")).select("round_id", (F.col("round_id") % 3 * 64).alias("freeze"), (F.col("round_id") % 3 * 64 + F.col("m") * 64 + 1).cast("long").alias("end_tick"))

@@ -56,8 +56,8 @@ def quantise_yaw(degrees: Column) -> Column:
 
 
 def token(nodes: Column, size: int = 5) -> list[Column]:
-    """The first size known nodes as seen, in ascending order, padded with nulls."""
-    kept = F.array_sort(F.slice(F.filter(nodes, lambda n: n.isNotNull()), 1, size))
+    """The size smallest known nodes in ascending order, padded with nulls."""
+    kept = F.slice(F.array_sort(F.filter(nodes, lambda n: n.isNotNull())), 1, size)
     return [F.get(kept, k) for k in range(size)]
 
 

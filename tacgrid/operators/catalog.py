@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -27,3 +27,21 @@ def with_rounds(recordings: DataFrame, rounds: DataFrame) -> DataFrame:
 
 def summary(recordings: DataFrame, rounds: DataFrame, snapshots: DataFrame) -> dict[str, int]:
     return {"recordings": recordings.count(), "rounds": rounds.count(), "states": snapshots.count()}
+
+
+def extend_registry(registry: DataFrame, names: DataFrame) -> DataFrame:
+    """registry (name, id) and the new names of names, numbered on in order of the name. A registry is a list of names: one partition numbers it."""
+    fresh = names.select("name").where("name IS NOT NULL").distinct().join(registry.select("name"), "name", "left_anti")
+    last = registry.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("last"))
+    number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("name"))
+    numbered = fresh.withColumn("n", number).crossJoin(last)  # one row
+    return registry.select("name", "id").union(numbered.select("name", (F.col("last") + F.col("n")).cast("int")))
+
+
+def remap(rows: DataFrame, local: DataFrame, registry: DataFrame, column: str) -> DataFrame:
+    """rows (recording_id, <column>) with a recording's own numbers replaced by the registry's; unknown numbers stay.
+
+    local: recording_id, idx, name.
+    """
+    table = local.join(registry, "name").select("recording_id", F.col("idx").alias(column), F.col("id").alias("_id"))
+    return rows.join(table, ["recording_id", column], "left").withColumn(column, F.coalesce("_id", column)).select(*rows.columns)

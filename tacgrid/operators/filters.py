@@ -74,5 +74,20 @@ def predicate(f: Filters) -> Column:
     return reduce(lambda a, b: a & b, found, F.lit(True))
 
 
+def playable(samples: DataFrame) -> DataFrame:
+    """Samples (team_num, ...) of the two playing sides: no spectators, no null sides."""
+    return samples.where(F.col("team_num").isin(P.T_SIDE, P.CT_SIDE))
+
+
+def searchable(recordings: DataFrame, legacy: bool = True) -> DataFrame:
+    """Recordings (map_name, ...) of the maps in play, and of the older ones that can still be searched."""
+    return recordings.where(F.col("map_name").isin(*P.ACTIVE_MAPS, *(P.LEGACY_MAPS if legacy else ())))
+
+
+def decoded(recordings: DataFrame) -> DataFrame:
+    """Recordings (status, ...) that were read without an error."""
+    return recordings.where("status = 'ok'")
+
+
 def filter_snapshots(index: DataFrame, f: Filters) -> DataFrame:
     return index.where(predicate(f))

@@ -49,7 +49,7 @@ def _merge(areas: pd.DataFrame, edges: pd.DataFrame, k: int | None) -> pd.DataFr
         if i not in alive or s != size[i] or not links[i]:
             continue  # outdated, or without neighbours: set aside
         def pull(j: int, i: int = i) -> tuple[float, float, int]:
-            away = float(np.linalg.norm(centre[i] - centre[j]))
+            away = float(np.linalg.norm(centre[i][:2] - centre[j][:2]))  # in the plane: storeys count by their links alone
             return links[i][j] / (1 + away / 100), -size[j], -j
         j = max(links[i], key=pull)
         keep, gone = min(i, j), max(i, j)
@@ -113,11 +113,22 @@ def geodesics(edges: DataFrame, cap: float = P.GEODESIC_CAP) -> DataFrame:
     return edges.groupBy("map_name").applyInPandas(solve, "map_name string, na int, nb int, d double")
 
 
+def quads(areas: DataFrame) -> DataFrame:
+    """areas with corners resampled to four: the first, the last, and two at equal steps between; four stay as they are."""
+    last = F.size("corners") - 1
+    return areas.withColumn("corners", F.array(*(F.get("corners", F.bround(last * k / 3.0).cast("int")) for k in range(4))))
+
+
+RASTER = "map_name string, ix int, iy int, layer int, node int, z double, x0 double, y0 double, width int, height int"
+
+
 def rasterise(areas: DataFrame, cell: int = P.RASTER_CELL) -> DataFrame:
-    """areas (map_name, area_id, node, z, corners array<struct<x,y>>) -> (map_name, ix, iy, layer, node, z).
+    """areas (map_name, area_id, node, z, corners array<struct<x,y>>) -> RASTER: a row for each layer of a cell that has any.
 
-    A cell belongs to the areas that its centre lies in, and a tiny area marks the cell of its centre. In order of areas,
-    each takes a layer of the cell unless one of a height within RASTER_LAYER_GAP is there; RASTER_LAYERS at most.
+    x0, y0: the raster's origin, RASTER_MARGIN cells beyond the least corner; cells are counted from there. Of each area
+    its quad counts: a cell belongs to the areas that its centre lies in, and a tiny area marks the cell of its centre.
+    In order of areas, each takes a layer of the cell unless one less than RASTER_LAYER_GAP away in height is there;
+    RASTER_LAYERS at most.
     """
 
     def inside(px: np.ndarray, py: np.ndarray, xs: list[float], ys: list[float]) -> np.ndarray:
@@ -131,26 +142,32 @@ def rasterise(areas: DataFrame, cell: int = P.RASTER_CELL) -> DataFrame:
 
     def solve(a: pd.DataFrame) -> pd.DataFrame:
         cells: dict[tuple[int, int], list[tuple[int, float]]] = {}
+        margin = P.RASTER_MARGIN * cell
+        x0, y0 = float(a.low_x.min()) - margin, float(a.low_y.min()) - margin
+        width, height = (math.ceil((float(high) + margin - low) / cell) for high, low in ((a.high_x.max(), x0), (a.high_y.max(), y0)))
         for r in a.sort_values("area_id").itertuples():
-            xs, ys = r.xs.tolist(), r.ys.tolist()
-            ix = np.arange(math.floor(min(xs) / cell), math.floor(max(xs) / cell) + 1)
-            iy = np.arange(math.floor(min(ys) / cell), math.floor(max(ys) / cell) + 1)
+            xs, ys = [x - x0 for x in r.xs.tolist()], [y - y0 for y in r.ys.tolist()]
+            ix = np.arange(max(0, math.floor(min(xs) / cell)), min(width - 1, math.floor(max(xs) / cell)) + 1)
+            iy = np.arange(max(0, math.floor(min(ys) / cell)), min(height - 1, math.floor(max(ys) / cell)) + 1)
             gx, gy = np.meshgrid(ix, iy, indexing="ij")
             hit = inside((gx + 0.5) * cell, (gy + 0.5) * cell, xs, ys)
-            own = list(zip(gx[hit].tolist(), gy[hit].tolist(), strict=True)) or [(math.floor(sum(xs) / len(xs) / cell), math.floor(sum(ys) / len(ys) / cell))]
+            own = list(zip(gx[hit].tolist(), gy[hit].tolist(), strict=True)) or [(int(sum(xs) / len(xs) / cell), int(sum(ys) / len(ys) / cell))]
             for at in own:
                 layers = cells.setdefault(at, [])
-                if len(layers) < P.RASTER_LAYERS and all(abs(z - r.z) > P.RASTER_LAYER_GAP for _, z in layers):
+                if len(layers) < P.RASTER_LAYERS and all(abs(z - r.z) >= P.RASTER_LAYER_GAP for _, z in layers):
                     layers.append((int(r.node), float(r.z)))
-        rows = [(a.map_name.iloc[0], x, y, k, n, z) for (x, y), layers in cells.items() for k, (n, z) in enumerate(layers)]
-        return pd.DataFrame(rows, columns=["map_name", "ix", "iy", "layer", "node", "z"])
+        rows = [(a.map_name.iloc[0], x, y, k, n, z, x0, y0, width, height) for (x, y), layers in cells.items() for k, (n, z) in enumerate(layers)]
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in RASTER.split(", ")])
 
-    flat = areas.select("map_name", "area_id", "node", "z", F.transform("corners", lambda c: c["x"]).alias("xs"), F.transform("corners", lambda c: c["y"]).alias("ys"))
-    return flat.groupBy("map_name").applyInPandas(solve, "map_name string, ix int, iy int, layer int, node int, z double")
+    corner = lambda c, f: f(F.transform("corners", lambda p: p[c]))
+    bounds = [corner(c, f).alias(f"{name}_{c}") for c in "xy" for name, f in (("low", F.array_min), ("high", F.array_max))]
+    flat = quads(areas.select("map_name", "area_id", "node", "z", "corners", *bounds))
+    flat = flat.withColumn("xs", corner("x", lambda c: c)).withColumn("ys", corner("y", lambda c: c)).drop("corners")
+    return flat.groupBy("map_name").applyInPandas(solve, RASTER)
 
 
-#: The order in which a cell looks at its neighbours.
-NEIGHBOURS = ((1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (1, -1), (-1, 1), (-1, -1))
+#: The order in which a cell gives its layers to its neighbours: along x, along y, then the corners.
+NEIGHBOURS = ((1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (-1, 1), (1, -1), (-1, -1))
 
 
 def dilate(raster: DataFrame, rounds: int = P.DILATION_ROUNDS) -> DataFrame:
@@ -160,23 +177,35 @@ def dilate(raster: DataFrame, rounds: int = P.DILATION_ROUNDS) -> DataFrame:
         cells: dict[tuple[int, int], list] = {}
         for row in r.sort_values("layer").itertuples():
             cells.setdefault((row.ix, row.iy), []).append((row.layer, row.node, row.z))
-        lo_x, hi_x, lo_y, hi_y = r.ix.min(), r.ix.max(), r.iy.min(), r.iy.max()
+        about = (r.x0.iloc[0], r.y0.iloc[0], int(r.width.iloc[0]), int(r.height.iloc[0]))
         edge = set(cells)
         for _ in range(rounds):
             fresh: set[tuple[int, int]] = set()
             for dx, dy in NEIGHBOURS:  # later directions see what earlier ones filled
                 for x, y in sorted(edge | fresh):
                     at = (x + dx, y + dy)
-                    if at not in cells and lo_x <= at[0] <= hi_x and lo_y <= at[1] <= hi_y:
+                    if at not in cells and 0 <= at[0] < about[2] and 0 <= at[1] < about[3]:
                         cells[at] = cells[x, y]
                         fresh.add(at)
             if not fresh:
                 break
             edge = fresh
-        rows = [(r.map_name.iloc[0], x, y, *layer) for (x, y), own in cells.items() for layer in own]
-        return pd.DataFrame(rows, columns=["map_name", "ix", "iy", "layer", "node", "z"])
+        rows = [(r.map_name.iloc[0], x, y, *layer, *about) for (x, y), own in cells.items() for layer in own]
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in RASTER.split(", ")])
+
+    return raster.groupBy("map_name").applyInPandas(solve, RASTER)
 
-    return raster.groupBy("map_name").applyInPandas(solve, "map_name string, ix int, iy int, layer int, node int, z double")
+
+def _at_cells(points: DataFrame, raster: DataFrame, cell: int) -> DataFrame:
+    """points with _layers, the layers of their cell (null off the raster): one row of the raster for each cell, so that nothing is grouped by point.
+
+    Cells are counted from the origin and cut towards zero, so a point less than a cell before the origin is in the first one.
+    """
+    cells = raster.groupBy("map_name", F.col("ix").alias("_ix"), F.col("iy").alias("_iy")).agg(F.array_sort(F.collect_list(F.struct("layer", "node", "z"))).alias("_layers"))
+    origin = raster.groupBy("map_name").agg(F.first("x0").alias("_x0"), F.first("y0").alias("_y0"))
+    at = lambda c, o: ((F.col(c) - F.col(o)) / cell).cast("int")
+    placed = points.join(origin, "map_name", "left").withColumn("_ix", at("x", "_x0")).withColumn("_iy", at("y", "_y0"))
+    return placed.join(cells, ["map_name", "_ix", "_iy"], "left")
 
 
 def resolve(points: DataFrame, raster: DataFrame, lower_max: float | None = None, cell: int = P.RASTER_CELL) -> DataFrame:
@@ -184,21 +213,23 @@ def resolve(points: DataFrame, raster: DataFrame, lower_max: float | None = None
 
     A layer is the lower one below lower_max (None: the map has one level); level is lower, upper or null.
     """
-    keyed = points.withColumn("_id", F.monotonically_increasing_id()).withColumn("ix", (F.col("x") / cell).cast("int")).withColumn("iy", (F.col("y") / cell).cast("int"))
-    layers = raster.select("map_name", "ix", "iy", "layer", "node", F.col("z").alias("_z"))
-    other = F.lit(0) if lower_max is None else F.when(F.col("level").isNull() | ((F.col("_z") < lower_max) == (F.col("level") == "lower")), 0).otherwise(1)
-    near = keyed.join(layers, ["map_name", "ix", "iy"], "left").withColumn("_other", other)
-    best = near.groupBy("_id", *points.columns).agg(F.min(F.struct("_other", "layer", "node")).alias("b"))
-    return best.select(*points.columns, F.col("b.node").alias("node"))
+    other = lambda l: F.lit(0) if lower_max is None else F.when(F.col("level").isNull() | ((l["z"] < lower_max) == (F.col("level") == "lower")), 0).otherwise(1)  # noqa: E731, E741
+    best = F.array_min(F.transform("_layers", lambda l: F.struct(other(l).alias("other"), l["layer"].alias("layer"), l["node"].alias("node"))))  # noqa: E741
+    return _at_cells(points, raster, cell).select(*points.columns, best["node"].alias("node"))
 
 
 def locate(points: DataFrame, raster: DataFrame, cell: int = P.RASTER_CELL) -> DataFrame:
-    """points (map_name, x, y, z, ...) and node: of the cell's layers the one nearest in height, ties the lowest; null off the raster.
+    """points (map_name, x, y, z, ...) and node: of the cell's layers the one nearest in height, ties the lowest; null off the raster."""
+    best = F.array_min(F.transform("_layers", lambda l: F.struct(F.abs(l["z"] - F.col("z")).alias("away"), l["layer"].alias("layer"), l["node"].alias("node"))))  # noqa: E741
+    return _at_cells(points, raster, cell).select(*points.columns, best["node"].alias("node"))
+
+
+def build_map(areas: DataFrame, edges: DataFrame, k: int | None = None) -> dict[str, DataFrame]:
+    """All that is derived from the meshes of maps: nodes, centres, geo and a filled raster.
 
-    Cell numbers are cut towards zero.
+    areas: map_name, area_id, size, x, y, z, corners; edges: map_name, a, b.
     """
-    keyed = points.withColumn("_id", F.monotonically_increasing_id()).withColumn("ix", (F.col("x") / cell).cast("int")).withColumn("iy", (F.col("y") / cell).cast("int"))
-    layers = raster.select("map_name", "ix", "iy", "layer", "node", F.col("z").alias("_z"))
-    near = keyed.join(layers, ["map_name", "ix", "iy"], "left").withColumn("_away", F.abs(F.col("_z") - F.col("z")))
-    best = near.groupBy("_id", *points.columns).agg(F.min(F.struct("_away", "layer", "node")).alias("b"))
-    return best.select(*points.columns, F.col("b.node").alias("node"))
+    nodes = cluster_areas(areas, edges, k)
+    centres = node_centres(areas, nodes)
+    raster = dilate(rasterise(areas.select("map_name", "area_id", "z", "corners").join(nodes, ["map_name", "area_id"])))
+    return {"areas": nodes, "centres": centres, "geo": geodesics(node_edges(edges, nodes, centres)), "raster": raster}

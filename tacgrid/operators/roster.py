@@ -38,6 +38,17 @@ def membership(samples: DataFrame) -> DataFrame:
     return votes.where("ct <> t").select("round_id", "player", F.when(F.col("ct") > F.col("t"), "CT").otherwise("T").alias("side"))
 
 
+def last_names(samples: DataFrame, by: list[str], name: str = "name", at: str = "tick") -> DataFrame:
+    """The last name of each group that isn't null; null if there is none. Of several at a tick the last in order."""
+    own = F.struct(at, name)
+    return samples.groupBy(*by).agg(F.max(F.when(F.col(name).isNotNull(), own))[name].alias(name))
+
+
+def not_indexed(rounds: DataFrame, indexed: DataFrame) -> DataFrame:
+    """Rounds (round_id, ...) that indexed (round_id) doesn't name, for membership to be told for."""
+    return rounds.join(indexed.select("round_id"), "round_id", "left_anti")
+
+
 def zone_votes(players: DataFrame) -> DataFrame:
     """players (map_id, node, zone, alive) -> (map_id, node, zone, votes) of those alive on the grid."""
     return players.where("alive AND node IS NOT NULL AND zone IS NOT NULL").groupBy("map_id", "node", "zone").agg(F.count("*").alias("votes"))

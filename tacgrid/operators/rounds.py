@@ -8,33 +8,43 @@ from pyspark.sql import functions as F
 from tacgrid import params as P
 
 
-def build_rounds(freezes: DataFrame, ends: DataFrame) -> DataFrame:
-    """freezes (recording_id, tick, warmup), ends (recording_id, tick, winner, reason) -> numbered valid rounds.
+def build_rounds(freezes: DataFrame, ends: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """freezes (recording_id, tick, warmup), ends (recording_id, tick, winner, reason), starts (recording_id, tick) -> numbered valid rounds.
 
-    A round's freeze is the last one since the end before, or since the match's first tick, and before its own end. It
-    counts if a side won and it lasted MIN_ROUND_SECONDS or more. Freezes of the warm-up don't count (null: not one).
+    Only ends that a side won count, and only what follows a recording's last start (none: all from tick 0). A round's
+    freeze is the last one since the end before, or since the start, and before its own end. It counts if it lasted
+    MIN_ROUND_SECONDS or more. Freezes of the warm-up don't count (null: not one). Of several ends at a tick the first by
+    winner and reason counts.
     """
+
+    def with_start(own: DataFrame) -> DataFrame:
+        if starts is None:
+            return own.withColumn("_start", F.lit(0).cast("long"))
+        last = starts.groupBy("recording_id").agg(F.max("tick").alias("_start"))
+        return own.join(last, "recording_id", "left").withColumn("_start", F.coalesce("_start", F.lit(0)))
+
     live = freezes.where(~F.coalesce("warmup", F.lit(False))).select("recording_id", F.col("tick").alias("freeze"))
-    w = Window.partitionBy("recording_id").orderBy("tick")
-    known = ends.withColumn("before", F.coalesce(F.lag("tick").over(w), F.lit(0)))
+    won = with_start(ends).where(F.col("winner").isin("CT", "T") & (F.col("tick") > F.col("_start")))
+    w = Window.partitionBy("recording_id").orderBy("tick", "winner", "reason")
+    known = won.withColumn("before", F.coalesce(F.lag("tick").over(w), F.col("_start")))
     pairs = known.join(live, "recording_id").where((F.col("freeze") >= F.col("before")) & (F.col("freeze") < F.col("tick")))
     found = pairs.groupBy("recording_id", F.col("tick").alias("end_tick"), "winner", "reason").agg(F.max("freeze").alias("freeze"))
-    valid = found.where(F.col("winner").isin("CT", "T") & (F.col("end_tick") - F.col("freeze") >= P.MIN_ROUND_SECONDS * P.TICKRATE))
+    valid = found.where(F.col("end_tick") - F.col("freeze") >= P.MIN_ROUND_SECONDS * P.TICKRATE)
     number = F.row_number().over(Window.partitionBy("recording_id").orderBy("end_tick")).cast("int")
     return valid.withColumn("round_no", number).withColumn("is_pistol", F.col("round_no").isin(*P.PISTOL_ROUNDS))
 
 
 def attach_round(events: DataFrame, rounds: DataFrame, by: list[str] | None = None, inclusive: bool = True) -> DataFrame:
-    """The round that an event falls in: the last freeze up to it, if the round hasn't ended.
+    """The round that an event falls in: the last freeze up to it, if the round hasn't ended. Equal events stay as many.
 
-    Events at a round's last tick belong to it; samples (inclusive=False) don't. by: further equal columns, such as the recording.
+    Events at a round's last tick belong to it; samples (inclusive=False) don't. by: further equal columns, such as the
+    recording. Rounds don't overlap but for one tick, so looking ahead to the next freeze is a window over rounds alone.
     """
+    following = F.lead("freeze").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("freeze"))
+    known = rounds.withColumn("_next", following)
     upto = F.col("tick") <= F.col("end_tick") if inclusive else F.col("tick") < F.col("end_tick")
-    between = (F.col("tick") >= F.col("freeze")) & upto
-    pairs = events.join(rounds, by).where(between) if by else events.join(rounds, between)
-    keys = [c for c in events.columns]
-    latest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("freeze")))
-    return pairs.withColumn("_n", latest).where("_n = 1").drop("_n")
+    between = (F.col("tick") >= F.col("freeze")) & upto & (F.col("_next").isNull() | (F.col("tick") < F.col("_next")))
+    return (events.join(known, by).where(between) if by else events.join(known, between)).drop("_next")
 
 
 def attach_plants(plants: DataFrame, rounds: DataFrame) -> DataFrame:
@@ -74,6 +84,18 @@ def carry_forward(samples: DataFrame, plants: DataFrame | None = None) -> DataFr
     return found.join(plants, "round_id", "left").select(*samples.columns, own("x"), own("y"))
 
 
+def backfill_reasons(rounds: DataFrame, ends: DataFrame) -> DataFrame:
+    """rounds (recording_id, end_tick, win_reason, ...) with missing reasons from ends (recording_id, tick, reason).
+
+    Only the end at the round's own tick counts; reasons that aren't known are none. Of several the first by name.
+    """
+    from tacgrid.functions.scalar import reason_of
+
+    known = ends.select("recording_id", F.col("tick").alias("end_tick"), reason_of(F.col("reason")).alias("_reason")).where("_reason IS NOT NULL")
+    known = known.groupBy("recording_id", "end_tick").agg(F.min("_reason").alias("_reason"))
+    return rounds.join(known, ["recording_id", "end_tick"], "left").withColumn("win_reason", F.coalesce("win_reason", "_reason")).select(*rounds.columns)
+
+
 def equipment(samples: DataFrame, grid: DataFrame) -> DataFrame:
     """(round_id, side, equip) at the buy tick. samples: round_id, tick, side, value."""
     at = grid.where("is_buy").select("round_id", "tick")

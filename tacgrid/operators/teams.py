@@ -33,6 +33,13 @@ def directory(appearances: DataFrame) -> DataFrame:
     return appearances.groupBy("pid").agg(latest.alias("name"), F.count_distinct("recording_id").alias("n_recordings"))
 
 
+def canonical(names: DataFrame, aliases: DataFrame, name: str = "team") -> DataFrame:
+    """names with each alias replaced by its team's own name, whatever its case; aliases: alias, canonical (a list of names)."""
+    known = aliases.groupBy(F.lower("alias").alias("_alias")).agg(F.min("canonical").alias("_own"))
+    joined = names.join(known, F.lower(F.col(name)) == F.col("_alias"), "left")
+    return joined.withColumn(name, F.coalesce("_own", name)).select(*names.columns)
+
+
 def check_core(name: str, players: list[str], known: DataFrame, cores: DataFrame, core_id: int | None = None, members: DataFrame | None = None) -> list[str]:
     """What is wrong with a core to be saved; empty if nothing is. known: pid; cores: core_id, name; members: core_id, pid."""
     spark, wrong = known.sparkSession, []

@@ -30,6 +30,11 @@ RASTER_CELL = 16
 RASTER_LAYERS = 3
 RASTER_LAYER_GAP = 64.0
 DILATION_ROUNDS = 80
+RASTER_MARGIN = 2
+ACTIVE_MAPS = ("de_ancient", "de_anubis", "de_cache", "de_dust2", "de_inferno", "de_mirage", "de_nuke")
+LEGACY_MAPS = ("de_overpass",)
+#: Recorded names that say nothing about who plays.
+GENERIC_NAMES = ("unknown", "ct", "t", "terrorists", "counter-terrorists")
 FINGERPRINT_BYTES = 4 << 20
 CT_REASONS = ("t_killed", "bomb_defused", "time_ran_out")
 T_REASONS = ("ct_killed", "bomb_exploded")

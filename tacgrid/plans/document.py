@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from tacgrid import params as P
 from tacgrid.operators import playback
 
-#: Recorded names that say nothing about who plays.
-GENERIC = ("unknown", "ct", "t", "terrorists", "counter-terrorists")
 
 
 def score_keys(ct: Column, t: Column, ct_label: Column, t_label: Column) -> tuple[Column, Column]:
@@ -20,7 +18,7 @@ def score_keys(ct: Column, t: Column, ct_label: Column, t_label: Column) -> tupl
     The recorded name, unless it is blank or generic; else the core's label. If only one side has a name, the other is
     that side's opponent, and so is followed over half-time.
     """
-    plain = lambda own, label: F.when((F.coalesce(own, F.lit("")) != "") & ~F.lower(own).isin(*GENERIC), own).otherwise(label)
+    plain = lambda own, label: F.when((F.coalesce(own, F.lit("")) != "") & ~F.lower(own).isin(*P.GENERIC_NAMES), own).otherwise(label)
     a, b = plain(ct, ct_label), plain(t, t_label)
     key = lambda kind, name: F.struct(F.lit(kind).alias("kind"), name.alias("name"))
     side = lambda own, other: F.when(own.isNotNull(), key("team", own)).when(other.isNotNull(), key("opponent", other))

@@ -68,13 +68,15 @@ TABLES = {
           row_number() OVER (PARTITION BY p.prefix, p.day ORDER BY p.part, r.recording_id, r.round_no) END AS INT) AS match_round
         FROM plain_rounds r JOIN parts p USING (recording_id)""",
     "ev": "SELECT event_id, user_id AS recording_id, CAST(floor(epoch(ts)) AS BIGINT) AS tick, event_id % 7 AS kind FROM events",
+    "live": "SELECT recording_id, max(tick) AS live FROM ev WHERE kind = 6 AND event_id % 5 = 0 AND recording_id % 4 = 0 GROUP BY recording_id",
     "built": """SELECT *, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY end_tick) AS INT) AS round_no FROM (
         SELECT e.recording_id, e.tick AS end_tick, e.winner, max(f.tick) AS freeze
-        FROM (SELECT recording_id, tick, CASE event_id % 3 WHEN 0 THEN 'CT' WHEN 1 THEN 'T' END AS winner,
-                     coalesce(lag(tick) OVER (PARTITION BY recording_id ORDER BY tick), 0) AS before FROM ev WHERE kind = 3) e
+        FROM (SELECT *, coalesce(lag(tick) OVER (PARTITION BY recording_id ORDER BY tick, winner), live) AS before FROM (
+                SELECT x.recording_id, x.tick, CASE x.event_id % 3 WHEN 0 THEN 'CT' WHEN 1 THEN 'T' END AS winner, coalesce(l.live, 0) AS live
+                FROM ev x LEFT JOIN live l ON l.recording_id = x.recording_id WHERE x.kind = 3) WHERE winner IS NOT NULL AND tick > live) e
         JOIN (SELECT recording_id, tick FROM ev WHERE kind = 0 AND event_id % 5 <> 0) f
           ON f.recording_id = e.recording_id AND f.tick >= e.before AND f.tick < e.tick
-        GROUP BY ALL) WHERE winner IN ('CT', 'T') AND end_tick - "freeze" >= 640""",
+        GROUP BY ALL) WHERE end_tick - "freeze" >= 640""",
     "timed": "SELECT round_id, round_id % 3 * 64 AS freeze, CAST(round_id % 3 * 64 + max(sec) * 64 + 1 AS BIGINT) AS end_tick FROM states GROUP BY round_id",
 }
 

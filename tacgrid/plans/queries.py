@@ -83,7 +83,7 @@ def active_utility(spark, d):
 
 # Rounds from events.
 def built_rounds(spark, d):
-    return rounds.build_rounds(X.freezes(spark, d), X.ends(spark, d)).withColumn("round_id", F.col("recording_id") * 1000 + F.col("round_no"))
+    return rounds.build_rounds(X.freezes(spark, d), X.ends(spark, d), X.starts(spark, d)).withColumn("round_id", F.col("recording_id") * 1000 + F.col("round_no"))
 
 
 @query(O.with_tables('SELECT recording_id, round_no, "freeze", end_tick, winner, round_no IN (1, 13) AS is_pistol FROM built'))
@@ -91,7 +91,7 @@ def round_build(spark, d):
     return built_rounds(spark, d).select("recording_id", "round_no", "freeze", "end_tick", "winner", "is_pistol")
 
 
-@query(O.with_tables("SELECT e.event_id, b.round_no, e.tick - b.freeze AS since FROM ev e JOIN built b ON b.recording_id = e.recording_id AND e.tick BETWEEN b.freeze AND b.end_tick WHERE e.kind NOT IN (0, 3)"))
+@query(O.with_tables("SELECT e.event_id, b.round_no, e.tick - b.freeze AS since FROM ev e JOIN built b ON b.recording_id = e.recording_id AND e.tick BETWEEN b.freeze AND b.end_tick WHERE e.kind NOT IN (0, 3) QUALIFY row_number() OVER (PARTITION BY e.event_id ORDER BY b.freeze DESC) = 1"))
 def event_to_round(spark, d):
     own = X.events(spark, d).where("kind NOT IN (0, 3)")
     return rounds.attach_round(own, built_rounds(spark, d).select("recording_id", "round_no", "freeze", "end_tick"), ["recording_id"]).select("event_id", "round_no", (F.col("tick") - F.col("freeze")).alias("since"))
@@ -106,6 +106,29 @@ def plant_attach(spark, d):
     return rounds.attach_plants(plants, built_rounds(spark, d))
 
 
+@query(O.with_tables("""SELECT recording_id * 1000 + round_no AS round_id, count(*) AS n, string_agg(CAST(rel AS VARCHAR) || ':' || CAST(slot AS VARCHAR), ',' ORDER BY rel, slot) AS shots FROM (
+  SELECT b.recording_id, b.round_no, e.tick - b.freeze AS rel, e.event_id % 4 AS slot
+  FROM (SELECT e.* FROM ev e CROSS JOIN range(2) c(k) WHERE e.kind IN (4, 6) AND (c.k = 0 OR e.event_id % 2 = 0)) e
+  JOIN built b ON b.recording_id = e.recording_id AND e.tick BETWEEN b.freeze AND b.end_tick
+  WHERE e.event_id % 5 IN (0, 3) AND e.event_id % 4 < 3 AND e.tick - b.freeze <= 65535) GROUP BY ALL"""))
+def shot_lists(spark, d):
+    """Every second shot is there twice: equal events are as many shots."""
+    weapon = F.get(F.array(*map(F.lit, ("weapon_ak47", "weapon_knife_t", "weapon_c4", "m4a1", "weapon_smokegrenade"))), (F.col("event_id") % 5).cast("int"))
+    fire = X.events(spark, d).where("kind IN (4, 6)").select("event_id", "recording_id", "tick", F.concat(F.lit("p"), (F.col("event_id") % 4).cast("string")).alias("player"), weapon.alias("weapon"))
+    fire = fire.union(fire.where("event_id % 2 = 0")).drop("event_id")
+    slots = X.recordings(spark, d).select("recording_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("slot")).select("recording_id", F.concat(F.lit("p"), F.col("slot").cast("string")).alias("player"), "slot")
+    found = rounds.shots(fire, built_rounds(spark, d), slots)
+    text = F.transform("shots", lambda s: F.concat_ws(":", s["rel"].cast("string"), s["slot"].cast("string")))
+    return found.select("round_id", F.size("shots").cast("long").alias("n"), F.array_join(text, ",").alias("shots"))
+
+
+@query(O.with_tables("SELECT round_id, coalesce(win_reason, CASE WHEN round_id % 6 = 0 THEN 't_killed' WHEN round_id % 6 = 3 THEN 'bomb_exploded' END) AS win_reason FROM plain_rounds"))
+def reason_backfill(spark, d):
+    own = X.plain_rounds(spark, d).withColumn("end_tick", F.col("round_id") * 64)
+    raw = F.get(F.array(*map(F.lit, ("t_killed", "other", None, "bomb_exploded", "", None))), (F.col("round_id") % 6).cast("int"))
+    return rounds.backfill_reasons(own, own.select("recording_id", F.col("end_tick").alias("tick"), raw.alias("reason"))).select("round_id", "win_reason")
+
+
 @query(O.with_tables("""SELECT util_id, recording_id * 1000 + round_no AS round_id, kind, start_sec,
   greatest(start_sec, CAST(round_even((least(CASE WHEN expire > tick THEN expire ELSE tick + CASE kind WHEN 'smoke' THEN 20 ELSE 7 END * 64 END, end_tick) - "freeze") / 64, 0) AS INT)) AS end_sec
 FROM (SELECT e.event_id AS util_id, b.recording_id, b.round_no, b.freeze, b.end_tick, e.tick, CASE e.event_id % 2 WHEN 0 THEN 'smoke' ELSE 'molly' END AS kind,
@@ -161,6 +184,48 @@ def player_sides(spark, d):
     return roster.player_sides(X.states(spark, d).select("round_id", (F.col("s") % 7).alias("player"), F.when(F.col("p") % 2 == 0, "CT").otherwise("T").alias("side")))
 
 
+@query(O.with_tables("SELECT r.recording_id, s.p % 17 AS player, arg_max('n' || CAST(s.s % 5 AS VARCHAR), struct_pack(a := s.sec, b := 'n' || CAST(s.s % 5 AS VARCHAR))) FILTER (s.s % 3 <> 0) AS name FROM states s JOIN plain_rounds r USING (round_id) GROUP BY ALL"))
+def last_names(spark, d):
+    own = X.states(spark, d).join(X.plain_rounds(spark, d).select("round_id", "recording_id"), "round_id")
+    name = F.when(F.col("s") % 3 != 0, F.concat(F.lit("n"), (F.col("s") % 5).cast("string")))
+    return roster.last_names(own.select("recording_id", (F.col("p") % 17).alias("player"), name.alias("name"), F.col("sec").alias("tick")), ["recording_id", "player"])
+
+
+@query(O.with_tables("SELECT r.round_id, v.player, v.side FROM plain_rounds r JOIN (SELECT round_id, player, CASE WHEN c > t THEN 'CT' ELSE 'T' END AS side FROM (SELECT round_id, s % 7 AS player, count(*) FILTER (p % 2 = 0) AS c, count(*) FILTER (p % 2 = 1) AS t FROM states GROUP BY ALL) WHERE c <> t) v USING (round_id) WHERE r.recording_id % 3 <> 0"))
+def membership_new(spark, d):
+    """Membership of the rounds that aren't indexed yet: those of two recordings in three."""
+    own = X.plain_rounds(spark, d)
+    fresh = roster.not_indexed(own, own.where("recording_id % 3 = 0")).select("round_id")
+    samples = X.states(spark, d).join(fresh, "round_id")
+    return roster.membership(samples.select("round_id", (F.col("s") % 7).alias("player"), F.when(F.col("p") % 2 == 0, "CT").otherwise("T").alias("side")))
+
+
+@query(O.with_tables("""SELECT a.recording_id, CASE a.map_id WHEN 0 THEN 'de_nuke' WHEN 1 THEN 'de_overpass' WHEN 2 THEN 'de_train' ELSE 'de_dust2' END AS map_name, count(*) AS n FROM recordings a JOIN plain_rounds r USING (recording_id) JOIN states s USING (round_id)
+WHERE a.map_id <> 2 AND a.recording_id % 5 <> 0 AND s.s % 4 IN (2, 3) GROUP BY ALL"""))
+def playable_samples(spark, d):
+    """Samples of the playing sides, of searchable maps, of recordings without an error."""
+    maps = F.get(F.array(*map(F.lit, ("de_nuke", "de_overpass", "de_train", "de_dust2"))), F.col("map_id"))
+    own = X.recordings(spark, d).select("recording_id", maps.alias("map_name"), F.when(F.col("recording_id") % 5 == 0, "error").otherwise("ok").alias("status"))
+    kept = filters.decoded(filters.searchable(own))
+    samples = filters.playable(X.states(spark, d).withColumn("team_num", F.col("s") % 4)).join(X.plain_rounds(spark, d).select("round_id", "recording_id"), "round_id")
+    return samples.join(kept, "recording_id").groupBy("recording_id", "map_name").agg(F.count("*").alias("n"))
+
+
+_LOCAL = "SELECT recording_id, CAST(k AS INT) AS idx, 'place_' || CAST((recording_id + 3 * k) % 23 AS VARCHAR) AS name FROM recordings CROSS JOIN range(6) x(k)"
+_REGISTRY = "SELECT 'place_' || CAST(3 * k AS VARCHAR) AS name, CAST(k AS INT) AS id FROM range(5) x(k)"
+_GLOBAL = "SELECT * FROM registry UNION ALL SELECT name, CAST(4 + row_number() OVER (ORDER BY name) AS INT) FROM (SELECT DISTINCT name FROM loc WHERE name NOT IN (SELECT name FROM registry))"
+
+
+@query(O.with_tables("SELECT s.state_id, CAST(coalesce(g.id, s.p % 8) AS INT) AS place FROM states s JOIN plain_rounds r USING (round_id) LEFT JOIN loc l ON l.recording_id = r.recording_id AND l.idx = s.p % 8 LEFT JOIN known g ON g.name = l.name", loc=_LOCAL, registry=_REGISTRY, known=_GLOBAL))
+def place_remap(spark, d):
+    """A recording's own place numbers become those of a shared registry, which grows by the names it lacks."""
+    k = F.col("idx")
+    local = X.recordings(spark, d).select("recording_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("idx")).withColumn("name", F.concat(F.lit("place_"), ((F.col("recording_id") + k * 3) % 23).cast("string")))
+    start = spark.range(5).select(F.concat(F.lit("place_"), (F.col("id") * 3).cast("string")).alias("name"), F.col("id").cast("int").alias("id"))
+    rows = X.states(spark, d).join(X.plain_rounds(spark, d).select("round_id", "recording_id"), "round_id").select("state_id", "recording_id", (F.col("p") % 8).cast("int").alias("place"))
+    return catalog.remap(rows, local, catalog.extend_registry(start, local), "place").select("state_id", "place")
+
+
 def zone_rows(spark, d):
     zone = F.concat(F.lit("zone_"), ((F.col("state_id") + F.col("slot")) % 6).cast("string"))
     return X.players(spark, d).join(X.rounds(spark, d).select("round_id", "map_id"), "round_id").select("map_id", "node", zone.alias("zone"), "alive")
@@ -215,11 +280,11 @@ def chamfer_topk(spark, d):
     return recall.cheapest(recalled(spark, d).select("state_id", "cost")).select("state_id", six("cost").alias("cost"))
 
 
-@query(O.with_tables("SELECT state_id, round(cost, 6) AS cost FROM a", h="SELECT state_id FROM states WHERE p % 10 = 0", a=O.assignment(ON_CT, "CT", "h")))
+@query(O.with_tables("SELECT state_id, round(cost, 6) AS cost FROM a", h="SELECT state_id FROM states", a=O.assignment(ON_CT, "CT", "h")))
 def assignment_rerank(spark, d):
     lib = library(spark, d, False)
     geo = recall.Geodesics.read(lib.geo, {m.node for m in ON_CT})
-    hits = X.states(spark, d).where("p % 10 = 0").select("state_id")
+    hits = X.states(spark, d).select("state_id")
     return Q.rerank(lib, Q.Request(tuple(ON_CT)), hits, geo).select("state_id", six("score").alias("cost"))
 
 
@@ -314,7 +379,7 @@ def stats_reasons(spark, d):
     return stats.win_reasons(matched_rounds(spark, d))
 
 
-@query(O.with_tables("SELECT side, CAST(place AS INT) AS place, team, n FROM (SELECT *, row_number() OVER (PARTITION BY side ORDER BY n DESC, first, team) AS place FROM (SELECT side, team, count(*) AS n, min(round_id) AS first FROM (SELECT 'CT' AS side, ct_team AS team, round_id FROM mr UNION ALL SELECT 'T', t_team, round_id FROM mr) WHERE team IS NOT NULL GROUP BY ALL)) WHERE place <= 3", **_REPS))
+@query(O.with_tables("SELECT 'CT' AS side, CAST(place AS INT) AS place, team, n FROM (SELECT team, n, row_number() OVER (ORDER BY n DESC, first, team) AS place FROM (SELECT ct_team AS team, count(*) AS n, min(round_id) AS first FROM mr WHERE ct_team IS NOT NULL GROUP BY ct_team)) WHERE place <= 3 UNION ALL SELECT 'T', CAST(place AS INT), team, n FROM (SELECT team, n, row_number() OVER (ORDER BY n DESC, first, team) AS place FROM (SELECT t_team AS team, count(*) AS n, min(round_id) AS first FROM mr WHERE t_team IS NOT NULL GROUP BY t_team)) WHERE place <= 3", **_REPS))
 def stats_top_teams(spark, d):
     return stats.top_teams(matched_rounds(spark, d))
 
@@ -443,9 +508,9 @@ def bomb_carrier(spark, d):
 @query(O.with_tables("""SELECT round_id, player, round(sec + coalesce((nsec - sec) * k / 4.0, 0), 6) AS sec, round(x + coalesce((nx - x) * k / 4.0, 0), 6) AS x,
   round(CASE WHEN nyaw IS NULL THEN yaw ELSE ((yaw + ((((nyaw - yaw + 540.0) % 360.0) + 360.0) % 360.0 - 180.0) * k / 4.0) % 360.0 + 360.0) % 360.0 END, 6) AS yaw
 FROM (SELECT *, unnest(range(CASE WHEN nsec IS NULL THEN 1 ELSE 4 END)) AS k FROM (SELECT *, lead(sec) OVER w AS nsec, lead(x) OVER w AS nx, lead(yaw) OVER w AS nyaw FROM (
-  SELECT round_id, slot AS player, CAST(sec AS DOUBLE) AS sec, x, CAST(node * 3 AS DOUBLE) AS yaw FROM players WHERE slot IN (0, 7) AND round_id % 10 = 0) WINDOW w AS (PARTITION BY round_id, player ORDER BY sec)))"""))
+  SELECT round_id, slot AS player, CAST(sec AS DOUBLE) AS sec, x, CAST(node * 3 AS DOUBLE) AS yaw FROM players) WINDOW w AS (PARTITION BY round_id, player ORDER BY sec)))"""))
 def frames_tween(spark, d):
-    frames = X.players(spark, d).where("slot IN (0, 7) AND round_id % 10 = 0").select("round_id", F.col("slot").alias("player"), F.col("sec").cast("double").alias("sec"), "x", "y", (F.col("node") * 3).cast("double").alias("yaw"))
+    frames = X.players(spark, d).select("round_id", F.col("slot").alias("player"), F.col("sec").cast("double").alias("sec"), "x", "y", (F.col("node") * 3).cast("double").alias("yaw"))
     return playback.tween(frames).select("round_id", "player", six("sec").alias("sec"), six("x").alias("x"), six("yaw").alias("yaw"))
 
 
@@ -485,11 +550,11 @@ def grid_areas(spark):
     )
 
 
-@query(O.with_tables("""SELECT p.state_id, p.slot, min(struct_pack(a := abs(c.z - p.z), l := c.layer, n := c.node)).n AS node FROM (SELECT state_id, slot, trunc((x + 100) / 16) AS ix, trunc((y + 100) / 16) AS iy, CAST(slot * 30 AS DOUBLE) AS z FROM players) p
-LEFT JOIN (SELECT i.n AS ix, j.n AS iy, CAST(a.n AS INT) AS node, f.n AS layer, f.n * 200.0 AS z FROM range(90) i(n) CROSS JOIN range(90) j(n) JOIN range(120) a(n) ON (i.n + 0.5) * 16 >= a.n % 12 * 100 AND (i.n + 0.5) * 16 < a.n % 12 * 100 + 80 AND (j.n + 0.5) * 16 >= a.n // 12 * 100 AND (j.n + 0.5) * 16 < a.n // 12 * 100 + 80
+@query(O.with_tables("""SELECT p.state_id, p.slot, min(struct_pack(a := abs(c.z - p.z), l := c.layer, n := c.node)).n AS node FROM (SELECT state_id, slot, trunc((x + 32) / 16) AS ix, trunc((y + 32) / 16) AS iy, CAST(slot * 30 AS DOUBLE) AS z FROM players) p
+LEFT JOIN (SELECT i.n AS ix, j.n AS iy, CAST(a.n AS INT) AS node, f.n AS layer, f.n * 200.0 AS z FROM range(90) i(n) CROSS JOIN range(90) j(n) JOIN range(120) a(n) ON (i.n + 0.5) * 16 - 32 >= a.n % 12 * 100 AND (i.n + 0.5) * 16 - 32 < a.n % 12 * 100 + 80 AND (j.n + 0.5) * 16 - 32 >= a.n // 12 * 100 AND (j.n + 0.5) * 16 - 32 < a.n // 12 * 100 + 80
   JOIN range(2) f(n) ON f.n = 0 OR a.n % 5 = 0) c ON c.ix = p.ix AND c.iy = p.iy GROUP BY ALL"""))
 def point_to_node(spark, d):
-    points = X.players(spark, d).select(F.lit("grid").alias("map_name"), "state_id", "slot", (F.col("x") + 100).alias("x"), (F.col("y") + 100).alias("y"), (F.col("slot") * 30).cast("double").alias("z"))
+    points = X.players(spark, d).select(F.lit("grid").alias("map_name"), "state_id", "slot", "x", "y", (F.col("slot") * 30).cast("double").alias("z"))
     return navmesh.locate(points, navmesh.rasterise(grid_areas(spark))).select("state_id", "slot", "node")
 
 
@@ -510,11 +575,10 @@ def recording_rounds(spark, d):
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 3 THEN 'CT' WHEN 2 THEN 'T' END AS side, greatest(0, 115 - CAST(o_orderkey % 150 AS INT)) AS clock_left,
   CAST(round_even(o_totalprice / 64, 0) AS INT) AS second, CAST(greatest(least(round_even(o_totalprice - 100000, 0), 32767), -32768) AS SMALLINT) AS q16,
-  CAST(round_even((o_totalprice % 360) / 360.0 * 255.0, 0) AS SMALLINT) AS yaw, CAST(o_orderkey % 150 // 60 AS VARCHAR) || ':' || lpad(CAST(o_orderkey % 60 % 150 AS VARCHAR), 2, '0') AS clock
-FROM (SELECT *, o_orderkey % 150 AS t FROM orders) WHERE t < 60""")
+  CAST(round_even((o_totalprice % 360) / 360.0 * 255.0, 0) AS SMALLINT) AS yaw, CAST(t // 60 AS VARCHAR) || ':' || lpad(CAST(t % 60 AS VARCHAR), 2, '0') AS clock
+FROM (SELECT *, o_orderkey % 150 AS t FROM orders)""")
 def scalar_functions(spark, d):
-    orders = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 150 < 60")
-    return scalars(orders, F.format_string("%d:%02d", F.lit(0), (F.col("o_orderkey") % 60).cast("int")))
+    return scalars(spark.read.parquet(f"{d}/orders.parquet"), S.clock(F.col("o_orderkey") % 150))
 
 
 def scalars(orders, clock):

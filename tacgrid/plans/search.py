@@ -91,8 +91,7 @@ def search(lib: Library, request: Request) -> DataFrame:
 
 def hydrate(found: DataFrame, lib: Library) -> DataFrame:
     """Moments with the round's columns and the players of their best state, coordinates to one decimal."""
-    own = F.broadcast(found)
     rounded = lambda p: F.struct(p["slot"].alias("slot"), p["side"].alias("side"), p["alive"].alias("alive"), p["node"].alias("node"), F.bround(p["x"], 1).alias("x"), F.bround(p["y"], 1).alias("y"))
     each = lib.players(found.select("state_id")).select("state_id", F.sort_array(F.transform("players", rounded)).alias("players"))
-    about = lib.index.select("state_id", "recording_id", "map_id", "winner", "ct_team", "t_team", "planted").join(own, "state_id")
+    about = lib.index.select("state_id", "recording_id", "map_id", "winner", "ct_team", "t_team", "planted").join(found, "state_id")
     return about.join(each, "state_id", "left").withColumn("score", F.bround("score", 1))

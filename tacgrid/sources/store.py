@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TABLES = ("recordings", "rounds", "snapshots", "eliminations", "utility_events", "roster", "round_sides", "zone_votes", "errors")
+#: What is derived from maps, partitioned by map.
+MAPS = ("areas", "centres", "geo", "raster")
 
 
 class Library:
@@ -29,6 +31,18 @@ class Library:
             raise ValueError(f"no table {table}")
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("recording_id").parquet(f"{self.root}/{table}")
 
+    def write_all(self, tables: dict[str, DataFrame]) -> None:
+        """Recordings with all their tables: first those that hang on a recording, last the recordings themselves, by which they are found."""
+        for name in sorted(tables, key=lambda t: t == "recordings"):
+            self.write(name, tables[name])
+
+    def write_map(self, made: dict[str, DataFrame]) -> None:
+        """What navmesh.build_map makes; other maps stay."""
+        for name, rows in made.items():
+            if name not in MAPS:
+                raise ValueError(f"no table {name}")
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("map_name").parquet(f"{self.root}/{name}")
+
     def read(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{table}")
 

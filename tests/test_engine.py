@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tacgrid.functions import scalar as S
 from tacgrid.operators import filters, moments, navmesh, playback, recall, rerank, roster, rounds, stats, teams, utility
 from tacgrid.plans import search as Q
+from tacgrid.sources import store
 
 
 def one(spark, *columns):
@@ -29,7 +30,7 @@ def test_scalars(spark):
     assert list(one(spark, *(S.quantise_yaw(lit(v)) for v in (0.0, -90.0, 360.0)))) == [0, 191, 0]
     assert list(one(spark, *(S.clock(lit(v)) for v in (-3, 65, 600)))) == ["0:00", "1:05", "10:00"]
     assert one(spark, S.clock_left(lit(120)))[0] == 0
-    assert list(one(spark, *S.token(F.array(lit(9), lit(None), lit(3), lit(7), lit(1), lit(2), lit(0)), 5))) == [1, 2, 3, 7, 9]
+    assert list(one(spark, *S.token(F.array(lit(9), lit(None), lit(3), lit(7), lit(1), lit(2), lit(0)), 5))) == [0, 1, 2, 3, 7]
     assert one(spark, S.thin_path(F.array(*map(lit, range(10)))))[0] == [0, 4, 8, 9]
     assert list(one(spark, *S.first_teams(F.array(lit(" b"), lit(""), lit("a"), lit("b"), lit("c"))))) == ["a", "b"]
     assert list(one(spark, *S.teams_from_file(lit("big-team-VS-other-m2-map.dem")), *S.teams_from_file(lit("x.dem")))) == ["big team", "other", None, None]
@@ -160,6 +161,21 @@ def test_rounds_from_events(spark):
     assert rows == [(2, 1, 10, 650, True)]
 
 
+def test_rounds_skip_winnerless_ends_and_what_lies_before_a_start(spark):
+    freezes = [(1, 100, None), (2, 100, None), (2, 3000, None), (2, 9000, None), (3, 50, None)]
+    ends = [(1, 500, None, None), (1, 2000, "CT", None), (2, 2000, "T", None), (2, 4500, "T", None), (2, 9900, "CT", None), (3, 1000, "T", "a"), (3, 1000, "CT", "b"), (3, 1000, "CT", "b")]
+    starts = spark.createDataFrame([(2, 3000), (2, 2500), (9, 1)], "recording_id long, tick long")
+    got = rounds.build_rounds(spark.createDataFrame(freezes, "recording_id long, tick long, warmup boolean"), spark.createDataFrame(ends, "recording_id long, tick long, winner string, reason string"), starts)
+    rows = sorted((r["recording_id"], r["round_no"], r["freeze"], r["end_tick"], r["winner"]) for r in got.collect())
+    assert rows == [(1, 1, 100, 2000, "CT"), (2, 1, 3000, 4500, "T"), (2, 2, 9000, 9900, "CT"), (3, 1, 50, 1000, "CT")]
+
+
+def test_equal_events_stay_as_many(spark):
+    r = spark.createDataFrame([(1, 1, 100, 200), (1, 2, 200, 300)], "recording_id long, round_id long, freeze long, end_tick long")
+    e = spark.createDataFrame([(1, 150), (1, 150), (1, 200), (1, 200)], "recording_id long, tick long")
+    assert sorted(x["round_id"] for x in rounds.attach_round(e, r, ["recording_id"]).collect()) == [1, 1, 2, 2]
+
+
 def test_attach_round_edges(spark):
     r = spark.createDataFrame([(1, 1, 100, 200), (1, 2, 200, 300)], "recording_id long, round_id long, freeze long, end_tick long")
     e = spark.createDataFrame([(1, t) for t in (99, 100, 200, 300, 301)], "recording_id long, tick long")
@@ -291,20 +307,108 @@ def test_clusters(spark):
     assert (navmesh.default_k(10), navmesh.default_k(2000), navmesh.default_k(9999)) == (60, 100, 180)
 
 
-def test_raster(spark):
-    square = lambda x, y, s: [(x, y), (x + s, y), (x + s, y + s), (x, y + s)]
-    rows = [("m", 1, 0, 0.0, square(0.0, 0.0, 64.0)), ("m", 2, 1, 200.0, square(0.0, 0.0, 32.0)), ("m", 3, 2, 30.0, square(0.0, 0.0, 32.0)), ("m", 4, 3, 0.0, square(160.5, 0.5, 2.0))]
-    raster = navmesh.rasterise(spark.createDataFrame(rows, "map_name string, area_id long, node int, z double, corners array<struct<x:double,y:double>>"))
+def plain_raster(areas, cell=16, layers=3, gap=64.0, margin=2):
+    """Cell by cell: (origin, width, height, {(ix, iy): [(node, z)]})."""
+    xs, ys = [x for a in areas for x, _ in a[3]], [y for a in areas for _, y in a[3]]
+    x0, y0 = min(xs) - margin * cell, min(ys) - margin * cell
+    w, h = math.ceil((max(xs) + margin * cell - x0) / cell), math.ceil((max(ys) + margin * cell - y0) / cell)
     cells = {}
-    for r in raster.collect():
-        cells.setdefault((r["ix"], r["iy"]), {})[r["layer"]] = r["node"]
-    assert cells[0, 0] == {0: 0, 1: 1} and cells[3, 3] == {0: 0} and cells[10, 0] == {0: 3} and (5, 0) not in cells
-    filled = navmesh.dilate(raster)
-    assert filled.select("ix", "iy").distinct().count() == 11 * 4
-    once = navmesh.dilate(raster, 1).where("ix = 4 AND iy = 0").collect()
-    assert [r["node"] for r in once] == [0]
-    points = spark.createDataFrame([("m", 5.0, 5.0, 190.0), ("m", 5.0, 5.0, 10.0), ("m", 5.0, 5.0, 100.0), ("m", -5.0, -5.0, 0.0), ("m", 900.0, 0.0, 0.0)], "map_name string, x double, y double, z double")
-    assert [r["node"] for r in navmesh.locate(points, raster).orderBy("x", "z").collect()] == [0, 0, 0, 1, None]
+    for _, node, z, corners in sorted(areas):
+        quad = [corners[round(k * (len(corners) - 1) / 3)] for k in range(4)]
+        hit = []
+        for ix in range(w):
+            for iy in range(h):
+                px, py, odd = x0 + (ix + 0.5) * cell, y0 + (iy + 0.5) * cell, False
+                for (ax, ay), (bx, by) in zip(quad, quad[-1:] + quad[:-1], strict=True):
+                    if (ay > py) != (by > py) and px < (bx - ax) * (py - ay) / (by - ay) + ax:
+                        odd = not odd
+                if odd:
+                    hit.append((ix, iy))
+        if not hit:
+            hit = [(int((sum(x for x, _ in quad) / 4 - x0) / cell), int((sum(y for _, y in quad) / 4 - y0) / cell))]
+        for at in hit:
+            own = cells.setdefault(at, [])
+            if len(own) < layers and all(abs(z - other) >= gap for _, other in own):
+                own.append((node, z))
+    return (x0, y0), w, h, cells
+
+
+def plain_dilation(cells, w, h, rounds):
+    cells = dict(cells)
+    for _ in range(rounds):
+        for dy, dx in ((0, 1), (0, -1), (1, 0), (-1, 0), (1, 1), (1, -1), (-1, 1), (-1, -1)):
+            there = dict(cells)
+            for x in range(w):
+                for y in range(h):
+                    if (x, y) not in cells and (x - dx, y - dy) in there:
+                        cells[x, y] = there[x - dx, y - dy]
+    return cells
+
+
+AREAS = [  # around the origin; storeys 63, 64 and 200 apart, one above another; five corners; one smaller than a cell
+    (1, 0, 0.0, [(-100.0, -60.0), (-36.0, -60.0), (-36.0, 4.0), (-100.0, 4.0)]),
+    (2, 1, 200.0, [(-100.0, -60.0), (-68.0, -60.0), (-68.0, -28.0), (-100.0, -28.0)]),
+    (3, 2, 63.0, [(-100.0, -60.0), (-68.0, -60.0), (-68.0, -28.0), (-100.0, -28.0)]),
+    (4, 3, 64.0, [(-68.0, -60.0), (-36.0, -60.0), (-36.0, -28.0), (-68.0, -28.0)]),
+    (5, 4, 10.0, [(40.0, 40.0), (90.0, 30.0), (120.0, 60.0), (100.0, 110.0), (50.0, 100.0)]),
+    (6, 5, 0.0, [(60.5, -50.5), (62.5, -50.5), (62.5, -48.5), (60.5, -48.5)]),
+]
+
+
+def test_raster_as_cell_by_cell(spark):
+    df = spark.createDataFrame([("m", *a) for a in AREAS], "map_name string, area_id long, node int, z double, corners array<struct<x:double,y:double>>")
+    raster = navmesh.rasterise(df).cache()
+
+    def cells_of(frame):
+        out = {}
+        for r in frame.collect():
+            out.setdefault((r["ix"], r["iy"]), {})[r["layer"]] = (r["node"], r["z"])
+        return {at: [own[k] for k in sorted(own)] for at, own in out.items()}
+
+    origin, w, h, cells = plain_raster(AREAS)
+    first = raster.first()
+    assert (first["x0"], first["y0"], first["width"], first["height"]) == (*origin, w, h)
+    assert cells_of(raster) == cells
+    for rounds_ in (1, 2, 80):
+        assert cells_of(navmesh.dilate(raster, rounds_)) == plain_dilation(cells, w, h, min(rounds_, w + h))
+    points = [(x + 0.25, y + 0.5, z) for x in range(-140, 160, 9) for y in range(-100, 150, 13) for z in (-5.0, 31.0, 32.5, 150.0)]
+    found = navmesh.locate(spark.createDataFrame([("m", *p) for p in points], "map_name string, x double, y double, z double"), raster).collect()
+
+    def plain(x, y, z):
+        own = cells.get((int((x - origin[0]) / 16), int((y - origin[1]) / 16)), [])
+        return min(((abs(oz - z), k, node) for k, (node, oz) in enumerate(own)), default=(0, 0, None))[2]
+
+    assert len(found) == len(points) and all(r["node"] == plain(r["x"], r["y"], r["z"]) for r in found)
+
+
+def test_storeys_merge_by_links(spark):
+    """Areas one above another are near in the plane, however far apart in height."""
+    rows = [("m", 1, 1.0, 0.0, 0.0, 0.0), ("m", 2, 9.0, 0.0, 0.0, 900.0), ("m", 3, 9.0, 300.0, 0.0, 0.0)]
+    areas = spark.createDataFrame(rows, "map_name string, area_id long, size double, x double, y double, z double")
+    edges = spark.createDataFrame([("m", 1, 2), ("m", 1, 3)], "map_name string, a long, b long")
+    own = {r["area_id"]: r["node"] for r in navmesh.cluster_areas(areas, edges, 2).collect()}
+    assert own[1] == own[2] != own[3]
+
+
+def test_a_map_from_areas_to_store(spark, tmp_path):
+    areas, edges = grid(spark)
+    corner = lambda dx, dy: F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))
+    made = navmesh.build_map(areas.withColumn("corners", F.array(corner(0, 0), corner(50, 0), corner(50, 50), corner(0, 50))), edges, 4)
+    library = store.Library(spark, str(tmp_path))
+    library.write_map(made)
+    assert library.read("geo").count() == 16 and library.read("areas").count() == 16 and library.read("raster").where("map_name = 'm'").count() > 100
+    with pytest.raises(ValueError):
+        library.write_map({"other": areas})
+
+
+def test_small_filters_and_names(spark):
+    samples = spark.createDataFrame([(1, 2, "a"), (2, 3, "b"), (3, 1, "c"), (4, None, "d")], "tick long, team_num int, name string")
+    assert [r["tick"] for r in filters.playable(samples).orderBy("tick").collect()] == [1, 2]
+    maps = spark.createDataFrame([("de_nuke", "ok"), ("de_overpass", "error"), ("x", "ok")], "map_name string, status string")
+    assert filters.searchable(maps).count() == 2 and filters.searchable(maps, legacy=False).count() == 1 and filters.decoded(maps).count() == 2
+    aliases = spark.createDataFrame([("NAVI", "Natus"), ("navi", "Natus")], "alias string, canonical string")
+    teams_ = spark.createDataFrame([("Navi", 1), ("x", 2), (None, 3)], "team string, n int")
+    assert {r["n"]: r["team"] for r in teams.canonical(teams_, aliases).collect()} == {1: "Natus", 2: "x", 3: None}
 
 
 def test_search_finds_itself(spark):
@@ -435,7 +539,7 @@ def test_round_document(spark):
 
 
 def test_resolve_levels(spark):
-    raster = spark.createDataFrame([("m", 0, 0, 0, 5, 100.0), ("m", 0, 0, 1, 6, -300.0)], "map_name string, ix int, iy int, layer int, node int, z double")
+    raster = spark.createDataFrame([("m", 0, 0, 0, 5, 100.0, 0.0, 0.0, 9, 9), ("m", 0, 0, 1, 6, -300.0, 0.0, 0.0, 9, 9)], navmesh.RASTER)
     points = spark.createDataFrame([("m", 1.0, 1.0, v) for v in ("lower", "upper", None)] + [("m", 99.0, 1.0, None)], "map_name string, x double, y double, level string")
     got = {(r["x"], r["level"]): r["node"] for r in navmesh.resolve(points, raster, -50.0).collect()}
     assert got == {(1.0, "lower"): 6, (1.0, "upper"): 5, (1.0, None): 5, (99.0, None): None}
