@@ -169,25 +169,28 @@ def near_components(docs: DataFrame, size: int = 5) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     about = ("n", "fp0", "fp1")
-    left, right, lead = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}")), (lambda c: F.col(f"lead.{c}"))
+    left, right, head = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}")), (lambda c: F.col(f"head.{c}"))
     rows = materialise(marked(docs, size), "shingles")  # read below as nodes, keys and documents
     unique = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in (*about, "keys"))), "unique")
-    keys = unique.select("node", *about, F.posexplode("keys").alias("pos", "key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("times"), F.min(F.struct("node", *about, "pos")).alias("lead")).where("times > 1")
-    shared = materialise(skew_join(keys, shared, ["key"], "inner"), "shared", 1 << 14)
+    keys = unique.select("node", F.posexplode("keys").alias("pos", "key"))
+    several = keys.groupBy("key").agg(F.count("*").alias("times"), F.min("node").alias("lead")).where("times > 1")
+    sized = unique.select("node", *about)
+    shared = materialise(skew_join(keys, several, ["key"], "inner").join(sized, "node"), "shared", 1 << 14)
     candidates = shared.select("node").distinct()
 
     few = shared.where(F.col("times") <= TOGETHER)
     a, b = few.alias("a"), few.alias("b")
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & may_be_alike(left, right))
     pairs = pairs.groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b")).count().where(F.col("count") >= SHARED).drop("count")
-    first = shared.where((F.col("times") > TOGETHER) & (F.col("node") > F.col("lead.node")) & may_be_alike(F.col, lead))
+    crowd = shared.where(F.col("times") > TOGETHER)
+    heads = crowd.where("node = lead").select("key", F.struct(*about, "pos").alias("head"))
+    first = skew_join(crowd.where("node <> lead"), heads, ["key"], "inner").where(may_be_alike(F.col, head))
     near = fingerprint_links(unique.join(candidates, "node", "left_semi").select("node", "fp0"))
     near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = pairs.union(first.select(F.col("lead.node").alias("a"), F.col("node").alias("b"))).union(near)
+    pairs = pairs.union(first.select(F.col("lead").alias("a"), F.col("node").alias("b"))).union(near)
     pairs = materialise(pairs.distinct(), "pairs", 1 << 14)
 
-    many = shared.where(F.col("times") > TOGETHER).select("key", "node", *about, "pos")
+    many = crowd.select("key", "node", *about, "pos")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(many.select("node")).distinct()
     sets = materialise(sets_of(docs, unique.join(wanted, "node", "left_semi").select("node", "first"), size), "sets")
     links = materialise(alike(pairs, sets), "links", 1 << 14)
