@@ -20,9 +20,12 @@ BUCKETS = 4096
 MAX_TRAIN_ROWS = 20_000
 #: Words beyond this many make a text no surer: the evidence is the mean of its words times their number, up to this.
 EVIDENCE = 32.0
-#: Iterations that one pass of expressions takes before the rates are written, and the most in all.
-STEPS, MAX_STEPS = 6, 120
-TOLERANCE = 1e-6
+#: Iterations that one pass of expressions takes before the rates are written.
+STEPS = 6
+#: Shares of the budget: the targets are met within the first; below the second an iteration moves nothing any more.
+TOLERANCE, STALLED = 1e-6, 1e-9
+#: Most domains: the system has as many rows, and a row of posteriors as many columns.
+MAX_DOMAINS = 64
 
 
 def words(text: Column) -> Column:
@@ -87,26 +90,32 @@ def fit_rates(soft: DataFrame, domains: list[str], targets: dict[str, float], bu
     """soft and rate: document rates, all from 1, such that expected domain tokens are the targets' shares of budget.
 
     budget: tokens in all, those of soft if None. Domains without a target get zero; targets of domains that aren't there
-    are left out and the others scaled up. Where no rates meet the targets, the result is the limit of the iteration, a
-    least squares fit. Documents without tokens keep rate 1. No rows: no rows.
+    are left out and the others scaled up. The iteration ends when the targets are met or when it moves no more: where no
+    rates meet the targets, at the least squares fit. miss: by how much the worst domain misses its target, as a share of
+    the budget. Documents without tokens keep rate 1. No rows: no rows. More than MAX_DOMAINS domains: ValueError.
     """
+    if len(domains) > MAX_DOMAINS:
+        raise ValueError(f"at most {MAX_DOMAINS} domains")
     k = range(len(domains))
     p = [F.col(f"p{i}") for i in k]
     t = F.col("tokens").cast("double")
     moments = soft.agg(F.sum(t).alias("all"), *(F.sum(t * p[i] * p[j]).alias(f"m{i}_{j}") for i in k for j in k)).first()
     known = sum(targets.get(d, 0.0) for d in domains)
     if not moments["all"] or known <= 0:
-        return soft.withColumn("rate", F.lit(1.0))
+        return soft.withColumn("rate", F.lit(1.0)).withColumn("miss", F.lit(0.0))
     goal = [(budget or moments["all"]) * targets.get(d, 0.0) / known for d in domains]
     scale = [1 / max(moments[f"m{i}_{i}"], 1e-9) for i in k]  # rows of the system in equal units
     step = 1 / largest_eigenvalue([[moments[f"m{i}_{j}"] * math.sqrt(scale[i] * scale[j]) for j in k] for i in k])
 
-    rated, rate, done = soft.withColumn("rate", F.lit(1.0)), F.col("rate"), 0
+    rated, rate, done, before = soft.withColumn("rate", F.lit(1.0)), F.col("rate"), 0, None
     while True:
         sums = rated.agg(*(F.sum(rate * t * p[i]).alias(f"x{i}") for i in k)).first()
         off = [sums[f"x{i}"] - goal[i] for i in k]
-        if max(map(abs, off)) <= TOLERANCE * sum(goal) or done == MAX_STEPS:
-            return rated.withColumn("rate", rate)
+        worst = max(map(abs, off)) / sum(goal)
+        still = before is not None and max(abs(a - b) for a, b in zip(off, before, strict=True)) <= STALLED * sum(goal)
+        if worst <= TOLERANCE or still:
+            return rated.withColumn("rate", rate).withColumn("miss", F.lit(worst))
+        before = off
         # The gradient in tokens' own measure: documents of equal posteriors keep equal rates, whatever their length.
         move = sum((p[i] * (step * scale[i] * off[i]) for i in k), F.lit(0.0))
         rate = F.when(t > 0, F.greatest(F.lit(0.0), rate - move)).otherwise(rate)
@@ -120,22 +129,36 @@ def copies(rate: Column, doc_id: Column) -> Column:
     return F.floor(rate + F.pmod(F.xxhash64(doc_id), F.lit(1 << 20)) / float(1 << 20)).cast("long")
 
 
+def posterior_names(domains: list[str]) -> list[str]:
+    """A column name for each domain, unlike the others whatever their case."""
+    out: list[str] = []
+    for d in domains:
+        name = plain = "p_" + "".join(c if c.isalnum() else "_" for c in d)
+        n = 1
+        while name.lower() in (x.lower() for x in out):
+            n += 1
+            name = f"{plain}_{n}"
+        out.append(name)
+    return out
+
+
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float | None = None) -> DataFrame:
-    """docs (doc_id, source, text) -> doc_id, source, n_tokens, the posterior of each domain, rate, copies.
+    """docs (doc_id, source, text) -> doc_id, source, n_tokens, the posterior of each domain, rate, copies, miss.
 
     One row for each document (rows with equal doc_id and source are one). Without any labelled row all rates are 1.
-    Columns named p_<domain> hold the posteriors.
+    Columns named p_<domain> hold the posteriors; letters and digits of the domain stay, and of names that would be alike
+    the later ones in order get a number. miss: see fit_rates.
     """
     docs = docs.select("doc_id", "source", "text")
     domains, weights = train(docs, labelled)
     if not domains:
         counted = docs.select("doc_id", "source", words(F.col("text")).alias("word")).groupBy("doc_id", "source").agg(F.sum((F.col("word") != "").cast("long")).alias("n_tokens"))
-        return counted.withColumn("rate", F.lit(1.0)).withColumn("copies", F.lit(1).cast("long"))
+        return counted.withColumn("rate", F.lit(1.0)).withColumn("copies", F.lit(1).cast("long")).withColumn("miss", F.lit(0.0))
     soft = materialise(memberships(docs, domains, weights), "memberships")
     rated = fit_rates(soft, domains, targets, budget)
-    posteriors = [F.round(f"p{i}", 6).alias("p_" + "".join(c if c.isalnum() else "_" for c in d)) for i, d in enumerate(domains)]
+    posteriors = [F.round(f"p{i}", 6).alias(name) for i, name in enumerate(posterior_names(domains))]
     rate = F.round("rate", 6)
-    return rated.select("doc_id", "source", F.col("tokens").cast("long").alias("n_tokens"), *posteriors, rate.alias("rate"), copies(rate, F.col("doc_id")).alias("copies"))
+    return rated.select("doc_id", "source", F.col("tokens").cast("long").alias("n_tokens"), *posteriors, rate.alias("rate"), copies(rate, F.col("doc_id")).alias("copies"), "miss")
 
 
 #: Shares of tokens by language in the mixture of the queries.

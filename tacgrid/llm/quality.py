@@ -1,6 +1,6 @@
 """Quality classifier: supervised subword embeddings.
 
-Each word and each of its byte n-grams has a learned vector, found by hash. A text is the mean of its vectors; a softmax
+Each word and each of its character n-grams has a learned vector, found by hash. A text is the mean of its vectors; a softmax
 over two classes sits on top; plain stochastic gradient descent in numpy learns both from a bounded sample of labelled
 rows. A word that repeats the one before also gives a feature of its own. As the output is linear in the mean, each
 vector counts in scoring only by its product with the output weights: one number for each hash is sent to executors.
@@ -25,7 +25,7 @@ GRAMS = (2, 3, 4)
 DIM = 8
 #: Bound of the labelled sample; the rows with the smallest hashes of doc_id are taken.
 MAX_TRAIN_ROWS = 5000
-#: The feature of a repeated word; the others lie above.
+#: The feature of a repeated word; words and n-grams of hash 0 share it.
 REPEAT = 0
 
 

@@ -66,16 +66,19 @@ def pairs_at(doc: np.ndarray, h: np.ndarray, gap: int, salt: np.uint64) -> tuple
 
 
 def char_grams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the n-byte strings (n up to 7) within words, a space marking a word's begin and end; and their places in buf."""
-    buf = words.buf
-    if len(buf) < n:
+    """Hashes of the strings of n characters within words, a space marking a word's begin and end; and their places in buf."""
+    chars = np.frombuffer(words.buf.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    places = np.flatnonzero((words.buf & 0xC0) != 0x80)  # where characters begin
+    if len(chars) != len(places):  # not UTF-8: bytes are characters
+        chars, places = words.buf.astype(np.uint32), np.arange(len(words.buf))
+    if len(chars) < n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    m = len(buf) - n + 1
+    m = len(chars) - n + 1
     code, inner = np.zeros(m, np.uint64), np.ones(m, bool)
     for k in range(n):
-        part = buf[k : k + m]
-        code |= part.astype(np.uint64) << U(8 * k)
+        part = chars[k : k + m]
+        code = code * B + part
         if 0 < k < n - 1:
             inner &= part != SPACE
     at = np.flatnonzero(inner)
-    return mix(code[at] * C + U(n)), at
+    return mix(code[at] * C + U(n)), places[at]
