@@ -3,8 +3,9 @@
 The fingerprints of a text's set of shingles are searched by the generalised pigeonhole principle, as in simhash.py. At a
 similarity of 0.8 fingerprints differ in a sixth of their bits, more than any such search can cover below the cost of all
 pairs; what it finds is therefore completed: two sets with a similarity of 0.8 or more share SHARED of the first
-n // 5 + SHARED members of each, in any order that holds for all sets. Shingles that are common in a sample come last in
-that order; it has no influence on the result. Every candidate is settled by the sets themselves.
+n // 5 + SHARED members of each, in any order that holds for all sets. Shingles are ordered by how often their slot, the
+leading bits of the hash, is taken over all documents, rarest first; the order has no influence on the result. Every
+candidate is settled by the sets themselves.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from tacgrid.llm.simhash import FIVE_WORDS, make_plan, near_edges
 from tacgrid.llm.textkernels import mix
 
 SEED = 42
-#: Texts that are looked at for common shingles, about; the most shingles that are taken from them.
-SAMPLE, COMMON = 8192, 1 << 17
+#: Bits of a hash that name its slot; slots that travel together as one row.
+SLOT_BITS, SLOTS_PER_ROW = 20, 1 << 13
 #: Members that the prefixes of similar sets have in common at least. Sets of fewer than four are similar to none but themselves.
 SHARED = 3
 #: Bits of 128 in which the fingerprints of similar sets differ at most: 19 on average at a similarity of 0.8, and over this
@@ -68,41 +69,66 @@ def majority(own: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(own), bitorder="little").view(np.int64)[0])
 
 
-def prefix(own: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The members by which a set is found: rarest first, then by value. common is sorted."""
+def slot_of(own: np.ndarray) -> np.ndarray:
+    return (own >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def prefix(own: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The members by which a set is found: those of the rarest slots first, then by value."""
     n = len(own) // 5 + SHARED if len(own) > SHARED else 0
-    if len(common):
-        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-        often = np.where(common[at] == own, counts[at], 0)
-        if often.any():
-            return own[np.lexsort((own, often))[:n]]
-    return own[:n]
+    return own[np.argsort(rank[slot_of(own)], kind="stable")[:n]]
 
 
-def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, counts) of shingles that several texts of a sample hold."""
+def slot_ranks(docs: DataFrame, size: int) -> np.ndarray:
+    """The place of every slot when they are ordered by the number of texts that have a shingle in them, over all docs.
 
-    def each(batches):
+    A task sends one number for a slot, as byte planes, which compress well; they are summed as they come, a row of slots
+    in one task. As many numbers as there are slots reach the driver, whatever the size of the input.
+    """
+
+    def count(batches):
+        slots = np.zeros(1 << SLOT_BITS, np.uint64)
         for b in batches:
-            own = [shingles(t, size) for t in as_bytes(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64))], ["key"])
+            for t in as_bytes(b.column("text")):
+                slots[slot_of(shingles(t, size))] += np.uint64(1)
+        if slots.any():
+            yield rows_of(dict(enumerate(slots.reshape(-1, SLOTS_PER_ROW))))
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for at, planes in zip(b.column("at").to_pylist(), b.column("planes").to_pylist(), strict=True):
+                sums[at] = sums.get(at, np.uint64(0)) + counts_in(planes)
+        if sums:
+            yield rows_of(sums)
+
+    def rows_of(counts: dict[int, np.ndarray]) -> pa.RecordBatch:
+        planes = [np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8).T).tobytes() for c in counts.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), pa.array(planes, pa.binary())], ["at", "planes"])
+
+    schema = "at int, planes binary"
+    total = map_arrow(map_arrow(docs.select("text"), count, schema).repartition("at"), add, schema).toArrow()
+    counts = np.zeros(1 << SLOT_BITS, np.uint64).reshape(-1, SLOTS_PER_ROW)
+    for at, planes in zip(total.column("at").to_pylist(), total.column("planes").to_pylist(), strict=True):
+        counts[at] = counts_in(planes)
+    rank = np.empty(1 << SLOT_BITS, np.uint32)
+    rank[np.argsort(counts.ravel(), kind="stable")] = np.arange(1 << SLOT_BITS, dtype=np.uint32)
+    return rank
+
 
-    share = max(1, docs.count() // SAMPLE)
-    counted = map_arrow(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text"), each, "key long").groupBy("key").agg(F.count("*").alias("n"))
-    got = counted.where("n > 3").orderBy(F.desc("n"), "key").limit(COMMON).toArrow()
-    keys, counts = np.asarray(got.column("key")).astype(np.int64).view(np.uint64), np.asarray(got.column("n")).astype(np.int64)
-    order = np.argsort(keys)
-    return keys[order], counts[order]
+def counts_in(planes: bytes) -> np.ndarray:
+    """The counts of a row of slots, from their byte planes."""
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
 
 def marked(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, node, n, fp0, fp1, keys): a number for the set of shingles, its size, fingerprints and prefix; a row for each row."""
-    common, counts = common_shingles(docs, size)
+    rank = slot_ranks(docs, size)
 
     def kernel(batches):
         for b in batches:
             own = [shingles(t, size) for t in as_bytes(b.column("text"))]
-            keys = [prefix(s, common, counts).view(np.int64) for s in own]
+            keys = [prefix(s, rank).view(np.int64) for s in own]
             cols = [pa.array(map(node_of, own), pa.int64()), pa.array(map(len, own), pa.int32()), pa.array(map(majority, own), pa.int64()), pa.array((majority(mix(s)) for s in own), pa.int64())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols, pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "n", "fp0", "fp1", "keys"])
 
@@ -173,7 +199,7 @@ def near_components(docs: DataFrame, size: int = 5) -> DataFrame:
     rows = materialise(marked(docs, size), "shingles")  # read below as nodes, keys and documents
     unique = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in (*about, "keys"))), "unique")
     keys = unique.select("node", F.posexplode("keys").alias("pos", "key"))
-    several = keys.groupBy("key").agg(F.count("*").alias("times"), F.min("node").alias("lead")).where("times > 1")
+    several = keys.groupBy("key").agg(F.count("*").alias("times")).where("times > 1")
     sized = unique.select("node", *about)
     shared = materialise(skew_join(keys, several, ["key"], "inner").join(sized, "node"), "shared", 1 << 14)
     candidates = shared.select("node").distinct()
@@ -183,11 +209,11 @@ def near_components(docs: DataFrame, size: int = 5) -> DataFrame:
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & may_be_alike(left, right))
     pairs = pairs.groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b")).count().where(F.col("count") >= SHARED).drop("count")
     crowd = shared.where(F.col("times") > TOGETHER)
-    heads = crowd.where("node = lead").select("key", F.struct(*about, "pos").alias("head"))
-    first = skew_join(crowd.where("node <> lead"), heads, ["key"], "inner").where(may_be_alike(F.col, head))
+    heads = crowd.groupBy("key").agg(F.min(F.struct("node", *about, "pos")).alias("head"))
+    first = skew_join(crowd, heads, ["key"], "inner").where((F.col("node") > head("node")) & may_be_alike(F.col, head))
     near = fingerprint_links(unique.join(candidates, "node", "left_semi").select("node", "fp0"))
     near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = pairs.union(first.select(F.col("lead").alias("a"), F.col("node").alias("b"))).union(near)
+    pairs = pairs.union(first.select(head("node").alias("a"), F.col("node").alias("b"))).union(near)
     pairs = materialise(pairs.distinct(), "pairs", 1 << 14)
 
     many = crowd.select("key", "node", *about, "pos")

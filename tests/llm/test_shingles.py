@@ -58,14 +58,25 @@ def mixed_rows():
     return [*rows, (5000, None), (5001, ""), (5002, " \n"), (None, rows[0][1]), (None, "alone here"), (3, rows[3][1]), (6000, rows[7][1].upper())]
 
 
-@pytest.mark.parametrize(("together", "common"), [(64, 1 << 17), (1, 1), (2, 0)])
-def test_kept_as_brute_force(spark, monkeypatch, together, common):
+@pytest.mark.parametrize(("together", "bits"), [(64, 20), (1, 13), (2, 14)])
+def test_kept_as_brute_force(spark, monkeypatch, together, bits):
     monkeypatch.setattr(shingles, "TOGETHER", together)
-    monkeypatch.setattr(shingles, "COMMON", common)
+    monkeypatch.setattr(shingles, "SLOT_BITS", bits)
     rows = mixed_rows()
     assert kept(spark, rows) == plain_kept(rows)
 
 
+def test_slots_are_ordered_by_all_texts(spark):
+    rows = mixed_rows()
+    counts = np.zeros(1 << shingles.SLOT_BITS, np.int64)
+    for _, t in rows:
+        counts[list({int(h) >> (64 - shingles.SLOT_BITS) for h in shingles.shingles((t or "").encode())})] += 1
+    rank = shingles.slot_ranks(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 5)
+    assert sorted(rank.tolist()) == list(range(len(counts)))
+    assert (np.diff(counts[np.argsort(rank)]) >= 0).all()
+    assert counts.max() == 40  # the passage that 40 texts have
+
+
 def test_at_the_threshold(spark):
     """Texts of a similarity of exactly 0.8 go (fingerprints missed some), short texts below it stay (fingerprints linked some)."""
     rng = np.random.default_rng(9)
