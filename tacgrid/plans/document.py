@@ -1,4 +1,4 @@
-"""The playback document of one round: bounded by the round, so it may come to the driver."""
+"""Documents for a page: a round's playback, a search's statistics and moments. All are bounded, so they may come to the driver."""
 
 from __future__ import annotations
 
@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tacgrid import params as P
-from tacgrid.operators import playback
-
+from tacgrid.operators import playback, stats
+from tacgrid.operators.filters import filter_snapshots
+from tacgrid.plans.search import LISTS, Library, Request, hydrate, population, search
 
 
 def score_keys(ct: Column, t: Column, ct_label: Column, t_label: Column) -> tuple[Column, Column]:
@@ -60,3 +61,62 @@ def round_document(round_id: int, rounds: DataFrame, snapshots: DataFrame, kills
         "slots": names,
         "clock": P.ROUND_CLOCK_S,
     }
+
+
+def stats_document(states: DataFrame, rounds: DataFrame, kills: DataFrame) -> dict:
+    """Counts of the rounds that states match; all but rounds and winrate are of the exact ones.
+
+    states: round_id, state_id, sec, planted, in_match, in_exact, in_baseline, where a state may come more than once;
+    rounds and kills as in stats. The document has a fixed size, whatever the library's.
+    """
+    exact = states.where("in_exact")
+    reps = stats.representatives(exact).persist()  # looked at once for each of the blocks below
+    try:
+        own = rounds.join(reps.select("round_id"), "round_id", "left_semi")
+        count = stats.round_counts(states, rounds).first()
+        bins = {r["bin"]: r["n"] for r in stats.timing(exact).collect()}
+        kill = stats.next_kills(reps.select("round_id", "sec"), kills).first()
+        sides: dict[str, dict] = {"economy": {"ct": {}, "t": {}}, "win_reasons": {"ct": {}, "t": {}}}
+        for r in stats.economy(own).collect():
+            sides["economy"][r["side"].lower()][r["buy"]] = r["n"]
+        for r in stats.win_reasons(own).collect():
+            sides["win_reasons"][r["side"].lower()][r["reason"]] = r["n"]
+        named = stats.top_teams(own).orderBy("side", "place").collect()
+    finally:
+        reps.unpersist()
+    kinds = ("exact", "close", "baseline")
+    return {
+        "rounds": {**{k: count[f"{k}_rounds"] for k in kinds}, "recordings": count["n_recordings"]},
+        "winrate": {k: {"ct": count[f"{k}_ct"], "t": count[f"{k}_t"]} for k in kinds},
+        "timing": {"bin_s": P.HISTOGRAM_BIN_S, "clock_s": P.ROUND_CLOCK_S, "pre": [bins[i] for i in range(P.HISTOGRAM_BINS)], "post_plant": bins[-1]},
+        **sides,
+        "teams": {side.lower(): [{"name": r["team"], "rounds": r["n"]} for r in named if r["side"] == side] for side in ("CT", "T")},
+        "next_kill": {"ct": kill["ct"], "t": kill["t"], "none": kill["none"], "median_s": kill["seconds"]},
+    }
+
+
+def search_document(lib: Library, request: Request, rounds: DataFrame, kills: DataFrame) -> dict:
+    """Ranked moments with their players, the markers' nodes and the statistics of everything that was recalled.
+
+    moments: request.limit at most, in rank order. The baseline of the statistics is what the filters alone let through;
+    without markers all that they let through is exact.
+    """
+    spatial = bool(request.markers)
+    masked = filter_snapshots(lib.index, request.filters)
+    plain = ("round_id", "state_id", "sec", "planted")
+    flagged = lambda df, match, exact: df.select(*plain, F.lit(match).alias("in_match"), exact.alias("in_exact"), F.lit(True).alias("in_baseline"))
+    states = flagged(masked, not spatial, F.lit(not spatial))
+    if spatial:
+        found, _ = population(lib, request)
+        states = states.union(flagged(found, True, F.col("node_cost") <= P.EXACT))
+    best = search(lib, request)
+    rows = best.collect()
+    full = {r["state_id"]: r for r in _rows(hydrate(lib.index.sparkSession.createDataFrame(rows, best.schema), lib))}
+    kinds = ("CT", "T", *LISTS)
+    return {
+        "spatial": spatial,
+        "moments": [full[r["state_id"]] for r in rows],
+        "resolved": {k.lower(): [{"node": m.node} for m in request.markers if m.kind == k] for k in kinds},
+        "n_scanned": lib.index.count(),
+        "stats": stats_document(states, rounds, kills),
+    }

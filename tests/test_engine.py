@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tacgrid.functions import scalar as S
 from tacgrid.operators import filters, moments, navmesh, playback, recall, rerank, roster, rounds, stats, teams, utility
+from tacgrid.plans import document
 from tacgrid.plans import search as Q
 from tacgrid.sources import store
 
@@ -429,6 +430,15 @@ def test_search_finds_itself(spark):
     about = lib.index.select("*", *(F.lit(1).alias(c) for c in ("recording_id", "map_id", "winner", "ct_team", "t_team", "planted")))
     full = Q.hydrate(Q.search(lib, Q.Request(marks)).limit(1), Q.Library(about, people, geo, lib.tokens)).first()
     assert full["state_id"] == 17 and [p["slot"] for p in full["players"]] == [0, 1, 2, 3]
+    about_rounds = lib.index.select("round_id", F.lit(1).alias("recording_id"), F.lit("T").alias("winner"), F.lit(None).cast("string").alias("win_reason"), *(F.lit("x").alias(c) for c in ("ct_team", "t_team", "ct_buy", "t_buy")))
+    kills = spark.createDataFrame([], "kill_id long, round_id long, tick long, round_sec int, victim_side string")
+    whole = Q.Library(about.withColumn("planted", F.lit(False)), people, geo, lib.tokens)
+    doc = document.search_document(whole, Q.Request(marks, limit=2), about_rounds, kills)
+    assert [m["state_id"] for m in doc["moments"]] == [r["state_id"] for r in Q.search(lib, Q.Request(marks, limit=2)).collect()]
+    assert doc["resolved"]["ct"] == [{"node": m.node} for m in marks[:2]] and doc["n_scanned"] == 39 and doc["stats"]["rounds"]["baseline"] == 39
+    same = {s for s in range(1, 40) if all({r[3] for r in nodes if r[0] == s and r[2] == k} == {m.node for m in marks if m.kind == k} for k in ("CT", "T"))}
+    assert doc["stats"]["rounds"]["exact"] == doc["stats"]["winrate"]["exact"]["t"] == len(same) > 1
+    assert document.search_document(whole, Q.Request(limit=1), about_rounds, kills)["stats"]["rounds"] == {"exact": 39, "close": 0, "baseline": 39, "recordings": 1}
     assert Q.search(lib, Q.Request()).count() == 39 or Q.search(lib, Q.Request(limit=100)).count() == 39
     assert Q.search(lib, Q.Request((recall.Marker("CT", 0, 0.0, 0.0),), tolerance=-1.0)).count() == 0
 
@@ -538,6 +548,26 @@ def test_round_document(spark):
     assert plain == [(("team", "a"), ("team", "b")), (("team", "core"), ("team", "b")), (None, None), (("team", "a"), ("opponent", "a")), (("opponent", "k"), ("team", "k"))]
 
 
+def test_stats_document(spark):
+    """Round 1 matches exactly, 2 closely, 3 only the filters; a second of round 1 comes twice."""
+    from tacgrid.plans import document as D
+
+    rows = [(1, 11, 25, False, True, True), (1, 10, 8, False, True, True), (1, 10, 8, False, False, False), (1, 12, 130, True, True, True), (2, 20, 9, False, True, False), (3, 30, 9, False, False, False)]
+    states = spark.createDataFrame(rows, "round_id long, state_id long, sec int, planted boolean, in_match boolean, in_exact boolean").withColumn("in_baseline", F.lit(True))
+    about = [(1, 7, "CT", "bomb_exploded", "a", None, "eco", "full"), (2, 7, "T", "ct_killed", "a", "b", "eco", "eco"), (3, 8, None, None, None, None, None, None)]
+    rounds_ = spark.createDataFrame(about, "round_id long, recording_id long, winner string, win_reason string, ct_team string, t_team string, ct_buy string, t_buy string")
+    kills = spark.createDataFrame([(1, 1, 500, 8, "CT"), (2, 1, 700, 12, "T"), (3, 2, 700, 12, "T")], "kill_id long, round_id long, tick long, round_sec int, victim_side string")
+    doc = D.stats_document(states, rounds_, kills)
+    assert doc["rounds"] == {"exact": 1, "close": 1, "baseline": 3, "recordings": 1}
+    assert doc["winrate"] == {"exact": {"ct": 1, "t": 0}, "close": {"ct": 0, "t": 1}, "baseline": {"ct": 1, "t": 1}}
+    assert doc["timing"]["pre"] == [1, 0, 1, *[0] * 9] and doc["timing"]["post_plant"] == 1
+    assert doc["economy"]["ct"] == {"eco": 1, "semi": 0, "full": 0, "pistol": 0} and doc["economy"]["t"]["full"] == 1
+    assert doc["win_reasons"]["ct"]["unknown"] == 1 and sum(doc["win_reasons"]["t"].values()) == 0
+    assert doc["teams"] == {"ct": [{"name": "a", "rounds": 1}], "t": []} and doc["next_kill"] == {"ct": 1, "t": 0, "none": 0, "median_s": 4}
+    none = D.stats_document(states.where("false"), rounds_, kills.where("false"))
+    assert none["rounds"] == {"exact": 0, "close": 0, "baseline": 0, "recordings": 0} and none["next_kill"]["median_s"] is None and none["timing"]["pre"] == [0] * 12
+
+
 def test_resolve_levels(spark):
     raster = spark.createDataFrame([("m", 0, 0, 0, 5, 100.0, 0.0, 0.0, 9, 9), ("m", 0, 0, 1, 6, -300.0, 0.0, 0.0, 9, 9)], navmesh.RASTER)
     points = spark.createDataFrame([("m", 1.0, 1.0, v) for v in ("lower", "upper", None)] + [("m", 99.0, 1.0, None)], "map_name string, x double, y double, level string")
