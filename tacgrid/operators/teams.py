@@ -43,20 +43,21 @@ def canonical(names: DataFrame, aliases: DataFrame, name: str = "team") -> DataF
 def check_core(name: str, players: list[str], known: DataFrame, cores: DataFrame, core_id: int | None = None, members: DataFrame | None = None) -> list[str]:
     """What is wrong with a core to be saved; empty if nothing is. known: pid; cores: core_id, name; members: core_id, pid."""
     spark, wrong = known.sparkSession, []
-    clean = spark.createDataFrame([(name,)], "name string").select(tidy_name(F.col("name"))).first()[0]
+    given = spark.createDataFrame([(name, list(players))], "name string, pids array<string>")
+    clean, valid = given.select(tidy_name(F.col("name")), F.forall("pids", valid_player)).first()
     if clean is None:
         wrong.append("a name has 1 to 60 characters")
     if len(set(players)) != len(players) or not 3 <= len(players) <= 5:
         wrong.append("a core has 3 to 5 different players")
-    asked = spark.createDataFrame([(p,) for p in players], "pid string")
-    if asked.where(~valid_player(F.col("pid"))).count():
+    if valid is False:
         wrong.append("a player's id has 17 digits")
     allowed = known.select("pid") if core_id is None or members is None else known.select("pid").union(members.where(F.col("core_id") == core_id).select("pid"))
-    if asked.join(allowed, "pid", "left_anti").count():
+    if given.select(F.explode("pids").alias("pid")).join(allowed, "pid", "left_anti").count():
         wrong.append("a player isn't known")
-    if core_id is not None and not cores.where(F.col("core_id") == core_id).count():
+    own = F.col("core_id").eqNullSafe(F.lit(core_id)) if core_id is not None else F.lit(False)
+    found, taken = cores.agg(F.count_if(own), F.count_if(~own & (F.lower("name") == (clean or "").lower()))).first()
+    if core_id is not None and not found:
         wrong.append("there is no such core")
-    same = F.lower("name") == (clean or "").lower()
-    if cores.where(same if core_id is None else same & (F.col("core_id") != core_id)).count():
+    if taken:
         wrong.append("the name is taken")
     return wrong
