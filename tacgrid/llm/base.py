@@ -17,6 +17,8 @@ ROWS_PER_BATCH = 256
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Most rows of a side that is broadcast after it has been counted.
 BROADCAST_ROWS = 200_000
+#: A sieve has eight bits for each of its numbers, but not over 16 MB in all; a page is what bitmap_construct_agg holds.
+SIEVE_BITS, PAGE_BITS = 1 << 27, 1 << 15
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,3 +114,33 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> D
     extra = "_join_hash"
     mark = F.hash(*keys)
     return left.withColumn(extra, mark).join(right.withColumn(extra, mark), [*keys, extra], how).drop(extra)
+
+
+def sieve_slot(number: Column, bits: int) -> Column:
+    """The bit of a number, or of null."""
+    return F.pmod(F.xxhash64(number), F.lit(bits))
+
+
+def sieve(numbers: DataFrame) -> tuple[DataFrame, int]:
+    """numbers (one long column, written before: it is read twice) -> (page, bits) with the bit set of every number and of null if it is there; how many bits there are."""
+    n = numbers.count()
+    bits = min(SIEVE_BITS, max(PAGE_BITS, 1 << (8 * n).bit_length()))
+    slots = numbers.select(sieve_slot(F.col(numbers.columns[0]), bits).alias("slot"))
+    page = F.expr(f"slot DIV {PAGE_BITS}").alias("page")
+    return slots.groupBy(page).agg(F.bitmap_construct_agg(F.col("slot") % PAGE_BITS).alias("bits")), bits
+
+
+def sift(df: DataFrame, number: Column, made: tuple[DataFrame, int]) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose number may be one of a sieve's, and those whose number surely isn't; no row is moved.
+
+    The sieve is broadcast; it is bounded by SIEVE_BITS. With many more numbers than bits all rows may be there, and what
+    follows takes them all: it is a shortcut, never the decision.
+    """
+    pages, bits = made
+    slot, page, held = (unused(df, name) for name in ("_slot", "_page", "_held"))
+    known = df.withColumn(slot, sieve_slot(number, bits))
+    joined = known.join(F.broadcast(pages.toDF(page, held)), F.expr(f"{slot} DIV {PAGE_BITS}") == F.col(page), "left")
+    at = F.expr(f"CAST({slot} % {PAGE_BITS} AS INT)")
+    byte = F.conv(F.hex(F.substr(F.col(held), F.expr(f"CAST({slot} % {PAGE_BITS} DIV 8 AS INT) + 1"), F.lit(1))), 16, 10).cast("int")
+    there = F.coalesce(F.getbit(byte, at % 8) == 1, F.lit(False))
+    return joined.where(there).select(*every(df)), joined.where(~there).select(*every(df))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tacgrid.llm.base import as_bytes, every, map_arrow, materialise, skew_join
+from tacgrid.llm.base import as_bytes, every, map_arrow, materialise, sieve, sift, skew_join, unused
 from tacgrid.llm.graph import components
 from tacgrid.llm.simhash import FIVE_WORDS, make_plan, near_edges
 from tacgrid.llm.textkernels import mix
@@ -146,14 +146,19 @@ def may_be_alike(a: Callable[[str], Column], b: Callable[[str], Column]) -> Colu
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """(node, own): the sets of the nodes (node, first), each from the row with the smallest doc_id that has it."""
+    """(node, own): the sets of the nodes (node, first), each from the row with the smallest doc_id that has it.
+
+    A sieve of these doc_ids keeps other texts from being cut into shingles and moved.
+    """
 
     def kernel(batches):
         for b in batches:
             own = [shingles(t, size) for t in as_bytes(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(map(node_of, own), pa.int64()), pa.array([short(s).tobytes() for s in own], pa.binary())], ["doc_id", "node", "own"])
 
-    rows = map_arrow(docs, kernel, "doc_id long, node long, own binary").alias("s")
+    nodes = materialise(nodes, "wanted", 1 << 14)
+    may_be, _ = sift(docs, F.col("doc_id"), sieve(nodes.select("first")))
+    rows = map_arrow(may_be, kernel, "doc_id long, node long, own binary").alias("s")
     wanted = nodes.alias("w")
     found = rows.join(wanted, (F.col("s.node") == F.col("w.node")) & F.col("s.doc_id").eqNullSafe(F.col("w.first")))
     return found.groupBy("s.node").agg(F.first("s.own").alias("own"))
@@ -242,5 +247,9 @@ def keep_one(docs: DataFrame, size: int = 5) -> DataFrame:
 
     Rows without a doc_id stay. Rows that share a doc_id are one document and stay or go together.
     """
-    gone = near_components(docs, size).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti").select(*every(docs))
+    name = unused(docs, "_gone")
+    gone = near_components(docs, size).where("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct()
+    gone = materialise(gone, "gone", 1 << 14)
+    may_go, stay = sift(docs, F.col("doc_id").cast("long"), sieve(gone))
+    kept = may_go.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti").select(*every(docs))
+    return stay.union(kept)

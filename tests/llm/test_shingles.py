@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tacgrid.llm import shingles
+from tacgrid.llm import base, shingles
+from tacgrid.llm.base import sieve, sift
 
 
 def plain_kept(rows):
@@ -88,3 +90,22 @@ def test_at_the_threshold(spark):
         words = [f"w{x}" for x in rng.integers(0, 1 << 30, 8)]
         rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:-1], "other"]))]
     assert kept(spark, rows) == sorted([*range(0, 400, 2), *range(400, 800)], key=str)
+
+
+def test_sieve_and_sift(spark):
+    numbers = spark.createDataFrame([(i * 37,) for i in range(3000)] + [(-5,), (2**62,), (None,)], "x long")
+    rows = spark.range(-50, 20000).select(F.col("id").alias("_slot"), F.lit("t").alias("a.b")).union(spark.createDataFrame([(None, "null"), (2**62, "far")], "x long, t string"))
+    want = {i * 37 for i in range(3000)} | {-5, 2**62, None}
+    may, never = (x.collect() for x in sift(rows, F.col("_slot"), sieve(numbers)))
+    assert len(may) + len(never) == 20052
+    assert not want & {r[0] for r in never}  # none is lost
+    assert len({r[0] for r in may} - want) < 4000  # eight bits for a number
+    may, never = (x.collect() for x in sift(rows, F.col("_slot"), sieve(numbers.limit(0))))
+    assert not may
+    assert len(never) == 20052
+
+
+def test_sieve_of_more_numbers_than_bits(spark, monkeypatch):
+    monkeypatch.setattr(base, "SIEVE_BITS", 8)
+    rows = [(i, f"one two three four five six seven eight nine ten {i // 3}") for i in range(60)]
+    assert kept(spark, rows) == plain_kept(rows)
