@@ -9,6 +9,7 @@ from tacgrid.llm.pii import op3_pii
 from tacgrid.llm.quality import op4_quality
 from tacgrid.llm.simhash import op9_simhash
 from tacgrid.llm.suffixdedup import op10_repeats
+from tacgrid.llm.tokencounts import op13_tokens
 from tacgrid.llm.toxicity import op8_toxicity
 
 QUERIES = {
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
     "op10_repeats": op10_repeats,
+    "op13_tokens": op13_tokens,
 }
 
 SQL = {
