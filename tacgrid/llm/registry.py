@@ -11,6 +11,7 @@ from tacgrid.llm.simhash import op9_simhash
 from tacgrid.llm.suffixdedup import op10_repeats
 from tacgrid.llm.tokencounts import op13_tokens
 from tacgrid.llm.toxicity import op8_toxicity
+from tacgrid.llm.whitening import op11_whitening
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
     "op10_repeats": op10_repeats,
+    "op11_whitening": op11_whitening,
     "op13_tokens": op13_tokens,
 }
 
