@@ -6,6 +6,7 @@ from tacgrid.llm.linededup import OP6_SQL, op6_line_dedup
 from tacgrid.llm.media import op2_media
 from tacgrid.llm.mixing import op7_mixing
 from tacgrid.llm.pii import op3_pii
+from tacgrid.llm.prefixtrie import OP12_SQL, op12_trie
 from tacgrid.llm.quality import op4_quality
 from tacgrid.llm.simhash import op9_simhash
 from tacgrid.llm.suffixdedup import op10_repeats
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_repeats": op10_repeats,
     "op11_whitening": op11_whitening,
+    "op12_trie": op12_trie,
     "op13_tokens": op13_tokens,
 }
 
@@ -32,4 +34,5 @@ SQL = {
     "op1_decontaminate": OP1_SQL,
     "op5_chat": OP5_SQL,
     "op6_line_dedup": OP6_SQL,
+    "op12_trie": OP12_SQL,
 }
