@@ -2,14 +2,12 @@
 
 A naive Bayes classifier over hashed words learns the domains from labelled rows and gives every document a posterior
 over them. Document rates r >= 0 are then fitted by projected gradient least squares, so that for each domain d the sum
-of r * tokens * p(d) meets the domain's share of the token budget. The rates live in the table of documents; an iteration
-is one aggregation that returns as many numbers as there are domains.
+of r * tokens * p(d) meets the domain's share of the token budget. A pass over the documents is one aggregation that returns
+as many numbers as there are pairs of domains.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,10 +18,12 @@ BUCKETS = 4096
 MAX_TRAIN_ROWS = 20_000
 #: Words beyond this many make a text no surer: the evidence is the mean of its words times their number, up to this.
 EVIDENCE = 32.0
-#: Iterations that one pass of expressions takes before the rates are written.
-STEPS = 6
-#: Shares of the budget: the targets are met within the first; below the second an iteration moves nothing any more.
-TOLERANCE, STALLED = 1e-6, 1e-9
+#: The targets are met within the first share of the budget; below the second a gradient moves nothing any more.
+TOLERANCE, FLAT = 1e-6, 1e-9
+#: Passes over the documents at most, and the shortest step that is tried.
+MAX_PASSES, SHORTEST = 100, 1e-6
+#: Weight of the rates' distance to 1 beside the squares of the misses.
+NEAR = 1e-9
 #: Most domains: the system has as many rows, and a row of posteriors as many columns.
 MAX_DOMAINS = 64
 
@@ -73,55 +73,80 @@ def memberships(docs: DataFrame, domains: list[str], weights: DataFrame) -> Data
     return odds.select("doc_id", "source", "tokens", *(F.round(F.col(f"e{i}") / total, 9).alias(f"p{i}") for i in k))
 
 
-def largest_eigenvalue(m: list[list[float]]) -> float:
-    """Of a matrix of non-negative numbers with a row for each domain: power iteration, then the bound by row sums if larger is safe."""
-    v = [1.0] * len(m)
-    value = 0.0
-    for _ in range(200):
-        w = [sum(a * b for a, b in zip(row, v, strict=True)) for row in m]
-        value = max(w)
-        if value <= 0:
-            return 1.0
-        v = [x / value for x in w]
-    return value * 1.0001
+def solved(m: list[list[float]], v: list[float]) -> list[float]:
+    """x with m x = v for a positive definite m with a row for each domain, by elimination."""
+    rows = [[*row, x] for row, x in zip(m, v, strict=True)]
+    n = len(rows)
+    for i in range(n):
+        top = max(range(i, n), key=lambda r: abs(rows[r][i]))
+        rows[i], rows[top] = rows[top], rows[i]
+        for r in range(i + 1, n):
+            share = rows[r][i] / rows[i][i]
+            if share:
+                rows[r] = [a - share * b for a, b in zip(rows[r], rows[i], strict=True)]
+    x = [0.0] * n
+    for i in reversed(range(n)):
+        x[i] = (rows[i][n] - sum(rows[i][j] * x[j] for j in range(i + 1, n))) / rows[i][i]
+    return x
 
 
 def fit_rates(soft: DataFrame, domains: list[str], targets: dict[str, float], budget: float | None = None) -> DataFrame:
-    """soft and rate: document rates, all from 1, such that expected domain tokens are the targets' shares of budget.
+    """soft and rate: document rates, 1 at first, such that expected domain tokens are the targets' shares of budget.
 
     budget: tokens in all, those of soft if None. Domains without a target get zero; targets of domains that aren't there
-    are left out and the others scaled up. The iteration ends when the targets are met or when it moves no more: where no
-    rates meet the targets, at the least squares fit. miss: by how much the worst domain misses its target, as a share of
-    the budget. Documents without tokens keep rate 1. No rows: no rows. More than MAX_DOMAINS domains: ValueError.
+    are left out and the others scaled up. Where no rates meet the targets, the rates are the least squares fit; of many
+    that fit, those nearest to 1. miss: by how much the worst domain misses its target, as a share of the budget. Documents
+    without tokens keep rate 1. No rows: no rows. More than MAX_DOMAINS domains: ValueError.
+
+    Projected gradient: y sums up the gradients in the domains, and a document's rate is 1 - p . y, projected on what isn't
+    negative. A gradient is scaled by the inverse of the domain matrix of the documents whose rate isn't zero, and halved
+    until the squares fall. The iteration ends when the targets are met to TOLERANCE or the gradient is below FLAT, and after
+    MAX_PASSES over soft whatever is reached; miss tells how far that is. A pass is one aggregation, nothing is written.
     """
     if len(domains) > MAX_DOMAINS:
         raise ValueError(f"at most {MAX_DOMAINS} domains")
     k = range(len(domains))
     p = [F.col(f"p{i}") for i in k]
     t = F.col("tokens").cast("double")
-    moments = soft.agg(F.sum(t).alias("all"), *(F.sum(t * p[i] * p[j]).alias(f"m{i}_{j}") for i in k for j in k)).first()
+    tokens = soft.agg(F.sum(t).alias("all")).first()["all"]
     known = sum(targets.get(d, 0.0) for d in domains)
-    if not moments["all"] or known <= 0:
+    if not tokens or known <= 0:
         return soft.withColumn("rate", F.lit(1.0)).withColumn("miss", F.lit(0.0))
-    goal = [(budget or moments["all"]) * targets.get(d, 0.0) / known for d in domains]
-    scale = [1 / max(moments[f"m{i}_{i}"], 1e-9) for i in k]  # rows of the system in equal units
-    step = 1 / largest_eigenvalue([[moments[f"m{i}_{j}"] * math.sqrt(scale[i] * scale[j]) for j in k] for i in k])
-
-    rated, rate, done, before = soft.withColumn("rate", F.lit(1.0)), F.col("rate"), 0, None
-    while True:
-        sums = rated.agg(*(F.sum(rate * t * p[i]).alias(f"x{i}") for i in k)).first()
-        off = [sums[f"x{i}"] - goal[i] for i in k]
-        worst = max(map(abs, off)) / sum(goal)
-        still = before is not None and max(abs(a - b) for a, b in zip(off, before, strict=True)) <= STALLED * sum(goal)
-        if worst <= TOLERANCE or still:
-            return rated.withColumn("rate", rate).withColumn("miss", F.lit(worst))
-        before = off
-        # The gradient in tokens' own measure: documents of equal posteriors keep equal rates, whatever their length.
-        move = sum((p[i] * (step * scale[i] * off[i]) for i in k), F.lit(0.0))
-        rate = F.when(t > 0, F.greatest(F.lit(0.0), rate - move)).otherwise(rate)
-        done += 1
-        if done % STEPS == 0:
-            rated, rate = materialise(rated.withColumn("rate", rate), "rates"), F.col("rate")
+    scale = (budget or tokens) / tokens
+    goal = [targets.get(d, 0.0) / known for d in domains]
+    w = t / F.lit(float(tokens) * scale)
+
+    def rate(y: list[float]) -> Column:
+        return F.greatest(F.lit(0.0), sum((p[i] * -y[i] for i in k), F.lit(1.0)))
+
+    def passed(y: list[float]) -> tuple[float, list[float], list[float], list[list[float]]]:
+        """Squares, gradient, misses and the domain matrix of free documents at y."""
+        r = F.col("_r")
+        free = F.when(r > 0, w).otherwise(0.0)
+        got = soft.withColumn("_r", rate(y)).agg(
+            F.sum(w * r * r).alias("squares"), *(F.sum(w * r * p[i]).alias(f"x{i}") for i in k), *(F.sum(free * p[i] * p[j]).alias(f"m{i}_{j}") for i in k for j in k if i <= j)
+        ).first()
+        off = [got[f"x{i}"] - goal[i] for i in k]
+        value = NEAR / 2 * sum(v * v for v in y) + got["squares"] / 2 + sum(v * g for v, g in zip(y, goal, strict=True))
+        return value, [NEAR * v - o for v, o in zip(y, off, strict=True)], off, [[got[f"m{min(i, j)}_{max(i, j)}"] + (NEAR if i == j else 0.0) for j in k] for i in k]
+
+    y, passes = [0.0 for _ in k], 1
+    value, gradient, off, matrix = passed(y)
+    while max(map(abs, off)) > TOLERANCE and max(map(abs, gradient)) > FLAT and passes < MAX_PASSES:
+        move = solved(matrix, gradient)
+        slope, step = sum(a * b for a, b in zip(move, gradient, strict=True)), 1.0
+        while passes < MAX_PASSES and step > SHORTEST:
+            passes += 1
+            tried = [v - step * m for v, m in zip(y, move, strict=True)]
+            new = passed(tried)
+            if new[0] <= value - 1e-4 * step * slope:
+                break
+            step /= 2
+        else:
+            break
+        y, (value, gradient, off, matrix) = tried, new
+    fitted = F.when(t > 0, rate(y)).otherwise(1.0)
+    return soft.withColumn("rate", fitted).withColumn("miss", F.lit(max(map(abs, off))))
 
 
 def copies(rate: Column, doc_id: Column) -> Column:

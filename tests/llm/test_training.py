@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tacgrid.llm import mixing as M
 from tacgrid.llm import quality as Q
@@ -107,3 +108,74 @@ def test_what_no_rates_can_meet_is_told(spark):
     assert met["miss"] <= M.TOLERANCE
     with pytest.raises(ValueError, match="domains"):
         M.fit_rates(soft, [f"d{k}" for k in range(65)], {})
+
+
+def plain_fit(p, t, goal, passes=200):
+    """Nonnegative rates nearest to 1 whose domain tokens are nearest to the goal, by many small projected gradient steps on a few rows."""
+    w, y = t / t.sum(), np.zeros(p.shape[1])
+    for _ in range(passes):
+        r = np.maximum(0, 1 - p @ y)
+        g = (w * r) @ p - goal - M.NEAR * y
+        free = w * (r > 0)
+        move = np.linalg.solve((p * free[:, None]).T @ p + M.NEAR * np.eye(len(y)), g)
+        value = lambda v: M.NEAR / 2 * v @ v + (w * np.maximum(0, 1 - p @ v) ** 2).sum() / 2 + v @ goal
+        step = 1.0
+        while value(y + step * move) > value(y) and step > 1e-9:
+            step /= 2
+        y = y + step * move
+    return np.maximum(0, 1 - p @ y)
+
+
+@pytest.mark.parametrize(("low", "high", "share"), [(0.48, 0.52, 0.505), (0.48, 0.52, 0.6), (0.499, 0.501, 0.5), (0.2, 0.6, 0.9), (0.0, 1.0, 0.7)])
+def test_near_collinear_domains_end_within_the_passes(spark, low, high, share):
+    """200 documents whose posteriors hardly differ; targets that can be met and others."""
+    rng = np.random.default_rng(11)
+    a, t = np.round(rng.uniform(low, high, 200), 9), rng.integers(1, 500, 200)
+    soft = spark.createDataFrame([(i, "s", int(n), float(x), float(1 - x)) for i, (n, x) in enumerate(zip(t, a, strict=True))], "doc_id long, source string, tokens int, p0 double, p1 double").cache()
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("mixing", "mixing")
+    got = M.fit_rates(soft, ["a", "b"], {"a": share, "b": 1 - share})
+    seen = len(jobs.getJobIdsForGroup("mixing"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    rows = got.orderBy("doc_id").toPandas()
+    assert seen <= 2 * M.MAX_PASSES  # an aggregation is a job or two
+    goal, p, w = np.array([share, 1 - share]), np.c_[rows.p0, rows.p1], rows.tokens / rows.tokens.sum()
+    assert np.abs((w * rows.rate).to_numpy() @ p - goal).max() == pytest.approx(rows.miss[0], abs=1e-6)
+    if low <= share <= high:
+        assert rows.miss[0] <= M.TOLERANCE
+    else:
+        ray = p[np.argmin(np.abs(p[:, 0] - share))]  # the nearest point of the cone lies on its edge
+        best = math.sqrt(goal @ goal - (goal @ ray) ** 2 / (ray @ ray))
+        assert np.linalg.norm((w * rows.rate).to_numpy() @ p - goal) == pytest.approx(best, rel=1e-4)
+
+
+def test_rates_are_those_of_a_plain_program(spark):
+    rng = np.random.default_rng(3)
+    p, t = np.round(rng.dirichlet(np.full(5, 0.3), 300), 9), rng.integers(1, 900, 300)
+    goal = np.array([0.5, 0.05, 0.15, 0.1, 0.2])
+    soft = spark.createDataFrame([(i, "s", int(n), *map(float, x)) for i, (n, x) in enumerate(zip(t, p, strict=True))], "doc_id long, source string, tokens int, " + ", ".join(f"p{k} double" for k in range(5)))
+    rows = M.fit_rates(soft, list("abcde"), dict(zip("abcde", goal.tolist(), strict=True))).orderBy("doc_id").toPandas()
+    assert rows.miss[0] <= M.TOLERANCE and np.allclose(rows.rate, plain_fit(p, t, goal), atol=1e-4)
+
+
+def test_posteriors_are_those_of_plain_naive_bayes(spark):
+    """The weights from Spark's hashes, everything else again in numpy."""
+    rng = np.random.default_rng(8)
+    word = lambda d: f"{'xyz'[d]}{rng.integers(0, 40)}" if rng.random() < 0.6 else f"w{rng.integers(0, 60)}"
+    rows = [(i, "s", " ".join(word(i % 3) for _ in range(rng.integers(0, 60)))) for i in range(150)] + [(500, "s", None), (501, "s", " \n ")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    labelled = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(90)], "doc_id long, domain string")
+    domains, weights = M.train(docs, labelled)
+    got = M.memberships(docs, domains, weights).orderBy("doc_id").toPandas()
+    every = sorted({w for r in rows for w in (r[2] or "").split()})
+    at = {r.w: r.b for r in spark.createDataFrame([(w,) for w in every], "w string").select("w", M.bucket(F.col("w")).alias("b")).collect()}
+    counts = np.zeros((M.BUCKETS, 3))
+    for i, _, text in rows[:90]:
+        for w in (text or "").split():
+            counts[at[w], i % 3] += 1
+    logs = np.log((counts + 0.5) / (counts.sum(0) + 0.5 * M.BUCKETS))
+    for r, (_, _, text) in zip(got.itertuples(), rows, strict=True):
+        words = (text or "").split()
+        total = sum((logs[at[w]] for w in words), np.zeros(3))
+        e = np.exp((total - total.max()) * min(len(words), M.EVIDENCE) / max(len(words), 1))
+        assert r.tokens == len(words) and np.allclose([r.p0, r.p1, r.p2], e / e.sum(), atol=1e-8)
