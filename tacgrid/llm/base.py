@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegralType, StructType
 
 #: Rows handed to a Python worker at once; texts can be long, so batches are kept short.
 ROWS_PER_BATCH = 256
@@ -43,11 +43,12 @@ def materialise(df: DataFrame, name: str, rows_per_batch: int = ROWS_PER_BATCH)
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(BATCH)
     spark.conf.set(BATCH, str(rows_per_batch))
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(BATCH, str(ROWS_PER_BATCH))
+        spark.conf.set(BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -80,6 +81,14 @@ def plainly(df: DataFrame) -> DataFrame:
     return df.toDF(*names)
 
 
+def ids(df: DataFrame, name: str = "doc_id") -> Column:
+    """The whole numbers that name df's rows, as longs; ValueError for another type."""
+    kind = df.schema[name].dataType
+    if not isinstance(kind, IntegralType):
+        raise ValueError(f"{name}: whole numbers are asked for, not {kind.simpleString()}")
+    return F.col(name).cast("long").alias(name)
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tacgrid.llm.base import as_bytes, map_arrow, materialise, plainly, skew_join, table, unused
+from tacgrid.llm.base import as_bytes, ids, map_arrow, materialise, plainly, skew_join, table, unused
 
 STRIP = b" \t\n\x0b\x0c\r"
 MIN_CHARS = 10
@@ -45,7 +45,7 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             at = pa.array(np.repeat(np.arange(len(counts)), counts))
             yield pa.RecordBatch.from_arrays([ids.take(at), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], ["doc_id", "h1", "h2"])
 
-    return map_arrow(docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text"), kernel, "doc_id long, h1 long, h2 long")
+    return map_arrow(docs.where(F.col("doc_id").isNotNull()).select(ids(docs), "text"), kernel, "doc_id long, h1 long, h2 long")
 
 
 def repeated_keys(keys: DataFrame, min_docs: int) -> DataFrame:
@@ -62,6 +62,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = 2)
 
     A null or empty text is one empty line; a null text stays null. Rows that share a doc_id count as one document. A row
     without a doc_id keeps all lines and counts for no key. Columns n_lines and n_dropped of the input are replaced.
+    doc_id: whole numbers, ValueError for others.
     """
     given = docs.drop("n_lines", "n_dropped")
     docs = plainly(given)
@@ -73,7 +74,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = 2)
         .groupBy(F.col("doc_id").alias(doc))
         .agg(F.collect_set(F.struct("h1", "h2")).alias(gone_keys))
     )
-    joined = docs.join(drops, F.col("doc_id").cast("long") == F.col(doc), "left").drop(doc)
+    joined = docs.join(drops, ids(docs) == F.col(doc), "left").drop(doc)
     names = docs.columns
 
     def kernel(batches):

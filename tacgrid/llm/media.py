@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tacgrid.llm.base import as_bytes, chunked, map_arrow, table
+from tacgrid.llm.base import as_bytes, chunked, ids, map_arrow, table
 
 SIDE = 24
 UNIT = SIDE * SIDE
@@ -353,7 +353,7 @@ def write_stream(content: bytes) -> bytes:
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text; further columns are ignored) -> (doc_id, media), one row for each row; null texts count as empty."""
+    """docs (doc_id, text; further columns are ignored) -> (doc_id, media), one row for each row; null texts count as empty. doc_id: whole numbers, ValueError for others."""
 
     def kernel(batches):
         for b in batches:
@@ -361,7 +361,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
             for i, k in chunked([len(t or b"") for t in texts], 4 * CHUNK):
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, k - i), pa.array([write_stream(t or b"") for t in texts[i:k]], pa.binary())], ["doc_id", "media"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), kernel, "doc_id long, media binary")
+    return map_arrow(docs.select(ids(docs), "text"), kernel, "doc_id long, media binary")
 
 
 def read_all(streams: list[bytes | None]) -> list[tuple[int, int, int, np.ndarray] | None]:
@@ -400,6 +400,7 @@ def read_features(media: DataFrame) -> DataFrame:
     n_content is the thumbnail's size without bytes 255 at its end, tail_crc32 belongs to its last 32 bytes. Null media
     and what isn't readable baseline JPEG give nulls from width on (and null size and digest for null). Equal media
     give equal values.
+    doc_id: whole numbers, ValueError for others.
     """
 
     def kernel(batches):
@@ -419,7 +420,7 @@ def read_features(media: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds))], names)
 
-    return map_arrow(media.select(F.col("doc_id").cast("long").alias("doc_id"), "media"), kernel, COLUMNS)
+    return map_arrow(media.select(ids(media), "media"), kernel, COLUMNS)
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tacgrid.llm.base import as_bytes, blobs, bucket_of, chunked, map_arrow, table
+from tacgrid.llm.base import as_bytes, blobs, bucket_of, chunked, ids, map_arrow, table
 from tacgrid.llm.textkernels import VISIBLE, U, Words, char_grams
 from tacgrid.llm.toxicity import learnt, sample_labels
 
@@ -91,6 +91,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, fold
 
     Rows of docs or labels without a doc_id and labels other than 0 and 1 don't count; of a doc_id's several labels the
     largest does, of its several texts one. Null texts have no features. Without labelled rows all scores are near one.
+    doc_id: whole numbers, ValueError for others.
     """
     def kernel(batches):
         for b in batches:
@@ -112,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, fold
         return {"bias": np.float64(model.bias).tobytes(), "gain": model.gain.tobytes()}
 
     sample = sample_labels(labels, "quality", folds, held, max_rows)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
+    rows = docs.select(ids(docs), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
     got = learnt(map_arrow(rows, kernel, "doc_id long, label int, features binary, counts binary").dropDuplicates(["doc_id"]), learn)
     return Model(float(np.frombuffer(got["bias"])[0]), np.frombuffer(got["gain"]))
 
@@ -121,6 +122,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs (doc_id, text; further columns are ignored) -> doc_id, score, one row for each row.
 
     Null and empty texts get the score of no features. Repeated rows get equal scores. No rows: no rows.
+    doc_id: whole numbers, ValueError for others.
     """
 
     def kernel(batches):
@@ -129,7 +131,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             parts = [model.scores(texts[i:k]) for i, k in chunked([len(t or b"") for t in texts], CHUNK)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.concatenate(parts) if parts else np.zeros(0))], ["doc_id", "score"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), kernel, "doc_id long, score double")
+    return map_arrow(docs.select(ids(docs), "text"), kernel, "doc_id long, score double")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ similarity of 0.8 fingerprints differ in a sixth of their bits, more than any su
 pairs; what it finds is therefore completed: two sets with a similarity of 0.8 or more share SHARED of the first
 n // 5 + SHARED members of each, in any order that holds for all sets. Shingles are ordered by how often their slot, the
 leading bits of the hash, is taken over all documents, rarest first; the order has no influence on the result. Every
-candidate is settled by the sets themselves.
+candidate is settled by the sets themselves, each member by the upper 32 bits of its hash.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tacgrid.llm.base import as_bytes, every, map_arrow, materialise, sieve, sift, skew_join, unused
+from tacgrid.llm.base import as_bytes, every, ids, map_arrow, materialise, sieve, sift, skew_join, unused
 from tacgrid.llm.graph import components
 from tacgrid.llm.simhash import FIVE_WORDS, make_plan, near_edges
 from tacgrid.llm.textkernels import mix
@@ -198,7 +198,7 @@ def near_components(docs: DataFrame, size: int = 5) -> DataFrame:
     than TOGETHER sets each is compared with the first one, and then, pair by pair, those that are still in different
     components: only a group whose members are mostly just below the similarity takes time by its square.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(ids(docs), "text")
     about = ("n", "fp0", "fp1")
     left, right, head = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}")), (lambda c: F.col(f"head.{c}"))
     rows = materialise(marked(docs, size), "shingles")  # read below as nodes, keys and documents
@@ -250,6 +250,6 @@ def keep_one(docs: DataFrame, size: int = 5) -> DataFrame:
     name = unused(docs, "_gone")
     gone = near_components(docs, size).where("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct()
     gone = materialise(gone, "gone", 1 << 14)
-    may_go, stay = sift(docs, F.col("doc_id").cast("long"), sieve(gone))
-    kept = may_go.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti").select(*every(docs))
+    may_go, stay = sift(docs, ids(docs), sieve(gone))
+    kept = may_go.join(gone, ids(docs) == F.col(name), "left_anti").select(*every(docs))
     return stay.union(kept)

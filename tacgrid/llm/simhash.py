@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tacgrid.llm.base import BROADCAST_ROWS, as_bytes, map_arrow, materialise, skew_join, table
+from tacgrid.llm.base import BROADCAST_ROWS, as_bytes, ids, map_arrow, materialise, skew_join, table
 from tacgrid.llm.graph import components, local_roots
 from tacgrid.llm.textkernels import A, U, mix
 
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, config: Config) -> DataFrame:
             fps = [pa.array([fingerprint(t, config.size, SEED + k) for t in texts], pa.int64()) for k in range(config.words)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *fps], ["doc_id", *config.columns])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), kernel, ", ".join(["doc_id long", *(f"{c} long" for c in config.columns)]))
+    return map_arrow(docs.select(ids(docs), "text"), kernel, ", ".join(["doc_id long", *(f"{c} long" for c in config.columns)]))
 
 
 def values(fps: np.ndarray, bits: list[int]) -> np.ndarray:
@@ -379,6 +379,7 @@ def near_duplicates(docs: DataFrame, config: Config = Config()) -> DataFrame:
     component_id is the smallest doc_id whose fingerprint can be reached over links of at most config.threshold bits. Texts
     without words have fingerprint 0 and link like others. Rows without a doc_id get a component like others but are
     never its smallest; a component of only such rows has none. Repeated rows get equal results.
+    doc_id: whole numbers, ValueError for others.
     """
     columns = config.columns
     node = F.col("fp0") if config.words == 1 else F.xxhash64(*columns)

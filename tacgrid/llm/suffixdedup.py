@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tacgrid.llm.base import as_bytes, chunked, map_arrow, materialise, skew_join, table
+from tacgrid.llm.base import as_bytes, chunked, ids, map_arrow, materialise, skew_join, table
 from tacgrid.llm.textkernels import U, mix
 
 LENGTH = 400
@@ -183,7 +183,7 @@ KEY = ["_d", "_t", "_u"]
 def keyed(docs: DataFrame) -> DataFrame:
     """Rows are known by doc_id and 128 bits of the text; rows alike in both have equal results."""
     text = (F.xxhash64("text").alias("_t"), F.xxhash64(F.lit(1), "text").alias("_u"))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_d"), *text, "doc_id", "text")
+    return docs.select(F.coalesce(ids(docs), F.lit(-(2**63))).alias("_d"), *text, "doc_id", "text")
 
 
 def find_anchors(docs: DataFrame) -> DataFrame:
@@ -310,6 +310,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     spans: begin, end, begin, end ... of the removed runs of bytes (end exclusive, maximal). A byte goes if a LENGTH-byte
     string that covers it starts anywhere else, in the same or another row; repeated rows are other rows. Null texts count
     as empty. Texts under LENGTH bytes stay whole. kept needn't be UTF-8: a cut can fall inside a character.
+    doc_id: whole numbers, ValueError for others.
     """
     docs = keyed(docs)
     found = materialise(find_anchors(docs), "anchors")
