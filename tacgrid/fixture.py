@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tacgrid import params as P
 from tacgrid.functions.scalar import buy_class, round_buy, side_names
+from tacgrid.sources.scratch import shared_folder
 
 SLOTS = range(10)
 PAD = 2000
@@ -216,3 +217,24 @@ def starts(spark: SparkSession, d: str) -> DataFrame:
 def timed_rounds(spark: SparkSession, d: str) -> DataFrame:
     """Rounds with first and last tick on the clock of the snapshots."""
     return states(spark, d).groupBy("round_id").agg(F.max("sec").alias("m")).select("round_id", (F.col("round_id") % 3 * 64).alias("freeze"), (F.col("round_id") % 3 * 64 + F.col("m") * 64 + 1).cast("long").alias("end_tick"))
+
+
+_files: dict[tuple[str, str], str] = {}
+
+RECORDED = "recording long, event string, tick long, event_id long, team_num int, team_name string, reason string"
+
+
+def recording_files(spark: SparkSession, d: str) -> str:
+    """Events as decoded recordings, in order of event and tick, written once a session in blocks of some hundred rows."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _files:
+        e = F.col("event_id")
+        reason = F.get(F.array(*map(F.lit, ("t_killed", "other", None, "bomb_exploded", "", "time_ran_out"))), (e % 6).cast("int"))
+        own = _read(spark, d, "events").select(
+            F.col("user_id").alias("recording"), F.col("event_type").alias("event"), (e % 100 * 2000).alias("tick"), "event_id", (e % 3 + 1).cast("int").alias("team_num"), F.concat(F.lit(" clan_"), (e % 11).cast("string")).alias("team_name"), reason.alias("reason")
+        )
+        path = shared_folder(spark, "recordings")
+        files = own.repartition(8, F.col("recording") % 8).sortWithinPartitions("event", "tick", "event_id")
+        files.write.option("parquet.block.row.count.limit", 100).option("parquet.block.size", 1 << 14).parquet(path)
+        _files[key] = path
+    return _files[key]

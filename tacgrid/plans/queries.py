@@ -13,6 +13,7 @@ from tacgrid.operators import catalog, filters, moments, navmesh, playback, reca
 from tacgrid.plans import oracle as O
 from tacgrid.plans import search as Q
 from tacgrid.sources import files
+from tacgrid.sources import recordings as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -529,6 +530,23 @@ def dedupe_new_files(spark, d):
     return files.new_files(rows.select("path", "content_key"), rows.where("p_partkey % 3 = 0")).select("path", "content_key")
 
 
+@query("SELECT event_id, user_id AS recording, event_type AS event, event_id % 100 * 2000 AS tick FROM events WHERE event_type IN ('purchase', 'error') AND (event_id % 100 * 2000 IN (6000, 120000) OR event_id % 100 * 2000 BETWEEN 60000 AND 70000)")
+def recording_ticks(spark, d):
+    """Two kinds of events at a few ticks and in a stretch of them: what is pushed down is all that recordings are read for."""
+    own = lambda where: R.recordings(spark, X.recording_files(spark, d), "event_id long, recording long, event string, tick long").where("event IN ('purchase', 'error')").where(where)
+    return own("tick IN (6000, 120000)").union(own("tick BETWEEN 60000 AND 70000"))
+
+
+@query("SELECT user_id AS recording, list_sort(list(DISTINCT trim('clan_' || event_id % 11)))[1] AS team_a, list_sort(list(DISTINCT trim('clan_' || event_id % 11)))[2] AS team_b FROM events WHERE event_id % 3 + 1 IN (2, 3) AND event_id % 100 * 2000 IN (10000, 40000, 80000, 120000) GROUP BY ALL")
+def recording_teams(spark, d):
+    return R.header_teams(R.recordings(spark, X.recording_files(spark, d), X.RECORDED))
+
+
+@query("SELECT user_id AS recording, event_id % 100 * 2000 AS tick, CASE event_id % 6 WHEN 0 THEN 't_killed' WHEN 3 THEN 'bomb_exploded' ELSE 'time_ran_out' END AS reason FROM events WHERE event_type = 'error' AND event_id % 6 IN (0, 3, 5)")
+def recording_reasons(spark, d):
+    return R.win_reasons(R.recordings(spark, X.recording_files(spark, d), X.RECORDED), "error")
+
+
 @query(O.with_tables("SELECT event_id, session FROM (SELECT *, count(*) OVER (PARTITION BY recording_id, session) AS k FROM (SELECT *, CAST(sum(fresh) OVER (PARTITION BY recording_id ORDER BY tick) AS INT) AS session FROM (SELECT event_id, recording_id, tick, CASE WHEN tick - lag(tick) OVER (PARTITION BY recording_id ORDER BY tick) > 20000 THEN 1 ELSE 0 END AS fresh FROM ev))) WHERE k >= 2"))
 def track_sessions(spark, d):
     return utility.sessions(X.events(spark, d), ["recording_id"], 20000).select("event_id", "session")
