@@ -54,14 +54,32 @@ def _credits(kills: DataFrame) -> DataFrame:
 
 
 def live_tallies(kills: DataFrame, at: DataFrame) -> DataFrame:
-    """Kills, deaths and assists in the round up to each moment. at: round_id, t; pairs are those of one round."""
-    upto = at.join(_credits(kills), "round_id").where("round_sec <= t")
-    return upto.groupBy("round_id", "t", "player").agg(F.sum("k").alias("kills"), F.sum("d").alias("deaths"), F.sum("a").alias("assists"))
+    """Kills, deaths and assists in the round up to each moment, of those who have any by then. at: round_id, t.
+
+    Credits and moments of a player are one stream in order of time, credits first, and the sums run along it: no moment
+    meets a kill. A moment is there once for each player of the round who ever gets a credit; repeated moments count once.
+    """
+    credits = _credits(kills).withColumns({"at": F.col("round_sec"), "moment": F.lit(0)})
+    players = credits.select("round_id", "player").distinct()
+    zero = {c: F.lit(0).cast("long") for c in ("k", "d", "a")}
+    moments = at.select("round_id", F.col("t").alias("at")).distinct().join(players, "round_id").withColumns({**zero, "moment": F.lit(1)})
+    w = Window.partitionBy("round_id", "player").orderBy("at", "moment").rowsBetween(Window.unboundedPreceding, 0)
+    columns = ["round_id", "player", "at", "moment", "k", "d", "a"]
+    run = credits.select(columns).union(moments.select(columns)).withColumn("n", F.sum(1 - F.col("moment")).over(w))
+    sums = run.select("round_id", F.col("at").alias("t"), "player", "moment", "n", *(F.sum(c).over(w).alias(name) for c, name in (("k", "kills"), ("d", "deaths"), ("a", "assists"))))
+    return sums.where("moment = 1 AND n > 0").drop("moment", "n")
 
 
 def dead_at(kills: DataFrame, at: DataFrame) -> DataFrame:
-    """(round_id, t, dead): who has died up to each moment, in order of name."""
-    return at.join(kills, "round_id").where("round_sec <= t").groupBy("round_id", "t").agg(F.sort_array(F.collect_set("victim")).alias("dead"))
+    """(round_id, t, dead): who has died up to each moment that has a kill before it, in order of name.
+
+    Kills and moments of a round are one stream in order of time; a set runs along it, no moment meets a kill.
+    """
+    moments = at.select("round_id", F.col("t").alias("at")).distinct().select("round_id", "at", F.lit(None).cast(kills.schema["victim"].dataType).alias("victim"), F.lit(1).alias("moment"))
+    run = kills.select("round_id", F.col("round_sec").alias("at"), "victim", F.lit(0).alias("moment")).union(moments)
+    w = Window.partitionBy("round_id").orderBy("at", "moment").rowsBetween(Window.unboundedPreceding, 0)
+    seen = run.withColumns({"dead": F.sort_array(F.collect_set("victim").over(w)), "n": F.sum(1 - F.col("moment")).over(w)})
+    return seen.where("moment = 1 AND n > 0").select("round_id", F.col("at").alias("t"), "dead")
 
 
 def repair_sides(kills: DataFrame, frames: DataFrame) -> DataFrame:

@@ -57,32 +57,70 @@ def sessions(samples: DataFrame, keys: list[str], gap: int = P.TRACK_GAP_TICKS)
     return found.withColumn("_n", F.count("*").over(Window.partitionBy(*keys, "session"))).where("_n >= 2").drop("_n")
 
 
+class LiveTracks:
+    """Tracks in the air, by the cell of their last place; cells are as wide as a detonation reaches."""
+
+    def __init__(self, reach: float) -> None:
+        self.reach = reach
+        self.cells: dict[tuple[int, int], set] = {}
+        self.at: dict = {}
+        self.points: dict = {}
+
+    def _cell(self, x: float, y: float) -> tuple[int, int]:
+        return math.floor(x / self.reach), math.floor(y / self.reach)
+
+    def drop(self, track) -> None:
+        if track in self.at:
+            cell = self._cell(*self.at.pop(track))
+            self.cells[cell].discard(track)
+            if not self.cells[cell]:
+                del self.cells[cell]
+
+    def move(self, track, x: float, y: float) -> None:
+        self.drop(track)
+        self.points[track] = self.points.get(track, 0) + 1
+        self.at[track] = (x, y)
+        self.cells.setdefault(self._cell(x, y), set()).add(track)
+
+    def nearest(self, x: float, y: float) -> tuple[float, object] | None:
+        """(distance, track) of the nearest one of two points or more within reach; ties the lowest track."""
+        cx, cy = self._cell(x, y)
+        around = (t for dx in (-1, 0, 1) for dy in (-1, 0, 1) for t in self.cells.get((cx + dx, cy + dy), ()))
+        found = ((math.hypot(self.at[t][0] - x, self.at[t][1] - y), t) for t in around if self.points[t] >= 2)
+        return min((f for f in found if f[0] < self.reach), default=None)
+
+
 def match_tracks(detonations: DataFrame, tracks: DataFrame) -> DataFrame:
     """(util_id, track_id, n_points): each detonation takes the nearest track that is left, in event order.
 
     detonations: recording_id, kind, util_id, tick, x, y. tracks: recording_id, kind, track_id, tick, x, y, one row for
-    each sample. A track fits if the detonation falls between its first tick and TRACK_MAX_TICKS after its last, it has
-    two points or more up to it and its last point up to it lies under TRACK_MAX_DISTANCE away; n_points are those up to
-    the detonation. Taking turns is a matter of order, so one recording and kind at a time goes through Python.
+    each sample; of several samples at a tick the last by place counts last. A track fits if the detonation falls between
+    its first tick and TRACK_MAX_TICKS after its last, it has two points or more up to it and its last point up to it lies
+    under TRACK_MAX_DISTANCE away; n_points are those up to the detonation. Taking turns is a matter of order, so one
+    recording and kind at a time goes through Python: one sweep over samples, ends of tracks and detonations by tick, with
+    the live tracks in a grid.
     """
 
     def solve(events: pd.DataFrame, samples: pd.DataFrame) -> pd.DataFrame:
-        left = {k: g.sort_values("tick") for k, g in samples.groupby("track_id")} if len(samples) else {}
-        out = []
+        out, live = [], LiveTracks(P.TRACK_MAX_DISTANCE)
+        own = samples.sort_values(["tick", "track_id", "x", "y"])
+        steps = list(zip(own.tick.tolist(), own.track_id.tolist(), own.x.tolist(), own.y.tolist(), strict=True))
+        last = samples.groupby("track_id").tick.max().sort_values() if len(samples) else pd.Series(dtype="int64")
+        ends = list(zip((last + P.TRACK_MAX_TICKS).tolist(), last.index.tolist(), strict=True))
+        used, i, j = set(), 0, 0
         for e in events.sort_values(["tick", "util_id"]).itertuples():
-            best = None
-            for k, g in left.items():
-                if not g.tick.iloc[0] <= e.tick <= g.tick.iloc[-1] + P.TRACK_MAX_TICKS:
-                    continue
-                upto = g[g.tick <= e.tick]
-                if len(upto) < 2:
-                    continue
-                away = math.hypot(upto.x.iloc[-1] - e.x, upto.y.iloc[-1] - e.y)
-                if away < P.TRACK_MAX_DISTANCE and (best is None or (away, k) < best[:2]):
-                    best = (away, k, len(upto))
+            while i < len(steps) and steps[i][0] <= e.tick:
+                if steps[i][1] not in used:
+                    live.move(*steps[i][1:])
+                i += 1
+            while j < len(ends) and ends[j][0] < e.tick:
+                live.drop(ends[j][1])
+                j += 1
+            best = live.nearest(e.x, e.y)
             if best:
-                left.pop(best[1])
-                out.append((e.util_id, best[1], best[2]))
+                live.drop(best[1])
+                used.add(best[1])
+                out.append((e.util_id, best[1], live.points[best[1]]))
         return pd.DataFrame(out, columns=["util_id", "track_id", "n_points"])
 
     keys = ("recording_id", "kind")

@@ -625,10 +625,15 @@ def raster_dilate(spark, d):
     return navmesh.dilate(navmesh.rasterise(grid_areas(spark)))
 
 
-@query()
-def track_match(spark, d):
+def track_inputs(spark, d):
+    """Detonations, and tracks that come in towards them along x."""
     own = X.utility(spark, d).join(X.plain_rounds(spark, d).select("round_id", "recording_id"), "round_id")
     det = own.select("recording_id", "kind", "util_id", (F.col("round_id") * 10_000 + F.col("t_start") * 64).alias("tick"), "x", "y")
     back = F.explode(F.array(*map(F.lit, (0, 32, 64))))
     tracks = det.select("recording_id", "kind", F.col("util_id").alias("track_id"), F.col("tick"), "x", "y", back.alias("back")).select("recording_id", "kind", "track_id", (F.col("tick") - F.col("back")).alias("tick"), (F.col("x") + F.col("back")).alias("x"), "y")
-    return utility.match_tracks(det, tracks)
+    return det, tracks
+
+
+@query()
+def track_match(spark, d):
+    return utility.match_tracks(*track_inputs(spark, d))

@@ -10,7 +10,7 @@ sample; version 1 has float32 t x y z.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -92,14 +92,82 @@ def pack_path(points: list[dict] | None) -> bytes | None:
     return b"\x02" + rows.tobytes()
 
 
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes of a binary column, where each value begins, and how long it is (-1: null)."""
+    column = column.cast(pa.binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] else np.zeros(0, np.uint8)
+    known = column.is_valid().to_numpy(zero_copy_only=False)
+    return data, offsets[:-1], np.where(known, np.diff(offsets), -1)
+
+
+def _cut(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The bytes of several values, one after another."""
+    before = np.cumsum(length) - length
+    return data[np.repeat(begin - before, length) + np.arange(int(length.sum()))]
+
+
+def _lists(values: pa.StructArray, count: np.ndarray, known: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=np.append(~known, False)), values)
+
+
+def unpack_snapshots(column: pa.Array) -> pa.Array:
+    """unpack_snapshot of a whole column: each version's blobs are one structured array."""
+    data, begin, length = _bytes(column)
+    first = np.where(length > 0, data[np.minimum(begin, max(len(data) - 1, 0))] if len(data) else 0, 0)
+    n = len(length)
+    values = {c: np.zeros((n, SLOTS)) for c in ("x", "y", "z", "yaw", "flash")} | {c: np.zeros((n, SLOTS), np.int64) for c in V3.names if c not in ("x", "y", "z", "yaw", "flash")}
+    there = {c: np.zeros((n, SLOTS), bool) for c in V3.names}
+    known = np.zeros(n, bool)
+    whole = 1 + SLOTS * V3.itemsize
+    for kind, skip, own in ((V3, 1, (length == whole) & (first == 3)), (V2, 0, length == SLOTS * V2.itemsize), (V1, 0, length == SLOTS * V1.itemsize)):
+        at = np.flatnonzero(own & ~known)
+        known[at] = True
+        if len(at):
+            rows = np.frombuffer(_cut(data, begin[at] + skip, length[at] - skip).tobytes(), kind).reshape(len(at), SLOTS)
+            for c in kind.names:
+                if c in values:
+                    values[c][at], there[c][at] = rows[c], True
+    flags = values["flags"]
+    present = (flags & PRESENT > 0) & known[:, None]
+    slot = np.broadcast_to(np.arange(SLOTS), (n, SLOTS))
+    for c in ("place", "node", "primary", "secondary"):
+        there[c] &= values[c] != NONE
+    column_of = {
+        "slot": (slot, None, pa.int32()), "side": (np.where(flags & CT, "CT", "T"), None, pa.string()), "alive": (flags & ALIVE > 0, None, pa.bool_()),
+        **{c: (values[c], None, pa.float64()) for c in "xyz"}, "health": (values["health"], None, pa.int32()),
+        **{c: (values[c], there[c], pa.int32()) for c in ("place", "node")}, "yaw": (values["yaw"] / 255 * 360, there["yaw"], pa.float64()),
+        **{c: (values[c], there[c], pa.int32()) for c in ("armor", "money")}, "flash_s": (values["flash"] / 10, there["flash"], pa.float64()),
+        **{c: (values[c], there[c], pa.int32()) for c in ("primary", "secondary", "util")},
+    }
+    fields = [pa.array(v[present], kind, mask=None if ok is None else ~ok[present]) for v, ok, kind in (column_of[f] for f in FIELDS)]
+    return _lists(pa.StructArray.from_arrays(fields, FIELDS), present.sum(1), known)
+
+
+def unpack_paths(column: pa.Array) -> pa.Array:
+    """unpack_path of a whole column: each version's blobs are one array."""
+    data, begin, length = _bytes(column)
+    first = np.where(length > 0, data[np.minimum(begin, max(len(data) - 1, 0))] if len(data) else 0, 0)
+    new = (length > 0) & (first == 2) & ((length - 1) % PATH.itemsize == 0)
+    old = (length > 0) & ~new & (length % 16 == 0)
+    count = np.where(new, (length - 1) // PATH.itemsize, np.where(old, length // 16, 0))
+    out = np.zeros((int(count.sum()), 4))
+    owner_new = np.repeat(new, count)
+    rows = np.frombuffer(_cut(data, begin[new] + 1, length[new] - 1).tobytes(), PATH)
+    out[owner_new] = np.column_stack([rows["t"] / 100, rows["x"], rows["y"], rows["z"]])
+    out[~owner_new] = np.round(np.frombuffer(_cut(data, begin[old], length[old]).tobytes(), "<f4").reshape(-1, 4).astype(np.float64), 1)
+    return _lists(pa.StructArray.from_arrays([pa.array(out[:, k]) for k in range(4)], list("txyz")), count, new | old)
+
+
 def players_of(blob: Column) -> Column:
     """PLAYERS of a packed snapshot column."""
-    return F.pandas_udf(lambda s: pd.Series([None if (x := unpack_snapshot(b)) is None else [dict(zip(FIELDS, r, strict=True)) for r in x] for b in s]), PLAYERS)(blob)
+    return F.arrow_udf(unpack_snapshots, PLAYERS)(blob)
 
 
 def path_of(blob: Column) -> Column:
     """POINTS of a packed path column."""
-    return F.pandas_udf(lambda s: pd.Series([None if (x := unpack_path(b)) is None else [dict(zip("txyz", r, strict=True)) for r in x] for b in s]), POINTS)(blob)
+    return F.arrow_udf(unpack_paths, POINTS)(blob)
 
 
 def token_of(blob: Column) -> list[Column]:

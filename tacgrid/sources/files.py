@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,11 +21,44 @@ def discover(spark: SparkSession, folder: str, suffix: str = ".dem") -> DataFram
     return found.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
+def with_scheme(path: str) -> str:
+    """A path as Spark writes it (file:/x, /x, hdfs://host/x) with a scheme and two slashes."""
+    if path.startswith("file:/") and not path.startswith("file://"):
+        return "file://" + path[5:]
+    return path if "://" in path else f"file://{path}"
+
+
+def arrow_uri(path: str) -> str:
+    """A path of Spark's, which isn't escaped, as Arrow takes it."""
+    return quote(with_scheme(path), safe="/:@")
+
+
 def content_keys(spark: SparkSession, folder: str, suffix: str = ".dem") -> DataFrame:
-    """(path, size, content_key): SHA-1 of the first FINGERPRINT_BYTES and the size."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(folder)
-    head = F.substring("content", 1, P.FINGERPRINT_BYTES)
-    return found.select("path", F.col("length").alias("size"), F.concat(F.sha1(head), F.lit(":"), F.col("length").cast("string")).alias("content_key"))
+    """(path, size, content_key, bytes_read): SHA-1 of the first FINGERPRINT_BYTES and the size; no more of a file is read.
+
+    The executors read the heads through Arrow's file systems. A scheme that Arrow doesn't know goes through Spark's own
+    reader, which takes in whole files.
+    """
+    found = discover(spark, folder, suffix)
+    schema = "path string, size long, content_key string, bytes_read long"
+
+    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for path, size in zip(b["path"], b["size"], strict=True):
+                fs, inner = pafs.FileSystem.from_uri(arrow_uri(path))
+                with fs.open_input_file(inner) as f:
+                    head = f.read_at(min(P.FINGERPRINT_BYTES, size), 0)
+                rows.append((path, size, f"{hashlib.sha1(head).hexdigest()}:{size}", len(head)))
+            yield pd.DataFrame(rows, columns=["path", "size", "content_key", "bytes_read"])
+
+    try:
+        pafs.FileSystem.from_uri(arrow_uri(folder))
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        whole = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(folder)
+        key = F.concat(F.sha1(F.substring("content", 1, P.FINGERPRINT_BYTES)), F.lit(":"), F.col("length").cast("string"))
+        return whole.select("path", F.col("length").alias("size"), key.alias("content_key"), F.col("length").alias("bytes_read"))
+    return found.select("path", "size").mapInPandas(heads, schema)
 
 
 def new_files(found: DataFrame, known: DataFrame) -> DataFrame:

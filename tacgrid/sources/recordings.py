@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tacgrid.sources.files import arrow_uri, with_scheme
+
 #: Bytes that one task reads, and what opening a file counts beside its own.
 TASK_BYTES, OPEN_BYTES = 64 << 20, 4 << 20
 PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
@@ -141,18 +143,19 @@ class RecordingReader(DataSourceReader):
         """(URI, size) of all files below the path, or of those that the option names."""
         if self.files:
             return [(p, self._size(p)) for p in sorted(json.loads(self.files))]
-        fs, base = pafs.FileSystem.from_uri(self.root)
+        fs, base = pafs.FileSystem.from_uri(arrow_uri(self.root))
         found = fs.get_file_info(pafs.FileSelector(base, recursive=True))
-        head = self.root[: len(self.root) - len(base)] if self.root.endswith(base) else self.root.split("://")[0] + "://"
+        root = with_scheme(self.root).rstrip("/")
+        head = root[: len(root) - len(base)] if root.endswith(base) else root.split("://")[0] + "://"
         hidden = lambda p: any(x[:1] in "._" for x in p[len(base) :].strip("/").split("/"))
         return sorted((head + f.path, f.size) for f in found if f.type == pafs.FileType.File and f.path.endswith(self.suffix) and not hidden(f.path))
 
     def _size(self, path: str) -> int:
-        fs, inner = pafs.FileSystem.from_uri(path)
+        fs, inner = pafs.FileSystem.from_uri(arrow_uri(path))
         return max(fs.get_file_info(inner).size or 0, 0)
 
     def _open(self, path: str):
-        fs, inner = pafs.FileSystem.from_uri(path)
+        fs, inner = pafs.FileSystem.from_uri(arrow_uri(path))
         return self.decoder(fs, inner)
 
     def _wanted(self, block: Block) -> bool:
@@ -201,7 +204,7 @@ class RecordingReader(DataSourceReader):
                 yield pa.RecordBatch.from_pydict({"path": [path], "message": [f"{type(e).__name__}: {e}"]})
         finally:
             if self.report:
-                fs, base = pafs.FileSystem.from_uri(self.report)
+                fs, base = pafs.FileSystem.from_uri(arrow_uri(self.report))
                 fs.create_dir(base, recursive=True)
                 with fs.open_output_stream(f"{base}/{uuid.uuid4().hex}.json") as out:
                     out.write(json.dumps(seen).encode())
