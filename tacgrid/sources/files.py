@@ -16,7 +16,7 @@ from tacgrid import params as P
 
 
 def discover(spark: SparkSession, folder: str, suffix: str = ".dem") -> DataFrame:
-    """(path, size, modified) of all files below folder with that ending. Contents aren't read."""
+    """(path, size, modified) of all files below folder with that ending. Contents aren't read; Spark leaves out empty files."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(folder)
     return found.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
