@@ -39,6 +39,12 @@ def warm(name: str):
     return wrap
 
 
+def release(spark: SparkSession) -> None:
+    """Frees all that is kept for this session."""
+    for key in [k for k in _warm if k[0] == spark.sparkContext.applicationId]:
+        _warm.pop(key).unpersist()
+
+
 def team(number: Column) -> Column:
     return F.concat(F.lit("team_"), number.cast("string"))
 

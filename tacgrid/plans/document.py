@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from tacgrid import params as P
 from tacgrid.operators import playback, stats
 from tacgrid.operators.filters import filter_snapshots
-from tacgrid.plans.search import LISTS, Library, Request, hydrate, population, search
+from tacgrid.operators.moments import ranked
+from tacgrid.plans.search import LISTS, Library, Request, hydrate, population, scored
+from tacgrid.sources.scratch import shared_folder
 
 
 def score_keys(ct: Column, t: Column, ct_label: Column, t_label: Column) -> tuple[Column, Column]:
@@ -99,19 +101,22 @@ def search_document(lib: Library, request: Request, rounds: DataFrame, kills: Da
     """Ranked moments with their players, the markers' nodes and the statistics of everything that was recalled.
 
     moments: request.limit at most, in rank order. The baseline of the statistics is what the filters alone let through;
-    without markers all that they let through is exact.
+    without markers all that they let through is exact. Recall runs once: what it finds is written and read by all blocks.
     """
-    spatial = bool(request.markers)
+    spatial, spark = bool(request.markers), lib.index.sparkSession
     masked = filter_snapshots(lib.index, request.filters)
     plain = ("round_id", "state_id", "sec", "planted")
     flagged = lambda df, match, exact: df.select(*plain, F.lit(match).alias("in_match"), exact.alias("in_exact"), F.lit(True).alias("in_baseline"))
-    states = flagged(masked, not spatial, F.lit(not spatial))
+    states, recalled = flagged(masked, not spatial, F.lit(not spatial)), None
     if spatial:
-        found, _ = population(lib, request)
-        states = states.union(flagged(found, True, F.col("node_cost") <= P.EXACT))
-    best = search(lib, request)
+        found, geo = population(lib, request)
+        own = [*plain, "cost", "node_cost", *(c for k, c in LISTS.items() if any(m.kind == k for m in request.markers))]
+        found.select(*own).write.parquet(path := shared_folder(spark, "recalled"))
+        recalled = (spark.read.parquet(path), geo)
+        states = states.union(flagged(recalled[0], True, F.col("node_cost") <= P.EXACT))
+    best = ranked(scored(lib, request, recalled), request.limit)
     rows = best.collect()
-    full = {r["state_id"]: r for r in _rows(hydrate(lib.index.sparkSession.createDataFrame(rows, best.schema), lib))}
+    full = {r["state_id"]: r for r in _rows(hydrate(spark.createDataFrame(rows, best.schema), lib))}
     kinds = ("CT", "T", *LISTS)
     return {
         "spatial": spatial,

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from tacgrid import fixture as X
 from tacgrid.functions import scalar as S
-from tacgrid.operators import catalog, filters, moments, navmesh, playback, recall, rerank, roster, rounds, stats, teams, utility
+from tacgrid.operators import catalog, filters, moments, navmesh, pivots, playback, recall, rerank, roster, rounds, stats, teams, utility
 from tacgrid.plans import oracle as O
 from tacgrid.plans import search as Q
 from tacgrid.sources import files
 from tacgrid.sources import recordings as R
+from tacgrid.sources.scratch import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -276,6 +277,28 @@ def chamfer_recall(spark, d):
     return recalled(spark, d).select("state_id", six("cost").alias("cost"))
 
 
+_indexed: dict[tuple[str, str], tuple[str, list[int]]] = {}
+
+
+def pruned_library(spark, d):
+    """The library with bounds by pivots, its index on disk; written once a session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _indexed:
+        own = pivots.choose(X.geo(spark))
+        geo = recall.Geodesics.read(X.geo(spark), set(own))
+        pivots.write(pivots.with_bounds(X.index(spark, d), geo, own, X.tokens()), path := shared_folder(spark, "index"), own)
+        _indexed[key] = (path, own)
+    path, own = _indexed[key]
+    return Q.Library(spark.read.parquet(path), lambda ids: X.nested_players(spark, d, ids), X.geo(spark), X.tokens(), pivots=tuple(own))
+
+
+@query(O.with_tables("SELECT state_id, round(cost, 6) AS cost FROM found", **_RECALL))
+def chamfer_recall_pruned(spark, d):
+    """chamfer_recall over an index that leaves out row groups."""
+    found, _ = Q.population(pruned_library(spark, d), Q.Request(tuple(MARKERS)))
+    return found.select("state_id", six("cost").alias("cost"))
+
+
 @query(O.with_tables("SELECT state_id, round(cost, 6) AS cost FROM found ORDER BY found.cost, state_id LIMIT 1500", **_RECALL))
 def chamfer_topk(spark, d):
     return recall.cheapest(recalled(spark, d).select("state_id", "cost")).select("state_id", six("cost").alias("cost"))
@@ -341,6 +364,19 @@ def search_full(spark, d):
     return found.select("round_id", "t_start", "t_end", six("score").alias("score"), "state_id", "n_states", "exact")
 
 
+@query(O.with_tables("SELECT round_id, t_start, t_end, round(score, 6) AS score, state_id, n_states, exact, CAST((row_number() OVER (ORDER BY exact DESC, r.score, t_end - t_start DESC, round_id, t_start) - 1) // 40 AS INT) AS page FROM r ORDER BY exact DESC, r.score, t_end - t_start DESC, round_id, t_start LIMIT 120", **_FULL))
+def search_pages(spark, d):
+    """Three pages of 40 moments, each read from where the one before ended; one recall."""
+    kept, after, pages = Q.Kept(library(spark, d), FULL), None, []
+    for k in range(3):
+        rows = (page := kept.page(40, after)).collect()
+        pages.append(spark.createDataFrame(rows, page.schema).withColumn("page", F.lit(k)))
+        after = Q.Place.of(rows[-1]) if rows else after
+    kept.drop()
+    found = pages[0].union(pages[1]).union(pages[2])
+    return found.select("round_id", "t_start", "t_end", six("score").alias("score"), "state_id", "n_states", "exact", "page")
+
+
 # Statistics over the rounds that recall matches within a tolerance of 150 exactly enough, and 300.
 def flagged(spark, d):
     lib = library(spark, d, False)

@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tacgrid import params as P
+from tacgrid.operators import pivots
 from tacgrid.operators.filters import Filters, filter_snapshots
 from tacgrid.operators.moments import moments, ranked
 from tacgrid.operators.recall import Geodesics, Marker, cheapest, recall, recall_cost, utility_distance
 from tacgrid.operators.rerank import assignment_cost, utility_cost
+from tacgrid.sources.scratch import shared_folder
 
 LISTS = {"smoke": "smokes", "molly": "mollies"}
 
@@ -33,7 +35,7 @@ class Library:
 
     players: gives (state_id, players), an array of struct(slot, side, alive, node, x, y), for a few state_ids; the
     bulk of the snapshots is read for hits alone. lower_max: where the map's lower floor ends; players and active
-    utility have z then.
+    utility have z then. pivots: those whose bounds the index has as columns; recall then prunes by them.
     """
 
     index: DataFrame
@@ -41,12 +43,15 @@ class Library:
     geo: DataFrame
     tokens: dict
     lower_max: float | None = None
+    pivots: tuple[int, ...] = ()
 
 
 def population(lib: Library, request: Request) -> tuple[DataFrame, Geodesics]:
     """Recalled snapshots with cost and node_cost, before the cap."""
-    geo = Geodesics.read(lib.geo, {m.node for m in request.markers})
+    geo = Geodesics.read(lib.geo, {m.node for m in request.markers} | set(lib.pivots if request.markers else ()))
     masked = filter_snapshots(lib.index, request.filters)
+    near = pivots.reachable(geo, list(request.markers), list(lib.pivots), request.tolerance) if lib.pivots else None
+    masked = masked if near is None else masked.where(near)
     away = utility_distance(geo, list(request.markers), LISTS)
     if away is not None:
         masked = masked.withColumn("util_cost", away).where(F.col("util_cost") <= P.UTILITY_GATE)
@@ -77,16 +82,65 @@ def rerank(lib: Library, request: Request, hits: DataFrame, geo: Geodesics) -> D
     return hits.withColumn("score", score).drop(*kinds, "_people")
 
 
-def search(lib: Library, request: Request) -> DataFrame:
-    """Ranked moments."""
-    found, geo = population(lib, request)
+def scored(lib: Library, request: Request, population_: tuple[DataFrame, Geodesics] | None = None) -> DataFrame:
+    """All moments of a request, unranked. population_: recalled snapshots, if they are there already.
+
+    The hits of a sketch, request.cap rows, come to the driver and go out again with the plan: they are looked at for each
+    kind of marker.
+    """
+    found, geo = population_ or population(lib, request)
     if not request.markers:
         hits = found.withColumn("score", F.lit(0.0))
     else:
         narrow = ["state_id", "round_id", "sec", "cost", "node_cost", *(LISTS[k] for k in LISTS if any(m.kind == k for m in request.markers))]
-        hits = cheapest(found.select(*narrow), request.cap).persist()  # request.cap rows, looked at once for each kind
-        hits = rerank(lib, request, hits, geo)
-    return ranked(moments(hits.select("round_id", "sec", "state_id", "score", F.col("node_cost").alias("cost"))), request.limit)
+        best = cheapest(found.select(*narrow), request.cap)
+        hits = rerank(lib, request, found.sparkSession.createDataFrame(best.collect(), best.schema), geo)
+    return moments(hits.select("round_id", "sec", "state_id", "score", F.col("node_cost").alias("cost")))
+
+
+def search(lib: Library, request: Request) -> DataFrame:
+    """Ranked moments."""
+    return ranked(scored(lib, request), request.limit)
+
+
+@dataclass(frozen=True)
+class Place:
+    """Where a page ended, by what moments are ranked by; the next one begins after it."""
+
+    exact: bool
+    score: float
+    seconds: int
+    round_id: int
+    t_start: int
+
+    @classmethod
+    def of(cls, row) -> Place:
+        return cls(row["exact"], row["score"], row["t_end"] - row["t_start"], row["round_id"], row["t_start"])
+
+
+class Kept:
+    """The scored moments of one search, written once; pages are read from them, none asks for another recall."""
+
+    def __init__(self, lib: Library, request: Request, name: str = "moments") -> None:
+        self.spark = lib.index.sparkSession
+        self.path = shared_folder(self.spark, name)
+        scored(lib, request).write.parquet(self.path)
+        self.moments = self.spark.read.parquet(self.path)
+
+    def page(self, limit: int = P.DEFAULT_LIMIT, after: Place | None = None) -> DataFrame:
+        """The next limit moments in rank order after a place, or the first ones. Places stay valid for as long as the search is kept."""
+        rows = self.moments
+        if after is not None:
+            order = lambda exact, score, seconds, round_id, start: F.struct((~exact).alias("a"), score.alias("b"), (-seconds).alias("c"), round_id.alias("d"), start.alias("e"))
+            own = order(F.col("exact"), F.col("score"), (F.col("t_end") - F.col("t_start")).cast("long"), F.col("round_id").cast("long"), F.col("t_start").cast("long"))
+            last = order(F.lit(after.exact), F.lit(float(after.score)), F.lit(after.seconds).cast("long"), F.lit(after.round_id).cast("long"), F.lit(after.t_start).cast("long"))
+            rows = rows.where(own > last)
+        return ranked(rows, limit)
+
+    def drop(self) -> None:
+        """Deletes what was kept."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def hydrate(found: DataFrame, lib: Library) -> DataFrame:
