@@ -155,6 +155,34 @@ def unit_edges(spark: SparkSession) -> DataFrame:
     return right.union(down).select(F.lit("grid").alias("map_name"), F.col("na").cast("int"), F.col("nb").cast("int"), F.lit(100.0).alias("d"))
 
 
+def mesh_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as places of maps, a map for each nation and 2,500 customer numbers: j-th of its map, and the next ones to the right and below."""
+    c = F.col("c_custkey")
+    name = F.concat(F.lit("de_"), F.col("c_nationkey").cast("string"), F.lit("_"), F.floor(c / 2500).cast("string"))
+    w = Window.partitionBy("map_name").orderBy("c")
+    own = _read(spark, d, "customer").select(name.alias("map_name"), c.alias("c"))
+    return own.select("*", (F.row_number().over(w) - 1).alias("j"), F.lead("c", 1).over(w).alias("right"), F.lead("c", 12).over(w).alias("below"))
+
+
+def meshes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(areas, edges) of all maps: squares in rows of 12, some upstairs, most linked to their neighbours."""
+    c, j = F.col("c"), F.col("j")
+    x, y, side = (j % 12 * 100 + c % 7 * 3).cast("double"), (F.floor(j / 12) * 100 + c % 5 * 4).cast("double"), (c % 3 * 10 + 60).cast("double")
+    corner = lambda dx, dy: F.struct((x + dx * side).alias("x"), (y + dy * side).alias("y"))
+    rows = mesh_rows(spark, d)
+    areas = rows.select("map_name", c.alias("area_id"), j.cast("int").alias("node"), (side * side).alias("size"), (x + side / 2).alias("x"), (y + side / 2).alias("y"), F.when(c % 6 == 0, 200.0).otherwise(c % 4 * 20.0).alias("z"), F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1)).alias("corners"))
+    right = rows.where("j % 12 < 11 AND c % 9 <> 0 AND right IS NOT NULL").select("map_name", c.alias("a"), F.col("right").alias("b"))
+    below = rows.where("c % 7 <> 0 AND below IS NOT NULL").select("map_name", c.alias("a"), F.col("below").alias("b"))
+    return areas, right.union(below)
+
+
+def mesh_steps(spark: SparkSession, d: str) -> DataFrame:
+    """The links of all maps as steps between the places' numbers (map_name, na, nb, d)."""
+    j = F.col("j")
+    step = lambda by, ok, off: mesh_rows(spark, d).where(f"{by} IS NOT NULL AND {ok}").select("map_name", j.cast("int").alias("na"), (j + off).cast("int").alias("nb"), (F.col("c") % 50 + 100).cast("double").alias("d"))
+    return step("right", "j % 12 < 11 AND c % 9 <> 0", 1).union(step("below", "c % 7 <> 0", 12))
+
+
 def kills(spark: SparkSession, d: str) -> DataFrame:
     p, s = F.col("p"), F.col("s")
     return states(spark, d).where("rf = 'R'").select(

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -27,46 +28,58 @@ def symmetric(edges: DataFrame) -> DataFrame:
     return edges.select("map_name", "a", "b").union(swapped).where("a <> b").distinct()
 
 
+@dataclass
+class Patch:
+    """Areas that have grown together: weight and centre in the plane and in height, and links to other patches by strength."""
+
+    first: int
+    areas: list[int]
+    weight: float
+    place: np.ndarray
+    links: dict[int, int] = field(default_factory=dict)
+
+    def pull(self, other: Patch) -> tuple[float, float, int]:
+        """How much another patch attracts this one: link strength for its distance in the plane, then the smaller, then the earlier."""
+        away = float(np.hypot(*(self.place - other.place)[:2]))
+        return self.links[other.first] / (1 + away / 100), -other.weight, -other.first
+
+    def take(self, other: Patch, patches: dict[int, Patch]) -> None:
+        """Takes another patch in, with its links."""
+        both = self.weight + other.weight
+        self.place = (self.place * self.weight + other.place * other.weight) / both
+        self.weight, self.areas = both, self.areas + other.areas
+        for end, strength in other.links.items():
+            third = patches[end]
+            third.links.pop(other.first)
+            if third is not self:
+                self.links[end] = third.links[self.first] = self.links.get(end, 0) + strength
+
+
 def _merge(areas: pd.DataFrame, edges: pd.DataFrame, k: int | None) -> pd.DataFrame:
-    """Takes the smallest cluster again and again and merges it into the neighbour with the strongest link for its distance."""
-    ids = [int(i) for i in areas.sort_values("area_id").area_id]
-    info = {int(r.area_id): (max(float(r.size), 1.0), float(r.x), float(r.y), float(r.z)) for r in areas.itertuples()}
-    k = k or default_k(len(ids))
+    """The smallest patch joins the neighbour that attracts it most, until k are left; patches without neighbours stand aside."""
+    rows = areas.sort_values("area_id")
+    k = k or default_k(len(rows))
     if k > P.MAX_NODES:
         raise ValueError(f"at most {P.MAX_NODES} nodes")
-    members = {i: [i] for i in ids}
-    size = {i: info[i][0] for i in ids}
-    centre = {i: np.array(info[i][1:]) for i in ids}
-    links: dict[int, dict[int, int]] = {i: {} for i in ids}
+    patches = {int(r.area_id): Patch(int(r.area_id), [int(r.area_id)], max(float(r.size), 1.0), np.array([r.x, r.y, r.z], float)) for r in rows.itertuples()}
     for a, b in zip(edges.a.tolist(), edges.b.tolist(), strict=True):
-        if a in links and b in links:
-            links[a][b] = links[a].get(b, 0) + 1
-    queue = [(size[i], i) for i in ids]
+        if a in patches and b in patches:
+            patches[a].links[b] = patches[a].links.get(b, 0) + 1
+    queue = [(p.weight, first) for first, p in patches.items()]
     heapq.heapify(queue)
-    alive = set(ids)
-    while len(alive) > k and queue:
-        s, i = heapq.heappop(queue)
-        if i not in alive or s != size[i] or not links[i]:
-            continue  # outdated, or without neighbours: set aside
-        def pull(j: int, i: int = i) -> tuple[float, float, int]:
-            away = float(np.linalg.norm(centre[i][:2] - centre[j][:2]))  # in the plane: storeys count by their links alone
-            return links[i][j] / (1 + away / 100), -size[j], -j
-        j = max(links[i], key=pull)
-        keep, gone = min(i, j), max(i, j)
-        total = size[keep] + size[gone]
-        centre[keep] = (centre[keep] * size[keep] + centre[gone] * size[gone]) / total
-        size[keep] = total
-        members[keep] += members.pop(gone)
-        for other, n in links.pop(gone).items():
-            links[other].pop(gone, None)
-            if other != keep:
-                links[keep][other] = links[keep].get(other, 0) + n
-                links[other][keep] = links[other].get(keep, 0) + n
-        alive.discard(gone)
-        heapq.heappush(queue, (total, keep))
+    while len(patches) > k and queue:
+        weight, first = heapq.heappop(queue)
+        small = patches.get(first)
+        if small is None or small.weight != weight or not small.links:
+            continue  # outdated, or nobody to join
+        chosen = max((patches[end] for end in small.links), key=small.pull)
+        early, late = sorted((small, chosen), key=lambda p: p.first)
+        early.take(late, patches)
+        del patches[late.first]
+        heapq.heappush(queue, (early.weight, early.first))
     # Nodes are numbered from the top left: rows of 256 units, then columns.
-    order = sorted(alive, key=lambda i: (-round(centre[i][1] / 256), round(centre[i][0] / 256), i))
-    return pd.DataFrame([(areas.map_name.iloc[0], a, n) for n, i in enumerate(order) for a in members[i]], columns=["map_name", "area_id", "node"])
+    order = sorted(patches.values(), key=lambda p: (-round(p.place[1] / 256), round(p.place[0] / 256), p.first))
+    return pd.DataFrame([(areas.map_name.iloc[0], a, n) for n, p in enumerate(order) for a in p.areas], columns=["map_name", "area_id", "node"])
 
 
 def cluster_areas(areas: DataFrame, edges: DataFrame, k: int | None = None) -> DataFrame:
@@ -166,32 +179,34 @@ def rasterise(areas: DataFrame, cell: int = P.RASTER_CELL) -> DataFrame:
     return flat.groupBy("map_name").applyInPandas(solve, RASTER)
 
 
-#: The order in which a cell gives its layers to its neighbours: along x, along y, then the corners.
-NEIGHBOURS = ((1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (-1, 1), (1, -1), (-1, -1))
-
-
 def dilate(raster: DataFrame, rounds: int = P.DILATION_ROUNDS) -> DataFrame:
-    """Fills empty cells within the raster's bounds from their neighbours, all layers at once, rounds times at most."""
+    """Fills empty cells within the raster's bounds from their neighbours, all layers at once, rounds times at most.
+
+    In a round cells give to one side after another, in the order of RASTER_SIDES; later sides see what earlier ones filled.
+    """
 
     def solve(r: pd.DataFrame) -> pd.DataFrame:
-        cells: dict[tuple[int, int], list] = {}
-        for row in r.sort_values("layer").itertuples():
-            cells.setdefault((row.ix, row.iy), []).append((row.layer, row.node, row.z))
-        about = (r.x0.iloc[0], r.y0.iloc[0], int(r.width.iloc[0]), int(r.height.iloc[0]))
-        edge = set(cells)
+        own = r.sort_values(["ix", "iy", "layer"])
+        cells, first, layers = np.unique(own[["ix", "iy"]].to_numpy(), axis=0, return_index=True, return_counts=True)
+        width, height = int(r.width.iloc[0]), int(r.height.iloc[0])
+        giver = np.full((width, height), -1)  # whose layers a cell has
+        giver[cells[:, 0], cells[:, 1]] = np.arange(len(cells))
         for _ in range(rounds):
-            fresh: set[tuple[int, int]] = set()
-            for dx, dy in NEIGHBOURS:  # later directions see what earlier ones filled
-                for x, y in sorted(edge | fresh):
-                    at = (x + dx, y + dy)
-                    if at not in cells and 0 <= at[0] < about[2] and 0 <= at[1] < about[3]:
-                        cells[at] = cells[x, y]
-                        fresh.add(at)
-            if not fresh:
+            before = giver.copy()
+            for dx, dy in P.RASTER_SIDES:
+                to = giver[max(dx, 0) : width + min(dx, 0), max(dy, 0) : height + min(dy, 0)]
+                source = giver[max(-dx, 0) : width + min(-dx, 0), max(-dy, 0) : height + min(-dy, 0)]
+                new = (to < 0) & (source >= 0)
+                to[new] = source[new]
+            if (giver == before).all():
                 break
-            edge = fresh
-        rows = [(r.map_name.iloc[0], x, y, *layer, *about) for (x, y), own in cells.items() for layer in own]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in RASTER.split(", ")])
+        x, y = np.nonzero(giver >= 0)
+        source = giver[x, y]
+        n = layers[source]
+        rows = np.repeat(first[source] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        out = own.iloc[rows].reset_index(drop=True)
+        out["ix"], out["iy"] = np.repeat(x, n).astype(np.int32), np.repeat(y, n).astype(np.int32)
+        return out[[c.split()[0] for c in RASTER.split(", ")]]
 
     return raster.groupBy("map_name").applyInPandas(solve, RASTER)
 
@@ -227,9 +242,35 @@ def locate(points: DataFrame, raster: DataFrame, cell: int = P.RASTER_CELL) -> D
 def build_map(areas: DataFrame, edges: DataFrame, k: int | None = None) -> dict[str, DataFrame]:
     """All that is derived from the meshes of maps: nodes, centres, geo and a filled raster.
 
-    areas: map_name, area_id, size, x, y, z, corners; edges: map_name, a, b.
+    areas: map_name, area_id, size, x, y, z, corners (a column node is left out); edges: map_name, a, b.
     """
+    areas = areas.drop("node")
     nodes = cluster_areas(areas, edges, k)
     centres = node_centres(areas, nodes)
     raster = dilate(rasterise(areas.select("map_name", "area_id", "z", "corners").join(nodes, ["map_name", "area_id"])))
     return {"areas": nodes, "centres": centres, "geo": geodesics(node_edges(edges, nodes, centres)), "raster": raster}
+
+
+def map_job(library, areas: DataFrame, edges: DataFrame, calibrations: dict, images: set[str], wanted: set[str] | None = None, k: int | None = None, kept: dict | None = None) -> tuple[dict[str, str], dict]:
+    """Builds maps into a library: (what became of each map, calibrations of all maps built so far).
+
+    wanted: a subset of maps (None: all); of the others nothing is touched, and what kept has of them stays. Only maps of a mode
+    (P.MAP_PREFIXES) count. Maps without a calibration, without an image and with more nodes than there are numbers for are
+    skipped and said so; the others are built together. Null values of calibrations are left out.
+    """
+    n_areas = {r["map_name"]: r["n"] for r in areas.groupBy("map_name").agg(F.count("*").alias("n")).collect()}
+    told: dict[str, str] = {}
+    for name in sorted(m for m in n_areas if (not wanted or m in wanted) and m.startswith(P.MAP_PREFIXES)):
+        if name not in calibrations:
+            told[name] = "skipped: no calibration"
+        elif name not in images:
+            told[name] = "skipped: no image"
+        elif (k or default_k(n_areas[name])) > P.MAX_NODES:
+            told[name] = f"failed: at most {P.MAX_NODES} nodes"
+        else:
+            told[name] = "ok"
+    good = [m for m, what in told.items() if what == "ok"]
+    if good:
+        own = lambda df: df.where(F.col("map_name").isin(*good))
+        library.write_map(build_map(own(areas), own(edges), k))
+    return told, {**(kept or {}), **{m: {c: v for c, v in calibrations[m].items() if v is not None} for m in good}}

@@ -31,6 +31,9 @@ RASTER_LAYERS = 3
 RASTER_LAYER_GAP = 64.0
 DILATION_ROUNDS = 80
 RASTER_MARGIN = 2
+#: Sides (dx, dy) to which a cell gives its layers, in order.
+RASTER_SIDES = ((1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (-1, 1), (1, -1), (-1, -1))
+MAP_PREFIXES = ("de_", "cs_")
 ACTIVE_MAPS = ("de_ancient", "de_anubis", "de_cache", "de_dust2", "de_inferno", "de_mirage", "de_nuke")
 LEGACY_MAPS = ("de_overpass",)
 #: Recorded names that say nothing about who plays.

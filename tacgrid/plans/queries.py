@@ -588,9 +588,23 @@ def track_sessions(spark, d):
     return utility.sessions(X.events(spark, d), ["recording_id"], 20000).select("event_id", "session")
 
 
-@query("SELECT CAST(a.n AS INT) AS na, CAST(b.n AS INT) AS nb, CAST(100 * (abs(a.n % 12 - b.n % 12) + CASE WHEN (a.n % 12 <= 5) = (b.n % 12 <= 5) THEN abs(a.n // 12 - b.n // 12) ELSE a.n // 12 + b.n // 12 END) AS DOUBLE) AS d FROM range(120) a(n) CROSS JOIN range(120) b(n)")
+_STEPS = """rows_ AS (SELECT *, row_number() OVER w - 1 AS j, lead(c, 1) OVER w AS r, lead(c, 12) OVER w AS b FROM (
+    SELECT 'de_' || c_nationkey || '_' || c_custkey // 2500 AS m, c_custkey AS c FROM customer) WINDOW w AS (PARTITION BY m ORDER BY c)),
+  steps AS (SELECT m, j AS na, j + 1 AS nb, c % 50 + 100 AS d FROM rows_ WHERE r IS NOT NULL AND j % 12 < 11 AND c % 9 <> 0
+    UNION ALL SELECT m, j, j + 12, c % 50 + 100 FROM rows_ WHERE b IS NOT NULL AND c % 7 <> 0),
+  ends AS (SELECT m, max(nb) AS top FROM steps GROUP BY m), nodes AS (SELECT m, unnest(range(top + 1)) AS n FROM ends),
+  d0 AS (SELECT m, na, nb, min(d) AS d FROM (SELECT m, na, nb, d FROM steps UNION ALL SELECT m, nb, na, d FROM steps UNION ALL SELECT m, n, n, 0 FROM nodes) GROUP BY ALL)"""
+
+
+def _squared(times: int) -> str:
+    """Paths of up to 2^times steps, by joining paths to paths."""
+    return "".join(f", d{k + 1} AS (SELECT a.m, a.na, b.nb, min(a.d + b.d) AS d FROM d{k} a JOIN d{k} b ON b.m = a.m AND b.na = a.nb GROUP BY ALL)" for k in range(times))
+
+
+@query(f"WITH {_STEPS}{_squared(8)} SELECT a.m AS map_name, CAST(a.n AS INT) AS na, CAST(b.n AS INT) AS nb, least(coalesce(CAST(p.d AS DOUBLE), 4000.0), 4000.0) AS d FROM nodes a JOIN nodes b ON b.m = a.m LEFT JOIN d8 p ON p.m = a.m AND p.na = a.n AND p.nb = b.n")
 def geodesic_closure(spark, d):
-    return navmesh.geodesics(X.unit_edges(spark)).select("na", "nb", "d")
+    """All pairs of places of all maps."""
+    return navmesh.geodesics(X.mesh_steps(spark, d))
 
 
 def grid_areas(spark):
@@ -648,17 +662,17 @@ def scalar_functions_all(spark, d):
     return scalars(spark.read.parquet(f"{d}/orders.parquet"), S.clock(F.col("o_orderkey") % 150))
 
 
-# Not SQL: order-dependent programs, held by invariants in the tests.
+# Not SQL: order-dependent programs, compared with plain ones in the tests.
 @query()
 def cluster_areas(spark, d):
-    areas = grid_areas(spark).where("area_id < 1000")
-    edges = X.unit_edges(spark).select("map_name", F.col("na").cast("long").alias("a"), F.col("nb").cast("long").alias("b"))
-    return navmesh.cluster_areas(areas, edges, 30)
+    """The areas of every map merge into a third as many nodes as a map has at most."""
+    return navmesh.cluster_areas(*X.meshes(spark, d), 30)
 
 
 @query()
 def raster_dilate(spark, d):
-    return navmesh.dilate(navmesh.rasterise(grid_areas(spark)))
+    areas, _ = X.meshes(spark, d)
+    return navmesh.dilate(navmesh.rasterise(areas.select("map_name", "area_id", "node", "z", "corners")))
 
 
 def track_inputs(spark, d):

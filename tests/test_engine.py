@@ -7,6 +7,7 @@ from itertools import permutations
 import pytest
 from pyspark.sql import functions as F
 
+from tacgrid import params as P
 from tacgrid.functions import scalar as S
 from tacgrid.operators import filters, moments, navmesh, playback, recall, rerank, roster, rounds, stats, teams, utility
 from tacgrid.plans import document
@@ -337,7 +338,7 @@ def plain_raster(areas, cell=16, layers=3, gap=64.0, margin=2):
 def plain_dilation(cells, w, h, rounds):
     cells = dict(cells)
     for _ in range(rounds):
-        for dy, dx in ((0, 1), (0, -1), (1, 0), (-1, 0), (1, 1), (1, -1), (-1, 1), (-1, -1)):
+        for dx, dy in P.RASTER_SIDES:
             there = dict(cells)
             for x in range(w):
                 for y in range(h):
