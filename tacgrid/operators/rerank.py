@@ -13,15 +13,6 @@ from tacgrid.functions.scalar import pair_cost
 from tacgrid.operators.recall import Geodesics, Marker
 
 
-def choices(k: int, most: int = 5) -> list[tuple[int, int, int, int]]:
-    """(players m, choice, marker, player): the ways to give each of the first min(k, m) markers a player of its own."""
-    out = []
-    for m in range(1, most + 1):
-        for c, players in enumerate(permutations(range(m), min(k, m))):
-            out += [(m, c, i, j) for i, j in enumerate(players)]
-    return out
-
-
 def _constant(values) -> str:
     """Nested lists of numbers as SQL."""
     return f"array({', '.join(map(_constant, values))})" if isinstance(values, (list, tuple)) else repr(values)

@@ -64,9 +64,44 @@ def zone_labels(votes: DataFrame) -> DataFrame:
     return votes.groupBy("map_id", "node").agg(F.max(F.struct("votes", "zone")).alias("b")).select("map_id", "node", F.col("b.zone").alias("zone"))
 
 
+def ct_clans(samples: DataFrame) -> DataFrame:
+    """samples (round_id, tick, team_num, clan) -> (round_id, ct_team): the trimmed name that the CT side bears most often.
+
+    Blank and null names don't count; ties: the name seen first, then the first by name. Rounds without a name have no row.
+    """
+    own = samples.where(F.col("team_num") == P.CT_SIDE).select("round_id", "tick", F.trim("clan").alias("clan")).where("clan <> ''")
+    votes = own.groupBy("round_id", "clan").agg(F.count("*").alias("n"), F.min("tick").alias("first"))
+    best = F.min(F.struct(F.negate("n").alias("n"), "first", "clan")).alias("b")
+    return votes.groupBy("round_id").agg(best).select("round_id", F.col("b.clan").alias("ct_team"))
+
+
 def slots_of_tick(players: DataFrame) -> DataFrame:
-    """players (state_id, slot, side, alive, node) -> nested slots in order, and nodes of those alive by side."""
+    """players (state_id, slot, side, alive, node) -> nested slots in order, and nodes of those alive by side.
+
+    With a column planted of the players: whether any of them says so (null: no).
+    """
     nodes = lambda side: F.sort_array(F.collect_list(F.when((F.col("side") == side) & F.col("alive"), F.col("node")))).alias(f"{side.lower()}_nodes")
     each = F.sort_array(F.collect_list(F.struct("slot", "side", "alive", "node"))).alias("players")
     count = lambda side: F.count_if((F.col("side") == side) & F.col("alive")).alias(f"alive_{side.lower()}")
-    return players.groupBy("state_id").agg(each, nodes("CT"), nodes("T"), count("CT"), count("T"))
+    planted = [F.coalesce(F.bool_or("planted"), F.lit(False)).alias("planted")] if "planted" in players.columns else []
+    return players.groupBy("state_id").agg(each, nodes("CT"), nodes("T"), count("CT"), count("T"), *planted)
+
+
+def with_names(rows: DataFrame, roster: DataFrame) -> DataFrame:
+    """rows (recording_id, slot, ...) and name: that of the slot in its recording's roster (recording_id, slot, name), else a question mark."""
+    own = roster.select("recording_id", "slot", F.col("name").alias("_name"))
+    return rows.join(own, ["recording_id", "slot"], "left").withColumn("name", F.coalesce("_name", F.lit("?"))).drop("_name")
+
+
+def with_weapons(rows: DataFrame, weapons: DataFrame, columns: tuple[str, ...] = ("primary", "secondary")) -> DataFrame:
+    """rows whose columns of weapon numbers become names of weapons (weapon_id, name); null where there is none."""
+    for c in columns:
+        rows = rows.join(weapons.select(F.col("weapon_id").alias(c), F.col("name").alias("_name")), c, "left").withColumn(c, F.col("_name")).drop("_name")
+    return rows
+
+
+def with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows (map_id, node, ...) and label: the node's zone (map_id, node, zone), else its number as `node N`; null without a node."""
+    own = labels.select("map_id", "node", F.col("zone").alias("_zone"))
+    label = F.coalesce("_zone", F.concat(F.lit("node "), F.col("node").cast("string")))
+    return rows.join(own, ["map_id", "node"], "left").withColumn("label", label).drop("_zone")

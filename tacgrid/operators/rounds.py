@@ -34,17 +34,17 @@ def build_rounds(freezes: DataFrame, ends: DataFrame, starts: DataFrame | None =
     return valid.withColumn("round_no", number).withColumn("is_pistol", F.col("round_no").isin(*P.PISTOL_ROUNDS))
 
 
-def attach_round(events: DataFrame, rounds: DataFrame, by: list[str] | None = None, inclusive: bool = True) -> DataFrame:
+def attach_round(events: DataFrame, rounds: DataFrame, by: list[str], inclusive: bool = True) -> DataFrame:
     """The round that an event falls in: the last freeze up to it, if the round hasn't ended. Equal events stay as many.
 
-    Events at a round's last tick belong to it; samples (inclusive=False) don't. by: further equal columns, such as the
-    recording. Rounds don't overlap but for one tick, so looking ahead to the next freeze is a window over rounds alone.
+    Events at a round's last tick belong to it; samples (inclusive=False) don't. by: the equal columns, such as the recording,
+    of which there is one at least. Rounds don't overlap but for one tick, so looking ahead to the next freeze is a window over rounds alone.
     """
-    following = F.lead("freeze").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("freeze"))
+    following = F.lead("freeze").over(Window.partitionBy(*by).orderBy("freeze"))
     known = rounds.withColumn("_next", following)
     upto = F.col("tick") <= F.col("end_tick") if inclusive else F.col("tick") < F.col("end_tick")
     between = (F.col("tick") >= F.col("freeze")) & upto & (F.col("_next").isNull() | (F.col("tick") < F.col("_next")))
-    return (events.join(known, by).where(between) if by else events.join(known, between)).drop("_next")
+    return events.join(known, by).where(between).drop("_next")
 
 
 def attach_plants(plants: DataFrame, rounds: DataFrame) -> DataFrame:

@@ -41,23 +41,26 @@ def canonical(names: DataFrame, aliases: DataFrame, name: str = "team") -> DataF
 
 
 def check_core(name: str, players: list[str], known: DataFrame, cores: DataFrame, core_id: int | None = None, members: DataFrame | None = None) -> list[str]:
-    """What is wrong with a core to be saved; empty if nothing is. known: pid; cores: core_id, name; members: core_id, pid."""
+    """What is wrong with a core to be saved, told by one job; empty if nothing is. known: pid; cores: core_id, name; members: core_id, pid."""
     spark, wrong = known.sparkSession, []
     given = spark.createDataFrame([(name, list(players))], "name string, pids array<string>")
-    clean, valid = given.select(tidy_name(F.col("name")), F.forall("pids", valid_player)).first()
-    if clean is None:
+    allowed = known.select("pid") if core_id is None or members is None else known.select("pid").union(members.where(F.col("core_id") == core_id).select("pid"))
+    pids = spark.createDataFrame([(p,) for p in players], "pid string")
+    unknown = pids.join(allowed, "pid", "left_anti").agg(F.count("*"))
+    own = F.col("core_id").eqNullSafe(F.lit(core_id)) if core_id is not None else F.lit(False)
+    same = F.lower("name") == F.lower(F.coalesce(tidy_name(F.lit(name)), F.lit("")))
+    counts = cores.agg(F.struct(F.count_if(own).alias("found"), F.count_if(~own & same).alias("taken")))
+    told = given.select(tidy_name(F.col("name")).alias("clean"), F.forall("pids", valid_player).alias("valid"), unknown.scalar().alias("unknown"), counts.scalar().alias("c")).first()
+    if told["clean"] is None:
         wrong.append("a name has 1 to 60 characters")
     if len(set(players)) != len(players) or not 3 <= len(players) <= 5:
         wrong.append("a core has 3 to 5 different players")
-    if valid is False:
+    if told["valid"] is False:
         wrong.append("a player's id has 17 digits")
-    allowed = known.select("pid") if core_id is None or members is None else known.select("pid").union(members.where(F.col("core_id") == core_id).select("pid"))
-    if given.select(F.explode("pids").alias("pid")).join(allowed, "pid", "left_anti").count():
+    if told["unknown"]:
         wrong.append("a player isn't known")
-    own = F.col("core_id").eqNullSafe(F.lit(core_id)) if core_id is not None else F.lit(False)
-    found, taken = cores.agg(F.count_if(own), F.count_if(~own & (F.lower("name") == (clean or "").lower()))).first()
-    if core_id is not None and not found:
+    if core_id is not None and not told["c"]["found"]:
         wrong.append("there is no such core")
-    if taken:
+    if told["c"]["taken"]:
         wrong.append("the name is taken")
     return wrong

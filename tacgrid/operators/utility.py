@@ -22,11 +22,15 @@ def active(snapshots: DataFrame, pieces: DataFrame, cap: int = P.MAX_ACTIVE_UTIL
     return pairs.withColumn("slot", F.row_number().over(w)).where(F.col("slot") <= cap)
 
 
-def active_lists(snapshots: DataFrame, pieces: DataFrame, fields: tuple[str, ...] = ("node", "x", "y")) -> DataFrame:
-    """(state_id, smokes, mollies): lists of struct(slot, fields), at most cap long; states without any are left out."""
-    rows = active(snapshots, pieces)
-    own = lambda kind: F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("slot", *fields))))
-    return rows.groupBy("state_id").agg(own("smoke").alias("smokes"), own("molly").alias("mollies"))
+def active_lists(snapshots: DataFrame, pieces: DataFrame, fields: tuple[str, ...] = ("node", "x", "y"), cap: int = P.MAX_ACTIVE_UTILITY) -> DataFrame:
+    """(state_id, smokes, mollies): lists of struct(slot, fields), the first cap by util_id; states without any are left out.
+
+    A state's pieces are those of its round; they are gathered once, put in order and cut.
+    """
+    pairs = snapshots.select("state_id", "round_id", "sec").join(pieces, "round_id").where(F.col("sec").between(F.col("t_start"), F.coalesce("t_end", "t_start")) & F.col("kind").isin("smoke", "molly"))
+    gathered = lambda kind: F.slice(F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("util_id", *fields)))), 1, cap)
+    numbered = lambda c: F.transform(c, lambda p, i: F.struct((i + 1).alias("slot"), *(p[f].alias(f) for f in fields))).alias(c)
+    return pairs.groupBy("state_id").agg(gathered("smoke").alias("smokes"), gathered("molly").alias("mollies")).select("state_id", numbered("smokes"), numbered("mollies"))
 
 
 def lifetimes(detonations: DataFrame, expiries: DataFrame, rounds: DataFrame) -> DataFrame:

@@ -32,12 +32,13 @@ def _rows(df: DataFrame) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.collect()]
 
 
-def round_document(round_id: int, rounds: DataFrame, snapshots: DataFrame, kills: DataFrame, pieces: DataFrame, shots: DataFrame, roster: DataFrame, context: Callable[[DataFrame], DataFrame] | None = None) -> dict:
+def round_document(round_id: int, rounds: DataFrame, snapshots: DataFrame, kills: DataFrame, pieces: DataFrame, shots: DataFrame, roster: DataFrame, context: Callable[[DataFrame], DataFrame] | None = None, weapons: DataFrame | None = None) -> dict:
     """Header, frames, kills (sides repaired), utility, shots and names of one round. KeyError if there is none.
 
     rounds: round_id, recording_id, ...; snapshots: round_id, tick, sec, planted, players, bomb_x, bomb_y; kills: round_id,
     kill_id, tick, attacker ..., as eliminations; pieces: utility events; shots: round_id, shots; roster: recording_id,
-    slot, name. context: from the round's row to more of the header, such as names and score.
+    slot, name. context: from the round's row to more of the header, such as names and score. weapons: weapon_id, name, by which
+    the numbers of players' weapons become names, null for those that aren't there.
     """
     own = lambda df: df.where(F.col("round_id") == round_id)
     found = own(rounds)
@@ -45,11 +46,13 @@ def round_document(round_id: int, rounds: DataFrame, snapshots: DataFrame, kills
     if not header:
         raise KeyError(round_id)
     names = {r["slot"]: r["name"] for r in roster.where(F.col("recording_id") == header[0]["recording_id"]).collect()}
+    guns = {r["weapon_id"]: r["name"] for r in weapons.collect()} if weapons is not None else {}
     tenth = lambda c: F.bround(c, 1)
     frames = _rows(own(snapshots).orderBy("tick").select(F.col("sec").alias("t"), "planted", "players", tenth("bomb_x").alias("bomb_x"), tenth("bomb_y").alias("bomb_y")))
     for f in frames:
         for p in f["players"] or ():
             p["name"] = names.get(p["slot"], "?")
+            p.update({c: guns.get(p[c]) for c in ("primary", "secondary") if weapons is not None and c in p})
     seen = own(snapshots).select("round_id", F.explode("players").alias("p")).join(roster.where(F.col("recording_id") == header[0]["recording_id"]).select("slot", "name"), F.col("p.slot") == F.col("slot")).select("round_id", F.col("name").alias("player"), F.col("p.side").alias("side"))
     repaired = playback.repair_sides(own(kills), seen)
     more = _rows(context(found)) if context else []
@@ -97,11 +100,12 @@ def stats_document(states: DataFrame, rounds: DataFrame, kills: DataFrame) -> di
     }
 
 
-def search_document(lib: Library, request: Request, rounds: DataFrame, kills: DataFrame) -> dict:
+def search_document(lib: Library, request: Request, rounds: DataFrame, kills: DataFrame, labels: DataFrame | None = None) -> dict:
     """Ranked moments with their players, the markers' nodes and the statistics of everything that was recalled.
 
     moments: request.limit at most, in rank order. The baseline of the statistics is what the filters alone let through;
     without markers all that they let through is exact. Recall runs once: what it finds is written and read by all blocks.
+    labels: node, zone of the map; the markers' nodes are then labelled, `node N` where there is none.
     """
     spatial, spark = bool(request.markers), lib.index.sparkSession
     masked = filter_snapshots(lib.index, request.filters)
@@ -118,10 +122,13 @@ def search_document(lib: Library, request: Request, rounds: DataFrame, kills: Da
     rows = best.collect()
     full = {r["state_id"]: r for r in _rows(hydrate(spark.createDataFrame(rows, best.schema), lib))}
     kinds = ("CT", "T", *LISTS)
+    nodes = [m.node for m in request.markers]
+    zones = {r["node"]: r["zone"] for r in labels.where(F.col("node").isin(*nodes)).collect()} if labels is not None and nodes else {}
+    label = lambda n: {"node": n} if labels is None else {"node": n, "label": zones.get(n, f"node {n}")}
     return {
         "spatial": spatial,
         "moments": [full[r["state_id"]] for r in rows],
-        "resolved": {k.lower(): [{"node": m.node} for m in request.markers if m.kind == k] for k in kinds},
+        "resolved": {k.lower(): [label(m.node) for m in request.markers if m.kind == k] for k in kinds},
         "n_scanned": lib.index.count(),
         "stats": stats_document(states, rounds, kills),
     }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import permutations
 
 SLOTS = ", ".join(f"({k})" for k in range(10))
 _NODE = "CAST((s.p * (k.slot + 3) + s.s * (7 * k.slot + 1) + s.n * 13) % 120 AS INT)"
@@ -108,13 +109,20 @@ def chamfer(markers, side: str, prefix: str = "") -> str:
         LEFT JOIN geo g ON g.na = v.node AND g.nb = p.node GROUP BY ALL) GROUP BY state_id"""
 
 
+def ways(k: int, most: int = 5) -> list[tuple[int, int, int, int]]:
+    """(players m, choice, marker, player): every way to give the first min(k, m) markers a player of its own."""
+    out = []
+    for m in range(1, most + 1):
+        for c, players in enumerate(permutations(range(m), min(k, m))):
+            out += [(m, c, i, j) for i, j in enumerate(players)]
+    return out
+
+
 def assignment(markers, side: str, hits: str) -> str:
     """A table (state_id, cost) of the best assignment over the states of hits."""
-    from tacgrid.operators.rerank import choices
-
     own = [m for m in markers if m.kind == side]
     k = len(own)
-    rows = ", ".join(map(str, choices(k)))
+    rows = ", ".join(map(str, ways(k)))
     each = ", ".join(f"({i}, {m.node}, {m.x}, {m.y})" for i, m in enumerate(own))
     return f"""SELECT h.state_id, coalesce(c.cost, 2000.0) AS cost FROM {hits} h LEFT JOIN (
         SELECT state_id, (min(total) + 2000.0 * greatest({k} - m, 0)) / {k} AS cost FROM (

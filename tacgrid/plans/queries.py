@@ -230,7 +230,8 @@ def place_remap(spark, d):
 
 def zone_rows(spark, d):
     zone = F.concat(F.lit("zone_"), ((F.col("state_id") + F.col("slot")) % 6).cast("string"))
-    return X.players(spark, d).join(X.rounds(spark, d).select("round_id", "map_id"), "round_id").select("map_id", "node", zone.alias("zone"), "alive")
+    own = X.nested_players(spark, d).join(X.rounds(spark, d).select("round_id", "map_id"), "round_id")  # states meet rounds, not players
+    return own.select("state_id", "map_id", F.inline("players")).select("map_id", "node", zone.alias("zone"), "alive")
 
 
 _VOTES = "SELECT r.map_id, p.node, 'zone_' || CAST((p.state_id + p.slot) % 6 AS VARCHAR) AS zone, count(*) AS votes FROM players p JOIN rounds r USING (round_id) WHERE p.alive GROUP BY ALL"
@@ -256,6 +257,40 @@ def tick_slots(spark, d):
     return nested.select("state_id", "alive_ct", "alive_t", F.array_join(text(F.col("players")), ",").alias("slots"), F.array_join(F.transform("ct_nodes", lambda n: n.cast("string")), ",").alias("ct_nodes"))
 
 
+@query(O.with_tables("SELECT state_id, CAST(count(*) FILTER (alive AND side = 'CT') AS BIGINT) AS alive_ct, CAST(count(*) FILTER (alive AND side = 'T') AS BIGINT) AS alive_t, coalesce(bool_or(CASE (p + slot) % 9 WHEN 0 THEN true WHEN 1 THEN false END), false) AS planted FROM players GROUP BY state_id"))
+def tick_planted(spark, d):
+    """Whether any player of a tick says that the bomb is planted; most say nothing."""
+    k = (F.col("p") + F.col("slot")) % 9
+    own = X.players(spark, d).join(X.states(spark, d).select("state_id", "p"), "state_id").withColumn("planted", F.when(k == 0, True).when(k == 1, False))
+    return roster.slots_of_tick(own).select("state_id", "alive_ct", "alive_t", "planted")
+
+
+_CLANS = "SELECT round_id, sec, p, CASE s % 5 WHEN 0 THEN ' red ' WHEN 1 THEN 'blue' WHEN 2 THEN '  ' WHEN 3 THEN 'red' END AS clan FROM states"
+
+
+@query(O.with_tables("SELECT round_id, min(struct_pack(a := -n, b := first, c := clan)).c AS ct_team FROM (SELECT round_id, trim(clan) AS clan, count(*) AS n, min(sec) AS first FROM c WHERE p % 4 <> 0 AND trim(clan) <> '' GROUP BY ALL) GROUP BY round_id", c=_CLANS))
+def round_clans(spark, d):
+    """The clan that plays CT in each round; names come with blanks, or not at all."""
+    clan = F.get(F.array(*map(F.lit, (" red ", "blue", "  ", "red", None))), (F.col("s") % 5).cast("int"))
+    team = F.when(F.col("p") % 4 == 0, 2).otherwise(3)
+    return roster.ct_clans(X.states(spark, d).select("round_id", F.col("sec").alias("tick"), team.alias("team_num"), clan.alias("clan")))
+
+
+@query(O.with_tables("""SELECT p.state_id, p.slot, CASE WHEN p.slot = r.recording_id % 10 THEN '?' ELSE 'n' || CAST(p.slot AS VARCHAR) || '_' || CAST(r.recording_id AS VARCHAR) END AS name,
+  CASE WHEN p.p % 9 < 6 THEN 'gun_' || CAST(p.p % 9 AS VARCHAR) END AS "primary", coalesce(l.zone, 'node ' || CAST(p.node AS VARCHAR)) AS label
+FROM players p JOIN rounds r USING (round_id) LEFT JOIN (SELECT map_id, node, max(struct_pack(v := votes, z := zone)).z AS zone FROM v WHERE node % 3 <> 0 GROUP BY ALL) l ON l.map_id = r.map_id AND l.node = p.node""", v="SELECT r.map_id, p.node, 'zone_' || CAST((p.state_id + p.slot) % 6 AS VARCHAR) AS zone, count(*) AS votes FROM players p JOIN rounds r USING (round_id) WHERE p.alive GROUP BY ALL"))
+def named_players(spark, d):
+    """Players with the names of their slot, weapon and node, as far as these are known."""
+    own = X.nested_players(spark, d).join(X.rounds(spark, d).select("round_id", "map_id", "recording_id"), "round_id").join(X.states(spark, d).select("state_id", "p"), "state_id")
+    rows = own.select("state_id", "recording_id", "map_id", (F.col("p") % 9).alias("primary"), F.inline("players"))
+    slots = X.recordings(spark, d).select("recording_id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("slot")).where("slot <> recording_id % 10")
+    names = slots.withColumn("name", F.concat(F.lit("n"), F.col("slot").cast("string"), F.lit("_"), F.col("recording_id").cast("string")))
+    weapons = spark.range(6).select(F.col("id").alias("weapon_id"), F.concat(F.lit("gun_"), F.col("id").cast("string")).alias("name"))
+    labels = roster.zone_labels(roster.zone_votes(zone_rows(spark, d))).where("node % 3 <> 0")
+    named = roster.with_labels(roster.with_weapons(roster.with_names(rows, names), weapons, ("primary",)), labels)
+    return named.select("state_id", "slot", "name", "primary", "label")
+
+
 @query(O.with_tables("SELECT state_id, n[1] AS t0, n[2] AS t1, n[3] AS t2, n[4] AS t3, n[5] AS t4 FROM (SELECT s.state_id, coalesce(list_sort(list(p.node) FILTER (p.alive AND p.side = 'T')), []) AS n FROM states s JOIN players p USING (state_id) GROUP BY ALL)"))
 def tokens(spark, d):
     own = F.array(*(F.col(c) for c in X.TOKENS["T"]))
