@@ -25,8 +25,15 @@ def with_rounds(recordings: DataFrame, rounds: DataFrame) -> DataFrame:
     return recordings.join(counts, "recording_id", "left").withColumn("n_rounds", F.coalesce("n_rounds", F.lit(0)))
 
 
+def counts(recordings: DataFrame, rounds: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """One row: how many recordings, rounds and states there are."""
+    each = {"recordings": recordings, "rounds": rounds, "states": snapshots}
+    rows = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n") for name, df in each.items()]
+    return rows[0].union(rows[1]).union(rows[2]).agg(*(F.max(F.when(F.col("what") == name, F.col("n"))).alias(name) for name in each))
+
+
 def summary(recordings: DataFrame, rounds: DataFrame, snapshots: DataFrame) -> dict[str, int]:
-    return {"recordings": recordings.count(), "rounds": rounds.count(), "states": snapshots.count()}
+    return counts(recordings, rounds, snapshots).first().asDict()
 
 
 def extend_registry(registry: DataFrame, names: DataFrame) -> DataFrame:

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from tacgrid import fixture as X
 from tacgrid.functions import scalar as S
-from tacgrid.operators import navmesh, playback, rounds, teams
+from tacgrid.operators import catalog, navmesh, playback, rounds, teams
 from tacgrid.plans import oracle as O
-from tacgrid.plans.queries import built_rounds, grid_areas, query
-from tacgrid.sources import blobs, files
+from tacgrid.plans.queries import _STEPS as MESH_STEPS
+from tacgrid.plans.queries import _squared, built_rounds, grid_areas, query
+from tacgrid.sources import blobs, files, navjson, store
+from tacgrid.sources.scratch import shared_folder
 
 
 @query(r"""SELECT c, nullif(replace(regexp_extract(f, '(?i)^(.+?)-vs-(.+?)-m\d', 1), '-', ' '), '') AS team_a, nullif(replace(regexp_extract(f, '(?i)^(.+?)-vs-(.+?)-m\d', 2), '-', ' '), '') AS team_b,
@@ -157,3 +159,111 @@ def teams_canonical(spark, d):
     names = X.recordings(spark, d).select("recording_id", F.when(r == 0, "ALPHA inc").when(r == 1, "beta").when(r == 2, "alpha x").when(r == 3, None).otherwise(F.col("team_a")).alias("team"))
     aliases = spark.createDataFrame([("Alpha Inc", "Alpha"), ("alpha inc", "Alpha"), ("BETA", "Beta")], "alias string, canonical string")
     return teams.canonical(names, aliases).select("team", "recording_id")
+
+
+@query(O.with_tables("SELECT (SELECT count(*) FROM recordings) AS recordings, (SELECT count(*) FROM plain_rounds) AS rounds, (SELECT count(*) FROM states) AS states"))
+def library_counts(spark, d):
+    return catalog.counts(X.recordings(spark, d), X.plain_rounds(spark, d), X.states(spark, d))
+
+
+@query(O.with_tables("SELECT recording_id, CASE WHEN t THEN 'cup_' || CAST(f % 7 AS VARCHAR) ELSE event END AS event, CASE WHEN t THEN CASE WHEN f % 2 = 0 THEN f END ELSE ref END AS match_ref FROM (SELECT *, f < 60 AND (event IS NULL OR ref IS NULL) AS t FROM (SELECT recording_id, recording_id % 90 AS f, CASE WHEN recording_id % 4 > 0 THEN 'own' END AS event, CASE WHEN recording_id % 3 > 0 THEN recording_id END AS ref FROM recordings))"))
+def metadata_overlaid(spark, d):
+    """Recordings that lack an event or a reference take both from an overlay by file name."""
+    r = F.col("recording_id")
+    name = lambda n: F.concat(F.lit("f"), n.cast("string"))
+    own = X.recordings(spark, d).select("recording_id", name(r % 90).alias("file_name"), F.when(r % 4 > 0, "own").alias("event"), F.when(r % 3 > 0, r).alias("match_ref"))
+    overlay = spark.range(60).select(name(F.col("id")).alias("file_name"), F.concat(F.lit("cup_"), (F.col("id") % 7).cast("string")).alias("event"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("match_ref"))
+    return store.apply_metadata(own, overlay).select("recording_id", "event", "match_ref")
+
+
+@query("SELECT 'k' || p_partkey AS content_key, 'error' AS status, substr(repeat('bad ' || p_partkey || ' ', 60), 1, 500) AS error FROM part WHERE p_partkey % 4 = 0 AND p_partkey % 12 <> 0")
+def failures_kept(spark, d):
+    """Files that failed, but for those that are known; messages are cut."""
+    p = F.col("p_partkey").cast("string")
+    rows = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.concat(F.lit("k"), p).alias("content_key"), p.alias("path"), F.repeat(F.concat(F.lit("bad "), p, F.lit(" ")), 60).alias("message"))
+    return store.quarantine(rows.where("p_partkey % 4 = 0"), rows.where("p_partkey % 3 = 0")).select("content_key", "status", "error")
+
+
+@query("SELECT g AS recording_id, c, CASE WHEN g % 3 = 0 THEN 'new' ELSE 'old' END AS mark FROM (SELECT c_custkey % 40 AS g, c_custkey AS c FROM customer) WHERE g <> 7 AND (g % 3 <> 0 OR c % 2 = 0)")
+def library_replaced(spark, d):
+    """Forty recordings are written, a third of them again with fewer rows, and one is removed; what is read is what counts."""
+    rows = spark.read.parquet(f"{d}/customer.parquet").select((F.col("c_custkey") % 40).alias("recording_id"), F.col("c_custkey").alias("c"))
+    library = store.Library(spark, shared_folder(spark, "library"))
+    old, new = rows.withColumn("mark", F.lit("old")), rows.where("recording_id % 3 = 0 AND c % 2 = 0").withColumn("mark", F.lit("new"))
+    library.write_all({"rounds": old, "recordings": old.groupBy("recording_id").agg(F.count("*").alias("n"))})
+    library.write_all({"rounds": new, "recordings": new.groupBy("recording_id").agg(F.count("*").alias("n"))})
+    library.remove(7)
+    return library.read("rounds").select("recording_id", "c", "mark")
+
+
+@query(f"WITH {MESH_STEPS}{_squared(8)} SELECT a.m AS map_name, CAST(a.n AS INT) AS na, CAST(b.n AS INT) AS nb, least(coalesce(CAST(p.d AS DOUBLE), 4000.0), 4000.0) AS d FROM nodes a JOIN nodes b ON b.m = a.m LEFT JOIN d8 p ON p.m = a.m AND p.na = a.n AND p.nb = b.n")
+def map_library(spark, d):
+    """Distances of all maps, kept in a library and read back."""
+    library = store.Library(spark, shared_folder(spark, "maps"))
+    library.write_map({"geo": navmesh.geodesics(X.mesh_steps(spark, d))})
+    return library.read("geo").select("map_name", "na", "nb", "d")
+
+
+_MESH = """rows_ AS (SELECT *, row_number() OVER w - 1 AS j, lead(c, 1) OVER w AS r, lead(c, 12) OVER w AS b FROM (
+    SELECT 'de_' || c_nationkey || '_' || c_custkey // 2500 AS m, c_custkey AS c FROM customer) WINDOW w AS (PARTITION BY m ORDER BY c)),
+  areas AS (SELECT m AS map_name, c AS area_id, j, s * s AS size, px + s / 2 AS x, py + s / 2 AS y, z FROM (
+    SELECT *, (j % 12 * 100 + c % 7 * 3)::DOUBLE AS px, (j // 12 * 100 + c % 5 * 4)::DOUBLE AS py, (c % 3 * 10 + 60)::DOUBLE AS s, CASE WHEN c % 6 = 0 THEN 200.0 ELSE c % 4 * 20.0 END::DOUBLE AS z FROM rows_)),
+  links AS (SELECT m AS map_name, c AS a, r AS b FROM rows_ WHERE j % 12 < 11 AND c % 9 <> 0 AND r IS NOT NULL UNION ALL SELECT m, c, b FROM rows_ WHERE c % 7 <> 0 AND b IS NOT NULL)"""
+
+
+def _as_json(spark, d) -> str:
+    """The meshes of all maps as JSON, an object for each area; all link to one that isn't there, and as many again are no polygons."""
+    areas, edges = X.meshes(spark, d)
+    to = edges.groupBy("map_name", F.col("a").alias("area_id")).agg(F.collect_list("b").alias("connections"))
+    corner = lambda p, z: F.struct(p["x"].alias("x"), p["y"].alias("y"), z.alias("z"))
+    rows = areas.join(to, ["map_name", "area_id"], "left").select("map_name", "area_id", F.transform("corners", lambda p: corner(p, F.col("z"))).alias("corners"), F.concat(F.coalesce("connections", F.array().cast("array<long>")), F.array(F.lit(0).cast("long"))).alias("connections"))
+    flat = rows.select("map_name", F.negate("area_id").alias("area_id"), F.slice("corners", 1, 2).alias("corners"), "connections")
+    rows.union(flat).write.json(path := shared_folder(spark, "nav"))
+    return path
+
+
+@query(f"WITH {_MESH} SELECT map_name, area_id, size, x, y, z FROM areas")
+def nav_areas(spark, d):
+    """Areas of navigation meshes read from JSON, with size and centre."""
+    return navjson.read_areas(spark, _as_json(spark, d)).select("map_name", "area_id", *(F.round(c, 6).alias(c) for c in ("size", "x", "y", "z")))
+
+
+@query(f"WITH {_MESH} SELECT map_name, a, b FROM links UNION SELECT map_name, b, a FROM links")
+def nav_links(spark, d):
+    """Their links, in both directions."""
+    return navjson.area_edges(navjson.read_areas(spark, _as_json(spark, d)))
+
+
+_NODES = f"""{_MESH}, nodes AS (SELECT *, CAST(j // 4 AS INT) AS node FROM areas),
+  centres AS (SELECT map_name, node, sum(x * size) / sum(size) AS x, sum(y * size) / sum(size) AS y, sum(z * size) / sum(size) AS z FROM nodes GROUP BY ALL)"""
+
+
+def _by_fours(spark, d):
+    areas, edges = X.meshes(spark, d)
+    nodes = areas.select("map_name", "area_id", F.floor(F.col("node") / 4).cast("int").alias("node"))
+    return navmesh.node_centres(areas.drop("node"), nodes), nodes, edges
+
+
+@query(f"WITH {_NODES} SELECT map_name, node, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM centres")
+def node_centres(spark, d):
+    """Centres of nodes of four areas each, by their sizes."""
+    return _by_fours(spark, d)[0].select("map_name", "node", *(F.round(c, 6).alias(c) for c in "xyz"))
+
+
+@query(f"WITH {_NODES}, pairs AS (SELECT DISTINCT l.map_name, p.node AS na, q.node AS nb FROM (SELECT * FROM links UNION SELECT map_name, b, a FROM links) l JOIN nodes p ON p.area_id = l.a JOIN nodes q ON q.area_id = l.b WHERE p.node <> q.node) SELECT map_name, na, nb, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)), 6) AS d FROM pairs JOIN (SELECT map_name, node AS na, x, y, z FROM centres) a USING (map_name, na) JOIN (SELECT map_name, node AS nb, x, y, z FROM centres) b USING (map_name, nb)")
+def node_links(spark, d):
+    """Linked nodes and how far apart they are."""
+    centres, nodes, edges = _by_fours(spark, d)
+    return navmesh.node_edges(edges, nodes, centres).select("map_name", "na", "nb", F.round("d", 6).alias("d"))
+
+
+@query(O.with_tables("""SELECT state_id, CASE WHEN sec >= 9 AND round_id % 3 = 0 THEN 1.0 * (round_id % 50) ELSE cx END AS bomb_x, CASE WHEN sec >= 9 AND round_id % 3 = 0 THEN 2.0 * (round_id % 50) ELSE cy END AS bomb_y
+FROM (SELECT state_id, round_id, sec, last_value(CASE WHEN p % 3 = 0 THEN CAST(p % 100 AS DOUBLE) END IGNORE NULLS) OVER w AS cx, last_value(CASE WHEN p % 3 = 0 THEN CAST(s % 100 AS DOUBLE) END IGNORE NULLS) OVER w AS cy FROM states WINDOW w AS (PARTITION BY round_id ORDER BY sec ROWS UNBOUNDED PRECEDING))"""))
+def bomb_planted_place(spark, d):
+    """Where the bomb is: its carrier's last place, the plant's once it is planted and its place known."""
+    seen = lambda c: F.when(F.col("p") % 3 == 0, (F.col(c) % 100).cast("double"))
+    samples = X.states(spark, d).select("state_id", "round_id", F.col("sec").alias("tick"), seen("p").alias("carrier_x"), seen("s").alias("carrier_y"))
+    r = F.col("round_id")
+    known = lambda k: F.when(r % 3 == 0, (r % 50 * k).cast("double"))
+    plants = X.plain_rounds(spark, d).where("round_id % 3 < 2").select("round_id", F.lit(9).alias("plant_tick"), known(1).alias("plant_x"), known(2).alias("plant_y"))
+    return rounds.carry_forward(samples, plants).select("state_id", "bomb_x", "bomb_y")
