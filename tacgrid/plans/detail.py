@@ -184,12 +184,12 @@ def failures_kept(spark, d):
     return store.quarantine(rows.where("p_partkey % 4 = 0"), rows.where("p_partkey % 3 = 0")).select("content_key", "status", "error")
 
 
-@query("SELECT g AS recording_id, c, CASE WHEN g % 3 = 0 THEN 'new' ELSE 'old' END AS mark FROM (SELECT c_custkey % 40 AS g, c_custkey AS c FROM customer) WHERE g <> 7 AND (g % 3 <> 0 OR c % 2 = 0)")
+@query("SELECT g AS recording_id, c, CASE WHEN g % 3 = 0 THEN 'new' ELSE 'old' END AS mark FROM (SELECT c_custkey % 40 AS g, c_custkey AS c FROM customer) WHERE g <> 7 AND (g % 3 <> 0 OR c // 40 % 2 = 0)")
 def library_replaced(spark, d):
     """Forty recordings are written, a third of them again with fewer rows, and one is removed; what is read is what counts."""
     rows = spark.read.parquet(f"{d}/customer.parquet").select((F.col("c_custkey") % 40).alias("recording_id"), F.col("c_custkey").alias("c"))
     library = store.Library(spark, shared_folder(spark, "library"))
-    old, new = rows.withColumn("mark", F.lit("old")), rows.where("recording_id % 3 = 0 AND c % 2 = 0").withColumn("mark", F.lit("new"))
+    old, new = rows.withColumn("mark", F.lit("old")), rows.where("recording_id % 3 = 0 AND c DIV 40 % 2 = 0").withColumn("mark", F.lit("new"))
     library.write_all({"rounds": old, "recordings": old.groupBy("recording_id").agg(F.count("*").alias("n"))})
     library.write_all({"rounds": new, "recordings": new.groupBy("recording_id").agg(F.count("*").alias("n"))})
     library.remove(7)
@@ -216,7 +216,7 @@ def _as_json(spark, d) -> str:
     areas, edges = X.meshes(spark, d)
     to = edges.groupBy("map_name", F.col("a").alias("area_id")).agg(F.collect_list("b").alias("connections"))
     corner = lambda p, z: F.struct(p["x"].alias("x"), p["y"].alias("y"), z.alias("z"))
-    rows = areas.join(to, ["map_name", "area_id"], "left").select("map_name", "area_id", F.transform("corners", lambda p: corner(p, F.col("z"))).alias("corners"), F.concat(F.coalesce("connections", F.array().cast("array<long>")), F.array(F.lit(0).cast("long"))).alias("connections"))
+    rows = areas.join(to, ["map_name", "area_id"], "left").select("map_name", "area_id", F.transform("corners", lambda p: corner(p, F.col("z"))).alias("corners"), F.concat(F.coalesce("connections", F.array().cast("array<long>")), F.array(F.lit(-5).cast("long"))).alias("connections"))
     flat = rows.select("map_name", F.negate("area_id").alias("area_id"), F.slice("corners", 1, 2).alias("corners"), "connections")
     rows.union(flat).write.json(path := shared_folder(spark, "nav"))
     return path
