@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,28 +105,31 @@ def match_tracks(detonations: DataFrame, tracks: DataFrame) -> DataFrame:
     the live tracks in a grid.
     """
 
-    def solve(events: pd.DataFrame, samples: pd.DataFrame) -> pd.DataFrame:
+    def rows(table: pa.Table, *columns: str) -> list[tuple]:
+        return sorted(zip(*(table.column(c).to_pylist() for c in columns), strict=True))
+
+    def solve(events: pa.Table, samples: pa.Table) -> pa.Table:
         out, live = [], LiveTracks(P.TRACK_MAX_DISTANCE)
-        own = samples.sort_values(["tick", "track_id", "x", "y"])
-        steps = list(zip(own.tick.tolist(), own.track_id.tolist(), own.x.tolist(), own.y.tolist(), strict=True))
-        last = samples.groupby("track_id").tick.max().sort_values() if len(samples) else pd.Series(dtype="int64")
-        ends = list(zip((last + P.TRACK_MAX_TICKS).tolist(), last.index.tolist(), strict=True))
+        steps = rows(samples, "tick", "track_id", "x", "y")
+        last = {track: tick for tick, track, _, _ in steps}
+        ends = sorted((tick + P.TRACK_MAX_TICKS, track) for track, tick in last.items())
         used, i, j = set(), 0, 0
-        for e in events.sort_values(["tick", "util_id"]).itertuples():
-            while i < len(steps) and steps[i][0] <= e.tick:
+        for tick, util, x, y in rows(events, "tick", "util_id", "x", "y"):
+            while i < len(steps) and steps[i][0] <= tick:
                 if steps[i][1] not in used:
                     live.move(*steps[i][1:])
                 i += 1
-            while j < len(ends) and ends[j][0] < e.tick:
+            while j < len(ends) and ends[j][0] < tick:
                 live.drop(ends[j][1])
                 j += 1
-            best = live.nearest(e.x, e.y)
+            best = live.nearest(x, y)
             if best:
                 live.drop(best[1])
                 used.add(best[1])
-                out.append((e.util_id, best[1], live.points[best[1]]))
-        return pd.DataFrame(out, columns=["util_id", "track_id", "n_points"])
+                out.append((util, best[1], live.points[best[1]]))
+        columns = list(zip(*out, strict=True)) or [(), (), ()]
+        return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32())], ["util_id", "track_id", "n_points"])
 
     keys = ("recording_id", "kind")
     own = tracks.toDF(*tracks.columns)  # detonations may come from the same rows
-    return detonations.groupBy(*keys).cogroup(own.groupBy(*keys)).applyInPandas(solve, "util_id long, track_id long, n_points int")
+    return detonations.groupBy(*keys).cogroup(own.groupBy(*keys)).applyInArrow(solve, "util_id long, track_id long, n_points int")
