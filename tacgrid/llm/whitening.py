@@ -1,9 +1,11 @@
 """Embedding whitening by incremental eigendecomposition.
 
-Each part of the vectors keeps the spectrum of its scatter matrix. A vector is a centred rank-one update of it: the secular
-equation gives the new eigenvalues, with deflation where an entry of the update or a gap between eigenvalues vanishes, and
-the eigenvectors turn along. Spectra of parts are combined by rank-one updates too: one for each eigenpair, one for the
-means. A last pass over all vectors projects them on the combined eigenvectors and settles these by Rayleigh-Ritz.
+Each part of the vectors keeps the spectrum of its scatter matrix. A vector is a centred rank-one update of it; a block of
+more vectors than dimensions is brought to as many centred rows as dimensions first (the triangle of its QR decomposition,
+which has the same scatter), each of them an update. The secular equation gives the new eigenvalues, with deflation where
+an entry of the update or a gap between eigenvalues vanishes, and the eigenvectors turn along. Spectra of parts are
+combined by rank-one updates too: one for each eigenpair, one for the means. A last pass over all vectors projects them on
+the combined eigenvectors and settles these by Rayleigh-Ritz.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from tacgrid.llm.base import map_arrow, materialise, table
 
 #: Entries are floor(SCALE * value).
 SCALE = 256.0
-#: Vectors that one task takes up one by one; spectra that one task combines.
-ROWS_PER_PART, SPECTRA_PER_TASK = 4096, 32
+#: Vectors of one task, and of a block that it takes up together; spectra that one task combines.
+ROWS_PER_PART, BLOCK_ROWS, SPECTRA_PER_TASK = 1 << 16, 2048, 32
 COMPONENTS = 4
 EPS = np.finfo(np.float64).eps
 #: Eigenvalues below this share of the largest are rounding: the direction has no spread.
@@ -138,13 +140,25 @@ class Spectrum:
         self.n += 1
         self.mean = self.mean + off / self.n
 
+    def add_block(self, rows: np.ndarray) -> None:
+        """Many vectors at once: as many centred updates as there are dimensions, with the same scatter, and one for the means."""
+        if len(rows) <= rows.shape[1]:
+            for x in rows:
+                self.add(x)
+            return
+        mean = rows.mean(0)
+        self._take(len(rows), mean, np.linalg.qr(rows - mean, mode="r"))
+
     def combine(self, other: Spectrum) -> None:
-        for value, vector in zip(other.values, other.vectors.T, strict=True):
-            self.values, self.vectors = rank_one(self.values, self.vectors, vector * math.sqrt(value))
-        both, off = self.n + other.n, other.mean - self.mean
-        if self.n and other.n:
-            self.values, self.vectors = rank_one(self.values, self.vectors, off * math.sqrt(self.n * other.n / both))
-        self.mean, self.n = self.mean + off * (other.n / max(both, 1)), both
+        self._take(other.n, other.mean, (other.vectors * np.sqrt(other.values)).T)
+
+    def _take(self, n: int, mean: np.ndarray, updates: np.ndarray) -> None:
+        for v in updates:
+            self.values, self.vectors = rank_one(self.values, self.vectors, v)
+        both, off = self.n + n, mean - self.mean
+        if self.n and n:
+            self.values, self.vectors = rank_one(self.values, self.vectors, off * math.sqrt(self.n * n / both))
+        self.mean, self.n = self.mean + off * (n / max(both, 1)), both
 
     def row(self, part: int) -> dict:
         return {"part": part, "n": self.n, "mean": self.mean.tolist(), "vals": self.values.tolist(), "vecs": self.vectors.ravel().tolist()}
@@ -178,13 +192,17 @@ def spectra(distinct: DataFrame, n: int) -> Spectrum:
     parts = -(-n // ROWS_PER_PART)
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part = None, None
+        own, part, held = None, None, []
         for batch in batches:
-            for x in matrix(batch.column(0)).astype(np.float64):
-                if own is None:
-                    own, part = Spectrum(len(x)), zlib.crc32(x.tobytes())
-                own.add(x)
+            rows = matrix(batch.column(0)).astype(np.float64)
+            if own is None and len(rows):
+                own, part = Spectrum(rows.shape[1]), zlib.crc32(rows[0].tobytes())
+            held.append(rows)
+            if sum(map(len, held)) >= BLOCK_ROWS:
+                own.add_block(np.concatenate(held))
+                held = []
         if own is not None:
+            own.add_block(np.concatenate([*held, np.zeros((0, len(own.mean)))]))
             yield pa.RecordBatch.from_pylist([own.row(part)])
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:

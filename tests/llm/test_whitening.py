@@ -25,13 +25,15 @@ def test_spectra_of_rows_and_of_parts(kind):
     for _ in range(25):
         d, n = rng.integers(1, 14), rng.integers(1, 50)
         rows = {"spread": rng.standard_normal((n, d)) * 100, "small whole numbers": rng.integers(-2, 3, (n, d)).astype(float), "units": np.eye(d)[rng.integers(0, d, n)], "one direction": np.outer(rng.integers(-5, 6, n), np.ones(d)).astype(float)}[kind]
-        whole, left, right = (W.Spectrum(d) for _ in range(3))
+        whole, left, right, blocks = (W.Spectrum(d) for _ in range(4))
+        for begin in range(0, n, 17):
+            blocks.add_block(rows[begin : begin + 17])
         for i, x in enumerate(rows):
             whole.add(x)
             (left if i < n // 2 else right).add(x)
         left.combine(right)
         want = scatter(rows)
-        for s in (whole, left):
+        for s in (whole, left, blocks):
             assert s.n == n and np.allclose(s.mean, rows.mean(0))
             assert np.allclose(told(s), want, atol=1e-9 * max(1, np.abs(want).max()))
             assert np.allclose(s.vectors.T @ s.vectors, np.eye(len(s.values)), atol=1e-10)
@@ -67,6 +69,7 @@ def plain(frame):
 
 def test_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(W, "ROWS_PER_PART", 20)
+    monkeypatch.setattr(W, "BLOCK_ROWS", 9)
     monkeypatch.setattr(W, "SPECTRA_PER_TASK", 3)
     rng = np.random.default_rng(4)
     vectors = (rng.standard_normal((200, 7)) * [3, 2, 1, 0.5, 0.2, 0.2, 0.1] + 0.3).astype(np.float32).tolist()
