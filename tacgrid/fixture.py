@@ -129,11 +129,16 @@ def index(spark: SparkSession, d: str) -> DataFrame:
     return snapshots(spark, d).join(own, "round_id")
 
 
-def nested_players(spark: SparkSession, d: str, ids: DataFrame | None = None) -> DataFrame:
-    """The ten players of each state, nested as snapshots hold them; of the states in ids alone, if given."""
+def nested_players(spark: SparkSession, d: str, ids: DataFrame | None = None, about: DataFrame | None = None) -> DataFrame:
+    """The ten players of each state, nested as snapshots hold them; of the states in ids alone, if given.
+
+    about: round_id and more columns of rounds, which states get before their players are made.
+    """
     own = states(spark, d) if ids is None else states(spark, d).join(ids, "state_id")
+    own = own if about is None else own.join(about, "round_id")
     each = F.array(*(F.struct(F.lit(k).alias("slot"), F.lit("CT" if k < 5 else "T").alias("side"), alive_of(k).alias("alive"), node_of(k).alias("node"), place_x(node_of(k)).alias("x"), place_y(node_of(k)).alias("y")) for k in SLOTS))
-    return own.select("state_id", "round_id", "sec", each.alias("players"))
+    more = [c for c in about.columns if c != "round_id"] if about is not None else []
+    return own.select("state_id", "round_id", "sec", *more, each.alias("players"))
 
 
 def players(spark: SparkSession, d: str) -> DataFrame:

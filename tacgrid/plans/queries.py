@@ -230,7 +230,7 @@ def place_remap(spark, d):
 
 def zone_rows(spark, d):
     zone = F.concat(F.lit("zone_"), ((F.col("state_id") + F.col("slot")) % 6).cast("string"))
-    own = X.nested_players(spark, d).join(X.rounds(spark, d).select("round_id", "map_id"), "round_id")  # states meet rounds, not players
+    own = X.nested_players(spark, d, about=X.rounds(spark, d).select("round_id", "map_id"))  # states meet rounds, not players
     return own.select("state_id", "map_id", F.inline("players")).select("map_id", "node", zone.alias("zone"), "alive")
 
 
