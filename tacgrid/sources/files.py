@@ -68,10 +68,15 @@ def new_files(found: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def resolve(rows: DataFrame, files: DataFrame) -> DataFrame:
-    """rows (recording_id, name, size, content_key) -> path: a file of equal name and size; of several the one of equal content, else the first."""
-    pairs = rows.join(files.select("name", "size", "path", F.col("content_key").alias("file_key")), ["name", "size"])
-    best = F.row_number().over(Window.partitionBy("recording_id").orderBy(F.desc(F.coalesce(F.col("file_key") == F.col("content_key"), F.lit(False))), "path"))
-    return pairs.withColumn("_n", best).where("_n = 1").select("recording_id", "path")
+    """rows (recording_id, name, size, content_key) -> path: a file of equal name and size; of several the one of equal content, else the first.
+
+    Files are put down to the first by name and size, and by content too, so that a recording meets two of them however many there are.
+    """
+    first = lambda own, *keys: own.groupBy(*keys).agg(F.min(F.struct("path")).alias("file"))
+    equal = first(files.where("content_key IS NOT NULL"), "name", "size", "content_key").withColumnRenamed("file", "equal")
+    named = rows.join(first(files, "name", "size"), ["name", "size"]).join(equal, ["name", "size", "content_key"], "left")
+    best = F.min(F.struct(F.col("equal").isNull().alias("other"), F.coalesce("equal", "file").alias("file"))).alias("b")
+    return named.groupBy("recording_id").agg(best).select("recording_id", F.col("b.file.path").alias("path"))
 
 
 def event_table(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
