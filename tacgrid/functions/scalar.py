@@ -145,8 +145,13 @@ def lerp_yaw(a: Column, b: Column, t: Column) -> Column:
     return F.pmod(a + (F.pmod(b - a + 540.0, F.lit(360.0)) - 180.0) * t, F.lit(360.0))
 
 
-def inside_polygon(x: Column, y: Column, corners: Column) -> Column:
-    """Even-odd rule. corners: array of struct(x, y)."""
+def inside_polygon(x: Column, y: Column, corners: Column | list[tuple[float, float]]) -> Column:
+    """Even-odd rule. corners: array of struct(x, y), or the places of a polygon that all rows share, whose edges become plain arithmetic."""
+    if not isinstance(corners, Column):
+        over = lambda a, b: (F.lit(a[1]) > y) != (F.lit(b[1]) > y)
+        at = lambda a, b: F.lit(b[0] - a[0]) * (y - a[1]) / F.lit(b[1] - a[1]) + a[0]
+        edges = [(a, b) for a, b in zip(corners, (corners[-1], *corners[:-1]), strict=True) if a[1] != b[1]]
+        return sum((F.when(over(a, b) & (x < at(a, b)), 1).otherwise(0) for a, b in edges), F.lit(0)) % 2 == 1
     n = F.size(corners)
 
     def crosses(i: Column) -> Column:
