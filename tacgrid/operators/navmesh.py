@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tacgrid import params as P
@@ -211,12 +211,14 @@ def dilate(raster: DataFrame, rounds: int = P.DILATION_ROUNDS) -> DataFrame:
     return raster.groupBy("map_name").applyInPandas(solve, RASTER)
 
 
-def _at_cells(points: DataFrame, raster: DataFrame, cell: int) -> DataFrame:
-    """points with _layers, the layers of their cell (null off the raster): one row of the raster for each cell, so that nothing is grouped by point.
+def _at_cells(points: DataFrame, raster: DataFrame, cell: int, of_cell: dict[str, Column] | None = None) -> DataFrame:
+    """points with _layers, the layers of their cell, or what of_cell makes of these (null off the raster): one row of the raster for each cell, so that nothing is grouped by point.
 
     Cells are counted from the origin and cut towards zero, so a point less than a cell before the origin is in the first one.
     """
     cells = raster.groupBy("map_name", F.col("ix").alias("_ix"), F.col("iy").alias("_iy")).agg(F.array_sort(F.collect_list(F.struct("layer", "node", "z"))).alias("_layers"))
+    if of_cell is not None:
+        cells = cells.select("map_name", "_ix", "_iy", *(c.alias(name) for name, c in of_cell.items()))
     origin = raster.groupBy("map_name").agg(F.first("x0").alias("_x0"), F.first("y0").alias("_y0"))
     at = lambda c, o: ((F.col(c) - F.col(o)) / cell).cast("int")
     placed = points.join(origin, "map_name", "left").withColumn("_ix", at("x", "_x0")).withColumn("_iy", at("y", "_y0"))
@@ -228,9 +230,11 @@ def resolve(points: DataFrame, raster: DataFrame, lower_max: float | None = None
 
     A layer is the lower one below lower_max (None: the map has one level); level is lower, upper or null.
     """
-    other = lambda l: F.lit(0) if lower_max is None else F.when(F.col("level").isNull() | ((l["z"] < lower_max) == (F.col("level") == "lower")), 0).otherwise(1)  # noqa: E731, E741
-    best = F.array_min(F.transform("_layers", lambda l: F.struct(other(l).alias("other"), l["layer"].alias("layer"), l["node"].alias("node"))))  # noqa: E741
-    return _at_cells(points, raster, cell).select(*points.columns, best["node"].alias("node"))
+    other = lambda level: lambda l: F.lit(0) if lower_max is None or level is None else F.when((l["z"] < lower_max) == F.lit(level == "lower"), 0).otherwise(1)  # noqa: E731, E741
+    best = lambda level: F.array_min(F.transform("_layers", lambda l: F.struct(other(level)(l).alias("other"), l["layer"].alias("layer"), l["node"].alias("node"))))["node"]  # noqa: E731, E741
+    placed = _at_cells(points, raster, cell, {"_any": best(None), "_lower": best("lower"), "_upper": best("upper")})
+    node = F.when(F.col("level").isNull(), F.col("_any")).when(F.col("level") == "lower", F.col("_lower")).otherwise(F.col("_upper")) if lower_max is not None else F.col("_any")
+    return placed.select(*points.columns, node.alias("node"))
 
 
 def locate(points: DataFrame, raster: DataFrame, cell: int = P.RASTER_CELL) -> DataFrame:

@@ -100,8 +100,13 @@ def repair_sides(kills: DataFrame, frames: DataFrame) -> DataFrame:
 def tween(frames: DataFrame, per_second: int = 4) -> DataFrame:
     """frames (round_id, player, sec, x, y, yaw) -> positions between the seconds, linear, yaw along the shorter arc."""
     w = Window.partitionBy("round_id", "player").orderBy("sec")
-    ahead = frames.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in ("sec", "x", "y", "yaw")))
-    each = ahead.withColumn("k", F.explode(F.sequence(F.lit(0), F.when(F.col("next_sec").isNull(), 0).otherwise(per_second - 1))))
+    return between(frames.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in ("sec", "x", "y", "yaw"))), per_second)
+
+
+def between(ahead: DataFrame, per_second: int = 4) -> DataFrame:
+    """tween of frames that have their player's next one beside them (next_sec, next_x, next_y, next_yaw; null: the last)."""
+    steps = lambda n: F.array(*map(F.lit, range(n)))
+    each = ahead.withColumn("k", F.explode(F.when(F.col("next_sec").isNull(), steps(1)).otherwise(steps(per_second))))
     t = F.col("k") / per_second
     line = lambda c: F.coalesce(F.col(c) + (F.col(f"next_{c}") - F.col(c)) * t, F.col(c)).alias(c)
     return each.select("round_id", "player", line("sec"), line("x"), line("y"), F.coalesce(lerp_yaw(F.col("yaw"), F.col("next_yaw"), t), F.col("yaw")).alias("yaw"))
@@ -114,9 +119,14 @@ def kill_feed(kills: DataFrame, at: DataFrame, last: int = 6, within: int = 8) -
     return pairs.withColumn("place", place.cast("int")).where(F.col("place") <= last)
 
 
-def carrier(players: DataFrame, bombs: DataFrame, reach: float = 40.0) -> DataFrame:
-    """(state_id, slot): the nearest living T within reach of the bomb. players: state_id, slot, side, alive, x, y; bombs: state_id, bx, by."""
-    near = players.where("alive AND side = 'T'").join(bombs, "state_id").withColumn("away", F.hypot(F.col("x") - F.col("bx"), F.col("y") - F.col("by"))).where(F.col("away") <= reach)
+def carrier(players: DataFrame, bombs: DataFrame | None = None, reach: float = 40.0) -> DataFrame:
+    """(state_id, slot): the nearest living T within reach of the bomb. players: state_id, slot, side, alive, x, y; bombs: state_id, bx, by.
+
+    Without bombs, players have bx and by of their own. Who is near is settled in each player's row; only they meet.
+    """
+    living = players.where("alive AND side = 'T'")
+    placed = living if bombs is None else living.join(bombs, "state_id")
+    near = placed.withColumn("away", F.hypot(F.col("x") - F.col("bx"), F.col("y") - F.col("by"))).where(F.col("away") <= reach)
     return near.groupBy("state_id").agg(F.min(F.struct("away", "slot")).alias("b")).select("state_id", F.col("b.slot").alias("slot"))
 
 

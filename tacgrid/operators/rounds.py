@@ -56,6 +56,11 @@ def attach_plants(plants: DataFrame, rounds: DataFrame) -> DataFrame:
     return pairs.withColumn("_n", first).where("_n = 1").select("round_id", F.col("tick").alias("plant_tick"), site_of(F.col("zone")).alias("site"))
 
 
+def buy_ticks(rounds: DataFrame) -> DataFrame:
+    """(round_id, tick): the buy tick of each round, as on its grid."""
+    return rounds.where("end_tick > freeze").select("round_id", F.least(F.col("freeze") + P.BUY_EVAL_SECONDS * P.TICKRATE, F.col("end_tick") - 1).alias("tick"))
+
+
 def sample_grid(rounds: DataFrame) -> DataFrame:
     """(round_id, tick, is_buy): a tick each second from the freeze to before the end, and the buy tick."""
     buy = F.least(F.col("freeze") + P.BUY_EVAL_SECONDS * P.TICKRATE, F.col("end_tick") - 1)
@@ -96,8 +101,10 @@ def backfill_reasons(rounds: DataFrame, ends: DataFrame) -> DataFrame:
     return rounds.join(known, ["recording_id", "end_tick"], "left").withColumn("win_reason", F.coalesce("win_reason", "_reason")).select(*rounds.columns)
 
 
-def equipment(samples: DataFrame, grid: DataFrame) -> DataFrame:
-    """(round_id, side, equip) at the buy tick. samples: round_id, tick, side, value."""
+def equipment(samples: DataFrame, grid: DataFrame | None = None) -> DataFrame:
+    """(round_id, side, equip) at the buy tick. samples: round_id, tick, side, value; without a grid they are those of buy ticks alone."""
+    if grid is None:
+        return samples.groupBy("round_id", "side").agg(F.sum("value").alias("equip"))
     at = grid.where("is_buy").select("round_id", "tick")
     return samples.join(at, ["round_id", "tick"]).groupBy("round_id", "side").agg(F.sum("value").alias("equip"))
 

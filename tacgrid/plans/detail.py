@@ -10,7 +10,7 @@ from tacgrid.functions import scalar as S
 from tacgrid.operators import catalog, navmesh, playback, rounds, teams
 from tacgrid.plans import oracle as O
 from tacgrid.plans.queries import _STEPS as MESH_STEPS
-from tacgrid.plans.queries import _squared, built_rounds, grid_areas, query
+from tacgrid.plans.queries import _squared, built_rounds, grid_raster, query
 from tacgrid.sources import blobs, files, navjson, store
 from tacgrid.sources.scratch import shared_folder
 
@@ -103,9 +103,8 @@ _EDGES = list(zip(_POLYGON, (_POLYGON[-1], *_POLYGON[:-1]), strict=True))
   (x + 500.0) / 4.0 AS px, (1500.0 - y) / 4.0 AS py FROM players"""))
 def places_in_polygon(spark, d):
     """Players inside a polygon with a dent, and their pixels on an image of the map."""
-    corners = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in _POLYGON))
     px, py = S.world_to_pixel(F.col("x"), F.col("y"), -500.0, 1500.0, 4.0)
-    return X.players(spark, d).select("state_id", "slot", S.inside_polygon(F.col("x"), F.col("y"), corners).alias("inside"), px.alias("px"), py.alias("py"))
+    return X.players(spark, d).select("state_id", "slot", S.inside_polygon(F.col("x"), F.col("y"), list(_POLYGON)).alias("inside"), px.alias("px"), py.alias("py"))
 
 
 _CELLS = "SELECT i.n AS ix, j.n AS iy, CAST(a.n AS INT) AS node, f.n AS layer, f.n * 200.0 AS z FROM range(90) i(n) CROSS JOIN range(90) j(n) JOIN range(120) a(n) ON (i.n + 0.5) * 16 - 32 >= a.n % 12 * 100 AND (i.n + 0.5) * 16 - 32 < a.n % 12 * 100 + 80 AND (j.n + 0.5) * 16 - 32 >= a.n // 12 * 100 AND (j.n + 0.5) * 16 - 32 < a.n // 12 * 100 + 80 JOIN range(2) f(n) ON f.n = 0 OR a.n % 5 = 0"
@@ -117,7 +116,7 @@ def points_on_levels(spark, d):
     """Points of a sketch on a map of two levels, with a wanted level or none."""
     level = F.when(F.col("slot") % 3 == 1, "lower").when(F.col("slot") % 3 == 2, "upper")
     points = X.players(spark, d).select(F.lit("grid").alias("map_name"), "state_id", "slot", "x", "y", level.alias("level"))
-    return navmesh.resolve(points, navmesh.rasterise(grid_areas(spark)), lower_max=100.0).select("state_id", "slot", "node")
+    return navmesh.resolve(points, grid_raster(spark), lower_max=100.0).select("state_id", "slot", "node")
 
 
 def _little(value: Column, n: int = 2) -> Column:
