@@ -33,6 +33,21 @@ def active_lists(snapshots: DataFrame, pieces: DataFrame, fields: tuple[str, ...
     return pairs.groupBy("state_id").agg(gathered("smoke").alias("smokes"), gathered("molly").alias("mollies")).select("state_id", numbered("smokes"), numbered("mollies"))
 
 
+def with_active(snapshots: DataFrame, pieces: DataFrame, fields: tuple[str, ...] = ("node", "x", "y"), cap: int = P.MAX_ACTIVE_UTILITY) -> DataFrame:
+    """snapshots (round_id, sec, ...) with smokes and mollies as of active_lists, null in rounds without a piece, and n_smoke and n_molly, their lengths.
+
+    The pieces of a round are gathered and meet its snapshots as one list, so nothing is grouped by snapshot.
+    """
+    piece = F.struct("util_id", F.col("t_start").alias("first"), F.coalesce("t_end", "t_start").alias("last"), *fields)
+    kinds = {"smoke": "smokes", "molly": "mollies"}
+    own = pieces.where(F.col("kind").isin(*kinds)).groupBy("round_id").agg(*(F.sort_array(F.collect_list(F.when(F.col("kind") == kind, piece))).alias(f"_{kind}") for kind in kinds))
+    on = lambda p: (F.col("sec") >= p["first"]) & (F.col("sec") <= p["last"])
+    numbered = lambda c: F.transform(F.slice(F.filter(c, on), 1, cap), lambda p, i: F.struct((i + 1).alias("slot"), *(p[f].alias(f) for f in fields)))
+    length = lambda c: F.least(F.coalesce(F.size(F.filter(c, on)), F.lit(0)), F.lit(cap))
+    found = {name: numbered(f"_{kind}") for kind, name in kinds.items()} | {f"n_{kind}": F.greatest(length(f"_{kind}"), F.lit(0)) for kind in kinds}
+    return snapshots.join(own, "round_id", "left").withColumns(found).drop("_smoke", "_molly")
+
+
 def lifetimes(detonations: DataFrame, expiries: DataFrame, rounds: DataFrame) -> DataFrame:
     """detonations (recording_id, util_id, entity_id, kind, tick), expiries (recording_id, entity_id, kind, tick) -> lifetimes.
 
