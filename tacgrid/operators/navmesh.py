@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -133,50 +135,124 @@ def quads(areas: DataFrame) -> DataFrame:
 
 
 RASTER = "map_name string, ix int, iy int, layer int, node int, z double, x0 double, y0 double, width int, height int"
+RASTER_COLUMNS = [c.split()[0] for c in RASTER.split(", ")]
+#: Cells of areas' boxes that are looked at together (or those of one area, if they are more).
+DRAWN_AT_ONCE = 1 << 20
+
+
+def _numbers(table: pa.Table, column: str) -> np.ndarray:
+    """A column that has no null."""
+    if table.column(column).null_count:
+        raise ValueError(f"null {column}")
+    return table.column(column).to_numpy()
+
+
+def _covered(part: np.ndarray, xs: np.ndarray, ys: np.ndarray, first: list[np.ndarray], n: list[np.ndarray], cell: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(area, ix, iy): the cells of these areas' boxes, n from first on, whose centres their quads cover."""
+    boxed = (n[0] * n[1])[part]
+    area = np.repeat(part, boxed)
+    k = np.arange(len(area)) - np.repeat(np.cumsum(boxed) - boxed, boxed)
+    ix, iy = first[0][area] + k // n[1][area], first[1][area] + k % n[1][area]
+    px, py, hit = (ix + 0.5) * cell, (iy + 0.5) * cell, np.zeros(len(area), bool)
+    for i in range(xs.shape[1]):
+        xi, yi, xj, yj = xs[area, i], ys[area, i], xs[area, i - 1], ys[area, i - 1]
+        over = (yi > py) != (yj > py)
+        hit[over] ^= px[over] < (xj - xi)[over] * (py - yi)[over] / (yj - yi)[over] + xi[over]
+    return area[hit], ix[hit], iy[hit]
+
+
+def _draw(areas: pa.Table, cell: int) -> pa.Table:
+    """The raster of one map; all its areas are drawn at once."""
+    own = areas.take(pa.array(np.argsort(areas.column("area_id").to_numpy(), kind="stable")))
+    node, z = _numbers(own, "node"), own.column("z").to_numpy()
+    low = [float(np.nanmin(own.column(f"low_{c}").to_numpy())) - P.RASTER_MARGIN * cell for c in "xy"]
+    high = [float(np.nanmax(own.column(f"high_{c}").to_numpy())) + P.RASTER_MARGIN * cell for c in "xy"]
+    width, height = (math.ceil((h - o) / cell) for h, o in zip(high, low, strict=True))
+    xs, ys = (own.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1) - o for c, o in zip(("xs", "ys"), low, strict=True))
+    if not (np.isfinite(xs).all() and np.isfinite(ys).all()):
+        raise ValueError("corners without a place")
+    first = [np.maximum(0, np.floor(v.min(1) / cell).astype(np.int64)) for v in (xs, ys)]
+    n = [np.maximum(0, np.minimum(size - 1, np.floor(v.max(1) / cell).astype(np.int64)) - f + 1) for v, f, size in zip((xs, ys), first, (width, height), strict=True)]
+    block = np.cumsum(n[0] * n[1]) // DRAWN_AT_ONCE
+    parts = np.split(np.arange(len(own)), np.flatnonzero(np.diff(block)) + 1)
+    area, ix, iy = (np.concatenate(c) for c in zip(*(_covered(part, xs, ys, first, n, cell) for part in parts), strict=True))
+    tiny = np.flatnonzero(np.bincount(area, minlength=len(own)) == 0)
+    middle = lambda v: np.array([int(sum(p) / len(p) / cell) for p in v[tiny].tolist()], np.int64)
+    area, ix, iy = np.concatenate([area, tiny]), np.concatenate([ix, middle(xs)]), np.concatenate([iy, middle(ys)])
+    # The areas of a cell in order; the first of all cells take their layers at once, then the second ones, and so on.
+    order = np.lexsort([area, ix * height + iy])
+    area, at = area[order], (ix * height + iy)[order]
+    cells, start, areas_of = np.unique(at, return_index=True, return_counts=True)
+    count, nodes, heights = np.zeros(len(cells), np.int64), np.zeros((len(cells), P.RASTER_LAYERS), np.int32), np.zeros((len(cells), P.RASTER_LAYERS))
+    slots = np.arange(P.RASTER_LAYERS)
+    left = np.arange(len(cells))
+    for turn in range(int(areas_of.max())):
+        left = left[(areas_of[left] > turn) & (count[left] < P.RASTER_LAYERS)]
+        if not len(left):
+            break
+        a = area[start[left] + turn]
+        free = ((slots >= count[left, None]) | (np.abs(heights[left] - z[a, None]) >= P.RASTER_LAYER_GAP)).all(1)
+        to, a = left[free], a[free]
+        nodes[to, count[to]], heights[to, count[to]] = node[a], z[a]
+        count[to] += 1
+    which, layer = np.nonzero(slots < count[:, None])
+    same = lambda value, kind: pa.repeat(pa.scalar(value, kind), len(which))
+    ints = lambda v: pa.array(v.astype(np.int32))
+    columns = [ints(cells[which] // height), ints(cells[which] % height), ints(layer), ints(nodes[which, layer]), pa.array(heights[which, layer], from_pandas=True)]
+    constant = [same(low[0], pa.float64()), same(low[1], pa.float64()), same(width, pa.int32()), same(height, pa.int32())]
+    return pa.table([same(areas.column("map_name")[0].as_py(), pa.string()), *columns, *constant], RASTER_COLUMNS)
+
+
+def _fill(raster: pa.Table, rounds: int) -> pa.Table:
+    """The raster of one map, dilated."""
+    width, height = raster.column("width")[0].as_py(), raster.column("height")[0].as_py()
+    layer, at = _numbers(raster, "layer"), _numbers(raster, "ix").astype(np.int64) * height + _numbers(raster, "iy")
+    own = np.lexsort([layer, at])
+    cells, first, layers = np.unique(at[own], return_index=True, return_counts=True)
+    giver = np.full((width, height), -1)  # whose layers a cell has
+    giver.reshape(-1)[cells] = np.arange(len(cells))
+    for _ in range(rounds):
+        before = giver.copy()
+        for dx, dy in P.RASTER_SIDES:
+            to = giver[max(dx, 0) : width + min(dx, 0), max(dy, 0) : height + min(dy, 0)]
+            source = giver[max(-dx, 0) : width + min(-dx, 0), max(-dy, 0) : height + min(-dy, 0)]
+            new = (to < 0) & (source >= 0)
+            to[new] = source[new]
+        if (giver == before).all():
+            break
+    x, y = np.nonzero(giver >= 0)
+    source = giver[x, y]
+    n = layers[source]
+    rows = own[np.repeat(first[source] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+    out = raster.select(RASTER_COLUMNS).take(pa.array(rows))
+    for i, v in ((1, x), (2, y)):
+        out = out.set_column(i, RASTER_COLUMNS[i], pa.array(np.repeat(v, n).astype(np.int32)))
+    return out
+
+
+def _each_map(rows: DataFrame, solve: Callable[[pa.Table], pa.Table]) -> DataFrame:
+    """solve, a map at a time. Maps are few bytes and much work, so their number of tasks is given, not told by their size.
+
+    It isn't the usual number, since Spark leaves a repartition out that equals one below it.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(2 * n, "map_name").groupBy("map_name").applyInArrow(solve, RASTER)
 
 
-def rasterise(areas: DataFrame, cell: int = P.RASTER_CELL) -> DataFrame:
+def rasterise(areas: DataFrame, cell: int = P.RASTER_CELL, rounds: int = 0) -> DataFrame:
     """areas (map_name, area_id, node, z, corners array<struct<x,y>>) -> RASTER: a row for each layer of a cell that has any.
 
     x0, y0: the raster's origin, RASTER_MARGIN cells beyond the least corner; cells are counted from there. Of each area
     its quad counts: a cell belongs to the areas that its centre lies in, and a tiny area marks the cell of its centre.
     In order of areas, each takes a layer of the cell unless one less than RASTER_LAYER_GAP away in height is there;
-    RASTER_LAYERS at most.
+    RASTER_LAYERS at most. rounds: the raster is dilated so many times at most before it leaves the task, as dilate does.
     """
-
-    def inside(px: np.ndarray, py: np.ndarray, xs: list[float], ys: list[float]) -> np.ndarray:
-        hit = np.zeros(px.shape, bool)
-        for i in range(len(xs)):
-            j = i - 1
-            over = (ys[i] > py) != (ys[j] > py)
-            if ys[i] != ys[j]:
-                hit ^= over & (px < (xs[j] - xs[i]) * (py - ys[i]) / (ys[j] - ys[i]) + xs[i])
-        return hit
-
-    def solve(a: pd.DataFrame) -> pd.DataFrame:
-        cells: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        margin = P.RASTER_MARGIN * cell
-        x0, y0 = float(a.low_x.min()) - margin, float(a.low_y.min()) - margin
-        width, height = (math.ceil((float(high) + margin - low) / cell) for high, low in ((a.high_x.max(), x0), (a.high_y.max(), y0)))
-        for r in a.sort_values("area_id").itertuples():
-            xs, ys = [x - x0 for x in r.xs.tolist()], [y - y0 for y in r.ys.tolist()]
-            ix = np.arange(max(0, math.floor(min(xs) / cell)), min(width - 1, math.floor(max(xs) / cell)) + 1)
-            iy = np.arange(max(0, math.floor(min(ys) / cell)), min(height - 1, math.floor(max(ys) / cell)) + 1)
-            gx, gy = np.meshgrid(ix, iy, indexing="ij")
-            hit = inside((gx + 0.5) * cell, (gy + 0.5) * cell, xs, ys)
-            own = list(zip(gx[hit].tolist(), gy[hit].tolist(), strict=True)) or [(int(sum(xs) / len(xs) / cell), int(sum(ys) / len(ys) / cell))]
-            for at in own:
-                layers = cells.setdefault(at, [])
-                if len(layers) < P.RASTER_LAYERS and all(abs(z - r.z) >= P.RASTER_LAYER_GAP for _, z in layers):
-                    layers.append((int(r.node), float(r.z)))
-        rows = [(a.map_name.iloc[0], x, y, k, n, z, x0, y0, width, height) for (x, y), layers in cells.items() for k, (n, z) in enumerate(layers)]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in RASTER.split(", ")])
-
     corner = lambda c, f: f(F.transform("corners", lambda p: p[c]))
-    bounds = [corner(c, f).alias(f"{name}_{c}") for c in "xy" for name, f in (("low", F.array_min), ("high", F.array_max))]
-    flat = quads(areas.select("map_name", "area_id", "node", "z", "corners", *bounds))
-    flat = flat.withColumn("xs", corner("x", lambda c: c)).withColumn("ys", corner("y", lambda c: c)).drop("corners")
-    return flat.groupBy("map_name").applyInPandas(solve, RASTER)
+    place = lambda v: v.cast("double")
+    bounds = [place(corner(c, f)).alias(f"{name}_{c}") for c in "xy" for name, f in (("low", F.array_min), ("high", F.array_max))]
+    flat = quads(areas.select("map_name", "area_id", "node", F.col("z").cast("double").alias("z"), "corners", *bounds))
+    flat = flat.withColumn("xs", F.transform("corners", lambda p: place(p["x"]))).withColumn("ys", F.transform("corners", lambda p: place(p["y"]))).drop("corners")
+    return _each_map(flat, lambda a: _fill(_draw(a, cell), rounds) if rounds else _draw(a, cell))
 
 
 def dilate(raster: DataFrame, rounds: int = P.DILATION_ROUNDS) -> DataFrame:
@@ -184,31 +260,7 @@ def dilate(raster: DataFrame, rounds: int = P.DILATION_ROUNDS) -> DataFrame:
 
     In a round cells give to one side after another, in the order of RASTER_SIDES; later sides see what earlier ones filled.
     """
-
-    def solve(r: pd.DataFrame) -> pd.DataFrame:
-        own = r.sort_values(["ix", "iy", "layer"])
-        cells, first, layers = np.unique(own[["ix", "iy"]].to_numpy(), axis=0, return_index=True, return_counts=True)
-        width, height = int(r.width.iloc[0]), int(r.height.iloc[0])
-        giver = np.full((width, height), -1)  # whose layers a cell has
-        giver[cells[:, 0], cells[:, 1]] = np.arange(len(cells))
-        for _ in range(rounds):
-            before = giver.copy()
-            for dx, dy in P.RASTER_SIDES:
-                to = giver[max(dx, 0) : width + min(dx, 0), max(dy, 0) : height + min(dy, 0)]
-                source = giver[max(-dx, 0) : width + min(-dx, 0), max(-dy, 0) : height + min(-dy, 0)]
-                new = (to < 0) & (source >= 0)
-                to[new] = source[new]
-            if (giver == before).all():
-                break
-        x, y = np.nonzero(giver >= 0)
-        source = giver[x, y]
-        n = layers[source]
-        rows = np.repeat(first[source] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        out = own.iloc[rows].reset_index(drop=True)
-        out["ix"], out["iy"] = np.repeat(x, n).astype(np.int32), np.repeat(y, n).astype(np.int32)
-        return out[[c.split()[0] for c in RASTER.split(", ")]]
-
-    return raster.groupBy("map_name").applyInPandas(solve, RASTER)
+    return _each_map(raster.select(*(F.col(c).cast(kind).alias(c) for c, kind in (f.split() for f in RASTER.split(", ")))), lambda r: _fill(r, rounds))
 
 
 def _at_cells(points: DataFrame, raster: DataFrame, cell: int, of_cell: dict[str, Column] | None = None) -> DataFrame:
@@ -251,7 +303,7 @@ def build_map(areas: DataFrame, edges: DataFrame, k: int | None = None) -> dict[
     areas = areas.drop("node")
     nodes = cluster_areas(areas, edges, k)
     centres = node_centres(areas, nodes)
-    raster = dilate(rasterise(areas.select("map_name", "area_id", "z", "corners").join(nodes, ["map_name", "area_id"])))
+    raster = rasterise(areas.select("map_name", "area_id", "z", "corners").join(nodes, ["map_name", "area_id"]), rounds=P.DILATION_ROUNDS)
     return {"areas": nodes, "centres": centres, "geo": geodesics(node_edges(edges, nodes, centres)), "raster": raster}
 
 
