@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from itertools import chain, groupby, islice
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -76,13 +79,17 @@ def sessions(samples: DataFrame, keys: list[str], gap: int = P.TRACK_GAP_TICKS)
     return found.withColumn("_n", F.count("*").over(Window.partitionBy(*keys, "session"))).where("_n >= 2").drop("_n")
 
 
+#: Rows that matching gives out together.
+MATCHES_AT_ONCE = 10_000
+
+
 class LiveTracks:
     """Tracks in the air, by the cell of their last place; cells are as wide as a detonation reaches."""
 
     def __init__(self, reach: float) -> None:
         self.reach = reach
         self.cells: dict[tuple[int, int], set] = {}
-        self.at: dict = {}
+        self.at: dict = {}  # track -> (its cell, x, y)
         self.points: dict = {}
 
     def _cell(self, x: float, y: float) -> tuple[int, int]:
@@ -90,22 +97,24 @@ class LiveTracks:
 
     def drop(self, track) -> None:
         if track in self.at:
-            cell = self._cell(*self.at.pop(track))
+            cell = self.at.pop(track)[0]
             self.cells[cell].discard(track)
             if not self.cells[cell]:
                 del self.cells[cell]
 
     def move(self, track, x: float, y: float) -> None:
-        self.drop(track)
+        cell, before = self._cell(x, y), self.at.get(track)
+        if before is None or before[0] != cell:
+            self.drop(track)
+            self.cells.setdefault(cell, set()).add(track)
         self.points[track] = self.points.get(track, 0) + 1
-        self.at[track] = (x, y)
-        self.cells.setdefault(self._cell(x, y), set()).add(track)
+        self.at[track] = (cell, x, y)
 
     def nearest(self, x: float, y: float) -> tuple[float, object] | None:
         """(distance, track) of the nearest one of two points or more within reach; ties the lowest track."""
         cx, cy = self._cell(x, y)
         around = (t for dx in (-1, 0, 1) for dy in (-1, 0, 1) for t in self.cells.get((cx + dx, cy + dy), ()))
-        found = ((math.hypot(self.at[t][0] - x, self.at[t][1] - y), t) for t in around if self.points[t] >= 2)
+        found = ((math.hypot(self.at[t][1] - x, self.at[t][2] - y), t) for t in around if self.points[t] >= 2)
         return min((f for f in found if f[0] < self.reach), default=None)
 
 
@@ -115,25 +124,23 @@ def match_tracks(detonations: DataFrame, tracks: DataFrame) -> DataFrame:
     detonations: recording_id, kind, util_id, tick, x, y. tracks: recording_id, kind, track_id, tick, x, y, one row for
     each sample; of several samples at a tick the last by place counts last. A track fits if the detonation falls between
     its first tick and TRACK_MAX_TICKS after its last, it has two points or more up to it and its last point up to it lies
-    under TRACK_MAX_DISTANCE away; n_points are those up to the detonation. Taking turns is a matter of order, so one
-    recording and kind at a time goes through Python: one sweep over samples, ends of tracks and detonations by tick, with
-    the live tracks in a grid.
+    under TRACK_MAX_DISTANCE away; n_points are those up to the detonation. Taking turns is a matter of order, so samples and
+    detonations go through Python as one stream, by recording, kind and tick as Spark has sorted them; a recording and kind
+    at a time is held, and swept with its live tracks in a grid.
     """
 
-    def rows(table: pa.Table, *columns: str) -> list[tuple]:
-        return sorted(zip(*(table.column(c).to_pylist() for c in columns), strict=True))
-
-    def solve(events: pa.Table, samples: pa.Table) -> pa.Table:
-        out, live = [], LiveTracks(P.TRACK_MAX_DISTANCE)
-        steps = rows(samples, "tick", "track_id", "x", "y")
-        last = {track: tick for tick, track, _, _ in steps}
+    def sweep(steps: list[tuple]) -> Iterator[tuple]:
+        """steps: (tick, whether a detonation, id, x, y) of one recording and kind, in order."""
+        last = {track: tick for tick, event, track, _, _ in steps if not event}
+        if not last or not any(step[1] for step in steps):
+            return
+        live, used, j = LiveTracks(P.TRACK_MAX_DISTANCE), set(), 0
         ends = sorted((tick + P.TRACK_MAX_TICKS, track) for track, tick in last.items())
-        used, i, j = set(), 0, 0
-        for tick, util, x, y in rows(events, "tick", "util_id", "x", "y"):
-            while i < len(steps) and steps[i][0] <= tick:
-                if steps[i][1] not in used:
-                    live.move(*steps[i][1:])
-                i += 1
+        for tick, event, name, x, y in steps:
+            if not event:
+                if name not in used:
+                    live.move(name, x, y)
+                continue
             while j < len(ends) and ends[j][0] < tick:
                 live.drop(ends[j][1])
                 j += 1
@@ -141,10 +148,16 @@ def match_tracks(detonations: DataFrame, tracks: DataFrame) -> DataFrame:
             if best:
                 live.drop(best[1])
                 used.add(best[1])
-                out.append((util, best[1], live.points[best[1]]))
-        columns = list(zip(*out, strict=True)) or [(), (), ()]
-        return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32())], ["util_id", "track_id", "n_points"])
-
-    keys = ("recording_id", "kind")
-    own = tracks.toDF(*tracks.columns)  # detonations may come from the same rows
-    return detonations.groupBy(*keys).cogroup(own.groupBy(*keys)).applyInArrow(solve, "util_id long, track_id long, n_points int")
+                yield name, best[1], live.points[best[1]]
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain = lambda c: c.to_pylist() if c.null_count else c.to_numpy(zero_copy_only=False).tolist()
+        rows = chain.from_iterable(zip(*map(plain, batch.columns), strict=True) for batch in batches)
+        found = (match for _, own in groupby(rows, itemgetter(0, 1)) for match in sweep([row[2:] for row in own]))
+        while some := list(islice(found, MATCHES_AT_ONCE)):
+            util, track, points = zip(*some, strict=True)
+            yield pa.record_batch([pa.array(util, pa.int64()), pa.array(track, pa.int64()), pa.array(points, pa.int32())], ["util_id", "track_id", "n_points"])
+
+    step = lambda rows, event, name: rows.select("recording_id", "kind", "tick", F.lit(event).alias("event"), F.col(name).alias("id"), "x", "y")
+    steps = step(tracks, False, "track_id").unionAll(step(detonations, True, "util_id"))
+    return steps.repartition("recording_id", "kind").sortWithinPartitions(*steps.columns).mapInArrow(solve, "util_id long, track_id long, n_points int")
