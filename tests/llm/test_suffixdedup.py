@@ -1,3 +1,4 @@
+import hashlib
 from collections import Counter
 
 import numpy as np
@@ -43,6 +44,22 @@ def test_same_as_brute_force(spark, monkeypatch, together):
     assert got == sorted((str(r[0]), *w) for r, w in zip(rows, want, strict=True))
 
 
+def test_planted_passages(spark, tmp_path):
+    """Passages of over 50 words are told by n_removed, whatever n_bytes is; what decides is 400 bytes, not the words."""
+    rng = np.random.default_rng(7)
+    words = lambda n, size: " ".join("".join(rng.choice(list("abcdefghijklmnop"), size)) for _ in range(n))
+    passages, short = [words(51 + k, 8) for k in range(5)], words(60, 5)
+    assert len(short) < S.LENGTH <= min(map(len, passages))
+    planted = [words(int(rng.integers(0, 400)), 6) + " " + p + " " + words(int(rng.integers(0, 40)), 6) for p in passages for _ in range(3)]
+    clean = [words(int(rng.integers(1, 600)), 6) for _ in range(20)] + [words(9, 6) + " " + short, short + " " + words(70, 6)]
+    texts = [*planted, *clean]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in S.op10_repeats(spark, str(tmp_path)).orderBy("doc_id").collect()]
+    want = [(i, n, n - len(kept), len(edges) // 2, hashlib.sha256(kept).hexdigest()) for i, (n, kept, edges) in enumerate(plain([t.encode() for t in texts], S.LENGTH))]
+    assert got == want
+    assert [r[2] > 0 for r in got] == [True] * len(planted) + [False] * len(clean)
+
+
 def test_empty(spark):
     assert S.drop_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
